@@ -14,6 +14,7 @@ from registrum.functions import text as T
 from registrum.functions.arrays import bind, last_per_key, lookup
 from registrum.operators.lines import PAIR, markdown_of
 from registrum.schemas import ANNOTATION, FACETS, LINE, SECTIONS
+from registrum.session import built_once
 
 COMPARISON = "struct<field:string,v1:string,v2:string>"
 
@@ -69,6 +70,7 @@ def matched(left: DataFrame, right: DataFrame, order: str = "doc_id") -> DataFra
     ).join(second.select("u", F.col("ann").alias("ann2"), F.col("failed").alias("failed2")), "u")
 
 
+@built_once
 def _common_lines(section: str) -> Column:
     """Lines both sides annotated; among repeated line numbers the last annotation counts."""
     empty = F.array().cast(f"array<{ANNOTATION}>")
@@ -150,46 +152,39 @@ def summary(pairs: DataFrame) -> DataFrame:
     )
 
 
-def disagreement_lines(pairs: DataFrame, limit_chars: int = 500) -> DataFrame:
-    """One row per line with a disagreement: its text and the differing facets."""
-    empty = F.array().cast(f"array<{LINE}>")
-
-    def rows(section: str) -> Column:
-        differing = F.filter(
-            F.transform(
-                _common_lines(section),
-                lambda c: F.struct(
-                    c["line"].alias("line"),
-                    F.filter(c["facets"], lambda f: ~f["v1"].eqNullSafe(f["v2"])).alias("facets"),
-                ),
-            ),
-            lambda c: F.size(c["facets"]) > 0,
-        )
-        return F.transform(
-            lookup(
-                differing,
-                lambda c: c["line"],
-                F.coalesce(T.parse_numbered(markdown_of(section)), empty),
-                lambda l: l["num"],
-                lambda c, l: F.struct(
-                    F.lit(section).alias("section"),
-                    c["line"].alias("line"),
-                    F.coalesce(l["text"], F.lit("<text not found>")).alias("text"),
-                    c["facets"].alias("facets"),
-                ),
-                LINE,
-                f"struct<line:int,facets:array<{COMPARISON}>>",
-            ),
-            lambda r: F.struct(
-                r["section"].alias("section"),
-                r["line"].alias("line"),
-                T.truncate(r["text"], limit_chars).alias("text"),
-                r["facets"].alias("facets"),
+@built_once
+def _differing_lines(section: str, limit_chars: int) -> Column:
+    """Common lines with a differing facet, with their text in the first document."""
+    differing = F.filter(
+        F.transform(
+            _common_lines(section),
+            lambda c: F.struct(
+                c["line"].alias("line"),
+                F.filter(c["facets"], lambda f: ~f["v1"].eqNullSafe(f["v2"])).alias("facets"),
             ),
-        )
+        ),
+        lambda c: F.size(c["facets"]) > 0,
+    )
+    return lookup(
+        differing,
+        lambda c: c["line"],
+        T.parse_numbered(markdown_of(section)),
+        lambda l: l["num"],
+        lambda c, l: F.struct(
+            F.lit(section).alias("section"),
+            c["line"].alias("line"),
+            T.truncate(F.coalesce(l["text"], F.lit("<text not found>")), limit_chars).alias("text"),
+            c["facets"].alias("facets"),
+        ),
+        LINE,
+        f"struct<line:int,facets:array<{COMPARISON}>>",
+    )
 
+
+def disagreement_lines(pairs: DataFrame, limit_chars: int = 500) -> DataFrame:
+    """One row per line with a disagreement: its text and the differing facets."""
     usable = pairs.where(~F.col("failed1") & ~F.col("failed2"))
-    return usable.select("u", F.inline(F.concat(*[rows(s) for s in SECTIONS])))
+    return usable.select("u", F.inline(F.concat(*[_differing_lines(s, limit_chars) for s in SECTIONS])))
 
 
 def examples(lines: DataFrame, n: int = 20, seed: int | None = None) -> DataFrame:

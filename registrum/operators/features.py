@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.functions import text as T
 from registrum.functions.annotation import CANNOT_RATE
 from registrum.functions.arrays import bind, dense_counts, moving_ttr, run_lengths, total
 from registrum.schemas import FEATURE_META, STRUCTURAL_FEATURES
+from registrum.session import built_once, materialise
 
 # A tag set is closed and small; far beyond this the input is not a tagged corpus.
 MAX_VOCABULARY = 20_000
@@ -81,10 +81,20 @@ def all_tokens(sentences: Column) -> Column:
     return F.flatten(F.transform(sentences, lambda s: s["tokens"]))
 
 
+@built_once
+def segment_tags(missing_upos: str | None) -> Column:
+    """Tags of a measured segment's tokens."""
+    return token_tags(F.col("tokens"), missing_upos)
+
+
+@built_once
+def _distinct_tags() -> Column:
+    return F.array_distinct(token_tags(all_tokens(F.col("sentences")), None))
+
+
 def vocabulary_tags(segments: DataFrame, by: list[str] = []) -> DataFrame:
     """Distinct (kind, tag) over all segments, excluded labels included."""
-    tags = F.array_distinct(token_tags(all_tokens(F.col("sentences")), None))
-    return segments.select(*by, F.explode(tags).alias("tag")).distinct().select(
+    return segments.select(*by, F.explode(_distinct_tags()).alias("tag")).distinct().select(
         *by,
         F.substring_index("tag", "\t", 1).alias("kind"),
         F.regexp_replace("tag", "(?s)^[^\t]*\t", "").alias("tag"),
@@ -183,6 +193,7 @@ def _lemma(token: Column) -> Column:
     )
 
 
+@built_once
 def structural_means() -> dict[str, Column]:
     """Sentence length, dependency distance, word length and moving type-token ratios."""
     tokens = F.col("tokens")
@@ -213,7 +224,7 @@ def structural_table(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 def rates_long(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Long form: one row per segment and occurring tag with its rate per thousand content words."""
-    counts = run_lengths(token_tags(F.col("tokens"), "X"))
+    counts = run_lengths(segment_tags("X"))
     return measured.select(*keys, "segment_idx", "n_tokens", F.inline(counts)).select(
         *keys,
         "segment_idx",
@@ -235,7 +246,7 @@ def wide_features(measured: DataFrame, keys: list[str], vocabulary: list[str]) -
         "label",
         "n_tokens",
         "n_sents",
-        dense_counts(token_tags(F.col("tokens"), "X"), literal).alias("_counts"),
+        dense_counts(segment_tags("X"), literal).alias("_counts"),
         F.struct(*[c.alias(n) for n, c in structural_means().items()]).alias("_means"),
     )
     columns = {

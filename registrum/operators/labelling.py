@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from registrum.functions import annotation as A
 from registrum.functions import text as T
-from registrum.functions.arrays import bind, last, lookup, positions
+from registrum.functions.arrays import bind, last, lookup
 from registrum.operators.lines import PAIR, markdown_of
 from registrum.schemas import ANNOTATION, ANNOTATIONS, LINE, SECTIONS
-from registrum.session import materialise
+from registrum.session import built_once, materialise
 
 # Lines per request, context lines around them, opening lines, characters per line.
 CHUNK_LINES = 15
@@ -105,10 +105,8 @@ def section_calls(section: str, lines: Column, url: Column) -> Column:
 
 def plan_calls(docs: DataFrame, keys: list[str]) -> DataFrame:
     """All first calls of each document, one row per call."""
-    calls = F.concat(
-        *[section_calls(s, T.parse_numbered(markdown_of(s)), F.col("u")) for s in SECTIONS]
-    )
-    return docs.select(*keys, F.inline(calls))
+    numbered = docs.select(*keys, "u", *[_numbered(s).alias(name) for s, name in _LINES.items()])
+    return numbered.select(*keys, F.inline(_first_calls()))
 
 
 def _of(section: str, calls: Column) -> Column:
@@ -228,6 +226,40 @@ def _section_labels(section: str, lines: Column, first: Column, second: Column)
     return F.when(failed, F.array().cast(ANNOTATIONS)).otherwise(labelled)
 
 
+# The columns a document carries through the stage.
+_LINES = {s: f"_{s}_lines" for s in SECTIONS}
+
+
+@built_once
+def _numbered(section: str) -> Column:
+    return T.parse_numbered(markdown_of(section))
+
+
+@built_once
+def _first_calls() -> Column:
+    return F.concat(*[section_calls(s, F.col(_LINES[s]), F.col("u")) for s in SECTIONS])
+
+
+@built_once
+def _second_calls() -> Column:
+    return F.concat(*[_recalls(s, F.col("_first"), F.col(_LINES[s]), F.col("u")) for s in SECTIONS])
+
+
+@built_once
+def _decoded(calls: str, answers: str) -> Column:
+    return _decode(F.col(calls), F.col(answers))
+
+
+@built_once
+def _labels(section: str) -> Column:
+    return _section_labels(section, F.col(_LINES[section]), F.col("_first"), F.col("_second"))
+
+
+@built_once
+def _prompts(calls: str) -> Column:
+    return F.transform(calls, lambda c: c["prompt"])
+
+
 def annotate(docs: DataFrame, annotator: Callable[[Column], Column], path: str | None = None) -> DataFrame:
     """Add the annotation pair to documents.
 
@@ -235,25 +267,14 @@ def annotate(docs: DataFrame, annotator: Callable[[Column], Column], path: str |
     checkpoint folder) before the second round, so nothing is asked twice.
     """
     columns = docs.columns
-    lines = {s: f"_{s}_lines" for s in SECTIONS}
-    asked = docs.select(
-        *columns, *[T.parse_numbered(markdown_of(s)).alias(name) for s, name in lines.items()]
-    ).withColumn("_calls", F.concat(*[section_calls(s, F.col(lines[s]), F.col("u")) for s in SECTIONS]))
-    answered = asked.withColumn("_answers", annotator(F.transform("_calls", lambda c: c["prompt"])))
-    first = materialise(answered, path and f"{path}/first").withColumn(
-        "_first", _decode(F.col("_calls"), F.col("_answers"))
-    )
-    again = first.withColumn(
-        "_recalls",
-        F.concat(*[_recalls(s, F.col("_first"), F.col(lines[s]), F.col("u")) for s in SECTIONS]),
-    )
-    again = again.withColumn("_reanswers", annotator(F.transform("_recalls", lambda c: c["prompt"])))
-    second = materialise(again, path and f"{path}/second").withColumn(
-        "_second", _decode(F.col("_recalls"), F.col("_reanswers"))
-    )
-    pair = F.struct(
-        *[_section_labels(s, F.col(lines[s]), F.col("_first"), F.col("_second")).alias(s) for s in SECTIONS]
-    )
+    asked = docs.select(*columns, *[_numbered(s).alias(name) for s, name in _LINES.items()])
+    asked = asked.withColumn("_calls", _first_calls())
+    answered = asked.withColumn("_answers", annotator(_prompts("_calls")))
+    first = materialise(answered, path and f"{path}/first").withColumn("_first", _decoded("_calls", "_answers"))
+    again = first.withColumn("_recalls", _second_calls())
+    again = again.withColumn("_reanswers", annotator(_prompts("_recalls")))
+    second = materialise(again, path and f"{path}/second").withColumn("_second", _decoded("_recalls", "_reanswers"))
+    pair = F.struct(*[_labels(s).alias(s) for s in SECTIONS])
     kept = [c for c in columns if c != PAIR]
     return second.select(*kept, pair.alias(PAIR))
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.functions import annotation as A
 from registrum.functions import text as T
 from registrum.functions.arrays import bind, lookup
 from registrum.schemas import ANNOTATION, LINE, SECTIONS
+from registrum.session import built_once
 
 PAIR = "llm_register_annotation"
 LABELLED_LINE = f"struct<section:string,line_idx:int,num:int,text:string,ann:{ANNOTATION}>"
@@ -46,11 +46,13 @@ def join_labels(lines: Column, annotations: Column, section: str) -> Column:
     ).cast(f"array<{LABELLED_LINE}>")
 
 
+@built_once
 def section_lines(section: str, pair: str = PAIR) -> Column:
     """Labelled lines of one section of an annotated document."""
     return join_labels(T.parse_numbered(markdown_of(section)), F.col(pair)[section], section)
 
 
+@built_once
 def document_lines(sections: list[str] = SECTIONS, pair: str = PAIR) -> Column:
     """Labelled lines of a document, main text before comments."""
     return F.concat(*[section_lines(s, pair) for s in sections])
@@ -61,18 +63,20 @@ def explode_lines(docs: DataFrame, keys: list[str], sections: list[str] = SECTIO
     return docs.select(*keys, F.inline(document_lines(sections)))
 
 
-def parse_lines(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS) -> DataFrame:
-    """Long table of numbered lines without labels."""
+@built_once
+def numbered_lines(section: str) -> Column:
+    """Numbered lines of one section without labels."""
+    return F.transform(
+        T.parse_numbered(markdown_of(section)),
+        lambda l, i: F.struct(
+            F.lit(section).alias("section"), i.alias("line_idx"), l["num"].alias("num"), l["text"].alias("text")
+        ),
+    )
 
-    def numbered(section: str) -> Column:
-        return F.transform(
-            T.parse_numbered(markdown_of(section)),
-            lambda l, i: F.struct(
-                F.lit(section).alias("section"), i.alias("line_idx"), l["num"].alias("num"), l["text"].alias("text")
-            ),
-        )
 
-    return docs.select(*keys, F.inline(F.concat(*[numbered(s) for s in sections])))
+def parse_lines(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS) -> DataFrame:
+    """Long table of numbered lines without labels."""
+    return docs.select(*keys, F.inline(F.concat(*[numbered_lines(s) for s in sections])))
 
 
 def context_windows(lines: Column, size: int, limit: int | None, suffix: str = "…") -> Column:
@@ -98,6 +102,27 @@ def context_windows(lines: Column, size: int, limit: int | None, suffix: str = "
     return bind(lines, windows)
 
 
+def _classifiable(line: Column) -> Column:
+    return ~T.is_structural(line["text"]) & ~F.coalesce(line["ann"]["is_structural"], F.lit(False))
+
+
+@built_once
+def _section_candidates(section: str, size: int, limit: int, suffix: str) -> Column:
+    windows = context_windows(section_lines(section), size, limit, suffix)
+    return F.transform(
+        F.filter(windows, lambda w: _classifiable(w["line"])),
+        lambda w: F.struct(
+            w["line"]["section"].alias("section"),
+            w["line"]["line_idx"].alias("line_idx"),
+            w["line"]["num"].alias("line_num"),
+            T.truncate(w["line"]["text"], limit, suffix).alias("line_text"),
+            w["before"].alias("context_before"),
+            w["after"].alias("context_after"),
+            w["line"]["ann"].alias("ann"),
+        ),
+    )
+
+
 def candidates(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS, size: int = 5, limit: int = 500,
                suffix: str = "…") -> DataFrame:
     """Lines a person could label, with context and the present label.
@@ -105,39 +130,13 @@ def candidates(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS,
     Structural lines go, whether recognised by prefix or flagged by the
     labelling stage; the context still shows them.
     """
-    per_section = []
-    for s in sections:
-        windows = context_windows(section_lines(s), size, limit, suffix)
-        kept = F.filter(
-            windows,
-            lambda w: ~T.is_structural(w["line"]["text"])
-            & ~F.coalesce(w["line"]["ann"]["is_structural"], F.lit(False)),
-        )
-        per_section.append(
-            F.transform(
-                kept,
-                lambda w: F.struct(
-                    w["line"]["section"].alias("section"),
-                    w["line"]["line_idx"].alias("line_idx"),
-                    w["line"]["num"].alias("line_num"),
-                    T.truncate(w["line"]["text"], limit, suffix).alias("line_text"),
-                    w["before"].alias("context_before"),
-                    w["after"].alias("context_after"),
-                    w["line"]["ann"].alias("ann"),
-                ),
-            )
-        )
-    return docs.select(*keys, F.inline(F.concat(*per_section)))
+    return docs.select(*keys, F.inline(F.concat(*[_section_candidates(s, size, limit, suffix) for s in sections])))
 
 
-def candidate_keys(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS) -> DataFrame:
-    """The same lines as :func:`candidates` without text or context, for counting and drawing."""
-    lines = F.filter(
-        document_lines(sections),
-        lambda l: ~T.is_structural(l["text"]) & ~F.coalesce(l["ann"]["is_structural"], F.lit(False)),
-    )
-    slim = F.transform(
-        lines,
+@built_once
+def _slim_candidates(sections: list[str]) -> Column:
+    return F.transform(
+        F.filter(document_lines(sections), _classifiable),
         lambda l: F.struct(
             l["section"].alias("section"),
             l["line_idx"].alias("line_idx"),
@@ -145,7 +144,11 @@ def candidate_keys(docs: DataFrame, keys: list[str], sections: list[str] = SECTI
             l["ann"].alias("ann"),
         ),
     )
-    return docs.select(*keys, F.inline(slim))
+
+
+def candidate_keys(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS) -> DataFrame:
+    """The same lines as :func:`candidates` without text or context, for counting and drawing."""
+    return docs.select(*keys, F.inline(_slim_candidates(sections)))
 
 
 def label_distribution(lines: DataFrame, key: Column) -> DataFrame:

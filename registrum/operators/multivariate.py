@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.schemas import FEATURE_META, STRUCTURAL_FEATURES
+from registrum.session import materialise
 
 # The matrix lives on the driver: 4096 features are 128 MB.
 MAX_FEATURES = 4096
@@ -130,10 +131,11 @@ def screen(features: DataFrame, meta: list[str] = FEATURE_META, smc_threshold: f
            collinearity: float = COLLINEAR, log_transform: bool = True, min_std: float = MIN_STD) -> Screening:
     """Variance filter, log1p, collinearity pruning, SMC filter.
 
-    Two passes over the features: deviations on the raw scale, then the
-    correlation matrix of what varies.
+    Features are written once and read for the deviations on the raw scale,
+    the correlation matrix of what varies, and the result.
     """
     columns = feature_columns(features, meta)
+    features = materialise(features)
     _, _, std = deviations(features, columns)
     flat = set(low_variance(columns, std, min_std))
     columns = [c for c in columns if c not in flat]

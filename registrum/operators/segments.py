@@ -9,6 +9,7 @@ from registrum.functions import annotation as A
 from registrum.functions.arrays import map_runs, total
 from registrum.operators.lines import document_lines, section_lines
 from registrum.schemas import SECTIONS, SEGMENT
+from registrum.session import built_once
 
 MAX_BIN = 6
 
@@ -26,6 +27,7 @@ def register_lines(lines: Column) -> Column:
     ).cast(f"array<{SEGMENT}>")
 
 
+@built_once
 def section_registers(section: str) -> Column:
     """(label, text) of every line of one section."""
     return register_lines(section_lines(section))
@@ -43,9 +45,14 @@ def merge_runs(lines: Column) -> Column:
     ).cast(f"array<{SEGMENT}>")
 
 
+@built_once
+def document_segments(sections: list[str]) -> Column:
+    return merge_runs(register_lines(document_lines(sections)))
+
+
 def map_segments(docs: DataFrame, keys: list[str], sections: list[str] = SECTIONS) -> DataFrame:
     """Documents to arrays of segments; a run continues across the section boundary."""
-    return docs.select(*keys, merge_runs(register_lines(document_lines(sections))).alias("segments"))
+    return docs.select(*keys, document_segments(sections).alias("segments"))
 
 
 def explode_segments(mapped: DataFrame, keys: list[str]) -> DataFrame:

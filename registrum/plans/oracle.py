@@ -243,7 +243,7 @@ def _mattr(name: str, value: str) -> str:
    FROM tokens WHERE upos IS DISTINCT FROM 'PUNCT' WINDOW s AS (PARTITION BY doc_id, segment_idx ORDER BY sent_pos, j)),
  {name} AS (SELECT doc_id, segment_idx, CASE WHEN any_value(n) < 50
     THEN CAST(max(CASE WHEN i = 1 THEN list_unique(win) END) AS DOUBLE) / any_value(n)
-    ELSE avg(CASE WHEN i <= n - 49 THEN list_unique(win) / 50.0::DOUBLE END) END AS {name} FROM {name}_w GROUP BY ALL)"""
+    ELSE CAST(sum(CASE WHEN i <= n - 49 THEN list_unique(win) END) AS DOUBLE) / 50.0::DOUBLE / (any_value(n) - 49) END AS {name} FROM {name}_w GROUP BY ALL)"""
 
 
 EMBEDDINGS = """e AS (SELECT vec_id, 'reg' || label AS label, 'lang' || (vec_id % 4) AS lang,

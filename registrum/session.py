@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -37,14 +40,14 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
 
     Used where a result is read several times or holds answers of an outside
     service: the lineage ends at the written files, so a lost executor never
-    repeats the work before them. Without any folder the frame comes back as
-    it is, which is still right, only recomputed on each use.
+    repeats the work before them. Without any folder the frame is kept in
+    memory and on local disk, and lost parts are computed again.
     """
     spark = df.sparkSession
     if path is None:
         base = checkpoint_dir(spark)
         if base is None:
-            return df
+            return df.persist()
         path = f"{base.rstrip('/')}/registrum/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
@@ -60,3 +63,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def built_once(build: Callable) -> Callable:
+    """Build a column expression once per Spark context.
+
+    Expressions refer to columns by name and never change, and each of their
+    nodes costs a call into the JVM. Arguments must be plain values.
+    """
+    built: dict = {}
+
+    @wraps(build)
+    def cached(*args):
+        key = tuple(tuple(a) if isinstance(a, list) else a for a in args)
+        context = SparkContext._active_spark_context
+        if built.get("context") is not context:
+            built.clear()
+            built["context"] = context
+        if key not in built:
+            built[key] = build(*args)
+        return built[key]
+
+    return cached

@@ -63,22 +63,11 @@ def read_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tasks from a JSON array, or from annotated documents as JSON lines, told apart by the first character."""
     first = spark.read.text(path).where(~T.is_blank(F.col("value"))).limit(1).first()
     if first and first["value"].lstrip().startswith("["):
-        flat = TASK.removeprefix("struct<").removesuffix(">")
-        return spark.read.option("multiLine", True).schema(f"tasks array<struct<{flat}>>").schema(
-            spark.createDataFrame([], _task_schema()).schema
-        ).json(path)
+        fields = TASK.removeprefix("struct<").removesuffix(">")
+        return spark.read.option("multiLine", True).schema(fields).json(path)
     return tasks_of_documents(tables.read_documents(spark, path, schema))
 
 
-def _task_schema() -> str:
-    from registrum.schemas import LINE
-
-    return (
-        "task_id bigint, doc_idx bigint, section string, url string, line_idx int, line_num int, line_text string, "
-        f"context_before array<{LINE}>, context_after array<{LINE}>, llm {LABELS}"
-    )
-
-
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Exported sessions, one file per language: (lang, session columns)."""
     sessions = spark.read.option("multiLine", True).option("pathGlobFilter", "*_eval.json").schema(SESSION).json(path)
