@@ -179,7 +179,8 @@ def decode_response(raw: Column) -> Column:
     Code fences and thinking blocks go; the first ``[`` starts the array. A
     valid array is taken as it is, a cut-off one up to its last closed object.
     ``status`` is ``ok``, ``unparsed`` (nothing usable), or ``broken`` (valid
-    JSON of another shape, which fails the whole section).
+    JSON of another shape, which fails the whole section). No text at all, the
+    mark of a failed call, has no status.
     """
     space = r"(?U:[\s\x1c-\x1f])*"
     text = F.regexp_replace(raw, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -206,7 +207,8 @@ def decode_response(raw: Column) -> Column:
             items = F.coalesce(q["whole"], F.when(~q["other"], q["salvaged"]))
             objects = F.forall(items, lambda x: x.startswith("{"))
             status = (
-                F.when(start == 0, "unparsed")
+                F.when(body.isNull(), F.lit(None))
+                .when(start == 0, "unparsed")
                 .when(q["whole"].isNull() & q["other"], "broken")
                 .when(items.isNull(), "unparsed")
                 .when(~objects, "broken")

@@ -74,12 +74,12 @@ def truncate(text: Column, limit: int, suffix: str = "...") -> Column:
 def truncate_utf16(text: Column, limit: int, suffix: str = "…") -> Column:
     """As :func:`truncate`, measured in UTF-16 code units as a browser does.
 
-    A character beyond the basic plane counts twice. Only rows holding such a
-    character pay for the per-character measure.
+    A character beyond the basic plane counts twice and is not cut in half.
+    Only rows holding such a character pay for the second measure.
     """
     wide = text.rlike("[\\x{10000}-\\x{10FFFF}]")
     units = F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))
-    doubled = F.regexp_replace(text, "([\\x{10000}-\\x{10FFFF}])", "$1\u0000")
+    doubled = F.regexp_replace(text, "([\\x{10000}-\\x{10FFFF}])", "\u0000$1")
     cut = F.replace(F.substring(doubled, 1, limit), F.lit("\u0000"), F.lit(""))
     return (
         F.when(~wide, truncate(text, limit, suffix))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from registrum.functions import text as T
 from registrum.operators.lines import candidates
@@ -63,8 +64,8 @@ def read_tasks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tasks from a JSON array, or from annotated documents as JSON lines, told apart by the first character."""
     first = spark.read.text(path).where(~T.is_blank(F.col("value"))).limit(1).first()
     if first and first["value"].lstrip().startswith("["):
-        fields = TASK.removeprefix("struct<").removesuffix(">")
-        return spark.read.option("multiLine", True).schema(fields).json(path)
+        task = StructType.fromDDL(f"task {TASK}")["task"].dataType
+        return spark.read.option("multiLine", True).schema(task).json(path)
     return tasks_of_documents(tables.read_documents(spark, path, schema))
 
 
@@ -83,7 +84,7 @@ def session_tasks(sessions: DataFrame, cap: Column | None = None) -> DataFrame:
         F.transform(annotations, lambda a: a["llm_labels"]).alias("llm_labels"),
     )
     return sessions.select("lang", F.posexplode(fields).alias("task_pos", "t")).select(
-        "lang", "task_pos", F.col("t")["0"].alias("human_labels"), F.col("t")["1"].alias("llm_labels")
+        "lang", "task_pos", "t.human_labels", "t.llm_labels"
     )
 
 
