@@ -141,20 +141,32 @@ def run_lengths(array: Column) -> Column:
     )
 
 
-def dense_counts(array: Column, vocabulary: Column) -> Column:
-    """Counts of each vocabulary entry in ``array``, in the (sorted) vocabulary's order.
+def sum_per_value(entries: Column) -> Column:
+    """(value, n) entries with the counts of equal values added up, in value order."""
+    return map_runs(
+        F.array_sort(entries),
+        lambda e: e["value"],
+        lambda run: F.struct(
+            F.get(run, F.lit(0))["value"].alias("value"), total(F.transform(run, lambda e: e["n"]), "int").alias("n")
+        ),
+    )
+
+
+def align_counts(counts: Column, vocabulary: Column) -> Column:
+    """Counts of each vocabulary entry, in the (sorted) vocabulary's order.
 
-    One sort of both together: an entry's run starts with its vocabulary
-    marker, so values outside the vocabulary are runs without one.
+    ``counts`` holds (value, n) once per value. One sort of both together: an
+    entry's run starts with its vocabulary marker, so values outside the
+    vocabulary are runs without one.
     """
     marked = F.concat(
-        F.transform(vocabulary, lambda v: F.struct(v.alias("v"), F.lit(0).alias("m"))),
-        F.transform(array, lambda v: F.struct(v.alias("v"), F.lit(1).alias("m"))),
+        F.transform(vocabulary, lambda v: F.struct(v.alias("v"), F.lit(0).alias("m"), F.lit(0).alias("n"))),
+        F.transform(counts, lambda c: F.struct(c["value"].alias("v"), F.lit(1).alias("m"), c["n"].alias("n"))),
     )
     runs = map_runs(
         F.array_sort(marked),
         lambda t: t["v"],
-        lambda run: F.when(F.get(run, F.lit(0))["m"] == 0, F.size(run) - 1),
+        lambda run: F.when(F.get(run, F.lit(0))["m"] == 0, last(run)["n"]),
     )
     return F.filter(runs, lambda n: n.isNotNull())
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registrum.functions.annotation import CANNOT_RATE
-from registrum.functions.arrays import bind, dense_counts, moving_ttr, run_lengths, total
+from registrum.functions.arrays import align_counts, bind, moving_ttr, run_lengths, sum_per_value, total
 from registrum.schemas import FEATURE_META, STRUCTURAL_FEATURES
 from registrum.session import built_once, materialise
 
@@ -48,33 +48,52 @@ def _tag(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + "\t"), value)
 
 
-def token_tags(tokens: Column, missing_upos: str | None) -> Column:
-    """Every tag of every token: part of speech, relation, each morphological pair.
+def _present(tokens: Column, name: str) -> Column:
+    """Non-empty values of a token field."""
+    return F.filter(F.transform(tokens, lambda t: F.coalesce(t[name], F.lit(""))), lambda x: x != "")
 
-    Tokens without a part of speech count as ``missing_upos`` if it is given.
+
+def _morph_items(feats: Column) -> Column:
+    """``K=V`` items of a feature string; anything else is dropped."""
+    return F.filter(F.split(feats, "[|]"), lambda kv: F.instr(kv, "=") > 0)
+
+
+def tag_counts(tokens: Column, missing_upos: str) -> Column:
+    """(tag key, count) of every part of speech, relation and morphological pair of a segment.
+
+    Tokens without a part of speech count as ``missing_upos``. Feature strings
+    repeat, so equal ones are counted before they are taken apart.
     """
-    if missing_upos is None:
-        with_upos = F.filter(tokens, lambda t: F.coalesce(t["upos"], F.lit("")) != "")
-        upos = F.transform(with_upos, lambda t: _tag("upos", t["upos"]))
-    else:
-        upos = F.transform(
-            tokens,
-            lambda t: _tag(
-                "upos", F.when(F.coalesce(t["upos"], F.lit("")) == "", missing_upos).otherwise(t["upos"])
-            ),
+    upos = F.transform(
+        tokens, lambda t: F.when(F.coalesce(t["upos"], F.lit("")) == "", missing_upos).otherwise(t["upos"])
+    )
+
+    def keyed(kind: str, values: Column) -> Column:
+        return F.transform(
+            run_lengths(values), lambda r: F.struct(_tag(kind, r["value"]).alias("value"), r["n"].alias("n"))
         )
-    related = F.filter(tokens, lambda t: F.coalesce(t["deprel"], F.lit("")) != "")
-    deprel = F.transform(related, lambda t: _tag("deprel", t["deprel"]))
+
     feats = F.flatten(
         F.transform(
-            F.filter(tokens, lambda t: F.coalesce(t["feats"], F.lit("")) != ""),
-            lambda t: F.transform(
-                F.filter(F.split(t["feats"], "[|]"), lambda kv: F.instr(kv, "=") > 0),
-                lambda kv: _tag("feats", kv),
+            run_lengths(_present(tokens, "feats")),
+            lambda r: F.transform(
+                _morph_items(r["value"]), lambda kv: F.struct(_tag("feats", kv).alias("value"), r["n"].alias("n"))
             ),
         )
     )
-    return F.concat(upos, deprel, feats)
+    return sum_per_value(F.concat(keyed("upos", upos), keyed("deprel", _present(tokens, "deprel")), feats))
+
+
+def distinct_tags(tokens: Column) -> Column:
+    """Every tag key that occurs in the tokens."""
+
+    def keyed(kind: str, values: Column) -> Column:
+        return F.transform(F.array_distinct(values), lambda v: _tag(kind, v))
+
+    feats = F.flatten(F.transform(F.array_distinct(_present(tokens, "feats")), _morph_items))
+    return F.concat(
+        keyed("upos", _present(tokens, "upos")), keyed("deprel", _present(tokens, "deprel")), keyed("feats", feats)
+    )
 
 
 def all_tokens(sentences: Column) -> Column:
@@ -82,14 +101,13 @@ def all_tokens(sentences: Column) -> Column:
 
 
 @built_once
-def segment_tags(missing_upos: str | None) -> Column:
-    """Tags of a measured segment's tokens."""
-    return token_tags(F.col("tokens"), missing_upos)
+def _segment_counts() -> Column:
+    return tag_counts(F.col("tokens"), "X")
 
 
 @built_once
 def _distinct_tags() -> Column:
-    return F.array_distinct(token_tags(all_tokens(F.col("sentences")), None))
+    return distinct_tags(all_tokens(F.col("sentences")))
 
 
 def vocabulary_tags(segments: DataFrame, by: list[str] = []) -> DataFrame:
@@ -224,8 +242,7 @@ def structural_table(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 def rates_long(measured: DataFrame, keys: list[str]) -> DataFrame:
     """Long form: one row per segment and occurring tag with its rate per thousand content words."""
-    counts = run_lengths(segment_tags("X"))
-    return measured.select(*keys, "segment_idx", "n_tokens", F.inline(counts)).select(
+    return measured.select(*keys, "segment_idx", "n_tokens", F.inline(_segment_counts())).select(
         *keys,
         "segment_idx",
         F.substring_index("value", "\t", 1).alias("kind"),
@@ -246,7 +263,7 @@ def wide_features(measured: DataFrame, keys: list[str], vocabulary: list[str]) -
         "label",
         "n_tokens",
         "n_sents",
-        dense_counts(segment_tags("X"), literal).alias("_counts"),
+        align_counts(_segment_counts(), literal).alias("_counts"),
         F.struct(*[c.alias(n) for n, c in structural_means().items()]).alias("_means"),
     )
     columns = {
