@@ -53,20 +53,25 @@ def match_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def matched(left: DataFrame, right: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Documents both sides have: address, both annotations, failure flags, first side's text."""
+def matched(left: DataFrame, right: DataFrame, order: str = "doc_id", with_text: bool = False) -> DataFrame:
+    """Documents both sides have: address, both annotations, failure flags.
+
+    The first side's text comes along only ``with_text``: counting agreement
+    does not need it, and it is most of a document.
+    """
+    texts = [f"markdown_{s}" for s in SECTIONS] if with_text else []
 
     def slim(docs: DataFrame, *extra: str) -> DataFrame:
         failed = F.coalesce(F.col("classification_failed"), F.lit(False))
         return docs.select("u", order, F.col(PAIR).alias("ann"), failed.alias("failed"), *extra)
 
-    first = latest_by_url(slim(left, *[f"markdown_{s}" for s in SECTIONS]), order)
+    first = latest_by_url(slim(left, *texts), order)
     second = latest_by_url(slim(right), order)
     return first.select(
         "u",
         F.col("ann").alias("ann1"),
         F.col("failed").alias("failed1"),
-        *[f"markdown_{s}" for s in SECTIONS],
+        *texts,
     ).join(second.select("u", F.col("ann").alias("ann2"), F.col("failed").alias("failed2")), "u")
 
 
@@ -182,7 +187,7 @@ def _differing_lines(section: str, limit_chars: int) -> Column:
 
 
 def disagreement_lines(pairs: DataFrame, limit_chars: int = 500) -> DataFrame:
-    """One row per line with a disagreement: its text and the differing facets."""
+    """One row per line with a disagreement: its text and the differing facets. Needs pairs with text."""
     usable = pairs.where(~F.col("failed1") & ~F.col("failed2"))
     return usable.select("u", F.inline(F.concat(*[_differing_lines(s, limit_chars) for s in SECTIONS])))
 

@@ -711,6 +711,12 @@ _add(
     "centroid_intervals",
     f"WITH {SCORES} SELECT lang, label, count(*) AS n, {_INTERVAL} FROM scores GROUP BY lang, label HAVING count(*) >= 2",
 )
+_COLOURS = "'#e6194b', '#3cb44b', '#4363d8', '#f58231', '#911eb4', '#42d4f4', '#f032e6', '#9A6324', '#469990', '#800000'"
+_add(
+    "styled_centroids",
+    f"""WITH {SCORES}, m AS (SELECT label, round(avg(F1), 6) AS mean_F1 FROM scores GROUP BY label)
+ SELECT label, mean_F1, [{_COLOURS}][row_number() OVER (ORDER BY label)] AS colour FROM m""",
+)
 _add(
     "raw_register_means",
     f"""WITH {SCORES}, means AS (SELECT lang, label, count(*) AS n, avg(F1) AS mean, CASE WHEN count(*) > 1

@@ -326,8 +326,8 @@ def length_vs_registers(spark, sf):
 # --- Two annotators -----------------------------------------------------------
 
 
-def _matched(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.matched(S.annotated(spark, sf, 1), S.annotated(spark, sf, 2))
+def _matched(spark: SparkSession, sf: str, with_text: bool = False) -> DataFrame:
+    return compare.matched(S.annotated(spark, sf, 1), S.annotated(spark, sf, 2), with_text=with_text)
 
 
 @query
@@ -357,17 +357,17 @@ def _shown(rows: DataFrame) -> DataFrame:
 
 @query
 def disagreement_lines(spark, sf):
-    return _shown(compare.disagreement_lines(_matched(spark, sf)))
+    return _shown(compare.disagreement_lines(_matched(spark, sf, True)))
 
 
 @query
 def disagreement_examples(spark, sf):
-    return _shown(compare.examples(compare.disagreement_lines(_matched(spark, sf)), 20))
+    return _shown(compare.examples(compare.disagreement_lines(_matched(spark, sf, True)), 20))
 
 
 @query
 def random_disagreements(spark, sf):
-    return _shown(compare.examples(compare.disagreement_lines(_matched(spark, sf)), 20, seed=5))
+    return _shown(compare.examples(compare.disagreement_lines(_matched(spark, sf, True)), 20, seed=5))
 
 
 @query

@@ -53,11 +53,15 @@ def label(spark: SparkSession, input_path: str, output: str, annotator: Call, st
     """Annotate documents not yet in ``output`` and append them.
 
     The output carries document numbers; a run goes on with whatever is
-    missing, so a stopped run loses nothing and repeats nothing.
+    missing, so a stopped run loses nothing and repeats nothing. With
+    ``max_docs`` it takes the next so many documents after those done.
     """
     docs = tables.read_documents(spark, input_path, SIMPLIFIED_DOCUMENT).drop("path", "malformed")
     if _exists(spark, output):
-        docs = tables.remaining(docs, read_annotated(spark, output), "doc_idx")
+        done = read_annotated(spark, output)
+        if max_docs is not None:
+            start = start or tables.resume_start(done)
+        docs = tables.remaining(docs, done, "doc_idx")
     todo = tables.document_range(docs, start, max_docs)
     tables.write_documents(labelling.annotate(todo, annotator), output, mode="append")
 
@@ -81,13 +85,14 @@ def compare_files(spark: SparkSession, first: str, second: str, max_docs: int |
         compare.first_documents(read_annotated(spark, p), "doc_idx", max_docs) for p in (first, second)
     )
     pairs = compare.matched(left, right, "doc_idx")
+    texts = compare.matched(left, right, "doc_idx", with_text=True)
     counts = compare.cells(compare.compared_lines(pairs))
     return {
         "matches": compare.match_counts(left, right),
         "summary": compare.summary(pairs),
         "agreement": compare.facet_agreement(counts),
         "top_disagreements": compare.top_disagreements(counts),
-        "examples": compare.examples(compare.disagreement_lines(pairs), examples, seed),
+        "examples": compare.examples(compare.disagreement_lines(texts), examples, seed),
     }
 
 
@@ -117,10 +122,16 @@ def evaluate(spark: SparkSession, sessions_dir: str, output: str, truncate: bool
     return texts
 
 
-def map_registers(spark: SparkSession, input_path: str, output: str) -> None:
-    """Annotated documents to files of segments, one document per line in document order."""
+def map_registers(spark: SparkSession, input_path: str, output: str, export: str | None = None) -> None:
+    """Annotated documents to a table of segments keyed by document number.
+
+    ``export`` also writes bare JSON arrays, one document per line in document
+    order, for readers that go by position; only that needs a range shuffle.
+    """
     mapped = segments.map_segments(read_annotated(spark, input_path), ["doc_idx"])
-    tables.write_segments(mapped, output)
+    mapped.write.mode("errorifexists").parquet(output)
+    if export:
+        tables.write_segments(spark.read.parquet(output), export)
 
 
 def parse(spark: SparkSession, input_path: str | list[str], output: str, factory: Callable, files: list[str] | None = None) -> None:

@@ -36,11 +36,10 @@ def confirm(human: Column, llm: Column) -> Column:
 
 
 def tasks_of_documents(docs: DataFrame, doc_key: str = "doc_idx", size: int = 5, limit: int = 500) -> DataFrame:
-    """Every candidate line of annotated documents as a task.
+    """Every candidate line of annotated documents as a task, numbered within its document.
 
-    A task's number is its place in document, section and line order, so it is
-    the count of tasks before its document plus its place inside. Only one row
-    per document takes part in the running count.
+    (doc_idx, task_in_doc) identifies and orders the tasks; a running number
+    over all documents would need one global order.
     """
     rows = candidates(docs, [doc_key, "u"], size=size, limit=limit)
     place = F.row_number().over(

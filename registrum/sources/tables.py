@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from registrum.schemas import PARSED_SEGMENT, SEGMENT
 
 RAW_NAME = "shuffled.jsonl"
+# An offset row is a path and two numbers; this many are some hundred megabytes.
+MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str], name: str | None = None) -> DataFrame:
@@ -35,6 +37,9 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str | None = No
     offsets = splits.select(
         "path", "_split", (F.coalesce(before, F.lit(0)) - F.col("_base")).alias("_shift")
     )
+    # A split lies in one file and starts a partition or a file in it.
+    if len(rows.inputFiles()) + rows.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, ["path", "_split"]).select(
         "path", (F.col("_row") + F.col("_shift")).alias("line_idx"), "value"
     )

@@ -6,10 +6,6 @@ from pyspark.sql import functions as F
 from registrum.operators import compare, evaluation, reports
 from registrum.plans import standins as S
 
-# Counts of a published evaluation (rows: human, columns: model) and its printed figures.
-LABELS = ["cannot_rate", "transcribed", "written"]
-POOLED_MEDIUM = "POOLED"
-
 
 def cells(spark, table, facet="mode_medium", lang="xx"):
     rows = [(lang, facet, t, p, n) for (t, p), n in table.items() if n]
@@ -108,7 +104,7 @@ def test_compare_null_safe_and_last_wins(spark):
         schema,
     )
     assert tuple(compare.match_counts(left, right).first()) == (2, 0, 1)
-    pairs = compare.matched(left, right)
+    pairs = compare.matched(left, right, with_text=True)
     assert tuple(compare.summary(pairs).first()) == (2, 1, 0, 2)
     agreement = {r["field"]: (r["agree"], r["disagree"]) for r in compare.facet_agreement(compare.cells(compare.compared_lines(pairs))).collect()}
     assert agreement == {"mode_medium": (1, 1), "mode_turn": (2, 0), "field_activity": (2, 0), "tenor_formality": (2, 0)}

@@ -130,6 +130,8 @@ def test_stages_end_to_end(spark, tmp_path):
     ask = annotator.annotator_udf(annotator.rule_annotator)
     stages.label(spark, at("simplified") + "/folder=eng_Latn", at("annotated"), ask, max_docs=20)
     assert stages.read_annotated(spark, at("annotated")).count() == 20
+    stages.label(spark, at("simplified") + "/folder=eng_Latn", at("annotated"), ask, max_docs=5)
+    assert stages.read_annotated(spark, at("annotated")).count() == 25
     stages.label(spark, at("simplified") + "/folder=eng_Latn", at("annotated"), ask)
     annotated = stages.read_annotated(spark, at("annotated"))
     assert annotated.count() == 53 and annotated.select("doc_idx").distinct().count() == 53
@@ -143,7 +145,7 @@ def test_stages_end_to_end(spark, tmp_path):
     assert len(json.loads(text)) == 15
     assert stages.population(spark, at("annotated")).where("label = 'TOTAL'").count() == 1
 
-    stages.map_registers(spark, at("annotated"), at("mapped"))
+    stages.map_registers(spark, at("annotated"), at("segments"), at("mapped"))
     merged = tmp_path / "eng_Latn_annotated.jsonl"
     merged.write_text("".join(p.read_text() for p in sorted((tmp_path / "mapped").glob("part-*"))))
     assert len(merged.read_text().splitlines()) == 53
