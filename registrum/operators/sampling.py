@@ -20,6 +20,8 @@ from registrum.schemas import FACETS, LABELS, SECTIONS
 
 KEY = ["section", "line_idx"]
 MAX_BROADCAST_DRAW = 100_000
+# Spark cuts ranked groups before their shuffle up to this rank (its default setting).
+EARLY_CUT = 1000
 
 
 def draw_order(seed: int, doc_key: str = "doc_id") -> Column:
@@ -94,12 +96,18 @@ def stratified_sample(keys: DataFrame, n: int = 500, floor: int = 5, seed: int =
 
     No stratum can get more than ``n`` lines (or one, whichever is more), so
     every map task keeps its first ``n`` per stratum before the shuffle and a
-    dominant stratum never moves as a whole.
+    dominant stratum never moves as a whole. Draws too large for that early cut
+    are ranked within slices of the hash first, which splits a stratum over
+    many tasks.
     """
     keyed = keys.withColumn("stratum", A.stratum_key(F.col("ann"))).withColumn("draw", draw_order(seed, doc_key))
     strata = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
     plan = allocations(strata, n, floor, seed)
-    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("draw", doc_key, *KEY))
+    order = ["draw", doc_key, *KEY]
+    if n > EARLY_CUT:
+        slices = Window.partitionBy("stratum", F.substring("draw", 1, 3)).orderBy(*order)
+        keyed = keyed.withColumn("rank", F.row_number().over(slices)).where(F.col("rank") <= n).drop("rank")
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy(*order))
     firsts = keyed.withColumn("rank", rank).where(F.col("rank") <= max(n, 1))
     drawn = firsts.join(F.broadcast(plan), "stratum").where(F.col("rank") <= F.col("alloc"))
     shuffled = drawn.withColumn("shuffle", F.md5(F.concat(F.lit("order|"), F.col("draw"))))

@@ -55,3 +55,11 @@ def test_hot_stratum_is_cut_before_the_shuffle(spark, small):
     keys = lines.candidate_keys(S.annotated(spark, small), ["doc_id"])
     plan = sampling.stratified_sample(keys, n=50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_large_draws_take_the_same_lines(spark, small, monkeypatch):
+    keys = lines.candidate_keys(S.annotated(spark, small), ["doc_id"])
+    pick = lambda: {(r["task_id"], r["doc_id"], r["section"], r["line_idx"]) for r in sampling.stratified_sample(keys, n=200).collect()}
+    plain = pick()
+    monkeypatch.setattr(sampling, "EARLY_CUT", 10)
+    assert pick() == plain and len(plain) == 200
