@@ -31,7 +31,7 @@ def test_golden(spark):
     "body, line",
     [
         ('<hi rend="#b"><p>Big</p></hi>', "# Big"),
-        ('<hi rend="#b"><p>Big</p> tail</hi>', "Big"),
+        ('<p>in</p><hi rend="#b"><p>Big</p> tail</hi>', "in\n[2] Big"),
         ("<quote>a<p> b </p>c</quote>", "> abc"),
         ("<p>x<code> f(1) </code> y</p>", "xCODE: f(1) y"),
         ("<code>a\n  b</code>", "CODE: a b"),
@@ -42,7 +42,7 @@ def test_golden(spark):
     ],
 )
 def test_blocks(spark, body, line):
-    assert run(spark, f"<doc><main>{body}</main></doc>")[0]["markdown_main"] in (f"[1] {line}", "" if line == "Big" else None)
+    assert run(spark, f"<doc><main>{body}</main></doc>")[0]["markdown_main"] == f"[1] {line}"
 
 
 def test_skips(spark):
@@ -55,4 +55,4 @@ def test_skips(spark):
 
 def test_deep_nesting_is_skipped_not_fatal(spark):
     deep = "<doc><main><p>" + "<hi>" * 3000 + "x" + "</hi>" * 3000 + "</p></main></doc>"
-    assert run(spark, deep, DOC)[0]["skipped"] in (True, False)
+    assert [r["skipped"] for r in run(spark, deep, DOC)] == [True, False]
