@@ -153,7 +153,7 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == x
 
 
-def chunks(docs: DataFrame, folder: str) -> str:
+def chunks(docs: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> str:
     """Write the documents as chunks; returns the name of the bucketed table."""
     spark = docs.sparkSession
 
@@ -171,7 +171,7 @@ def chunks(docs: DataFrame, folder: str) -> str:
         for batch in rows:
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                if ids and size + len(raw) > CHUNK:
+                if ids and size + len(raw) > chunk_bytes:
                     yield out()
                     number, ids, parts, size = number + 1, [], [], 0
                 ids.append(doc)
@@ -220,7 +220,7 @@ def answered(sent: DataFrame, columns: int, answer) -> DataFrame:
                 where, values = names[where][order], values[order]
                 cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
                 for a, b in zip(cuts, [*cuts[1:], len(where)], strict=True):
-                    found.append((int(names[where[a]]), kind, packed(values[a:b])))
+                    found.append((int(where[a]), kind, packed(values[a:b])))
             if found:
                 chunk, kind, blob = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["chunk", "kind", "blob"])
@@ -347,11 +347,11 @@ def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every row."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    table = chunks(docs, folder)
+    table = chunks(docs, folder, chunk_bytes)
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = "part int, chunk long, blob binary"
     first = spark.table(table).mapInArrow(lambda rows: dealt(rows, parts, send_units), sent)
