@@ -122,9 +122,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.where("label IN (0, 1)").select("doc_id", "label")
     good, n = marks.agg(F.sum("label"), F.count("label")).first()
     prior = good / n if n else 0.5
-    # Ids of the sample are at most about MAX_POSITIVE rows; joining them back moves only what they need.
     chosen = sampled(marks.where("label = 1").select("doc_id"), MAX_POSITIVE, SEED)
-    positive = _matrix(featured(texts.join(chosen, "doc_id")))
+    # About MAX_POSITIVE ids, however many labels there are: small enough to broadcast.
+    positive = _matrix(featured(texts.join(F.broadcast(chosen), "doc_id")))
     unlabelled = _matrix(featured(sampled(texts, MAX_UNLABELLED, SEED + 1)))
     return fit(positive, unlabelled, prior)
 

@@ -10,8 +10,8 @@ rows get one of several parts, and every two parts meet in one group, so no grou
 larger than twice that and no pair is lost.
 
 Comparison. A group's fingerprints are stored as 64 bit planes (bit *j* of all rows).
-For a shift *d*, a plane combined with itself *d* rows later tells for 64 pairs at once
-whether bit *j* differs; carry-save counters (ones, twos, overflow) add that up over the
+For a shift *d*, a plane combined with itself *d* rows later tells for 64 pairs a word
+whether bit *j* differs, up to 64 shifts at a time; carry-save counters (ones, twos, overflow) add that up over the
 planes, and a block of pairs is left as soon as all its counters passed three. Linked
 rows are united within the task, which passes on at most one link per row.
 
@@ -42,8 +42,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bits of the five blocks; any RADIUS differing bits leave two blocks alike.
 BLOCKS = (13, 13, 13, 13, 12)
 GROUP = 2048
-#: Words of 64 pairs that are counted and abandoned together.
-STRIDE = 512
+#: Words of 64 rows whose pairs are counted and abandoned together.
+STRIDE = 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -83,41 +83,55 @@ class Sliced:
     """Bit planes of rows whose groups stand together, larger groups first."""
 
     def __init__(self, fp: np.ndarray, group: np.ndarray):
-        self.n, self.group = len(fp), group
-        words = -(-self.n // 64) + 1
-        bits = np.zeros((words * 64, 8), np.uint8)
-        bits[: self.n] = fp.view(np.uint8).reshape(-1, 8)
-        planes = np.unpackbits(bits, axis=1, bitorder="little").T  # 64 planes of one bit a row
+        self.n = len(fp)
+        words = -(-self.n // 64) + STRIDE + 2
+        self.group = np.full(words * 64 + 64, -1, np.int64)
+        self.group[: self.n] = group
+        rows = np.zeros((words * 64, 8), np.uint8)
+        rows[: self.n] = fp.view(np.uint8).reshape(-1, 8)
+        planes = np.unpackbits(rows, axis=1, bitorder="little").T  # 64 planes of one bit a row
         self.planes = np.ascontiguousarray(np.packbits(planes, axis=1, bitorder="little")).view("<u8")
 
-    def close(self, d: int, active: int) -> np.ndarray:
-        """Rows i below ``active`` that lie within the radius of row i + d of their group."""
-        pairs = active - d
-        same = np.zeros(-(-pairs // 64) * 64, bool)
-        same[:pairs] = self.group[:pairs] == self.group[d:active]
-        same = np.packbits(same, bitorder="little").view("<u8")
-        out = np.zeros_like(same)
+    def close(self, d: int, count: int, active: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows i and j = i + d .. i + d + count - 1 of one group within the radius, i + d below ``active``.
+
+        The shifts d .. d + count - 1 must not cross a multiple of 64.
+        """
         skip, shift = divmod(d, 64)
-        for at in range(0, len(same), STRIDE):
-            valid = same[at : at + STRIDE]
-            if not valid.any():
-                continue
-            n = len(valid)
-            ones, twos, over = np.zeros(n, np.uint64), np.zeros(n, np.uint64), ~valid
+        by = np.arange(shift, shift + count, dtype=np.uint64)[:, None]
+        found = []
+        for at in range(0, -(-(active - d) // 64), STRIDE):
+            low, width = at * 64, STRIDE * 64
+            width = min(width, -(-(active - d - low) // 64) * 64)
+            n = width // 64
+            later = np.lib.stride_tricks.sliding_window_view(self._groups(low + d, width + count - 1), width)
+            own = self._groups(low, width)
+            over = ~np.packbits(later == np.where(own < 0, -2, own), axis=1, bitorder="little").view("<u8")
+            ones, twos = np.zeros((count, n), np.uint64), np.zeros((count, n), np.uint64)
             for j in range(64):
                 plane = self.planes[j]
-                later = plane[at + skip : at + skip + n] >> np.uint64(shift)
-                if shift:
-                    later = later | plane[at + skip + 1 : at + skip + 1 + n] << np.uint64(64 - shift)
-                differ = plane[at : at + n] ^ later
+                if at + skip + n + 1 > len(plane):
+                    plane = np.append(plane, np.zeros(at + skip + n + 1 - len(plane), np.uint64))
+                first, second = plane[at + skip : at + skip + n], plane[at + skip + 1 : at + skip + 1 + n]
+                differ = (first >> by) | ((second << np.uint64(1)) << (np.uint64(63) - by))
+                differ ^= plane[at : at + n]
                 carry = ones & differ
                 ones ^= differ
                 over |= twos & carry
                 twos ^= carry
                 if j % 8 == 7 and (over == FULL).all():
                     break
-            out[at : at + n] = ~over
-        return np.flatnonzero(np.unpackbits(out.view(np.uint8), bitorder="little"))
+            else:
+                k, i = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+                found.append((i + low, i + low + d + k))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+    def _groups(self, low: int, width: int) -> np.ndarray:
+        """Group numbers of so many rows; beyond the last row none that any row has."""
+        part = self.group[low : low + width]
+        return part if len(part) == width else np.append(part, np.full(width - len(part), -1))
 
 
 def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +145,11 @@ def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     sliced = Sliced(np.ascontiguousarray(fp), group)
     names, row = np.unique(node, return_inverse=True)
     root = np.arange(len(names))
-    for d in range(1, int(size[0]) if len(size) else 0):
+    d, count = 1, 1
+    while len(size) and d < size[0]:
         active = int(ends[np.searchsorted(-size, -d, side="left") - 1])  # groups with more than d rows
-        at = sliced.close(d, active)
-        a, b = root[row[at]], root[row[at + d]]
+        i, j = sliced.close(d, count, active)
+        a, b = root[row[i]], root[row[j]]
         apart = a != b
         while apart.any():
             a, b = a[apart], b[apart]
@@ -143,6 +158,8 @@ def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> tuple[np.ndar
                 root = root[root]
             a, b = root[a], root[b]
             apart = a != b
+        d += count
+        count = min(d, 64)  # 1, 2-3, 4-7 .. 32-63, then 64 shifts at a time
     moved = root != np.arange(len(names))
     return names[moved], names[root[moved]]
 
