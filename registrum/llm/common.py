@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words everywhere here: space and \t \n \v \f \r.
 BLANKS = b" \t\n\x0b\x0c\r"
+COLUMNS_OF_DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -113,7 +113,7 @@ def kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     folder = shared_folder(spark)
     keys = written(line_keys(docs, min_chars), f"{folder}/keys")
     runs = LineRuns(spark, folder)
-    cuts = keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    cuts = keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
     for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
         part = keys if low is None else keys.where(F.col("doc_id") > low)
