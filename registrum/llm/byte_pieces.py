@@ -17,6 +17,10 @@ import numpy as np
 
 #: Memory of the worker for pieces: so many of at most so many characters.
 MAX_PIECES, MAX_LENGTH = 800_000, 40
+#: Marks that can end a piece after a word; none is part of a contraction or of a special token's string.
+MARKS = ".,;:!?)%&*$#"
+#: Below it, what is a letter or digit is so in all versions of Unicode.
+LATIN_END = "\u0250"
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _encoders: dict = {}
 
@@ -81,13 +85,22 @@ class PieceEncoder:
         if len(self.bare) + len(self.spaced) > MAX_PIECES:
             self.bare.clear()
             self.spaced.clear()
-        passing = []
-        for known, wanted, before in ((self.bare, bare, ""), (self.spaced, spaced, " ")):
-            missing = [p for p in wanted if p not in known]
+        bare, spaced = ({p for p in bare if p not in self.bare}, {p for p in spaced if p not in self.spaced})
+        # A letter or digit and a mark after it are never in one pre-token, so most new pieces are a word and known marks.
+        ended = [(known, p, core) for known, wanted in ((self.bare, bare), (self.spaced, spaced)) for p in wanted if (core := p.rstrip(MARKS)) != p and core and core[-1].isalnum() and core[-1] < LATIN_END]
+        tails = {p[len(core) :] for _, p, core in ended} - self.bare.keys()
+        passing = ([], [])
+        for known, wanted, before, long in ((self.bare, bare | tails, "", passing[0]), (self.spaced, spaced, " ", passing[1])):
+            whole = wanted - {p for k, p, _ in ended if k is known} | {core for k, _, core in ended if k is known and core not in known}
+            missing = list(whole)
             for p, ids in zip(missing, self._coded([before + p for p in missing]), strict=True):
                 known[p] = ids
-            passing.append([p for p in missing if len(p) > MAX_LENGTH])
-        return passing[0], passing[1]
+            long += [p for p in missing if len(p) > MAX_LENGTH]
+        for known, p, core in ended:
+            known[p] = known[core] + self.bare[p[len(core) :]]
+            if len(p) > MAX_LENGTH:
+                passing[known is self.spaced].append(p)
+        return [*dict.fromkeys(passing[0])], [*dict.fromkeys(passing[1])]
 
     def forget(self, bare: list[str], spaced: list[str]) -> None:
         for p in bare:
