@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import only, texts_of
+from registrum.llm.common import only, shared_folder, texts_of, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.3
 #: Bits of the filter on benchmark windows, whatever the benchmark's size; a fuller filter only passes more on.
@@ -92,23 +92,76 @@ def template(text: str) -> tuple[list[str], list[str]]:
     return words, slots
 
 
-def windows(words: list[str], slots: list[str], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of each window of ``size`` words with enough literals."""
-    n = len(words) - size + 1
+def window_hashes(codes: np.ndarray, literal: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of each window of ``size`` template words, given by their codes, with enough literals."""
+    n = len(codes) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    codes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))[ids]
-    literal = np.concatenate([[0], np.cumsum(np.fromiter((not s for s in slots), np.int64, len(slots)))])
+    count = np.concatenate([[0], np.cumsum(literal)])
     h = np.full(n, size, np.uint64)
     for i in range(size):
         h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= LITERALS)
+    at = np.flatnonzero(count[size:] - count[:-size] >= LITERALS)
     return h[at].view(np.int64), at
 
 
+def windows(words: list[str], slots: list[str], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    return window_hashes(codes, np.array([not s for s in slots], bool), size)
+
+
+class Words:
+    """What each word as written means for a template: remembered, as words recur."""
+
+    NAME_CODE = xxhash.xxh64_intdigest(NAME)
+    MOST = 500_000
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def look(self, raw: str) -> tuple[int, int]:
+        """(code of the plain word, flags): 1 ends a sentence, 2 nothing is left of it, 4 may be a name, 8 needs ``template``."""
+        core = EDGES.sub("", raw)
+        low = core.lower()
+        flags = raw.endswith(STOPS) | (not core) << 1
+        if core:
+            flags |= (core[0].isupper() and not core.isupper() and bool(NAME_WORDS.match(core))) << 2
+            flags |= bool(NUMBER.match(low) or NUMBER_UNIT.match(low)) << 3
+        return xxhash.xxh64_intdigest(low), flags
+
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(code, literal) of every template word; None if the text has numbers, which take ``template``."""
+        known = self.known
+        if len(known) > self.MOST:
+            known.clear()
+        raw = text.split()
+        found = [known.get(w) for w in raw]
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = known.setdefault(raw[i], self.look(raw[i]))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        code, flags = zip(*found, strict=True)
+        code, flags = np.array(code, np.uint64), np.array(flags, np.uint8)
+        if (flags & 8).any():
+            return None
+        empty = flags & 2 > 0
+        begins = np.append(True, flags[:-1] & 1 > 0)
+        lines = np.cumsum([len(x.split()) for x in text.split("\n")])[:-1]
+        begins[lines[lines < len(begins)]] = True
+        for i in np.flatnonzero(empty):  # a word of which nothing is left hands on that a sentence begins
+            if i + 1 < len(begins):
+                begins[i + 1] |= begins[i]
+        name = (flags & 4 > 0) & ~begins
+        code[name] = self.NAME_CODE
+        return code[~empty], ~name[~empty]
+
+
+_words: list[Words] = []
+
+
 def bits(h: np.ndarray) -> Iterator[np.ndarray]:
     u = h.view(np.uint64)
     for shift in (0, 21, 41):
@@ -155,18 +208,27 @@ def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> Data
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bits = shared.value
+        if not _words:
+            _words.append(Words())  # kept by the worker
+
+        def passing(h: np.ndarray) -> np.ndarray:
+            ok = np.ones(len(h), bool)
+            for b in bits(h):
+                ok &= (filter_bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+            return np.flatnonzero(ok)
+
         for batch in rows:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                words, slots = template(text)
+                quick = _words[0].codes(text)
+                if quick is not None and not any(len(passing(window_hashes(*quick, size)[0])) for size in sizes if size == WINDOW or size == len(quick[0])):
+                    continue
+                words, slots = template(text)  # the slots are only needed where a window passes
                 for size in sizes:
                     if size < WINDOW and size != len(words):
                         continue
                     h, at = windows(words, slots, size)
-                    ok = np.ones(len(h), bool)
-                    for b in bits(h):
-                        ok &= (filter_bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    out += [(doc, int(h[i]), int(at[i]), slots[at[i] : at[i] + size]) for i in np.flatnonzero(ok)]
+                    out += [(doc, int(h[i]), int(at[i]), slots[at[i] : at[i] + size]) for i in passing(h)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "h", "at", "slots"])
 
@@ -176,7 +238,7 @@ def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> Data
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (consistent ones), cover, n_changed (slots with another value) of every item in a document."""
-    items = item_windows(benchmark)
+    items = written(item_windows(benchmark), f"{shared_folder(docs.sparkSession)}/items")
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, cover double, n_changed long")
@@ -184,6 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item = items.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
     pairs = hits.join(item, "h").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n", "slots", "item_slots").dropDuplicates(["doc_id", "item_id", "offset", "item_at", "slots"])
+    pairs = written(pairs, f"{shared_folder(docs.sparkSession)}/pairs")  # read three times below
     # One placement of an item in a document has at most as many windows as the item, so a placement is a small group.
     place = ["doc_id", "item_id", "offset"]
     slot = pairs.select(*place, "item_at", F.posexplode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("is"))).alias("i", "v"))

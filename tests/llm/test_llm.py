@@ -392,3 +392,16 @@ def test_decontamination_finds_planted(spark, small):
     whole = {(r.doc_id, i) for r in docs.collect() for i, t in bench.items() if t in squash(r.text)}
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert whole and whole <= got
+
+
+def test_quick_codes_are_the_template(rows):
+    looked = decontaminate.Words()
+    texts = [*(t for _, t in rows), *(t or "" for _, t in ODD), "Then Paris.\nThen -- Paris and (Rome) ran! Paris", "... A Bc. -- Dd Ee\n\n Ff Gg", "NATO and Nato met Mr. Smith"]
+    quick = 0
+    for text in texts:
+        if (got := looked.codes(text)) is not None:
+            words_, slots = decontaminate.template(text)
+            assert got[0].tolist() == [xxhash.xxh64_intdigest(w) for w in words_]
+            assert got[1].tolist() == [not s for s in slots]
+            quick += 1
+    assert quick > len(texts) / 2
