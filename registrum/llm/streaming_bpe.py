@@ -32,6 +32,7 @@ import heapq
 import json
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import texts_of
 
-MAX_WORDS, MAX_WORD = 600_000, 64
+MAX_WORDS, MAX_WORD = 400_000, 64
 WORD_END = "</w>"
+NO_PAIR = (1 << 60, -1)
 #: Below it, all characters are in normal form and their properties the same in all versions of Unicode.
 LATIN_END = "\u0250"
 #: Fixed values, from the tokenizer's file: its pre-token pattern.
@@ -105,6 +107,10 @@ class Bpe:
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte_of = {x: i for i, x in enumerate(letters)}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, list[int]] = {}
+        #: Bytes that each token spells, the space of a word end included.
+        self.spelt = {i: bytes(self.byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END) for t, i in vocab.items()}
+        self.spelt |= {i: t.encode() for t, i in self.added.items()}
 
     # ---- encoding
 
@@ -113,19 +119,17 @@ class Bpe:
         pairs = self.pairs
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min((pairs[p] for p in zip(ids, ids[1:], strict=False) if p in pairs), default=None)
-            if best is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and pairs.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        none, ids = NO_PAIR, list(ids)
+        get = pairs.get
+        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) is not none:
+            i = ranks.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -180,8 +184,11 @@ class Bpe:
     def _plain(self, piece: str) -> list[int]:
         out: list[int] = []
         for raw in self._pre_tokens(piece):
-            if len(raw) <= 2 * self.lookahead:
-                out += self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]])
+            if (ids := self.words.get(raw)) is not None:
+                out += ids
+            elif len(raw) <= MAX_WORD:
+                self.words[raw] = ids = self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]])
+                out += ids
             else:
                 out += self.stream(raw[i : i + 4096] for i in range(0, len(raw), 4096))
         return out
@@ -196,8 +203,9 @@ class Bpe:
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
-        if len(known) > MAX_WORDS:
+        if len(known) > MAX_WORDS or len(self.words) > MAX_WORDS:
             known.clear()
+            self.words.clear()
         for piece in SPACE.split(text) if SEPARATORS.search(text) else text.split():
             ids = known.get(piece)
             if ids is None:
@@ -216,16 +224,9 @@ class Bpe:
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Text piece by piece: word ends become spaces, an unfinished character waits for its bytes."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        added = {i: t for t, i in self.added.items()}
-        for i in ids:
-            if i in added:
-                yield state.decode(b"", final=True) + added[i]
-                state.reset()
-                continue
-            t = self.token[i]
-            ends = t.endswith(WORD_END)
-            yield state.decode(bytes(self.byte_of[c] for c in t.removesuffix(WORD_END))) + (" " if ends else "")
+        state, spelt, ids = codecs.getincrementaldecoder("utf-8")("replace"), self.spelt, iter(ids)
+        while part := [spelt[i] for i in islice(ids, 4096)]:
+            yield state.decode(b"".join(part))
         yield state.decode(b"", final=True)
 
 
