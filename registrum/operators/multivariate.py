@@ -167,8 +167,9 @@ def bartlett(spark: SparkSession, m: Moments) -> dict[str, float]:
     p = len(m.columns)
     chi2 = -(m.n - 1 - (2 * p + 5) / 6) * np.linalg.slogdet(m.corr)[1]
     df = p * (p - 1) / 2
-    law = spark._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution(float(df))
-    return {"chi2": float(chi2), "df": df, "p_value": 1.0 - law.cumulativeProbability(float(chi2))}
+    # The upper tail itself: one less the distribution function is 0 for any real sample.
+    tail = spark._jvm.org.apache.commons.math3.special.Gamma.regularizedGammaQ(float(df) / 2, float(chi2) / 2)
+    return {"chi2": float(chi2), "df": df, "p_value": tail}
 
 
 def kmo(corr: np.ndarray) -> tuple[np.ndarray, float]:

@@ -2,8 +2,7 @@
 
 The draw is by a seeded hash of the line's key: the same on every run and every
 partitioning. Drawing works on keys alone; text and context are fetched for the
-drawn lines afterwards. A draw has ``n`` rows, a number the caller names, so it
-is small enough to send to every task.
+drawn lines afterwards.
 """
 
 from __future__ import annotations
@@ -19,9 +18,8 @@ from registrum.operators.lines import candidate_keys, candidates
 from registrum.schemas import FACETS, LABELS, SECTIONS
 
 KEY = ["section", "line_idx"]
-MAX_BROADCAST_DRAW = 100_000
-# Spark cuts ranked groups before their shuffle up to this rank (its default setting).
-EARLY_CUT = 1000
+# Leading hex digits of the draw order by which lines are counted before any is moved.
+DIGITS = 4
 
 
 def draw_order(seed: int, doc_key: str = "doc_id") -> Column:
@@ -30,9 +28,25 @@ def draw_order(seed: int, doc_key: str = "doc_id") -> Column:
     return F.md5(place)
 
 
+def first_drawn(keyed: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """Rows that can be among the first ``n`` of their group in draw order, at any ``n``.
+
+    Rows are counted per group and leading digits of the hash (a partial aggregate), a
+    running sum finds the digits at which ``n`` is reached, and rows beyond them stay where
+    they are. So a group passes on ``n`` rows and at most one more slice of the hash.
+    """
+    slice_ = F.substring("draw", 1, DIGITS)
+    counted = keyed.groupBy(*by, slice_.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_n").over(order.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = counted.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < n).select(*by, "_slice")
+    return keyed.withColumn("_slice", slice_).join(wanted, [*by, "_slice"], "left_semi").drop("_slice")
+
+
 def simple_sample(keys: DataFrame, n: int = 500, seed: int = 42, doc_key: str = "doc_id") -> DataFrame:
     """``n`` lines without replacement (all when fewer), numbered in draw order."""
-    drawn = keys.withColumn("draw", draw_order(seed, doc_key)).orderBy("draw", doc_key, *KEY).limit(n)
+    keyed = first_drawn(keys.withColumn("draw", draw_order(seed, doc_key)), n, [])
+    drawn = keyed.orderBy("draw", doc_key, *KEY).limit(n)
     return _number(drawn, ["draw", doc_key, *KEY])
 
 
@@ -94,22 +108,16 @@ def stratified_sample(keys: DataFrame, n: int = 500, floor: int = 5, seed: int =
                       doc_key: str = "doc_id") -> DataFrame:
     """Draw with a guaranteed floor per stratum and proportional shares above it.
 
-    No stratum can get more than ``n`` lines (or one, whichever is more), so
-    every map task keeps its first ``n`` per stratum before the shuffle and a
-    dominant stratum never moves as a whole. Draws too large for that early cut
-    are ranked within slices of the hash first, which splits a stratum over
-    many tasks.
+    No stratum can get more than ``n`` lines (or one, whichever is more), so only
+    lines that can be among a stratum's first ``n`` are moved and ranked.
     """
     keyed = keys.withColumn("stratum", A.stratum_key(F.col("ann"))).withColumn("draw", draw_order(seed, doc_key))
     strata = keyed.groupBy("stratum").agg(F.count(F.lit(1)).alias("size"))
     plan = allocations(strata, n, floor, seed)
     order = ["draw", doc_key, *KEY]
-    if n > EARLY_CUT:
-        slices = Window.partitionBy("stratum", F.substring("draw", 1, 3)).orderBy(*order)
-        keyed = keyed.withColumn("rank", F.row_number().over(slices)).where(F.col("rank") <= n).drop("rank")
     rank = F.row_number().over(Window.partitionBy("stratum").orderBy(*order))
-    firsts = keyed.withColumn("rank", rank).where(F.col("rank") <= max(n, 1))
-    drawn = firsts.join(F.broadcast(plan), "stratum").where(F.col("rank") <= F.col("alloc"))
+    firsts = first_drawn(keyed, max(n, 1), ["stratum"]).withColumn("rank", rank).where(F.col("rank") <= max(n, 1))
+    drawn = firsts.join(plan, "stratum").where(F.col("rank") <= F.col("alloc"))
     shuffled = drawn.withColumn("shuffle", F.md5(F.concat(F.lit("order|"), F.col("draw"))))
     return _number(shuffled.drop("size", "alloc", "rank"), ["shuffle", doc_key, *KEY]).drop("shuffle")
 
@@ -121,14 +129,13 @@ def sample_tasks(docs: DataFrame, drawn: DataFrame, n: int, doc_key: str = "doc_
     Only documents with a drawn line are expanded.
     """
     keys = drawn.select(doc_key, *KEY, "task_id")
-    if n <= MAX_BROADCAST_DRAW:
-        keys = F.broadcast(keys)
+    number = ["doc_idx"] if doc_key != "doc_idx" and "doc_idx" in docs.columns else []
     hit = docs.join(keys.select(doc_key).distinct(), doc_key, "left_semi")
-    rows = candidates(hit, [doc_key, "u"], sections, context, limit_chars)
+    rows = candidates(hit, [doc_key, *number, "u"], sections, context, limit_chars)
     labels = F.when(F.col("ann").isNotNull(), F.struct(*[F.col("ann")[f].alias(f) for f in FACETS]).cast(LABELS))
     return rows.join(keys, [doc_key, *KEY]).select(
         "task_id",
-        F.col(doc_key).alias("doc_idx"),
+        F.col(number[0] if number else doc_key).alias("doc_idx"),
         "section",
         F.coalesce("u", F.lit("")).alias("url"),
         "line_idx",

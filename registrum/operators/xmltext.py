@@ -158,12 +158,16 @@ def _shape(xml: str | None) -> dict:
         simplified = _rewrite(ElementTree.fromstring(xml))
         while "  " in simplified:
             simplified = simplified.replace("  ", " ")
-        if simplified.startswith("<doc"):
-            root = ElementTree.fromstring(simplified)
-            out.update({s: _blocks(root.find(s)) for s in ("main", "comments")})
         out["xml"] = simplified
     except Exception:
-        return {"xml": None, "main": None, "comments": None}
+        return out
+    # What stood around the document may be left as blanks, or as text, which no longer parses.
+    try:
+        root = ElementTree.fromstring(simplified)
+    except ElementTree.ParseError:
+        return out
+    if root.tag == "doc":
+        out.update({s: _blocks(root.find(s)) for s in ("main", "comments")})
     return out
 
 

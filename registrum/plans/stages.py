@@ -28,6 +28,8 @@ from registrum.sources import parser as parsers
 from registrum.sources import sessions, tables
 
 Call = Callable[..., Column]
+#: What names a document over all files of a stage: where it came from and its line there.
+DOC_ID = "doc_id"
 SIMPLIFIED_COLUMNS = ["xml_simplified", "markdown_main", "markdown_comments"]
 
 
@@ -36,6 +38,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _simplified(spark: SparkSession, path: str) -> DataFrame:
+    """Simplified documents with their name; line numbers alone repeat from file to file."""
+    docs = tables.read_documents(spark, path, SIMPLIFIED_DOCUMENT)
+    return docs.withColumn(DOC_ID, F.concat_ws("#", "path", "doc_idx")).drop("path", "malformed")
+
+
 def simplify(spark: SparkSession, base: str, output: str, name: str = tables.RAW_NAME) -> None:
     """Raw documents below ``base`` to simplified ones, one output partition per source folder.
 
@@ -52,35 +60,34 @@ def label(spark: SparkSession, input_path: str, output: str, annotator: Call, st
           max_docs: int | None = None) -> None:
     """Annotate documents not yet in ``output`` and append them.
 
-    The output carries document numbers; a run goes on with whatever is
-    missing, so a stopped run loses nothing and repeats nothing. With
+    The output carries each document's name (file and line), so ``input_path`` may hold
+    any number of files, also ones added later; a run goes on with whatever is missing, so a stopped run loses nothing and repeats nothing. With
     ``max_docs`` it takes the next so many documents after those done.
     """
-    docs = tables.read_documents(spark, input_path, SIMPLIFIED_DOCUMENT).drop("path", "malformed")
+    docs = _simplified(spark, input_path)
     if _exists(spark, output):
         done = read_annotated(spark, output)
         if max_docs is not None:
             start = start or tables.resume_start(done)
-        docs = tables.remaining(docs, done, "doc_idx")
+        docs = tables.remaining(docs, done, DOC_ID)
     todo = tables.document_range(docs, start, max_docs)
     tables.write_documents(labelling.annotate(todo, annotator), output, mode="append")
 
 
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
-    """Output of :func:`label`, which numbers its documents."""
-    return spark.read.schema(f"doc_idx bigint, {ANNOTATED_DOCUMENT}").json(path)
+    """Output of :func:`label`, which names its documents."""
+    return spark.read.schema(f"{DOC_ID} string, doc_idx bigint, {ANNOTATED_DOCUMENT}").json(path)
 
 
 def retry(spark: SparkSession, input_path: str, output: str, annotator: Call) -> None:
     """Annotate failed documents of ``output`` again and swap the table."""
-    inputs = tables.read_documents(spark, input_path, SIMPLIFIED_DOCUMENT).drop("path", "malformed")
-    merged = labelling.retry(inputs, read_annotated(spark, output), annotator, "doc_idx")
+    merged = labelling.retry(_simplified(spark, input_path), read_annotated(spark, output), annotator, DOC_ID)
     tables.replace_table(merged, output)
 
 
-def compare_files(spark: SparkSession, first: str, second: str, max_docs: int | None = 5000, examples: int = 20,
+def compare_files(spark: SparkSession, first: str, second: str, max_docs: int | None = None, examples: int = 20,
                   seed: int | None = None) -> dict[str, DataFrame]:
-    """Agreement of two annotated tables."""
+    """Agreement of two annotated tables; ``max_docs`` cuts each at a document number, by default nothing is cut."""
     left, right = (
         compare.first_documents(read_annotated(spark, p), "doc_idx", max_docs) for p in (first, second)
     )
@@ -100,7 +107,7 @@ def sample(spark: SparkSession, input_path: str, output: str, n: int = 500, seed
            floor: int = 5, sections: list[str] = SECTIONS) -> None:
     """Draw lines for human labelling and write them as one JSON array."""
     docs = read_annotated(spark, input_path)
-    tasks = sampling.sample_documents(docs, n, seed, stratified, floor, sections, "doc_idx")
+    tasks = sampling.sample_documents(docs, n, seed, stratified, floor, sections, DOC_ID)
     tables.write_task_array(tasks, output)
 
 
@@ -108,13 +115,17 @@ def population(spark: SparkSession, input_path: str, sections: list[str] = SECTI
     """Label distribution of all candidate lines."""
     from registrum.functions.annotation import label_key
 
-    keys = lines.candidate_keys(read_annotated(spark, input_path), ["doc_idx"], sections)
+    keys = lines.candidate_keys(read_annotated(spark, input_path), [DOC_ID], sections)
     return lines.label_distribution(keys, label_key(F.col("ann")))
 
 
-def evaluate(spark: SparkSession, sessions_dir: str, output: str, truncate: bool = False) -> dict[str, str]:
-    """Score exported sessions, capped per language, and write every report."""
-    tasks = sessions.session_tasks(sessions.read_sessions(spark, sessions_dir), N.task_cap(F.col("lang")))
+def evaluate(spark: SparkSession, sessions_dir: str, output: str, truncate: bool = False, caps: Column | None = None) -> dict[str, str]:
+    """Score exported sessions and write every report.
+
+    ``caps`` scores only the first so many tasks of each session;
+    ``names.task_cap(F.col("lang"))`` gives the numbers of the published evaluation.
+    """
+    tasks = sessions.session_tasks(sessions.read_sessions(spark, sessions_dir), caps)
     cells = materialise(evaluation.confusion_cells(tasks))
     texts = reports.all_reports(cells, truncate)
     for name, text in texts.items():

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from registrum.schemas import PARSED_SEGMENT, SEGMENT
 
 RAW_NAME = "shuffled.jsonl"
-# An offset row is a path and two numbers; this many are some hundred megabytes.
-MAX_BROADCAST_SPLITS = 1_000_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str], name: str | None = None) -> DataFrame:
@@ -37,9 +35,6 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str | None = No
     offsets = splits.select(
         "path", "_split", (F.coalesce(before, F.lit(0)) - F.col("_base")).alias("_shift")
     )
-    # A split lies in one file and starts a partition or a file in it.
-    if len(rows.inputFiles()) + rows.rdd.getNumPartitions() <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     return rows.join(offsets, ["path", "_split"]).select(
         "path", (F.col("_row") + F.col("_shift")).alias("line_idx"), "value"
     )
@@ -169,18 +164,23 @@ def assert_one_to_one(inputs: DataFrame, outputs: DataFrame, key: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and swap; a reader sees the old or the new table.
+    """Write beside ``path`` and swap.
 
-    A table cannot be overwritten while it is read, and ``df`` may read it.
+    A table cannot be overwritten while it is read, and ``df`` may read it. The swap is
+    two renames: a reader between them finds no table, and if the second fails the old
+    table is put back. Leftovers of a run that was cut off are replaced.
     """
     spark = df.sparkSession
-    write_documents(df, f"{path}.new")
+    write_documents(df, f"{path}.new", mode="overwrite")
     hadoop = spark._jvm.org.apache.hadoop.fs
     new, old, target = (hadoop.Path(p) for p in (f"{path}.new", f"{path}.old", path))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(old, True)  # of an earlier run; the table itself is there
     if fs.exists(target) and not fs.rename(target, old):
         raise OSError(f"cannot move {path}")
     if not fs.rename(new, target):
+        fs.rename(old, target)
         raise OSError(f"cannot move {path}.new")
     fs.delete(old, True)
 

@@ -61,5 +61,5 @@ def test_large_draws_take_the_same_lines(spark, small, monkeypatch):
     keys = lines.candidate_keys(S.annotated(spark, small), ["doc_id"])
     pick = lambda: {(r["task_id"], r["doc_id"], r["section"], r["line_idx"]) for r in sampling.stratified_sample(keys, n=200).collect()}
     plain = pick()
-    monkeypatch.setattr(sampling, "EARLY_CUT", 10)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
     assert pick() == plain and len(plain) == 200

@@ -88,7 +88,7 @@ def test_sessions_round_trip(spark, tmp_path):
     read = sessions.read_sessions(spark, str(tmp_path))
     counted = sessions.session_tasks(read, stages.N.task_cap(F.col("lang"))).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in counted} == {"swe_Latn": 100, "fin_Latn": 130}
-    texts = stages.evaluate(spark, str(tmp_path), str(tmp_path / "out"), truncate=True)
+    texts = stages.evaluate(spark, str(tmp_path), str(tmp_path / "out"), truncate=True, caps=stages.N.task_cap(F.col("lang")))
     assert "n=100, accuracy=0.660" in texts["swe_Latn"] and "POOLED ACROSS LANGUAGES (2)" in texts["pooled"]
 
 
@@ -182,3 +182,28 @@ def test_streams(spark, tmp_path):
     feed(1)
     done = spark.read.schema(stages.ANNOTATED_DOCUMENT).json(at("labelled"))
     assert sorted(int(r["u"]) for r in done.collect()) == list(range(10))
+
+
+def test_documents_of_several_files_keep_their_own_labels(spark, tmp_path):
+    """Two folders of two files each, labelled in three runs, then retried: each document once, with its own text."""
+    for folder in "ab":
+        for part in (0, 1):
+            at = tmp_path / "simp" / f"folder={folder}"
+            at.mkdir(parents=True, exist_ok=True)
+            rows = [{"u": f"{folder}{part}{i}", "xml": "x", "xml_simplified": "x", "markdown_main": f"[1] text of {folder}{part}{i} stands here", "markdown_comments": ""} for i in range(3)]
+            (at / f"part-{part}.txt").write_text("\n".join(json.dumps(r) for r in rows))
+    ask, out = annotator.annotator_udf(annotator.rule_annotator), str(tmp_path / "annotated")
+    stages.label(spark, str(tmp_path / "simp" / "folder=a"), out, ask)
+    assert stages.read_annotated(spark, out).count() == 6
+    for _ in range(2):
+        stages.label(spark, str(tmp_path / "simp"), out, ask)
+    rows = stages.read_annotated(spark, out).collect()
+    assert len(rows) == 12 and len({r["doc_id"] for r in rows}) == 12 and len({r["u"] for r in rows}) == 12
+    for path in (tmp_path / "annotated").glob("part-*"):  # take the labels of one document per folder away
+        path.write_text("\n".join(json.dumps({**r, "llm_register_annotation": {"main": [], "comments": []}} if r["u"] in ("a00", "b00") else r) for r in map(json.loads, path.read_text().splitlines())))
+        for crc in (tmp_path / "annotated").glob(".*.crc"):
+            crc.unlink()
+    stages.retry(spark, str(tmp_path / "simp"), out, ask)
+    rows = stages.read_annotated(spark, out).collect()
+    assert len(rows) == 12 and {r["u"] for r in rows} == {f"{f}{p}{i}" for f in "ab" for p in (0, 1) for i in range(3)}
+    assert all(r["u"] in r["markdown_main"] and len(r["llm_register_annotation"]["main"]) == 1 for r in rows)

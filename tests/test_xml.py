@@ -56,3 +56,13 @@ def test_skips(spark):
 def test_deep_nesting_is_skipped_not_fatal(spark):
     deep = "<doc><main><p>" + "<hi>" * 3000 + "x" + "</hi>" * 3000 + "</p></main></doc>"
     assert [r["skipped"] for r in run(spark, deep, DOC)] == [True, False]
+
+
+def test_what_stands_around_a_document():
+    from registrum.operators.xmltext import _shape
+
+    body = "<doc><main><p>hello</p></main></doc>"
+    for text in (f"<TEI>\n{body}\n</TEI>", f"<TEI>{body}</TEI>", body, f"\n{body}"):
+        assert _shape(text)["main"], text
+    assert _shape("<TEI><p>hello</p></TEI>")["main"] is None
+    assert _shape("<doc")["xml"] is None
