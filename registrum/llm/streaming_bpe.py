@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import texts_of
 
-MAX_WORDS, MAX_WORD = 400_000, 64
+MAX_WORDS, MAX_WORD = 600_000, 64
 WORD_END = "</w>"
 NO_PAIR = (1 << 60, -1)
 #: Below it, all characters are in normal form and their properties the same in all versions of Unicode.
@@ -106,8 +106,9 @@ class Bpe:
         self.lookahead = lookahead(steps, size)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.byte_of = {x: i for i, x in enumerate(letters)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[bytes, list[int]] = {}
+        # Remembered ids, as the bytes of 32-bit numbers: of pieces as written, of pre-tokens.
+        self.known: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         #: Bytes that each token spells, the space of a word end included.
         self.spelt = {i: bytes(self.byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END) for t, i in vocab.items()}
         self.spelt |= {i: t.encode() for t, i in self.added.items()}
@@ -171,27 +172,24 @@ class Bpe:
         if held:
             yield from self.merge([*[self.inner[b] for b in held[:-1]], self.final[held[-1]]])
 
-    def word(self, piece: str) -> tuple[int, ...]:
-        """Tokens of a piece without white space."""
-        out: list[int] = []
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece without white space."""
+        out: list[bytes] = []
         at = 0
         for m in self.special.finditer(piece) if self.special else ():
-            out += self._plain(piece[at : m.start()])
-            out.append(self.added[m[0]])
+            out += [*self._plain(piece[at : m.start()]), _ids([self.added[m[0]]])]
             at = m.end()
-        return (*out, *self._plain(piece[at:]))
+        return b"".join([*out, *self._plain(piece[at:])])
 
-    def _plain(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def _plain(self, piece: str) -> Iterator[bytes]:
         for raw in self._pre_tokens(piece):
             if (ids := self.words.get(raw)) is not None:
-                out += ids
+                yield ids
             elif len(raw) <= MAX_WORD:
-                self.words[raw] = ids = self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]])
-                out += ids
+                self.words[raw] = ids = _ids(self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]]))
+                yield ids
             else:
-                out += self.stream(raw[i : i + 4096] for i in range(0, len(raw), 4096))
-        return out
+                yield _ids(list(self.stream(raw[i : i + 4096] for i in range(0, len(raw), 4096))))
 
     def _pre_tokens(self, piece: str) -> Iterator[bytes]:
         if piece and max(piece) < LATIN_END:  # is in NFC as it stands
@@ -201,19 +199,25 @@ class Bpe:
         found = self.library.pre_tokenizer.pre_tokenize_str(plain)
         return (bytes(map(self.byte_of.__getitem__, pre)) for pre, _ in found)
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text, as the bytes of 32-bit numbers."""
+        known = self.known
         if len(known) > MAX_WORDS or len(self.words) > MAX_WORDS:
             known.clear()
             self.words.clear()
-        for piece in SPACE.split(text) if SEPARATORS.search(text) else text.split():
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.word(piece)
-                if len(piece) <= MAX_WORD:
-                    known[piece] = ids
-            out += ids
-        return out
+        pieces = SPACE.split(text) if SEPARATORS.search(text) else text.split()
+        found = [*map(known.get, pieces)]
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    found[i] = ids = self.word(piece)
+                    if len(piece) <= MAX_WORD:
+                        known[piece] = ids
+        return b"".join(found)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
     # ---- decoding
 
@@ -230,6 +234,10 @@ class Bpe:
         yield state.decode(b"", final=True)
 
 
+def _ids(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 @cache
 def bpe(path: str) -> Bpe:
     """The worker's tokenizer."""
@@ -244,7 +252,7 @@ def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in rows:
-            ids = [np.array(model.encode(t), np.int32) for t in texts_of(batch.column("_text"))]
+            ids = [np.frombuffer(model.encode_bytes(t), np.int32) for t in texts_of(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
 
     return frame.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]], "ids array<int>"]))
