@@ -44,7 +44,9 @@ from registrum.llm.common import texts_of
 
 MAX_WORDS, MAX_WORD = 600_000, 64
 WORD_END = "</w>"
-NO_PAIR = (1 << 60, -1)
+#: Bits of an id; a pair's ids, and a merge's rank and product, are packed into one number.
+BITS = 20
+NO_PAIR = 1 << 60
 #: Below it, all characters are in normal form and their properties the same in all versions of Unicode.
 LATIN_END = "\u0250"
 #: Fixed values, from the tokenizer's file: its pre-token pattern.
@@ -102,6 +104,7 @@ class Bpe:
             left, right, product = vocab[a], vocab[b], vocab[a + b]
             self.pairs[left, right] = rank, product
             steps.append((left, right, product))
+        self.codes = {a << BITS | b: rank << BITS | product for (a, b), (rank, product) in self.pairs.items()}
         self.size = size
         self.lookahead = lookahead(steps, size)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
@@ -117,20 +120,18 @@ class Bpe:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges by rank, leftmost first."""
-        pairs = self.pairs
         if len(ids) > 48:
             return self._merge_long(ids)
-        none, ids = NO_PAIR, list(ids)
-        get = pairs.get
-        ranks = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) is not none:
+        get, none, ids = self.codes.get, NO_PAIR, list(ids)
+        ranks = [get(a << BITS | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
-            ids[i] = best[1]
+            ids[i] = product = best & (1 << BITS) - 1
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = get(ids[i - 1] << BITS | product, none)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = get(product << BITS | ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
