@@ -78,4 +78,48 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+            FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), common AS (
+            SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), judged AS (
+            SELECT keyed.*, coalesce(owner <> doc_id, false) AS gone FROM keyed LEFT JOIN common USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """,
+    "op9_suffix_dedup": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), s AS (
+            SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)
+        ), m AS (
+            SELECT g, min(doc_id) AS first FROM s GROUP BY g HAVING min(doc_id) <> max(doc_id)
+        ), hit AS (
+            SELECT doc_id, i FROM s JOIN m USING (g) WHERE first < doc_id
+        ), marked AS (
+            SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, false) AS new FROM hit
+        ), numbered AS (
+            SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+        ), runs AS (
+            SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, run
+        ), between_runs AS (
+            SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs
+        ), t AS (
+            SELECT doc_id, sum(z - a)::BIGINT AS removed, count(*) AS spans, max(z) AS tail,
+                   string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+            FROM between_runs JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)
+    """,
+}
