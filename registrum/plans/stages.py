@@ -134,19 +134,25 @@ def evaluate(spark: SparkSession, sessions_dir: str, output: str, truncate: bool
 
 
 def map_registers(spark: SparkSession, input_path: str, output: str, export: str | None = None) -> None:
-    """Annotated documents to a table of segments keyed by document number.
+    """Annotated documents to a table of segments with each document's name and number.
 
-    ``export`` also writes bare JSON arrays, one document per line in document
-    order, for readers that go by position; only that needs a range shuffle.
+    ``export`` also writes bare JSON arrays, one document per line, file by file in
+    document order, for readers that go by position; only that needs a range shuffle.
+    Name its folder like a segment file (``fin_Latn_annotated.jsonl``) and :func:`parse`
+    reads it as that file.
     """
-    mapped = segments.map_segments(read_annotated(spark, input_path), ["doc_idx"])
+    mapped = segments.map_segments(read_annotated(spark, input_path), [DOC_ID, "doc_idx"])
     mapped.write.mode("errorifexists").parquet(output)
     if export:
-        tables.write_segments(spark.read.parquet(output), export)
+        named = spark.read.parquet(output).withColumn("file", F.substring_index(DOC_ID, "#", 1))
+        tables.write_segments(named, export, ["file", "doc_idx"])
 
 
 def parse(spark: SparkSession, input_path: str | list[str], output: str, factory: Callable, files: list[str] | None = None) -> None:
-    """Parse segment files; the parser language follows from the file name. Checks one row out per row in."""
+    """Parse segment files, or folders of :func:`map_registers`; the parser language follows from the name.
+
+    Checks one row out per row in.
+    """
     docs = tables.read_segments(spark, input_path)
     if files:
         docs = tables.chosen_files(docs, files)

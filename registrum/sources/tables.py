@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from registrum.schemas import PARSED_SEGMENT, SEGMENT
 
 RAW_NAME = "shuffled.jsonl"
+# Name of a part file in a folder that Spark wrote.
+PART = r"/part-\d+[^/]*$"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], name: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], name: str | None = None, tables_whole: bool = False) -> DataFrame:
     """Text files as (path, line_idx, value), numbered from 0 within each file.
 
-    ``name`` searches the folders below ``path`` for files of that name. Rows
+    ``name`` searches the folders below ``path`` for files of that name. With
+    ``tables_whole`` the part files of a folder that Spark wrote count as one file
+    of the folder's name, numbered on from part to part. Rows
     carry no order of their own, so numbers come from where a split starts and
     the running row number inside it: one light pass counts rows per split,
     and the few split offsets are joined back.
@@ -31,12 +35,13 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str | None = No
         "value",
     )
     splits = rows.groupBy("path", "_split").agg(F.min("_row").alias("_base"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    file = F.regexp_replace("path", PART, "") if tables_whole else F.col("path")
+    order = Window.partitionBy(file).orderBy("path", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "path", "_split", (F.coalesce(before, F.lit(0)) - F.col("_base")).alias("_shift")
+        "path", "_split", (F.coalesce(F.sum("_n").over(order), F.lit(0)) - F.col("_base")).alias("_shift")
     )
     return rows.join(offsets, ["path", "_split"]).select(
-        "path", (F.col("_row") + F.col("_shift")).alias("line_idx"), "value"
+        file.alias("path"), (F.col("_row") + F.col("_shift")).alias("line_idx"), "value"
     )
 
 
@@ -77,9 +82,12 @@ def document_range(docs: DataFrame, start: int = 0, max_docs: int | None = None,
 
 
 def read_segments(spark: SparkSession, path: str | list[str], parsed: bool = False) -> DataFrame:
-    """Segment files: (path, doc_idx, segments). Blank, malformed and non-list lines are empty lists."""
+    """Segment files, or folders written by :func:`write_segments`: (path, doc_idx, segments).
+
+    Blank, malformed and non-list lines are empty lists.
+    """
     item = PARSED_SEGMENT if parsed else SEGMENT
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, tables_whole=True)
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>"))
     return lines.select(
         "path",
@@ -120,12 +128,13 @@ def write_merged(docs: DataFrame, updates: list[str], path: str, mode: str = "er
     docs.select(text.alias("value")).write.mode(mode).text(path)
 
 
-def write_segments(mapped: DataFrame, path: str, order: str = "doc_idx", mode: str = "errorifexists") -> None:
+def write_segments(mapped: DataFrame, path: str, order: str | list[str] = "doc_idx", mode: str = "errorifexists") -> None:
     """One bare JSON array of segments per line, in document order.
 
-    A range partitioning by number keeps the order across the part files.
+    A range partitioning by the order's columns keeps it across the part files.
     """
-    ordered = mapped.repartitionByRange(order).sortWithinPartitions(order)
+    order = [order] if isinstance(order, str) else order
+    ordered = mapped.repartitionByRange(*order).sortWithinPartitions(*order)
     text = F.to_json("segments", {"ignoreNullFields": "false"})
     ordered.select(text.alias("value")).write.mode(mode).text(path)
 

@@ -145,13 +145,15 @@ def test_stages_end_to_end(spark, tmp_path):
     assert len(json.loads(text)) == 15
     assert stages.population(spark, at("annotated")).where("label = 'TOTAL'").count() == 1
 
-    stages.map_registers(spark, at("annotated"), at("segments"), at("mapped"))
-    merged = tmp_path / "eng_Latn_annotated.jsonl"
-    merged.write_text("".join(p.read_text() for p in sorted((tmp_path / "mapped").glob("part-*"))))
-    assert len(merged.read_text().splitlines()) == 53
-    stages.parse(spark, str(merged), at("parsed"), rule_parser)
+    exports = [at("eng_Latn_annotated.jsonl"), at("fin_Latn_annotated.jsonl")]
+    for i, export in enumerate(exports):
+        stages.map_registers(spark, at("annotated"), at(f"segments{i}"), export)
+    stages.parse(spark, exports, at("parsed"), rule_parser)
+    parsed = spark.read.parquet(at("parsed"))
+    assert parsed.count() == parsed.select("path", "doc_idx").distinct().count() == 106
+    assert {r["path"].rsplit("/", 1)[-1] for r in parsed.select("path").distinct().collect()} == {"eng_Latn_annotated.jsonl", "fin_Latn_annotated.jsonl"}
     groups = stages.extract_features(spark, at("parsed"), at("features"))
-    assert groups == ["eng_Latn"]
+    assert groups == ["eng_Latn", "fin_Latn"]
     features = spark.read.parquet(at("features") + "/eng_Latn_features")
     assert features.columns[:6] == ["doc_id", "source", "segment_idx", "label", "n_tokens", "n_sents"]
     assert features.first()["doc_id"].startswith("eng_Latn_annotated:")
@@ -167,6 +169,17 @@ def test_stages_end_to_end(spark, tmp_path):
     assert stages.compare_dimension(scores, "1")["znorm"].count() > 0
 
 
+def test_part_files_of_a_table_are_read_as_one_file(spark, tmp_path):
+    folder = str(tmp_path / "fin_Latn_annotated.jsonl")
+    rows = [(f"b/{i % 2}", i, [{"label": f"L{i}", "text": f"t{i}"}]) for i in range(40)]
+    mapped = spark.createDataFrame(rows, "file string, doc_idx bigint, segments array<struct<label:string,text:string>>").repartition(7)
+    tables.write_segments(mapped, folder, ["file", "doc_idx"])
+    back = tables.read_segments(spark, folder).orderBy("doc_idx").collect()
+    assert [r["doc_idx"] for r in back] == [*range(40)]
+    assert [r["segments"][0]["text"] for r in back] == [f"t{i}" for i in [*range(0, 40, 2), *range(1, 40, 2)]]
+    assert {r["path"].rsplit("/", 1)[-1] for r in back} == {"fin_Latn_annotated.jsonl"}
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
