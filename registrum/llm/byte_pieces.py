@@ -4,14 +4,16 @@ The pattern of this tokenizer always starts a new pre-token at a single space, o
 end, that stands between two characters that are no white space, and what lies on both
 sides is then encoded independently. So a text is cut there, each distinct piece goes
 through the library once per worker, and texts are put together from known pieces.
-Pieces are remembered up to a bound; long ones never are.
+Pieces are remembered up to a bound; long ones never are. New pieces go through the
+library in strings of many: they meet at such cuts again, and since the ids spell exactly
+the bytes of the text, the bytes of each id tell which ids belong to which piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -21,6 +23,8 @@ MAX_PIECES, MAX_LENGTH = 800_000, 40
 MARKS = ".,;:!?)%&*$#"
 #: Below it, what is a letter or digit is so in all versions of Unicode.
 LATIN_END = "\u0250"
+#: New pieces that go through the library in one string, and strings in one call.
+JOINED, CALL = 64, 64
 _CUT = re.compile(r"(?<!\s) (?!\s)")
 _encoders: dict = {}
 
@@ -42,6 +46,12 @@ class PieceEncoder:
         self.dtype = np.dtype(dtype)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) - 1 > np.iinfo(self.dtype).max:
             raise ValueError("ids do not fit")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder()
+        #: Bytes that each id spells: a byte letter is a byte, an added token is its own text.
+        self.spelt = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.spelt[i] = len(token.encode()) if i in added else len(token)
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
@@ -109,12 +119,32 @@ class PieceEncoder:
             del self.spaced[p]
 
     def _coded(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(pieces), 4096):
-            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False):
-                out.append(np.array(e.ids, self.dtype).tobytes())
+        """Ids of each piece, its blank before it included."""
+        out: list[bytes] = [b""] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
+        apart = set(range(len(pieces))).difference(joined)
+        for i, ids in zip(apart, self._ids([pieces[i] for i in apart]), strict=True):
+            out[i] = ids.tobytes()
+        strings = ["".join([pieces[i] for i in joined[a : a + JOINED]]) for a in range(0, len(joined), JOINED)]
+        width = self.dtype.itemsize
+        for k, ids in enumerate(self._ids(strings)):
+            group = joined[k * JOINED : (k + 1) * JOINED]
+            ends = np.cumsum(self.spelt[ids])
+            wanted = np.cumsum([len(pieces[i].encode()) for i in group])
+            cuts = np.searchsorted(ends, wanted)
+            if ends[-1] != wanted[-1] or (ends[cuts] != wanted).any():
+                raise ValueError("ids do not spell the bytes of the text")
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(group, ((cuts + 1) * width).tolist(), strict=True):
+                out[i] = raw[a:b]
+                a = b
         return out
 
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), CALL):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + CALL], add_special_tokens=False):
+                yield np.array(e.ids, self.dtype)
+
 
 def encoder(path: str, specials_are_text: bool = False, dtype: str = "<u4") -> PieceEncoder:
     """The worker's encoder, made once per worker and file."""
@@ -122,3 +152,9 @@ def encoder(path: str, specials_are_text: bool = False, dtype: str = "<u4") -> P
     if key not in _encoders:
         _encoders[key] = PieceEncoder(*key)
     return _encoders[key]
+
+
+def narrowest(path: str, *more: int) -> str:
+    """Two bytes an id if all ids of the file, and ``more``, fit into them; otherwise four."""
+    largest = max(len(encoder(path).spelt) - 1, *more)
+    return "<u2" if largest <= np.iinfo(np.uint16).max else "<u4"
