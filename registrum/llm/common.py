@@ -31,9 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write ``df`` once and read it back: lineage ends at the files, a lost executor repeats nothing before them."""
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,19 +10,20 @@ bytes, numpy decodes a whole block with table lookups and one gather. ``ranks``
 it lists the ids in rank order. Spark's writer commits both, so a lost executor leaves
 no half-written file, on any store that Spark writes to.
 
-Work. One pass counts ids (per distinct piece of text, merged per task; at most a row
-per id and task is shuffled). A second deals the documents by ranges of ``doc_id``,
-encodes and writes. Where a document starts follows from the sums of its shard, which
+Work. One pass encodes every text once and writes its raw ids (``folder/ids``). A second
+counts them in that table (at most a row per id and task is shuffled). A third deals the
+documents' ids, which are smaller than their texts, by ranges of ``doc_id``, ranks them
+and writes the blocks. Where a document starts follows from the sums of its shard, which
 are one row a shard.
 
 Defined cases: a null or empty text is the end id alone. Rows are ordered by
-``doc_id`` (null first), then text; repeated ids stay separate rows. An empty table
+``doc_id`` (null first); rows of one ``doc_id`` stay separate and are ordered by their
+ids' bytes. An empty table
 gives no rows. Columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.byte_pieces import encoder
+from registrum.llm.byte_pieces import encoder, narrowest
 from registrum.llm.common import only, texts_of, written
 
 #: Ids in a block, unless one document alone has more.
@@ -62,71 +63,71 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return at[starts] & MASKS[size]
 
 
-def id_counts(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(id, n) over all texts, the end ids included."""
+def coded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame:
+    """doc_id and ``ids`` (numbers of ``dtype``, the end id last) of every whole text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(tokenizer), np.zeros(0, np.int64)
+        encode, end = encoder(tokenizer, dtype=dtype), np.array([end_id], dtype).tobytes()
         for batch in rows:
-            texts = texts_of(batch.column("text"))
-            bare, spaced = Counter(), Counter()
-            for t in texts:
-                for head, rest in encode.cut(t):
-                    bare[head] += 1
-                    spaced.update(rest)
-            passing = encode.learn(bare, spaced)
-            coded = [*map(encode.bare.__getitem__, bare), *map(encode.spaced.__getitem__, spaced)]
-            encode.forget(*passing)
-            ids = np.frombuffer(b"".join(coded), encode.dtype)
-            pieces = np.fromiter([*bare.values(), *spaced.values()], np.int64, len(coded))
-            times = np.repeat(pieces, [len(c) // encode.dtype.itemsize for c in coded])
-            seen = np.bincount(ids, weights=times, minlength=max(len(total), end_id + 1)).astype(np.int64)
-            seen[end_id] += len(texts)
+            ids = [x + end for x in encode.encode(texts_of(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def id_counts(ids: DataFrame, dtype: str) -> DataFrame:
+    """(id, n) over all rows of ``ids``."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in rows:
+            seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype), minlength=len(total))
             seen[: len(total)] += total
             total = seen
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    return only(docs, "text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
-    """Write ``folder/ranks`` and ``folder/blocks``."""
+    """Write ``folder/ids``, ``folder/ranks`` and ``folder/blocks``."""
     spark = docs.sparkSession
-    counts = id_counts(docs, tokenizer, end_id).orderBy(F.desc("n"), "id")
+    dtype = narrowest(tokenizer, end_id)
+    raw = written(coded(docs, tokenizer, end_id, dtype), f"{folder}/ids", compression="zstd")
+    counts = id_counts(raw, dtype).orderBy(F.desc("n"), "id")
     ids = np.array([r["id"] for r in counts.collect()], np.int64)  # at most a row per id of the vocabulary
     written(spark.createDataFrame([(ids.tolist(),)], "ids array<long>").coalesce(1), f"{folder}/ranks")
     rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], encode.dtype).tobytes()
+        width, shard = np.dtype(dtype).itemsize, TaskContext.get().partitionId()
         block = start = size = 0
         names: list[int | None] = []
         parts: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            lengths = [len(p) // encode.dtype.itemsize for p in parts]
-            control, data = pack(rank[np.frombuffer(b"".join(parts), encode.dtype)])
+            lengths = [len(p) // width for p in parts]
+            control, data = pack(rank[np.frombuffer(b"".join(parts), dtype)])
             values = (shard, block, names, lengths, start, sum(lengths), control, data)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in rows:
-            for name, coded in zip(batch.column("doc_id").to_pylist(), encode.encode(texts_of(batch.column("text"))), strict=True):
-                n = len(coded) // encode.dtype.itemsize + 1
+            for name, part in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                n = len(part) // width
                 if parts and size + n > BLOCK:
                     yield out()
                     block, start, size, names, parts = block + 1, start + size, 0, [], []
                 names.append(name)
-                parts.append(coded + end)
+                parts.append(part)
                 size += n
         if parts:
             yield out()
 
-    order = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    order.mapInArrow(run, BLOCK_SCHEMA).write.mode("errorifexists").parquet(f"{folder}/blocks")
+    order = raw.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    order.mapInArrow(run, BLOCK_SCHEMA).write.mode("errorifexists").option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
