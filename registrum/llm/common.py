@@ -6,7 +6,9 @@ import contextlib
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,14 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
 
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
+
+
+def slices(rows: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of ``column`` (texts, or lists of four-byte numbers), in order; a longer row is a part of its own."""
+    for batch in rows:
+        values = batch.column(column)
+        length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        each = pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64) * (4 if pa.types.is_list(values.type) else 1)
+        starts = np.flatnonzero(np.diff(np.cumsum(each) // size, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)

@@ -36,13 +36,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import texts_of
+from registrum.llm.common import slices, texts_of
 
-MAX_WORDS, MAX_WORD = 600_000, 64
+MAX_WORDS, MAX_WORD = 400_000, 64
 WORD_END = "</w>"
 #: Bits of an id; a pair's ids, and a merge's rank and product, are packed into one number.
 BITS = 20
@@ -108,6 +109,7 @@ class Bpe:
         self.size = size
         self.lookahead = lookahead(steps, size)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.tokens: pa.Array | None = None
         self.byte_of = {x: i for i, x in enumerate(letters)}
         # Remembered ids, as the bytes of 32-bit numbers: of pieces as written, of pre-tokens.
         self.known: dict[str, bytes] = {}
@@ -222,10 +224,15 @@ class Bpe:
 
     # ---- decoding
 
-    def pieces(self, ids: Iterable[int]) -> str:
-        """What the library's decode gives for a file without a decoder."""
-        token = self.token
-        return " ".join([token[i] for i in ids])
+    def pieces(self, ids: pa.ListArray) -> pa.Array:
+        """What the library's decode gives for a file without a decoder, for every list; of a null one, an empty text."""
+        if self.tokens is None:
+            self.tokens = pa.array([self.token.get(i) for i in range(max(self.token) + 1)], pa.string())
+        tokens = self.tokens.take(ids.flatten())
+        if tokens.null_count:
+            raise KeyError("unknown id")
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
         """Text piece by piece: word ends become spaces, an unfinished character waits for its bytes."""
@@ -252,9 +259,11 @@ def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        for batch in rows:
-            ids = [np.frombuffer(model.encode_bytes(t), np.int32) for t in texts_of(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.list_(pa.int32()))], [*kept, "ids"])
+        for batch in slices(rows, "_text"):
+            raw = [model.encode_bytes(t) for t in texts_of(batch.column("_text"))]
+            ends = np.cumsum([0, *map(len, raw)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], [*kept, "ids"])
 
     return frame.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]], "ids array<int>"]))
 
@@ -264,11 +273,13 @@ def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        spell = model.pieces if mode == "pieces" else lambda ids: "".join(model.text(ids))
-        for batch in rows:
+        for batch in slices(rows, "ids"):
             ids = batch.column("ids")
-            texts = [spell(ids[i].values.to_pylist()) if ids[i].is_valid else "" for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            if mode == "pieces":
+                texts = model.pieces(ids)
+            else:
+                texts = pa.array(["".join(model.text(ids[i].values.to_pylist())) if ids[i].is_valid else "" for i in range(len(ids))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
     return coded.mapInArrow(run, f"{types}, decoded string")
