@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Memory of the worker for pieces: so many of at most so many characters.
-MAX_PIECES, MAX_LENGTH = 800_000, 40
+MAX_PIECES, MAX_LENGTH = 400_000, 40
 #: Marks that can end a piece after a word; none is part of a contraction or of a special token's string.
 MARKS = ".,;:!?)%&*$#"
 #: Below it, what is a letter or digit is so in all versions of Unicode.

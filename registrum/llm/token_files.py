@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registrum.llm.byte_pieces import encoder
-from registrum.llm.common import only, texts_of
+from registrum.llm.common import only, slices, texts_of
 
 #: Bytes of a block; a multiple of every width.
 BLOCK = 1 << 21
@@ -39,7 +39,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, True, dtype)
-        for batch in rows:
+        for batch in slices(rows, "text"):
             yield pa.RecordBatch.from_arrays([pa.array(encode.encode(texts_of(batch.column("text"))), pa.binary())], ["ids"])
 
     ids = only(docs, "text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
