@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registrum.llm.byte_pieces import encoder, narrowest
-from registrum.llm.common import only, texts_of, written
+from registrum.llm.common import only, slices, texts_of, written
 
 #: Ids in a block, unless one document alone has more.
 BLOCK = 1 << 18
@@ -68,7 +68,7 @@ def coded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, dtype=dtype), np.array([end_id], dtype).tobytes()
-        for batch in rows:
+        for batch in slices(rows, "text"):
             ids = [x + end for x in encode.encode(texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
