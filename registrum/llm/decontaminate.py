@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import only, shared_folder, texts_of, written
+from registrum.llm.common import only, shared_folder, slices, texts_of, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.3
 #: Bits of the filter on benchmark windows, whatever the benchmark's size; a fuller filter only passes more on.
@@ -217,7 +217,7 @@ def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> Data
                 ok &= (filter_bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
             return np.flatnonzero(ok)
 
-        for batch in rows:
+        for batch in slices(rows, "text"):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 quick = _words[0].codes(text)

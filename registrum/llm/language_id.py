@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import only, texts_of
+from registrum.llm.common import only, slices, texts_of
 
 MIN_SHARE, MIN_RATIO = 2e-5, 0.25
 SLOTS, HASHES = 1 << 20, 4
@@ -78,7 +78,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in rows:
+        for batch in slices(rows, "text"):
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if text:
@@ -204,8 +204,8 @@ def predict(docs: DataFrame, filters: Filters, *keep: Column) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in rows:
-            lang, score, cover = zip(*model.decide(texts_of(batch.column("_text"))), strict=True) if batch.num_rows else ((), (), ())
+        for batch in slices(rows, "_text"):
+            lang, score, cover = zip(*model.decide(texts_of(batch.column("_text"))), strict=True)
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, "lang_pred", "score", "cover"])
 

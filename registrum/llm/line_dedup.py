@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm.common import BLANKS, only, shared_folder, texts_of, written
+from registrum.llm.common import BLANKS, only, shared_folder, slices, texts_of, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 3
@@ -47,7 +47,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, k): the distinct keys of every document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "text"):
             ids, keys = [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 own = {line_key(x, min_chars) for x in text.encode("utf-8", "surrogatepass").split(b"\n")} - {None}
@@ -125,7 +125,7 @@ def kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     types = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "text"):
             texts, n_lines, n_dropped = [], [], []
             for text, lose in zip(texts_of(batch.column("text")), batch.column("_lost").to_pylist(), strict=True):
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")

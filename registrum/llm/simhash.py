@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import only, shared_folder, texts_of, written
+from registrum.llm.common import only, shared_folder, slices, texts_of, written
 from registrum.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp), fp as a signed 64-bit number."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "text"):
             fp = np.array([fingerprint(t) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
