@@ -115,7 +115,7 @@ class Words:
     """What each word as written means for a template: remembered, as words recur."""
 
     NAME_CODE = xxhash.xxh64_intdigest(NAME)
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[int, int]] = {}

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from registrum.llm.common import slices, texts_of
 
-MAX_WORDS, MAX_WORD = 400_000, 64
+MAX_WORDS, MAX_WORD = 250_000, 64
 WORD_END = "</w>"
 #: Bits of an id; a pair's ids, and a merge's rank and product, are packed into one number.
 BITS = 20
