@@ -13,11 +13,12 @@ For one item, document and offset, all hits are gathered and their slots compare
 value of the item must correspond to one value of its type in the document and the
 other way round. A hit whose slots contradict the majority does not count. The document
 holds the item if consistent windows cover at least ``COVER`` of its template windows.
-An item shorter than the window is one window of its own length.
+An item shorter than the window is one window of its own length, looked for at every
+place of every document. An item none of whose windows has ``LITERALS`` words that are no
+placeholders is looked for as written: its windows hold the slots' values instead.
 
-Defined cases: null texts, and texts shorter than the window, hold nothing, except an
-item of exactly that template. Items without ``LITERALS`` words that are no placeholders
-match nothing. Repeated rows of one id are one document; rows with a null id are not
+Defined cases: null texts hold nothing, and items without words are in nothing. A text
+shorter than the window can only hold items that are not longer. Repeated rows of one id are one document; rows with a null id are not
 reported. Repeated items are each reported. An empty benchmark reports nothing. Columns
 besides those named are not read.
 """
@@ -92,23 +93,30 @@ def template(text: str) -> tuple[list[str], list[str]]:
     return words, slots
 
 
-def window_hashes(codes: np.ndarray, literal: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of each window of ``size`` template words, given by their codes, with enough literals."""
+def window_hashes(codes: np.ndarray, literal: np.ndarray, size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of each window of ``size`` template words, given by their codes, with enough literals; ``exact`` ones need none."""
     n = len(codes) - size + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     count = np.concatenate([[0], np.cumsum(literal)])
-    h = np.full(n, size, np.uint64)
+    h = np.full(n, size + exact * 2 * WINDOW, np.uint64)
     for i in range(size):
         h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    at = np.flatnonzero(count[size:] - count[:-size] >= LITERALS)
+    at = np.flatnonzero(count[size:] - count[:-size] >= (0 if exact else LITERALS))
     return h[at].view(np.int64), at
 
 
-def windows(words: list[str], slots: list[str], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: list[str], slots: list[str], size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    if exact:
+        words = [s or w for w, s in zip(words, slots, strict=True)]
     codes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    return window_hashes(codes, np.array([not s for s in slots], bool), size)
+    return window_hashes(codes, np.array([not s for s in slots], bool), size, exact)
+
+
+def window_slots(slots: list[str], at: int, size: int, exact: bool) -> list[str]:
+    """Slots of a window; one that is looked for as written has none."""
+    return [""] * size if exact else slots[at : at + size]
 
 
 class Words:
@@ -130,8 +138,8 @@ class Words:
             flags |= bool(NUMBER.match(low) or NUMBER_UNIT.match(low)) << 3
         return xxhash.xxh64_intdigest(low), flags
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(code, literal) of every template word; None if the text has numbers, which take ``template``."""
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(code, literal, code as written) of every template word; None if the text has numbers, which take ``template``."""
         known = self.known
         if len(known) > self.MOST:
             known.clear()
@@ -142,7 +150,7 @@ class Words:
                 if x is None:
                     found[i] = known.setdefault(raw[i], self.look(raw[i]))
         if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
         code, flags = zip(*found, strict=True)
         code, flags = np.array(code, np.uint64), np.array(flags, np.uint8)
         if (flags & 8).any():
@@ -155,8 +163,9 @@ class Words:
             if i + 1 < len(begins):
                 begins[i + 1] |= begins[i]
         name = (flags & 4 > 0) & ~begins
+        plain = code[~empty]
         code[name] = self.NAME_CODE
-        return code[~empty], ~name[~empty]
+        return code[~empty], ~name[~empty], plain
 
 
 _words: list[Words] = []
@@ -169,7 +178,7 @@ def bits(h: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, h, at, slots, size and n (windows of the item) of every template window."""
+    """item_id, h, at, slots, size, exact and n (windows of the item) of every window."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -177,13 +186,18 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(batch.column("item_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 words, slots = template(text)
                 size = min(WINDOW, len(words))
-                h, at = windows(words, slots, size) if size else ((), ())
-                out += [(item, int(x), int(p), slots[p : p + size], size, len(h)) for x, p in zip(h, at, strict=True)]
+                if not size:
+                    continue
+                h, at = windows(words, slots, size)
+                exact = not len(h)
+                if exact:
+                    h, at = windows(words, slots, size, exact)
+                out += [(item, int(x), int(p), window_slots(slots, p, size, exact), size, exact, len(h)) for x, p in zip(h, at, strict=True)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
 
-    names = ("item_id", "h", "at", "slots", "size", "n")
-    schema = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string())), ("size", pa.int64()), ("n", pa.int64())])
-    return only(benchmark, "item_id", "text").mapInArrow(run, "item_id long, h long, at long, slots array<string>, size long, n long")
+    names = ("item_id", "h", "at", "slots", "size", "exact", "n")
+    schema = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string())), ("size", pa.int64()), ("exact", pa.bool_()), ("n", pa.int64())])
+    return only(benchmark, "item_id", "text").mapInArrow(run, "item_id long, h long, at long, slots array<string>, size long, exact boolean, n long")
 
 
 def window_filter(items: DataFrame) -> np.ndarray:
@@ -202,7 +216,7 @@ def window_filter(items: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> DataFrame:
+def document_hits(docs: DataFrame, marked: np.ndarray, kinds: list[tuple[int, bool]]) -> DataFrame:
     """Windows of documents that pass the filter: doc_id, h, at, slots."""
     shared = docs.sparkSession.sparkContext.broadcast(marked)  # FILTER_BITS, whatever the benchmark's size
 
@@ -221,14 +235,12 @@ def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> Data
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 quick = _words[0].codes(text)
-                if quick is not None and not any(len(passing(window_hashes(*quick, size)[0])) for size in sizes if size == WINDOW or size == len(quick[0])):
+                if quick is not None and not any(len(passing(window_hashes(quick[2 * exact], quick[1], size, exact)[0])) for size, exact in kinds):
                     continue
                 words, slots = template(text)  # the slots are only needed where a window passes
-                for size in sizes:
-                    if size < WINDOW and size != len(words):
-                        continue
-                    h, at = windows(words, slots, size)
-                    out += [(doc, int(h[i]), int(at[i]), slots[at[i] : at[i] + size]) for i in passing(h)]
+                for size, exact in kinds:
+                    h, at = windows(words, slots, size, exact)
+                    out += [(doc, int(h[i]), int(at[i]), window_slots(slots, at[i], size, exact)) for i in passing(h)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "h", "at", "slots"])
 
@@ -239,10 +251,10 @@ def document_hits(docs: DataFrame, marked: np.ndarray, sizes: list[int]) -> Data
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (consistent ones), cover, n_changed (slots with another value) of every item in a document."""
     items = written(item_windows(benchmark), f"{shared_folder(docs.sparkSession)}/items")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
-    if not sizes:
+    kinds = [(r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect()]  # at most 2 * WINDOW
+    if not kinds:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, cover double, n_changed long")
-    hits = document_hits(docs, window_filter(items), sorted(sizes))
+    hits = document_hits(docs, window_filter(items), sorted(kinds))
     item = items.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
     pairs = hits.join(item, "h").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n", "slots", "item_slots").dropDuplicates(["doc_id", "item_id", "offset", "item_at", "slots"])
