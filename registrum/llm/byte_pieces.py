@@ -58,7 +58,7 @@ class PieceEncoder:
     @staticmethod
     def cut(text: str) -> list[Stretch]:
         words = text.split()
-        if words and len(words) - 1 == text.count(" ") + text.count("\n"):  # words with one space or line end between
+        if words and " ".join(words) == text.replace("\n", " "):  # words with one space or line end between, no other white space
             first, *lines = text.split("\n")
             head, *rest = first.split(" ")
             out = [(head, rest)]
