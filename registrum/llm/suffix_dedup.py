@@ -58,6 +58,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x ^= x >> U(29)
     x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(32)
+    x[x == 0] = 1  # 0 marks strings that are not valid
     return x
 
 
@@ -239,7 +240,10 @@ def answered(sent: DataFrame, columns: int, answer) -> DataFrame:
 
 
 def refine_units(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of (bucket, unit, doc): units that a smaller document of another chunk holds; units whose strings must be sorted."""
+    """Of (bucket, unit, doc): units that a smaller document of another chunk holds; units whose strings must be sorted.
+
+    Where several chunks have the smallest document of a unit, each of them has strings to sort.
+    """
     bucket, unit, doc = columns[0], columns[1], columns[2].view(np.int64)
     order = np.lexsort([doc, unit, bucket])
     b, u, d = bucket[order], unit[order], doc[order]
@@ -252,7 +256,7 @@ def refine_units(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     low, high = np.minimum.reduceat(d[heads], starts), np.maximum.reduceat(d[heads], starts)
     resolved, probe = np.zeros(len(d), bool), np.zeros(len(d), bool)
     resolved[order] = d > least
-    probe[order[heads]] = (low < high)[of_bucket]
+    probe[order] = (d == least) & (low < high)[of_bucket][np.cumsum(new_unit) - 1]
     return [(resolved, unit), (probe, unit)]
 
 
