@@ -4,7 +4,9 @@ Words of a text lose their outer punctuation and are lower-cased. A number becom
 placeholder ``<num>``, a unit of measure after a number ``<unit>``, and a capitalised
 word that does not begin a sentence ``<name>``; what was replaced is kept as the slots
 of its type. What is left is a template. Windows of ``WINDOW`` template words with at
-least ``LITERALS`` words that are no placeholders are hashed.
+least ``LITERALS`` words that are no placeholders are hashed. A capitalised word that
+begins a sentence or line may be a name or not: its windows are hashed in both forms, on
+both sides.
 
 A document's windows first pass a Bloom filter of fixed size made from the benchmark's,
 so nearly none of them is shuffled; those that pass are hash-joined with the
@@ -12,7 +14,8 @@ benchmark's windows. Each hit tells at which offset between item and document it
 For one item, document and offset, all hits are gathered and their slots compared: each
 value of the item must correspond to one value of its type in the document and the
 other way round. A hit whose slots contradict the majority does not count. The document
-holds the item if consistent windows cover at least ``COVER`` of its template windows.
+holds the item if consistent windows at nearby offsets (names may have other numbers of
+words) cover at least ``COVER`` of its template windows.
 An item shorter than the window is one window of its own length, looked for at every
 place of every document. An item none of whose windows has ``LITERALS`` words that are no
 placeholders is looked for as written: its windows hold the slots' values instead.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from registrum.llm.common import only, shared_folder, slices, texts_of, written
@@ -53,13 +56,21 @@ NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?$")
 NUMBER_UNIT = re.compile(r"^([+-]?\d[\d.,]*)([a-z%€£$]+)$")
 STOPS = (".", "!", "?", ":", ";", "\"", "»", "”")
 NAME_WORDS = re.compile(r"^[^\W\d_][\w'’.-]*$")
+#: Odd factors of a window's places.
+PLACES = np.random.default_rng(WINDOW).integers(0, 1 << 64, WINDOW, np.uint64) | np.uint64(1)
 HIT_SCHEMA = "doc_id long, h long, at long, slots array<string>"
 
 
 def template(text: str) -> tuple[list[str], list[str]]:
     """Template words of a text, and the slot value at each placeholder ('' elsewhere)."""
+    return template_forms(text)[:2]
+
+
+def template_forms(text: str) -> tuple[list[str], list[str], list[bool]]:
+    """``template``, and which words begin a sentence and may be names."""
     words: list[str] = []
     slots: list[str] = []
+    initial: dict[int, bool] = {}
     begins = True
     for line in text.split("\n"):
         begins = True
@@ -87,36 +98,53 @@ def template(text: str) -> tuple[list[str], list[str]]:
                 words.append(NAME)
                 slots.append(low)
             else:
+                initial[len(words)] = core[0].isupper() and begins and not core.isupper() and bool(NAME_WORDS.match(core))
                 words.append(low)
                 slots.append("")
             begins = ends
-    return words, slots
+    return words, slots, [initial.get(i, False) for i in range(len(words))]
+
 
+def window_hashes(codes: np.ndarray, literal: np.ndarray, initial: np.ndarray, size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, form) of each window of ``size`` template words, given by their codes, with enough literals; ``exact`` ones need none.
 
-def window_hashes(codes: np.ndarray, literal: np.ndarray, size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of each window of ``size`` template words, given by their codes, with enough literals; ``exact`` ones need none."""
+    Bits of the form tell which words that begin a sentence are taken for names.
+    """
     n = len(codes) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     count = np.concatenate([[0], np.cumsum(literal)])
+    count = count[size:] - count[:-size]
     h = np.full(n, size + exact * 2 * WINDOW, np.uint64)
     for i in range(size):
-        h = (h ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    at = np.flatnonzero(count[size:] - count[:-size] >= (0 if exact else LITERALS))
-    return h[at].view(np.int64), at
-
-
-def windows(words: list[str], slots: list[str], size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        h += codes[i : i + n] * PLACES[i]
+    at = np.arange(n) if exact else np.flatnonzero(count >= LITERALS)
+    h, count, form = h[at], count[at], np.zeros(len(at), np.int64)
+    if not exact and initial.any():
+        change = np.uint64(Words.NAME_CODE) - codes
+        for i in range(size):
+            can = np.flatnonzero(initial[at + i] & (count > LITERALS))
+            h = np.append(h, h[can] + change[at[can] + i] * PLACES[i])
+            form = np.append(form, form[can] | 1 << i)
+            at, count = np.append(at, at[can]), np.append(count, count[can] - 1)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64), at, form
+
+
+def windows(words: list[str], slots: list[str], initial: list[bool], size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if exact:
         words = [s or w for w, s in zip(words, slots, strict=True)]
     codes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    return window_hashes(codes, np.array([not s for s in slots], bool), size, exact)
+    return window_hashes(codes, np.array([not s for s in slots], bool), np.array(initial, bool), size, exact)
 
 
-def window_slots(slots: list[str], at: int, size: int, exact: bool) -> list[str]:
+def window_slots(words: list[str], slots: list[str], at: int, form: int, size: int, exact: bool) -> list[str]:
     """Slots of a window; one that is looked for as written has none."""
-    return [""] * size if exact else slots[at : at + size]
+    if exact:
+        return [""] * size
+    return [words[at + i] if form >> i & 1 else slots[at + i] for i in range(size)]
 
 
 class Words:
@@ -138,8 +166,8 @@ class Words:
             flags |= bool(NUMBER.match(low) or NUMBER_UNIT.match(low)) << 3
         return xxhash.xxh64_intdigest(low), flags
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """(code, literal, code as written) of every template word; None if the text has numbers, which take ``template``."""
+    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(code, literal, may be a name that begins a sentence, code as written) of every template word; None if the text has numbers, which take ``template``."""
         known = self.known
         if len(known) > self.MOST:
             known.clear()
@@ -150,7 +178,7 @@ class Words:
                 if x is None:
                     found[i] = known.setdefault(raw[i], self.look(raw[i]))
         if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.uint64)
         code, flags = zip(*found, strict=True)
         code, flags = np.array(code, np.uint64), np.array(flags, np.uint8)
         if (flags & 8).any():
@@ -163,9 +191,10 @@ class Words:
             if i + 1 < len(begins):
                 begins[i + 1] |= begins[i]
         name = (flags & 4 > 0) & ~begins
+        initial = (flags & 4 > 0) & begins
         plain = code[~empty]
         code[name] = self.NAME_CODE
-        return code[~empty], ~name[~empty], plain
+        return code[~empty], ~name[~empty], initial[~empty], plain
 
 
 _words: list[Words] = []
@@ -184,15 +213,16 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for batch in rows:
             out: list[tuple] = []
             for item, text in zip(batch.column("item_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                words, slots = template(text)
+                words, slots, initial = template_forms(text)
                 size = min(WINDOW, len(words))
                 if not size:
                     continue
-                h, at = windows(words, slots, size)
+                h, at, form = windows(words, slots, initial, size)
                 exact = not len(h)
                 if exact:
-                    h, at = windows(words, slots, size, exact)
-                out += [(item, int(x), int(p), window_slots(slots, p, size, exact), size, exact, len(h)) for x, p in zip(h, at, strict=True)]
+                    h, at, form = windows(words, slots, initial, size, exact)
+                n = len(np.unique(at))
+                out += [(item, int(x), int(p), window_slots(words, slots, p, f, size, exact), size, exact, n) for x, p, f in zip(h, at, form, strict=True)]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
 
     names = ("item_id", "h", "at", "slots", "size", "exact", "n")
@@ -235,12 +265,12 @@ def document_hits(docs: DataFrame, marked: np.ndarray, kinds: list[tuple[int, bo
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 quick = _words[0].codes(text)
-                if quick is not None and not any(len(passing(window_hashes(quick[2 * exact], quick[1], size, exact)[0])) for size, exact in kinds):
+                if quick is not None and not any(len(passing(window_hashes(quick[3 * exact], quick[1], quick[2], size, exact)[0])) for size, exact in kinds):
                     continue
-                words, slots = template(text)  # the slots are only needed where a window passes
+                words, slots, initial = template_forms(text)  # the slots are only needed where a window passes
                 for size, exact in kinds:
-                    h, at = windows(words, slots, size, exact)
-                    out += [(doc, int(h[i]), int(at[i]), window_slots(slots, at[i], size, exact)) for i in passing(h)]
+                    h, at, form = windows(words, slots, initial, size, exact)
+                    out += [(doc, int(h[i]), int(at[i]), window_slots(words, slots, at[i], form[i], size, exact)) for i in passing(h)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "h", "at", "slots"])
 
@@ -257,7 +287,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = document_hits(docs, window_filter(items), sorted(kinds))
     item = items.select("item_id", "h", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), "n")
     pairs = hits.join(item, "h").where(F.size("slots") == F.size("item_slots"))
-    pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n", "slots", "item_slots").dropDuplicates(["doc_id", "item_id", "offset", "item_at", "slots"])
+    pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n", "slots", "item_slots").dropDuplicates(["doc_id", "item_id", "offset", "item_at", "slots", "item_slots"])
     pairs = written(pairs, f"{shared_folder(docs.sparkSession)}/pairs")  # read three times below
     # One placement of an item in a document has at most as many windows as the item, so a placement is a small group.
     place = ["doc_id", "item_id", "offset"]
@@ -270,7 +300,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = pairs.join(agreed, place, "left")
     fits = F.forall(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("is")), lambda v: (v["was"] == "") | F.coalesce(F.element_at(F.col("agreed"), v["was"]) == v["is"], F.lit(False)))
     changed = F.size(F.filter(F.map_entries(F.coalesce("agreed", F.create_map().cast("map<string,string>"))), lambda e: e["key"] != e["value"])).cast("long")
-    placed = judged.where(fits).groupBy(*place).agg(F.countDistinct("item_at").alias("n_windows"), F.first("n").alias("n"), F.max(changed).alias("n_changed"))
-    placed = placed.withColumn("cover", F.col("n_windows") / F.col("n")).where(F.col("cover") >= COVER)
-    top = F.max_by(F.struct("n_windows", "cover", "n_changed"), F.struct("n_windows", "offset"))
-    return placed.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", "x.*")
+    placed = judged.where(fits).groupBy(*place).agg(F.collect_set("item_at").alias("ats"), F.first("n").alias("n"), F.max(changed).alias("n_changed"))
+    # Names of other numbers of words move what follows them: offsets at most a window apart are one place. A row per offset of one item in one document.
+    ordered = Window.partitionBy("doc_id", "item_id").orderBy("offset")
+    placed = placed.withColumn("new", F.coalesce((F.col("offset") - F.lag("offset").over(ordered) > WINDOW).cast("int"), F.lit(0)))
+    placed = placed.withColumn("near", F.sum("new").over(ordered))
+    most = F.max_by("n_changed", F.struct(F.size("ats"), "offset"))
+    whole = placed.groupBy("doc_id", "item_id", "near").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.first("n").alias("n"), most.alias("n_changed"))
+    whole = whole.withColumn("cover", F.col("n_windows") / F.col("n")).where(F.col("cover") >= COVER)
+    top = F.max_by(F.struct("n_windows", "cover", "n_changed"), F.struct("n_windows", "near"))
+    return whole.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", "x.*")

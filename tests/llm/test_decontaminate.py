@@ -17,3 +17,18 @@ def test_short_items_inside_documents(spark):
     assert set(got) == {(0, 0), (1, 1), (3, 3)}
     assert all(r["cover"] == 1.0 and r.n_changed == 0 for r in got.values())
     assert found(spark, ["one two"], ["zero one two three", "one. three two"]).keys() == {(0, 0)}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Alice had 3 apples. Alice gave 2 to Tom. Alice ate 1 more."
+    docs = ["Look here: the text\n" + item.replace("Alice", "Bob") + " It ends.", "yesterday Bob had 3 apples. Bob gave 2 to Tom. Bob ate 1 more", "Then " + item, "Bob sold 3 cars. Bob lent 2 to Tom. Bob saw 1 more."]
+    got = found(spark, [item], docs)
+    assert {d for d, _ in got} == {0, 1, 2} and got[0, 0].n_changed == 1 and got[2, 0].n_changed == 0
+    quest = "What is the capital of France?"
+    assert found(spark, [quest], ["3 4 " + quest + " end"]).keys() == {(0, 0)}
+
+
+def test_names_of_other_lengths(spark):
+    parts = [" ".join(f"{a}{b}" for b in "abcdefghijkl") for a in "vwxy"]
+    item = " Paris ".join(parts)
+    assert found(spark, [item], [item.replace("Paris", "New York"), parts[0] + " and nothing else"]).keys() == {(0, 0)}
