@@ -126,9 +126,11 @@ class Filters:
     slots: np.ndarray
     chance: np.ndarray
     commonest: int
+    #: Share of each language's own trigrams that its filter holds and that occur more than once: the cover of a text that did not teach.
+    expected: dict[str, float]
 
     @classmethod
-    def build(cls, members: dict[str, np.ndarray], weights: dict[str, int]) -> Filters:
+    def build(cls, members: dict[str, np.ndarray], weights: dict[str, int], expected: dict[str, float] | None = None) -> Filters:
         languages = sorted(members)
         slots = np.zeros(((len(languages) + 63) // 64, SLOTS), np.uint64)
         full = []
@@ -140,7 +142,7 @@ class Filters:
         if len(languages) <= 8:  # one byte a slot is enough
             slots = slots.astype(np.uint8)
         best = max(range(len(languages)), key=lambda i: (weights[languages[i]], -i)) if languages else 0
-        return cls(languages, slots, np.array(full) ** HASHES, best)
+        return cls(languages, slots, np.array(full) ** HASHES, best, expected or dict.fromkeys(languages, 1.0))
 
     def containing(self, gram: np.ndarray) -> np.ndarray:
         """Per word of 64 languages, the bits of all languages that contain each n-gram."""
@@ -185,9 +187,10 @@ def learn(docs: DataFrame) -> Filters:
     shares = n.withColumn("share", F.col("n") / total).where(F.col("share") >= MIN_SHARE)
     # A share of another language below MIN_SHARE can't be the largest, so what was cut above is not missed here.
     top = F.max("share").over(_window("gram"))
-    members = shares.withColumn("top", top).where(F.col("share") >= MIN_RATIO * F.col("top")).select("lang", "gram")
+    members = shares.withColumn("top", top).where(F.col("share") >= MIN_RATIO * F.col("top")).select("lang", "gram", "share", "n")
     rows = members.toPandas()  # at most 1 / MIN_SHARE a language
-    return Filters.build({lang: rows.loc[rows["lang"] == lang, "gram"].to_numpy(np.int64) for lang in totals}, totals)
+    own = {lang: rows[rows["lang"] == lang] for lang in totals}
+    return Filters.build({lang: x["gram"].to_numpy(np.int64) for lang, x in own.items()}, totals, {lang: float(x["share"][x["n"] > 1].sum()) for lang, x in own.items()})
 
 
 def _window(key: str):
