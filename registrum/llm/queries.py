@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm import circulant_minhash, decontaminate, language_id, line_dedup, quality_pu, quality_rules, simhash, streaming_bpe, suffix_dedup, token_blocks, token_files
+from registrum.llm import circulant_minhash, decontaminate, language_id, line_dedup, quality_pu, quality_rules, simhash, spelling_variants, streaming_bpe, suffix_dedup, token_blocks, token_files
 from registrum.llm.common import crc_bucket, read, shared_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -81,7 +81,12 @@ def op11_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.variants(read(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash, op12_spelling_variants)}
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": """
