@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registrum.llm import circulant_minhash, decontaminate, language_id, line_dedup, quality_pu, quality_rules, simhash, spelling_variants, streaming_bpe, suffix_dedup, token_blocks, token_files
+from registrum.llm import centroid_clustering, circulant_minhash, decontaminate, language_id, line_dedup, quality_pu, quality_rules, simhash, spelling_variants, streaming_bpe, suffix_dedup, token_blocks, token_files
 from registrum.llm.common import crc_bucket, read, shared_folder
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -86,7 +86,42 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash, op12_spelling_variants)}
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = centroid_clustering.clusters(read(spark, sf_dir, "embeddings"))
+    digests = F.array(*[F.lit(d) for d in centroid_clustering.digests(centroids)]).cast("array<string>")
+    return found.withColumn("centroid_sha256", F.get(digests, F.col("cluster")))
+
+
+def kmeans_sql(k: int, rounds: int, seed: int, d: int) -> str:
+    """op13 in SQL: a table of assignments and one of centroids a round."""
+
+    def nearest(c: str) -> str:
+        # Not arg_min: ties must go to the smaller number.
+        return f"""SELECT vec_id, rid, cluster, distance FROM (
+            SELECT v.vec_id, v.rid, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance,
+                   row_number() OVER (PARTITION BY v.rid ORDER BY distance, c.cluster) AS r
+            FROM v, {c} c) WHERE r = 1"""
+
+    steps = [
+        f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {d})""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1)::INT AS cluster, x FROM v WHERE vec_id IS NOT NULL ORDER BY cluster LIMIT {k})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest(f'c{i}')})")
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT cluster, list(m ORDER BY i) AS x FROM (
+            SELECT cluster, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m FROM (
+                SELECT cluster, i, sum(e)::HUGEINT AS s, count(*) AS n FROM (
+                    SELECT cluster, unnest(x) AS e, unnest(range({d})) AS i FROM a{i} JOIN v USING (rid)) GROUP BY cluster, i)) GROUP BY cluster)""")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(s.x, c.x) AS x FROM c{i} c LEFT JOIN s{i} s USING (cluster))")
+    steps.append(f"a AS MATERIALIZED ({nearest(f'c{rounds}')})")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(x, ',')) AS centroid_sha256
+        FROM a JOIN c{rounds} USING (cluster)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash, op12_spelling_variants, op13_centroid_clustering)}
 
 ORACLE: dict[str, str] = {
     "op5_line_dedup": """
@@ -132,4 +167,27 @@ ORACLE: dict[str, str] = {
                sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN t USING (doc_id)
     """,
+    "op11_circulant_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w
+        ), n AS MATERIALIZED (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), both_in AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS MATERIALIZED (
+            SELECT a, b FROM both_in i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i.n >= 80 * (x.n + y.n - i.n)
+        ), e AS MATERIALIZED (
+            SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+        ), c AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+    "op13_centroid_clustering": kmeans_sql(centroid_clustering.CENTROIDS, centroid_clustering.ROUNDS, centroid_clustering.SEED, centroid_clustering.DIMENSIONS),
 }
