@@ -47,6 +47,8 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams of a string
 #: Bytes of a chunk (unless one document has more), and strings handled in one numpy step.
 CHUNK, STEP = 1 << 21, 1 << 19
+#: Bits of a bucket that are sent.
+BUCKET_BITS = 40
 #: Parts per shuffle partition, in which identifiers are dealt.
 PARTS = 4
 U = np.uint64
@@ -62,6 +64,18 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def scattered(bucket: np.ndarray) -> np.ndarray:
+    """Buckets dealt evenly: they are minima, so small, until their bits are mixed.
+
+    Of the mixed bits, which are as many as before and belong to one bucket, the low ones are
+    left out. Two buckets that then look alike are sorted together: units are
+    still told apart, at most more strings are compared.
+    """
+    x = (bucket ^ (bucket >> U(32))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return (x ^ (x >> U(32))) & ~U((1 << 64 - BUCKET_BITS) - 1)
+
+
 def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` over each ``width`` adjoining values, by doubling."""
     have = 1
@@ -277,7 +291,7 @@ def send_units(row: dict) -> list[np.ndarray]:
     if not found:
         return [np.zeros(0, U)] * 3
     bucket, unit, doc = (np.concatenate(c) for c in zip(*found, strict=True))
-    (bucket, unit), doc = smallest([bucket, unit], doc)
+    (bucket, unit), doc = smallest([scattered(bucket), unit], doc)
     return [bucket, unit, doc.view(U)]
 
 
@@ -368,6 +382,7 @@ def deduplicated(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     whole = spark.table(table)
     for answers in (probe, _by_chunk(spark, back.where("kind = 0"), "resolved"), strings):
         whole = whole.join(answers.hint("shuffle_hash"), "chunk", "left")
+    spark.sql(f"DROP TABLE {table}")  # its files stay, which the plan below reads
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     out = whole.mapInArrow(apply, schema)
     raw = F.coalesce("text", F.lit("")).cast("binary")
