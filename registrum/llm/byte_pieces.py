@@ -2,34 +2,38 @@
 
 The pattern of this tokenizer always starts a new pre-token at a single space, or line
 end, that stands between two characters that are no white space, and what lies on both
-sides is then encoded independently. So a text is cut there, each distinct piece goes
-through the library once per worker, and texts are put together from known pieces.
-Pieces are remembered up to a bound; long ones never are. New pieces go through the
-library in strings of many: they meet at such cuts again, and since the ids spell exactly
-the bytes of the text, the bytes of each id tell which ids belong to which piece.
+sides is then encoded independently. Texts whose only white space is of that kind are cut there,
+all texts of a call at once, and dictionary-encoded: each distinct piece is looked up once,
+and what is not known goes through the library in strings of many: pieces meet at such cuts
+again, and since the ids spell exactly the bytes of the text, the bytes of each id tell
+which ids belong to which piece. Ids of the texts are then taken by the pieces' numbers.
+Other texts go through the library in stretches that end at such cuts.
+Pieces are remembered up to a bound in bytes, the least used forgotten first; long ones never are.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Memory of the worker for pieces: so many of at most so many characters.
-MAX_PIECES, MAX_LENGTH = 400_000, 40
+from registrum.llm.common import remembered
+
+#: Memory of the worker for pieces, in bytes; what a piece takes besides its characters and ids; the longest that is remembered, in characters.
+MEMORY, ENTRY, MAX_LENGTH = 96 << 20, 180, 40
+#: New pieces that go through the library in one string, strings in one call, and characters of a stretch of other texts.
+JOINED, CALL, STRETCH = 64, 64, 1 << 15
 #: Marks that can end a piece after a word; none is part of a contraction or of a special token's string.
 MARKS = ".,;:!?)%&*$#"
 #: Below it, what is a letter or digit is so in all versions of Unicode.
 LATIN_END = "\u0250"
-#: New pieces that go through the library in one string, and strings in one call.
-JOINED, CALL = 64, 64
+#: Stands before the first piece of a text; texts that hold it are cut otherwise.
+FIRST = "\x01"
 _CUT = re.compile(r"(?<!\s) (?!\s)")
-_encoders: dict = {}
-
-#: A stretch of a text: a piece as it stands, then pieces that each follow a single space.
-Stretch = tuple[str, list[str]]
 
 
 class PieceEncoder:
@@ -52,93 +56,85 @@ class PieceEncoder:
         self.spelt = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.spelt[i] = len(token.encode()) if i in added else len(token)
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        #: Ids of pieces used since the last turn, and before it. A piece follows a space unless it begins with a line end or ``FIRST``.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
 
     @staticmethod
-    def cut(text: str) -> list[Stretch]:
+    def quick(text: str) -> bool:
+        """Whether all white space of a text is single blanks and line ends between other characters."""
         words = text.split()
-        if words and " ".join(words) == text.replace("\n", " "):  # words with one space or line end between, no other white space
-            first, *lines = text.split("\n")
-            head, *rest = first.split(" ")
-            out = [(head, rest)]
-            for line in lines:
-                head, *rest = line.split(" ")
-                out.append(("\n" + head, rest))
-            return out
-        head, *rest = _CUT.split(text)
-        return [(head, rest)]
+        return bool(words) and " ".join(words) == text.replace("\n", " ") and FIRST not in text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        cuts = [self.cut(t) for t in texts]
-        bare: set[str] = set()
-        spaced: set[str] = set()
-        for stretches in cuts:
-            for head, rest in stretches:
-                bare.add(head)
-                spaced.update(rest)
-        passing = self.learn(bare, spaced)
-        known, after = self.bare, self.spaced.__getitem__
-        out = []
-        for stretches in cuts:
-            parts: list[bytes] = []
-            for head, rest in stretches:
-                parts.append(known[head])
-                parts.extend(map(after, rest))
-            out.append(b"".join(parts))
-        self.forget(*passing)
+        if self.bytes > MEMORY // 2:
+            self.old, self.known, self.bytes = self.known, {}, 0
+        out: list[bytes] = [b""] * len(texts)
+        quick = [i for i, t in enumerate(texts) if self.quick(t)]
+        for i, ids in zip(quick, self._by_pieces([texts[i] for i in quick]), strict=True):
+            out[i] = ids
+        for i in set(range(len(texts))).difference(quick):
+            out[i] = b"".join(ids.tobytes() for ids in self._ids(stretches(texts[i]))) if texts[i] else b""
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array([FIRST + t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, pieces))
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if new:
+            fresh = self._learnt(new)
+            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        each = pa.array(found, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(each.buffers()[1], np.int32)[: len(each) + 1][lists.offsets.to_numpy()].tolist()
+        raw = memoryview(each.buffers()[2])
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that were not used since the last turn."""
+        old = self.old.get
+        out = {p: ids for p in pieces if (ids := old(p)) is not None}
+        missing = [p for p in pieces if p not in out] if out else pieces
+        # First pieces have nothing before them, so they can't stand among others.
+        first = [p for p in missing if p[0] == FIRST]
+        out.update((p, ids.tobytes()) for p, ids in zip(first, self._ids([p[1:] for p in first]), strict=True))
+        others = [p for p in missing if p[0] != FIRST] if first else missing
+        # A letter or digit and a mark after it are never in one pre-token: many new pieces are a known word and known marks.
+        ended = [(p, core) for p in others if p[-1] in MARKS and (core := p.rstrip(MARKS)) and core[-1] < LATIN_END and core[-1].isalnum()]
+        cores = {core for _, core in ended}
+        whole = list(cores.union(others).difference(p for p, _ in ended))
+        found = list(map(self.known.get, whole))
+        new = [p for p, ids in zip(whole, found, strict=True) if ids is None]
+        out.update((p, ids) for p, ids in zip(whole, found, strict=True) if ids is not None)
+        out.update(zip(new, self._joined([p if p[0] == "\n" else " " + p for p in new]), strict=True))
+        tails = list({p[len(core) :] for p, core in ended})
+        tail = dict(zip(tails, (ids.tobytes() for ids in self._ids(tails)), strict=True))
+        out.update((p, out[core] + tail[p[len(core) :]]) for p, core in ended)
+        kept = {p: ids for p, ids in out.items() if len(p) <= MAX_LENGTH}
+        self.known.update(kept)
+        self.bytes += ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
         return out
 
-    def learn(self, bare: Iterable[str], spaced: Iterable[str]) -> tuple[list[str], list[str]]:
-        """Have the ids of all these pieces; returns those that are too long to stay known."""
-        if len(self.bare) + len(self.spaced) > MAX_PIECES:
-            self.bare.clear()
-            self.spaced.clear()
-        bare, spaced = ({p for p in bare if p not in self.bare}, {p for p in spaced if p not in self.spaced})
-        # A letter or digit and a mark after it are never in one pre-token, so most new pieces are a word and known marks.
-        ended = [(known, p, core) for known, wanted in ((self.bare, bare), (self.spaced, spaced)) for p in wanted if (core := p.rstrip(MARKS)) != p and core and core[-1].isalnum() and core[-1] < LATIN_END]
-        tails = {p[len(core) :] for _, p, core in ended} - self.bare.keys()
-        passing = ([], [])
-        for known, wanted, before, long in ((self.bare, bare | tails, "", passing[0]), (self.spaced, spaced, " ", passing[1])):
-            whole = wanted - {p for k, p, _ in ended if k is known} | {core for k, _, core in ended if k is known and core not in known}
-            missing = list(whole)
-            for p, ids in zip(missing, self._coded([before + p for p in missing]), strict=True):
-                known[p] = ids
-            long += [p for p in missing if len(p) > MAX_LENGTH]
-        for known, p, core in ended:
-            known[p] = known[core] + self.bare[p[len(core) :]]
-            if len(p) > MAX_LENGTH:
-                passing[known is self.spaced].append(p)
-        return [*dict.fromkeys(passing[0])], [*dict.fromkeys(passing[1])]
-
-    def forget(self, bare: list[str], spaced: list[str]) -> None:
-        for p in bare:
-            del self.bare[p]
-        for p in spaced:
-            del self.spaced[p]
-
-    def _coded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, its blank before it included."""
-        out: list[bytes] = [b""] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] in " \n" and not p[1].isspace() and not p[-1].isspace()]
-        apart = set(range(len(pieces))).difference(joined)
-        for i, ids in zip(apart, self._ids([pieces[i] for i in apart]), strict=True):
-            out[i] = ids.tobytes()
-        strings = ["".join([pieces[i] for i in joined[a : a + JOINED]]) for a in range(0, len(joined), JOINED)]
+    def _joined(self, forms: list[str]) -> Iterator[bytes]:
+        """Ids of each piece, the blank or line end before it included."""
+        size = pc.binary_length(pa.array(forms, pa.string())).to_numpy().astype(np.int64)
         width = self.dtype.itemsize
-        for k, ids in enumerate(self._ids(strings)):
-            group = joined[k * JOINED : (k + 1) * JOINED]
-            ends = np.cumsum(self.spelt[ids])
-            wanted = np.cumsum([len(pieces[i].encode()) for i in group])
+        for at in range(0, len(forms), JOINED * CALL):
+            strings = ["".join(forms[a : a + JOINED]) for a in range(at, min(at + JOINED * CALL, len(forms)), JOINED)]
+            ids = np.concatenate(list(self._ids(strings)))
+            ends, wanted = np.cumsum(self.spelt[ids]), np.cumsum(size[at : at + JOINED * CALL])
             cuts = np.searchsorted(ends, wanted)
             if ends[-1] != wanted[-1] or (ends[cuts] != wanted).any():
                 raise ValueError("ids do not spell the bytes of the text")
             raw, a = ids.tobytes(), 0
-            for i, b in zip(group, ((cuts + 1) * width).tolist(), strict=True):
-                out[i] = raw[a:b]
+            for b in ((cuts + 1) * width).tolist():
+                yield raw[a:b]
                 a = b
-        return out
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), CALL):
@@ -146,12 +142,19 @@ class PieceEncoder:
                 yield np.array(e.ids, self.dtype)
 
 
+def stretches(text: str) -> list[str]:
+    """The text in parts of about ``STRETCH`` characters that are encoded independently."""
+    out, at = [], 0
+    while len(text) - at > STRETCH and (cut := _CUT.search(text, at + STRETCH)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 def encoder(path: str, specials_are_text: bool = False, dtype: str = "<u4") -> PieceEncoder:
     """The worker's encoder, made once per worker and file."""
     key = path, specials_are_text, dtype
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(*key)
-    return _encoders[key]
+    return remembered(("pieces", *key), lambda: PieceEncoder(*key))
 
 
 def narrowest(path: str, *more: int) -> str:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words everywhere here: space and \t \n \v \f \r.
 BLANKS = b" \t\n\x0b\x0c\r"
+T = TypeVar("T")
 COLUMNS_OF_DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -66,6 +68,17 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+_kept: dict = {}
+
+
+def remembered(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made by ``make``: of one operator at a time, so a later stage finds the memory free."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 
