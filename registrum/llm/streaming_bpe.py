@@ -16,9 +16,12 @@ then contractions, letter runs, single numbers, runs of other characters. String
 added tokens are tokens themselves. For pieces with characters beyond Latin the library's
 own normaliser and pre-tokeniser make the pre-tokens; the merges are always done here.
 
-Decoding. Tokens are joined by a space, as the library does for a file without a
-decoder (``pieces``), or turned back into text: byte letters to bytes, word ends to
-spaces, bytes to characters by a UTF-8 state machine that holds at most three bytes.
+Decoding. A state machine is fed with blocks of ids. Tokens are joined by a space, as the
+library does for a file without a decoder (``pieces``; the state is whether a token went before), or turned back into text: byte letters to
+bytes, word ends to spaces, bytes to characters by a UTF-8 machine that holds at most three bytes.
+
+Memory. Texts are split a block at a time; besides text and ids, what is held does not grow with the text,
+only with its longest piece without white space.
 
 Defined cases: null and empty texts have no tokens and decode to an empty text. Invalid
 UTF-8 in ``text`` mode gives U+FFFD. Unknown ids fail. Repeated rows stay rows. Columns
@@ -30,9 +33,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from collections.abc import Iterable, Iterator
-from functools import cache
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import slices, texts_of
+from registrum.llm.common import remembered, slices, texts_of
 
-MAX_WORDS, MAX_WORD = 250_000, 64
+#: Memory of the worker for words, in bytes; what a word takes besides its letters and ids; the longest that is remembered.
+MEMORY, ENTRY, MAX_WORD = 80 << 20, 180, 64
+#: Characters of a text that are split at once, and ids that are decoded at once.
+BLOCK, IDS = 1 << 18, 1 << 16
 WORD_END = "</w>"
 #: Bits of an id; a pair's ids, and a merge's rank and product, are packed into one number.
 BITS = 20
@@ -82,6 +86,10 @@ def lookahead(merges: list[tuple[int, int, int]], size: list[int]) -> int:
     return max(way, default=0) + 1  # whether the word ends is seen one byte later
 
 
+#: A state machine: takes the next ids and gives the text that is certain, then gives the rest.
+Decoder = tuple[Callable[[np.ndarray], str], Callable[[], str]]
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file with word ends."""
 
@@ -114,6 +122,7 @@ class Bpe:
         # Remembered ids, as the bytes of 32-bit numbers: of pieces as written, of pre-tokens.
         self.known: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.bytes = 0
         #: Bytes that each token spells, the space of a word end included.
         self.spelt = {i: bytes(self.byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END) for t, i in vocab.items()}
         self.spelt |= {i: t.encode() for t, i in self.added.items()}
@@ -189,6 +198,7 @@ class Bpe:
             if (ids := self.words.get(raw)) is not None:
                 yield ids
             elif len(raw) <= MAX_WORD:
+                self.bytes += ENTRY + 5 * len(raw)
                 self.words[raw] = ids = _ids(self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]]))
                 yield ids
             else:
@@ -204,10 +214,21 @@ class Bpe:
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text, as the bytes of 32-bit numbers."""
+        if len(text) <= BLOCK:
+            return self._block(text)
+        out, at = bytearray(), 0
+        while at < len(text):
+            end = m.start() if (m := SPACE.search(text, at + BLOCK)) else len(text)
+            out += self._block(text[at:end])
+            at = end
+        return bytes(out)
+
+    def _block(self, text: str) -> bytes:
         known = self.known
-        if len(known) > MAX_WORDS or len(self.words) > MAX_WORDS:
+        if self.bytes > MEMORY:
             known.clear()
             self.words.clear()
+            self.bytes = 0
         pieces = SPACE.split(text) if SEPARATORS.search(text) else text.split()
         found = [*map(known.get, pieces)]
         if None in found:
@@ -217,6 +238,7 @@ class Bpe:
                     found[i] = ids = self.word(piece)
                     if len(piece) <= MAX_WORD:
                         known[piece] = ids
+                        self.bytes += ENTRY + len(piece) + len(ids)
         return b"".join(found)
 
     def encode(self, text: str) -> list[int]:
@@ -224,32 +246,46 @@ class Bpe:
 
     # ---- decoding
 
-    def pieces(self, ids: pa.ListArray) -> pa.Array:
-        """What the library's decode gives for a file without a decoder, for every list; of a null one, an empty text."""
+    def joined(self) -> Decoder:
+        """What the library's decode gives for a file without a decoder: tokens with a space between."""
         if self.tokens is None:
             self.tokens = pa.array([self.token.get(i) for i in range(max(self.token) + 1)], pa.string())
-        tokens = self.tokens.take(ids.flatten())
-        if tokens.null_count:
-            raise KeyError("unknown id")
-        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text piece by piece: word ends become spaces, an unfinished character waits for its bytes."""
-        state, spelt, ids = codecs.getincrementaldecoder("utf-8")("replace"), self.spelt, iter(ids)
-        while part := [spelt[i] for i in islice(ids, 4096)]:
-            yield state.decode(b"".join(part))
-        yield state.decode(b"", final=True)
+        begun = False
+
+        def feed(ids: np.ndarray) -> str:
+            nonlocal begun
+            if not len(ids):
+                return ""
+            tokens = self.tokens.take(pa.array(ids))
+            if tokens.null_count:
+                raise KeyError("unknown id")
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens), " ")[0].as_py()
+            text, begun = " " + text if begun else text, True
+            return text
+
+        return feed, lambda: ""
+
+    def spelling(self) -> Decoder:
+        """The text that ids spell: word ends become spaces, an unfinished character waits for its bytes."""
+        state, spelt = codecs.getincrementaldecoder("utf-8")("replace"), self.spelt
+        return lambda ids: state.decode(b"".join([spelt[i] for i in ids.tolist()])), lambda: state.decode(b"", final=True)
+
+    def text(self, ids: Iterable[int] | np.ndarray, mode: str = "text") -> Iterator[str]:
+        """Text block by block."""
+        feed, finish = self.joined() if mode == "pieces" else self.spelling()
+        ids = ids if isinstance(ids, np.ndarray) else np.array([*ids], np.int64)
+        for at in range(0, len(ids), IDS):
+            yield feed(ids[at : at + IDS])
+        yield finish()
 
 
 def _ids(ids: list[int]) -> bytes:
     return np.array(ids, np.int32).tobytes()
 
 
-@cache
 def bpe(path: str) -> Bpe:
     """The worker's tokenizer."""
-    return Bpe(path)
+    return remembered(("bpe", path), lambda: Bpe(path))
 
 
 def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
@@ -275,10 +311,8 @@ def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
         model = bpe(path)
         for batch in slices(rows, "ids"):
             ids = batch.column("ids")
-            if mode == "pieces":
-                texts = model.pieces(ids)
-            else:
-                texts = pa.array(["".join(model.text(ids[i].values.to_pylist())) if ids[i].is_valid else "" for i in range(len(ids))], pa.string())
+            ends, flat = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).tolist(), ids.flatten().to_numpy(zero_copy_only=False)
+            texts = pa.array(["".join(model.text(flat[a:b], mode)) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
