@@ -8,7 +8,7 @@ least ``LITERALS`` words that are no placeholders are hashed. A capitalised word
 begins a sentence or line may be a name or not: its windows are hashed in both forms, on
 both sides.
 
-A document's windows first pass a Bloom filter of fixed size made from the benchmark's,
+A document's windows first pass a Bloom filter made from the benchmark's and sized by it,
 so nearly none of them is shuffled; those that pass are hash-joined with the
 benchmark's windows. Each hit tells at which offset between item and document it lies.
 For one item, document and offset, all hits are gathered and their slots compared: each
@@ -29,7 +29,10 @@ besides those named are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from registrum.llm.common import only, shared_folder, slices, texts_of, written
+from registrum.llm.common import only, remembered, shared_folder, slices, texts_of, written
 
 WINDOW, LITERALS, COVER = 8, 4, 0.3
-#: Bits of the filter on benchmark windows, whatever the benchmark's size; a fuller filter only passes more on.
-FILTER_BITS = 1 << 23
+#: The filter on benchmark windows has at most 2 to this many bits.
+MOST_BITS = 27
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Units of measure and money, fixed.
 UNITS = frozenset(
@@ -54,6 +57,7 @@ UNITS = frozenset(
 EDGES = re.compile(r"^[^\w$€£%<]+|[^\w$€£%>]+$")
 NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?%?$")
 NUMBER_UNIT = re.compile(r"^([+-]?\d[\d.,]*)([a-z%€£$]+)$")
+MARKS = ".,;:!?"
 STOPS = (".", "!", "?", ":", ";", "\"", "»", "”")
 NAME_WORDS = re.compile(r"^[^\W\d_][\w'’.-]*$")
 #: Odd factors of a window's places.
@@ -105,10 +109,11 @@ def template_forms(text: str) -> tuple[list[str], list[str], list[bool]]:
     return words, slots, [initial.get(i, False) for i in range(len(words))]
 
 
-def window_hashes(codes: np.ndarray, literal: np.ndarray, initial: np.ndarray, size: int = WINDOW, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(codes: np.ndarray, literal: np.ndarray, initial: np.ndarray, size: int = WINDOW, exact: bool = False, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, form) of each window of ``size`` template words, given by their codes, with enough literals; ``exact`` ones need none.
 
-    Bits of the form tell which words that begin a sentence are taken for names.
+    Bits of the form tell which words that begin a sentence are taken for names. With ``doc``,
+    the words are those of several texts, and windows stay inside each.
     """
     n = len(codes) - size + 1
     if n < 1:
@@ -118,7 +123,10 @@ def window_hashes(codes: np.ndarray, literal: np.ndarray, initial: np.ndarray, s
     h = np.full(n, size + exact * 2 * WINDOW, np.uint64)
     for i in range(size):
         h += codes[i : i + n] * PLACES[i]
-    at = np.arange(n) if exact else np.flatnonzero(count >= LITERALS)
+    wanted = np.ones(n, bool) if exact else count >= LITERALS
+    if doc is not None:
+        wanted &= doc[size - 1 :] == doc[:n]
+    at = np.flatnonzero(wanted)
     h, count, form = h[at], count[at], np.zeros(len(at), np.int64)
     if not exact and initial.any():
         change = np.uint64(Words.NAME_CODE) - codes
@@ -147,63 +155,121 @@ def window_slots(words: list[str], slots: list[str], at: int, form: int, size: i
     return [words[at + i] if form >> i & 1 else slots[at + i] for i in range(size)]
 
 
-class Words:
-    """What each word as written means for a template: remembered, as words recur."""
+class Words(dict):
+    """Numbers of words as written, and for each number what it means for a template: remembered, as words recur."""
 
-    NAME_CODE = xxhash.xxh64_intdigest(NAME)
-    MOST = 250_000
+    NAME_CODE, NUM_CODE, UNIT_CODE = (xxhash.xxh64_intdigest(w) for w in (NAME, NUM, UNIT))
+    #: Bytes that may be remembered, and what a word takes besides its characters.
+    MEMORY, ENTRY = 96 << 20, 190
+    ENDS, EMPTY, MAY_NAME, NUMBER, IS_UNIT, BOTH = 1, 2, 4, 8, 16, 32
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def look(self, raw: str) -> tuple[int, int]:
-        """(code of the plain word, flags): 1 ends a sentence, 2 nothing is left of it, 4 may be a name, 8 needs ``template``."""
-        core = EDGES.sub("", raw)
-        low = core.lower()
-        flags = raw.endswith(STOPS) | (not core) << 1
-        if core:
-            flags |= (core[0].isupper() and not core.isupper() and bool(NAME_WORDS.match(core))) << 2
-            flags |= bool(NUMBER.match(low) or NUMBER_UNIT.match(low)) << 3
-        return xxhash.xxh64_intdigest(low), flags
-
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(code, literal, may be a name that begins a sentence, code as written) of every template word; None if the text has numbers, which take ``template``."""
-        known = self.known
-        if len(known) > self.MOST:
-            known.clear()
-        raw = text.split()
-        found = [known.get(w) for w in raw]
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = known.setdefault(raw[i], self.look(raw[i]))
-        if not found:
-            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.uint64)
-        code, flags = zip(*found, strict=True)
-        code, flags = np.array(code, np.uint64), np.array(flags, np.uint8)
-        if (flags & 8).any():
-            return None
-        empty = flags & 2 > 0
-        begins = np.append(True, flags[:-1] & 1 > 0)
-        lines = np.cumsum([len(x.split()) for x in text.split("\n")])[:-1]
-        begins[lines[lines < len(begins)]] = True
+        super().__init__()
+        self.bytes = 0
+        self.code, self.plain, self.flags = array("Q"), array("Q"), bytearray()
+
+    def __missing__(self, raw: str) -> int:
+        """A new word: code in a template, code as written, and whether it ends a sentence, is empty, may be a name, a number, a unit after a number, or both in one."""
+        flags = self.ENDS if raw.endswith(STOPS) else 0
+        core = raw[:-1] if raw[-1] in MARKS else raw
+        if core.isalpha():  # the usual word; its letters say it all
+            low = core.lower()
+            code = plain = xxhash.xxh64_intdigest(low)
+            if low in UNITS:
+                flags |= self.IS_UNIT
+            if core[0].isupper() and not core.isupper():
+                flags |= self.MAY_NAME
+        else:
+            core = EDGES.sub("", raw)
+            low = core.lower()
+            code = plain = xxhash.xxh64_intdigest(low)
+            if not core:
+                flags |= self.EMPTY
+            elif NUMBER.match(low):
+                flags |= self.NUMBER
+                plain = xxhash.xxh64_intdigest(low.strip(".,"))
+            else:
+                if low in UNITS:
+                    flags |= self.IS_UNIT
+                if (m := NUMBER_UNIT.match(low)) and m[2] in UNITS:
+                    flags |= self.BOTH
+                if core[0].isupper() and not core.isupper() and NAME_WORDS.match(core):
+                    flags |= self.MAY_NAME
+        self.code.append(code)
+        self.plain.append(plain)
+        self.flags.append(flags)
+        self.bytes += self.ENTRY + len(raw)
+        number = self[raw] = len(self.flags) - 1
+        return number
+
+    def templates(self, texts: list[str]) -> Templates:
+        """The template words of all texts, one after the other."""
+        if self.bytes > self.MEMORY:
+            self.clear()
+            self.__init__()
+        words: list[str] = []
+        lines: list[int] = []
+        counts: list[int] = []
+        for text in texts:
+            before = len(words)
+            for line in text.split("\n"):
+                lines.append(len(words))
+                words += line.split()
+            counts.append(len(words) - before)
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        flags = np.frombuffer(bytes(self.flags), np.uint8)[number]
+        doc = np.repeat(np.arange(len(texts)), counts)
+        begins = np.ones(len(words) + 1, bool)
+        begins[1:] = flags & self.ENDS > 0
+        begins[lines] = True
+        empty = flags & self.EMPTY > 0
         for i in np.flatnonzero(empty):  # a word of which nothing is left hands on that a sentence begins
-            if i + 1 < len(begins):
-                begins[i + 1] |= begins[i]
-        name = (flags & 4 > 0) & ~begins
-        initial = (flags & 4 > 0) & begins
-        plain = code[~empty]
-        code[name] = self.NAME_CODE
-        return code[~empty], ~name[~empty], initial[~empty], plain
-
-
-_words: list[Words] = []
+            begins[i + 1] |= begins[i]
+        there = np.flatnonzero(~empty)
+        number, flags, doc, begins = number[there], flags[there], doc[there], begins[there]
+        num = flags & self.NUMBER > 0
+        unit = flags & self.IS_UNIT > 0
+        unit[1:] &= num[:-1] & (doc[1:] == doc[:-1])
+        unit[:1] = False
+        may = (flags & self.MAY_NAME > 0) & ~unit
+        name = may & ~begins
+        code = np.frombuffer(self.code.tobytes(), np.uint64)[number]
+        plain = np.frombuffer(self.plain.tobytes(), np.uint64)[number]
+        for mask, placeholder in ((num, self.NUM_CODE), (unit, self.UNIT_CODE), (name, self.NAME_CODE)):
+            code[mask] = placeholder
+        return Templates(code, ~(num | unit | name), may & begins, plain, doc, set(doc[flags & self.BOTH > 0].tolist()))
+
+
+class Templates(NamedTuple):
+    """Of each word: code in the template, whether it is no placeholder, may be a name that begins a sentence, code as written, number of its text. ``split``: texts with a word that makes two."""
+
+    code: np.ndarray
+    literal: np.ndarray
+    initial: np.ndarray
+    plain: np.ndarray
+    doc: np.ndarray
+    split: set[int]
+
+
+def filter_bits(windows: int) -> int:
+    """Bits of the filter on so many benchmark windows: 16 each, within bounds; a fuller filter only passes more on."""
+    return 1 << min(max((16 * windows).bit_length(), 20), MOST_BITS)
+
+
+def places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Three places in a filter of ``size`` bits for each hash."""
+    u = h.view(np.uint64)
+    for shift in (0, 21, 37):
+        yield ((u >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def bits(h: np.ndarray) -> Iterator[np.ndarray]:
-    u = h.view(np.uint64)
-    for shift in (0, 21, 41):
-        yield ((u >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def passing(h: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass."""
+    ok = np.arange(len(h))
+    for shift in range(3):
+        at = next(islice(places(h[ok], 64 * len(marked)), shift, None))
+        ok = ok[(marked[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return ok
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -231,46 +297,41 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def window_filter(items: DataFrame) -> np.ndarray:
-    """Bits of the filter, as bytes; each task marks its own and they are joined by ``or`` per byte range."""
+    """Bits of the filter, in words of 64; each task marks its own and they are joined by ``or`` per word."""
+    size = filter_bits(items.count())
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.unique(np.concatenate(list(bits(h)))) if len(h) else np.zeros(0, np.int64)
+            at = np.unique(np.concatenate(list(places(h, size)))) if len(h) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "bit"])
 
     found = items.select("h").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    rows = found.toArrow()  # at most FILTER_BITS / 64 rows
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    rows = found.toArrow()  # at most a row for each 64 bits
+    out = np.zeros(size // 64, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def document_hits(docs: DataFrame, marked: np.ndarray, kinds: list[tuple[int, bool]]) -> DataFrame:
     """Windows of documents that pass the filter: doc_id, h, at, slots."""
-    shared = docs.sparkSession.sparkContext.broadcast(marked)  # FILTER_BITS, whatever the benchmark's size
+    shared = docs.sparkSession.sparkContext.broadcast(marked)  # at most 2 ** MOST_BITS bits
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_bits = shared.value
-        if not _words:
-            _words.append(Words())  # kept by the worker
-
-        def passing(h: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(h), bool)
-            for b in bits(h):
-                ok &= (filter_bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-            return np.flatnonzero(ok)
-
+        looked = remembered("template words", Words)
         for batch in slices(rows, "text"):
+            texts, ids = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
+            made = looked.templates(texts)
+            hit = set(made.split)
+            for size, exact in kinds:
+                h, at, _ = window_hashes(made.plain if exact else made.code, made.literal, made.initial, size, exact, made.doc)
+                hit.update(made.doc[at[passing(h, shared.value)]].tolist())
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                quick = _words[0].codes(text)
-                if quick is not None and not any(len(passing(window_hashes(quick[3 * exact], quick[1], quick[2], size, exact)[0])) for size, exact in kinds):
-                    continue
-                words, slots, initial = template_forms(text)  # the slots are only needed where a window passes
+            for i in sorted(hit):  # slots are only needed where a window passes
+                words, slots, initial = template_forms(texts[i])
                 for size, exact in kinds:
                     h, at, form = windows(words, slots, initial, size, exact)
-                    out += [(doc, int(h[i]), int(at[i]), window_slots(words, slots, at[i], form[i], size, exact)) for i in passing(h)]
+                    out += [(ids[i], int(h[k]), int(at[k]), window_slots(words, slots, at[k], form[k], size, exact)) for k in passing(h, shared.value)]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "h", "at", "slots"])
 

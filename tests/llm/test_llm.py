@@ -378,7 +378,7 @@ def test_decontamination(spark):
     data = [(1, f"Before it. {ITEM} After."), (2, f"Before it. {other} After."), (3, "nothing of the kind is in this text about other things, at all"), (4, None), (5, "Short item, of five words."), (6, "a short item of five words"), (7, torn), (1, f"Before it. {ITEM} After."), (None, ITEM)]
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in data], "doc_id long, text string, h long, item_id string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
-    assert set(got) >= {(1, 1), (2, 1), (5, 3)} and {d for d, _ in got} <= {1, 2, 5, 7}
+    assert set(got) >= {(1, 1), (2, 1), (5, 3), (6, 3)} and {d for d, _ in got} <= {1, 2, 5, 6, 7}  # a short item is found inside longer texts too
     assert got[1, 1].n_changed == 0 and got[2, 1].n_changed == 3 and got[1, 1]["cover"] == 1.0
     assert (7, 1) not in got or got[7, 1]["cover"] < 1
     assert decontaminate.contaminated(empty(docs), items).count() == 0
@@ -394,14 +394,27 @@ def test_decontamination_finds_planted(spark, small):
     assert whole and whole <= got
 
 
-def test_quick_codes_are_the_template(rows):
+def test_batched_codes_are_the_template(rows):
     looked = decontaminate.Words()
-    texts = [*(t for _, t in rows), *(t or "" for _, t in ODD), "Then Paris.\nThen -- Paris and (Rome) ran! Paris", "... A Bc. -- Dd Ee\n\n Ff Gg", "NATO and Nato met Mr. Smith"]
-    quick = 0
-    for text in texts:
-        if (got := looked.codes(text)) is not None:
-            words_, slots = decontaminate.template(text)
-            assert got[0].tolist() == [xxhash.xxh64_intdigest(w) for w in words_]
-            assert got[1].tolist() == [not s for s in slots]
-            quick += 1
-    assert quick > len(texts) / 2
+    texts = [*(t for _, t in rows), *(t or "" for _, t in ODD), "Then Paris.\nThen -- Paris and (Rome) ran! Paris", "... A Bc. -- Dd Ee\n\n Ff Gg", "NATO and Nato met Mr. Smith", "5 km and 7 -- Kg, 3,\nmiles 12. 9 9 days", "He ran 5km in 2h with 7x", "km 5", "-- 5", "km"]
+    made = looked.templates(texts)
+    for i, text in enumerate(texts):
+        if i in made.split:
+            continue
+        words_, slots, initial = decontaminate.template_forms(text)
+        own = made.doc == i
+        assert made.code[own].tolist() == [xxhash.xxh64_intdigest(w) for w in words_], text
+        assert made.literal[own].tolist() == [not s for s in slots]
+        assert made.initial[own].tolist() == initial
+        assert made.plain[own].tolist() == [xxhash.xxh64_intdigest(s or w) for w, s in zip(words_, slots, strict=True)]
+    assert 0 < len(made.split) < len(texts) / 10
+
+
+def test_filter_grows_with_the_benchmark():
+    assert decontaminate.filter_bits(1) == 1 << 20 and decontaminate.filter_bits(10**6) == 1 << 24 and decontaminate.filter_bits(10**12) == 1 << decontaminate.MOST_BITS
+    h = np.random.default_rng(8).integers(-(1 << 62), 1 << 62, 1000)
+    marked = np.zeros((1 << 20) // 64, np.uint64)
+    for at in decontaminate.places(h[:500], 1 << 20):
+        np.bitwise_or.at(marked, at >> 6, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)))
+    found = decontaminate.passing(h, marked).tolist()
+    assert found[:500] == list(range(500)) and len(found) < 510
