@@ -143,12 +143,12 @@ def by_marks(marks: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
     return lambda i, others: (marks[others] == marks[i]).sum(1, dtype=np.int32) >= AGREE
 
 
-def by_sets(sets: list[np.ndarray], marks: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+def by_sets(sets: list[np.ndarray], marks: np.ndarray | None = None) -> Callable[[int, np.ndarray], np.ndarray]:
     size = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(size)
     marked = np.zeros(len(codes), bool)
-    maybe = by_marks(marks)
+    maybe = by_marks(marks) if marks is not None else lambda i, others: np.ones(len(others), bool)
 
     def close(i: int, others: np.ndarray) -> np.ndarray:
         linked = maybe(i, others)
@@ -164,18 +164,23 @@ def by_sets(sets: list[np.ndarray], marks: np.ndarray) -> Callable[[int, np.ndar
     return close
 
 
-def in_groups(rows: DataFrame, parts: str, *group: str) -> DataFrame:
-    """``rows`` dealt by ``group``; those with several ``parts`` stand in a group for each two of them."""
+def parted(rows: DataFrame, parts: str) -> DataFrame:
+    """``rows`` with ``_low`` and ``_high``: those of groups with several ``parts`` stand in a group for each two of them."""
     part = F.pmod(F.xxhash64(F.lit(1), "node", "key"), F.col(parts)).cast("int")
     other = F.explode(F.when(F.col(parts) == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col(parts).cast("int") - 1), F.col("_part"))))
     dealt = rows.withColumn("_part", part).withColumn("_other", other)
-    dealt = dealt.withColumn("_low", F.least("_part", "_other")).withColumn("_high", F.greatest("_part", "_other"))
-    return dealt.repartition(*group, "_low", "_high").sortWithinPartitions(*group, "_low", "_high")
+    return dealt.withColumn("_low", F.least("_part", "_other")).withColumn("_high", F.greatest("_part", "_other"))
+
+
+def in_groups(rows: DataFrame, parts: str, *group: str) -> DataFrame:
+    """``parted`` rows, dealt by group."""
+    return parted(rows, parts).repartition(*group, "_low", "_high").sortWithinPartitions(*group, "_low", "_high")
 
 
 def forests(rows: DataFrame, bulk: str, *group: str) -> DataFrame:
     """(a, b) links that connect what is linked inside each group of ``in_groups``: by marks, and by whole sets if the rows have them."""
-    keys, whole = [*group, "_low", "_high"], "set" in rows.columns
+    keys = [*group, "_low", "_high"]
+    given = [c for c in ("node", "n", "marks", "set") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list | None = None
@@ -184,13 +189,13 @@ def forests(rows: DataFrame, bulk: str, *group: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[1], r[0]))
             node, size = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-            marks = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1)
-            root = united(by_sets([np.frombuffer(r[3], np.uint64) for r in held], marks) if whole else by_marks(marks), size)
+            marks = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1) if "marks" in given else None
+            root = united(by_sets([np.frombuffer(r[-1], np.uint64) for r in held], marks) if "set" in given else by_marks(marks), size)
             moved = np.flatnonzero(node != node[root])
             return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["a", "b"])
 
         for batch in slices(batches, bulk, 1 << 22):
-            columns = [batch.column(c).to_pylist() for c in (*keys, "node", "n", "marks", *(["set"] if whole else []))]
+            columns = [batch.column(c).to_pylist() for c in (*keys, *given)]
             for row in zip(*columns, strict=True):
                 if list(row[: len(keys)]) != now:
                     if len(held) > 1:
@@ -200,20 +205,16 @@ def forests(rows: DataFrame, bulk: str, *group: str) -> DataFrame:
         if len(held) > 1:
             yield out()
 
-    return in_columns(rows, keys, whole).mapInArrow(run, "a long, b long")
-
-
-def in_columns(rows: DataFrame, keys: list[str], whole: bool) -> DataFrame:
-    return rows.select(*keys, "node", "n", "marks", *(["set"] if whole else []))
+    return rows.select(*keys, *given).mapInArrow(run, "a long, b long")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``nodes`` (node, key, ...) with their sets, made again from the texts of their documents; one row a node and key."""
     others = [c for c in nodes.columns if c not in ("node", "key")]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(rows, "text", 1 << 20):
-            made = [s.tobytes() for s in sets_of(texts_of(batch.column("text")))]
+            made = [s.tobytes() for s in sets_of(texts_of(batch.column("text")), shingle)]
             fits = [m if xxhash.xxh3_128_digest(m) == k else None for m, k in zip(made, batch.column("key").to_pylist(), strict=True)]  # one id may have several texts
             columns = {c: batch.column(c) for c in ("node", "key", *others)} | {"set": pa.array(fits, pa.binary())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -236,14 +237,13 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
     return components(found, f"{folder}/candidates")
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, joined: DataFrame, folder: str) -> DataFrame:
-    """(a, b) links between nodes of the same candidate component, by their whole sets."""
+def confirmed(docs: DataFrame, nodes: DataFrame, joined: DataFrame, folder: str, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b) links between nodes (node, key, n, if given marks) of the same candidate component (node, component), by their whole sets."""
     least = joined.groupBy("component").agg(F.min("component").alias("node")).select("node", "component")
-    inside = nodes.select("node", "key", "n", "marks").join(joined.unionByName(least), "node")
-    sets = written(whole_sets(docs, inside), f"{folder}/sets")
+    inside = nodes.select("node", "key", "n", *[c for c in nodes.columns if c == "marks"]).join(joined.unionByName(least), "node")
+    sets = written(whole_sets(docs, inside, shingle), f"{folder}/sets")
     sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("bytes"))
     sizes = sizes.where("count > 1").select("component", F.greatest(F.ceil(F.col("count") / GROUP), F.ceil(8 * F.col("bytes") / GROUP_BYTES)).alias("parts"))
-    # More parts than rows bring nothing.
     return forests(in_groups(sets.join(sizes, "component"), "parts", "component"), "set", "component")
 
 

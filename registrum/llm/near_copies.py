@@ -1,24 +1,29 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash proposes, the whole sets decide.
-
-Shingles are those of ``simhash`` (words of the lower-cased text, XXH64) with five words
-instead of three. Texts with equal sets are one node. At a similarity of 0.8 SimHash
-fingerprints differ in about ten of 64 bits, give or take three, which no deal of blocks
-finds; so candidates come from ``BANDS`` bands of ``ROWS`` minima each. A pair with
-similarity s shares a band with chance 1 - (1 - s ** ROWS) ** BANDS: at 0.8 it is missed
-once in 1.7 million. Buckets with the same rows count once. Crowded buckets are split
-into parts of which every two meet in one group, as in ``simhash``.
-
-Every two rows of a group that nothing unites yet are compared by their whole sets, and
-linked from ``LEAST`` on; a chance meeting links nothing. Only texts that share a bucket
-are read again for their sets.
-
-Defined cases: texts of one to four words are one shingle; null texts and texts without
-words have the empty set, and are alike. Rows with the same ``doc_id`` are one node; rows
-with a null ``doc_id`` link nothing. Columns besides those named are not read.
+"""Near copies by SimHash over five-word shingles: bit-sliced distances propose, the whole sets decide.
+
+Sets are those of ``circulant_minhash`` with ``SHINGLE`` words; texts with equal sets are one
+node. A fingerprint has ``WIDTH`` bits, each set if more than half of the shingles' hashes
+have it. Two sets of Jaccard similarity s have an angle with cosine 2 s / (1 + s) and differ in each
+bit with the angle over pi: at 0.8 in 19 of 128 bits, give or take four. Radius three of
+op4 would find almost none of these, and no radius can be served by blocks of bits that must
+agree. So each fingerprint is dealt to several tables, each by its own choice of bits, so many
+bits that groups hold about ``ROWS`` rows of unlike texts, and so many tables that a pair at 0.8 meets in none
+with chance ``MISS``; both follow from the number of nodes, recall does not. Tables grow with
+the number of nodes to the power of 0.24.
+
+In each group, distances up to ``RADIUS`` are found by the bit-sliced comparison of ``simhash``
+(carry-save counters over vertical bit planes, blocks of pairs left as soon as all have passed the radius); crowded groups are
+split into parts of which every two meet. Texts of a component of such pairs come together once,
+and are linked if the Jaccard similarity of their whole sets is 0.8 or more.
+
+Defined cases: texts of one to four words are one shingle; null texts and texts without words
+have the empty set, and are alike. Very long texts are sets like others; a row longer than a batch's slice is worked off alone.
+Rows with the same ``doc_id`` are one node; rows with a null ``doc_id`` link nothing and have a null component.
+Repeated rows and copies cost one node. An empty table gives no rows. Columns besides ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,146 +32,77 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from registrum.llm import circulant_minhash as sets
+from registrum.llm import simhash
 from registrum.llm.common import only, shared_folder, slices, texts_of, written
 from registrum.llm.components import components
-from registrum.llm.simhash import SEED
 
-SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 20, 3
-GROUP = 1024
-_random = np.random.default_rng(SEED)
-KEYS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-FACTORS = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+SHINGLE, WIDTH, RADIUS = 5, 128, 34
+#: Chance that a pair at the threshold meets in no table, and rows of unlike texts in a group.
+MISS, ROWS = 0.001, 256
+#: Rows of a part of a crowded group.
+GROUP = 2048
+DIFFER = math.acos(2 * sets.PERCENT / (100 + sets.PERCENT)) / math.pi
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    strings = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False))
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in strings], np.uint64))
-
-
-def key(found: np.ndarray) -> int:
-    """One number for the whole set."""
-    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
-
-
-def bands(found: np.ndarray) -> np.ndarray:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(found), 1 << 12):
-        part = found[i : i + (1 << 12)]
-        for j in range(BANDS * ROWS):
-            least[j] = min(least[j], ((part ^ KEYS[j]) * FACTORS[j]).min())
-    out = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """Two words of the fingerprint of a set."""
+    counts = np.zeros(WIDTH, np.int64)
+    for i in range(0, len(found), 1 << 13):
+        h = found[i : i + (1 << 13)]
+        more = (h ^ (h >> np.uint64(32))) * SECOND
+        both = np.column_stack([h, more ^ (more >> np.uint64(29))])
+        counts += np.unpackbits(both.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found), bitorder="little").view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, bands); the empty set has no bands."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(rows, "text"):
-            sets = [shingles(t) for t in texts_of(batch.column("text"))]
-            keys = np.array([key(s) for s in sets], np.uint64).view(np.int64)
-            made = pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys), made], ["doc_id", "key", "bands"])
-
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, key long, bands array<long>")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, set) of the nodes (node, key), from the texts of their documents."""
+    """(doc_id, n, key, p0, p1): size and digest of the set, and its fingerprint."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(rows, "text"):
-            sets = [shingles(t) for t in texts_of(batch.column("text"))]
-            keys = batch.column("key").to_pylist()
-            fits = [s.tobytes() if int(np.uint64(key(s)).view(np.int64)) == k else None for s, k in zip(sets, keys, strict=True)]  # one id may have several texts
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fits, pa.binary())], ["key", "set"])
-
-    named = only(docs, "doc_id", "text").withColumnRenamed("doc_id", "node").join(nodes, "node").select("key", "text")
-    return named.mapInArrow(run, "key long, set binary").where("set IS NOT NULL").dropDuplicates(["key"])
-
-
-def forest(node: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Links that connect all rows of one group whose sets reach ``LEAST``."""
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    size, node, sets = size[order], node[order], [sets[i] for i in order]
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    ends = np.cumsum(size)
-    marked = np.zeros(len(codes), bool)
-    root = np.arange(len(sets))
-    a: list[int] = []
-    b: list[int] = []
-    for i in range(len(sets) - 1):
-        until = np.searchsorted(size, size[i] / LEAST, side="right")  # larger sets can't reach it
-        others = i + 1 + np.flatnonzero(root[i + 1 : until] != root[i])
-        if not len(others):
-            continue
-        own = codes[ends[i] - size[i] : ends[i]]
-        marked[own] = True
-        for j in others:
-            both = int(marked[codes[ends[j] - size[j] : ends[j]]].sum())
-            if both >= LEAST * (size[i] + size[j] - both):
-                a.append(int(node[i]))
-                b.append(int(node[j]))
-                root[root == root[j]] = root[i]
-        marked[own] = False
-    return a, b
-
-
-def links(docs: DataFrame, reps: DataFrame, folder: str) -> DataFrame:
-    """(a, b) links between the keys of nodes (node, key, bands) that reach ``LEAST``."""
-    rows = reps.select("key", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("count"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"), F.min("key").alias("least")).where("count > 1")
-    # Buckets with the same rows are one.
-    sizes = sizes.groupBy("count", "mark", "least").agg(F.min(F.struct("band", "bucket")).alias("x")).select("count", "x.*")
-    rows = written(rows.join(sizes, ["band", "bucket"]).withColumn("parts", F.ceil(F.col("count") / GROUP).cast("int")), f"{folder}/members")
-    sets = sets_of(docs, reps.join(rows.select("key").distinct(), "key", "left_semi").select("node", "key"))
-    part = F.pmod(F.xxhash64(F.lit(1), "key"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), part)))
-    rows = rows.withColumn("part", part).withColumn("other", other).join(sets, "key")
-    group = ["band", "bucket", "low", "high"]
-    rows = rows.select("band", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "key", "set")
-    rows = rows.repartition(*group).sortWithinPartitions(*group)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, node, sets = None, [], []
-
-        def out() -> pa.RecordBatch:
-            found = forest(np.array(node, np.int64), sets)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
-
-        for batch in slices(batches, "set"):
-            for *here, n, s in zip(*[batch.column(c).to_pylist() for c in (*group, "key", "set")], strict=True):
-                if here != now and now is not None:
-                    yield out()
-                    node, sets = [], []
-                now = here
-                node.append(n)
-                sets.append(np.frombuffer(s, np.uint64))
-        if now is not None:
-            yield out()
-
-    return rows.mapInArrow(run, "a long, b long")
+        for batch in slices(rows, "text", 1 << 20):
+            made = sets.sets_of(texts_of(batch.column("text")), SHINGLE)
+            prints = np.array([fingerprint(s) for s in made], np.int64).reshape(-1, 2)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in made]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in made], pa.int64()), pa.array(keys, pa.binary()), pa.array(prints[:, 0]), pa.array(prints[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "p0", "p1"])
+
+    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, p0 long, p1 long")
+
+
+def tables(nodes: int) -> list[tuple[int, int]]:
+    """For each table, the bits that must agree, as two signed words."""
+    bits = min(max(4, math.ceil(math.log2(max(nodes, 1) / ROWS))), WIDTH // 2)
+    many = math.ceil(math.log(MISS) / math.log(1 - (1 - DIFFER) ** bits))
+    pick = np.random.default_rng(bits)
+    out = []
+    for _ in range(many):
+        chosen = np.zeros(WIDTH, bool)
+        chosen[pick.choice(WIDTH, bits, replace=False)] = True
+        out.append(tuple(np.packbits(chosen, bitorder="little").view(np.int64).tolist()))
+    return out
+
+
+def candidates(nodes: DataFrame, folder: str) -> DataFrame:
+    """(node, component) of the nodes (node, key, p0, p1) that others come near."""
+    dealt = F.array(*[F.xxhash64(F.lit(t), F.col("p0").bitwiseAND(F.lit(a)), F.col("p1").bitwiseAND(F.lit(b))) for t, (a, b) in enumerate(tables(nodes.count()))])
+    rows = nodes.select("node", "key", "p0", "p1", F.explode(dealt).alias("bucket"))
+    crowded = written(rows.groupBy("bucket").count().where(F.col("count") > GROUP), f"{folder}/crowded")
+    rows = rows.join(crowded, "bucket", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / GROUP), F.lit(1)))
+    return components(simhash.linked(sets.parted(rows, "parts"), ["bucket", "_low", "_high"], ["p0", "p1"], RADIUS), f"{folder}/candidates")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach) of every row."""
     folder = shared_folder(docs.sparkSession)
     made = written(sketches(docs), f"{folder}/sketches")
-    reps = written(made.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), f"{folder}/reps")
-    found = written(links(docs, reps, folder), f"{folder}/links")
-    name = reps.select("key", "node")
-    found = found.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    # All texts of one id stand for it, so they tie what is alike to any of them.
-    own = made.where("doc_id IS NOT NULL").join(name, "key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    joined = components(found.unionByName(own), f"{folder}/components")
+    named = made.where("doc_id IS NOT NULL")
+    nodes = written(named.groupBy("key").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "p0", "p1")]), f"{folder}/nodes")
+    full = nodes.where("n > 0")
+    links = written(sets.confirmed(docs, full.select("node", "key", "n"), candidates(full, folder), folder, SHINGLE), f"{folder}/links")
+    # Copies hang on their node; all texts of one id stand for it, so they tie what is alike to any of them.
+    own = named.select("doc_id", "key").distinct().join(nodes.select("key", "node"), "key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    joined = components(links.unionByName(own), f"{folder}/components")
     out = made.select("doc_id").join(joined, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -80,16 +80,17 @@ def masks() -> list[int]:
 
 
 class Sliced:
-    """Bit planes of rows whose groups stand together, larger groups first."""
+    """Bit planes of rows whose groups stand together, larger groups first. Fingerprints are one or more 64-bit words each."""
 
-    def __init__(self, fp: np.ndarray, group: np.ndarray):
-        self.n = len(fp)
+    def __init__(self, fp: np.ndarray, group: np.ndarray, radius: int = RADIUS):
+        self.n, self.radius = len(fp), radius
         words = -(-self.n // 64) + STRIDE + 2
         self.group = np.full(words * 64 + 64, -1, np.int64)
         self.group[: self.n] = group
-        rows = np.zeros((words * 64, 8), np.uint8)
-        rows[: self.n] = fp.view(np.uint8).reshape(-1, 8)
-        planes = np.unpackbits(rows, axis=1, bitorder="little").T  # 64 planes of one bit a row
+        bits = np.ascontiguousarray(fp).view(np.uint8).reshape(self.n, -1)
+        rows = np.zeros((words * 64, bits.shape[1]), np.uint8)
+        rows[: self.n] = bits
+        planes = np.unpackbits(rows, axis=1, bitorder="little").T  # planes of one bit a row
         self.planes = np.ascontiguousarray(np.packbits(planes, axis=1, bitorder="little")).view("<u8")
 
     def close(self, d: int, count: int, active: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +108,21 @@ class Sliced:
             later = np.lib.stride_tricks.sliding_window_view(self._groups(low + d, width + count - 1), width)
             own = self._groups(low, width)
             over = ~np.packbits(later == np.where(own < 0, -2, own), axis=1, bitorder="little").view("<u8")
-            ones, twos = np.zeros((count, n), np.uint64), np.zeros((count, n), np.uint64)
-            for j in range(64):
-                plane = self.planes[j]
+            # Counters by bit planes, begun so that the radius is the last number before they run over.
+            digits = self.radius.bit_length()
+            spare = (1 << digits) - 1 - self.radius
+            counters = [np.full((count, n), FULL if spare >> b & 1 else 0, np.uint64) for b in range(digits)]
+            for j, plane in enumerate(self.planes):
                 if at + skip + n + 1 > len(plane):
                     plane = np.append(plane, np.zeros(at + skip + n + 1 - len(plane), np.uint64))
                 first, second = plane[at + skip : at + skip + n], plane[at + skip + 1 : at + skip + 1 + n]
                 differ = (first >> by) | ((second << np.uint64(1)) << (np.uint64(63) - by))
                 differ ^= plane[at : at + n]
-                carry = ones & differ
-                ones ^= differ
-                over |= twos & carry
-                twos ^= carry
+                for counter in counters:
+                    carry = counter & differ
+                    counter ^= differ
+                    differ = carry
+                over |= differ
                 if j % 8 == 7 and (over == FULL).all():
                     break
             else:
@@ -134,7 +138,7 @@ class Sliced:
         return part if len(part) == width else np.append(part, np.full(width - len(part), -1))
 
 
-def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """(node, smaller node) links that connect all rows within the radius in the same group. Rows of a group adjoin."""
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(first, len(group)))
@@ -142,7 +146,7 @@ def forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     fp, node, group = fp[order], node[order], group[order]
     size = np.sort(size)[::-1]
     ends = np.cumsum(size)
-    sliced = Sliced(np.ascontiguousarray(fp), group)
+    sliced = Sliced(fp, group, radius)
     names, row = np.unique(node, return_inverse=True)
     root = np.arange(len(names))
     d, count = 1, 1
@@ -174,24 +178,30 @@ def links(reps: DataFrame, folder: str) -> DataFrame:
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), part)))
     rows = rows.withColumn("part", part).withColumn("other", other)
     rows = rows.select("t", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "node")
-    rows = rows.repartition("t", "key", "low", "high").sortWithinPartitions("t", "key", "low", "high")
+    return linked(rows, ["t", "key", "low", "high"], ["fp"])
+
+
+def linked(rows: DataFrame, group: list[str], words: list[str], radius: int = RADIUS) -> DataFrame:
+    """(a, b) links that connect the nodes within the radius in the same group; ``words`` hold the fingerprints of ``node``."""
+    rows = rows.select(*group, *words, "node").repartition(*group).sortWithinPartitions(*group)
+    g = len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
             x = np.vstack(held)
-            group = np.cumsum(np.concatenate([[0], (x[1:, :4] != x[:-1, :4]).any(1)]))
-            a, b = forest(x[:, 4].copy().view(np.uint64), x[:, 5], group)
+            number = np.cumsum(np.concatenate([[0], (x[1:, :g] != x[:-1, :g]).any(1)]))
+            a, b = forest(x[:, g:-1].copy().view(np.uint64), x[:, -1], number, radius)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "key", "low", "high", "fp", "node")])
-            last = np.flatnonzero((x[:, :4] != x[-1, :4]).any(1))  # rows before the batch's last group
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*group, *words, "node")])
+            last = np.flatnonzero((x[:, :g] != x[-1, :g]).any(1))  # rows before the batch's last group
             cut = last[-1] + 1 if len(last) else 0
-            if cut or held and (held[-1][-1, :4] != x[0, :4]).any():
+            if cut or held and (held[-1][-1, :g] != x[0, :g]).any():
                 held.append(x[:cut])
                 yield out()
                 held = []

@@ -5,7 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
-from registrum.llm import near_copies
+from registrum.llm import near_copies, simhash
 from registrum.llm.common import read
 from test_llm import empty, words
 
@@ -61,16 +61,34 @@ def test_crowded_buckets(spark, monkeypatch):
     assert {r.component_id for r in near_copies.near_copies(docs).collect()} == {0}
 
 
-def test_forest():
+def test_distances_beyond_64_bits():
+    """Bit-sliced links over two words are those of counted bits, at any radius."""
     pick = np.random.default_rng(3)
-    base = np.arange(100, dtype=np.uint64)
-    sets = [np.unique(np.where(pick.random(100) < 0.1, pick.integers(1000, 9000, 100).astype(np.uint64), base)) for _ in range(40)]
-    a, b = near_copies.forest(np.arange(40), sets)
-    part = {frozenset(s.tolist()): i for i, s in enumerate(sets)}
-    brute, got = {i: i for i in range(40)}, {i: i for i in range(40)}
-    pairs = [(i, j) for i, j in combinations(range(40), 2) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
-    for first, found in ((brute, pairs), (got, list(zip(a, b, strict=True)))):
-        for i, j in found:
-            low, high = sorted((first[i], first[j]))
-            first.update({k: low for k, f in first.items() if f == high})
-    assert got == brute and len(part) == 40 and len(a) < 40
+    base = pick.integers(-(1 << 62), 1 << 62, (6, 2))
+    prints = base[pick.integers(0, 6, 300)]
+    for _ in range(14):
+        prints[np.arange(300), pick.integers(0, 2, 300)] ^= np.left_shift(np.int64(1), pick.integers(0, 63, 300))
+    group, node = np.sort(pick.integers(0, 3, 300)), pick.permutation(300)
+    apart = np.unpackbits((prints[:, None] ^ prints).view(np.uint8), axis=2).sum(2, dtype=int)
+    for radius in (3, 20, 26, 34):
+        a, b = simhash.forest(prints.view(np.uint64), node, group, radius)
+        pairs = [(node[i], node[j]) for i, j in combinations(range(300), 2) if group[i] == group[j] and apart[i, j] <= radius]
+        brute, got = list(range(300)), list(range(300))
+        for first, found in ((brute, pairs), (got, zip(a, b, strict=True))):
+            for i, j in found:
+                low, high = sorted((first[i], first[j]))
+                first[:] = [low if f == high else f for f in first]
+        assert got == brute and len(a) == 300 - len(set(brute))
+
+
+def test_tables_meet_pairs_at_the_threshold():
+    pick = np.random.default_rng(9)
+    for nodes in (200, 50_000, 10**7):
+        masks = np.array(near_copies.tables(nodes), np.int64)
+        met = 0
+        for _ in range(300):
+            common, a, b = (np.unique(pick.integers(0, 1 << 62, n).astype(np.uint64)) for n in (240, 30, 30))
+            x, y = near_copies.fingerprint(np.union1d(common, a)), near_copies.fingerprint(np.union1d(common, b))
+            near = np.unpackbits((x ^ y).view(np.uint8)).sum() <= near_copies.RADIUS
+            met += bool(near and (((x ^ y) & masks) == 0).all(1).any())
+        assert met >= 0.97 * 300

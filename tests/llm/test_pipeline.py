@@ -3,7 +3,8 @@
 import corpus_pipeline
 from registrum.llm.common import COLUMNS_OF_DOCUMENTS as COLUMNS
 from registrum.llm.common import read
-from test_llm import brute_lines, brute_links, brute_print, empty
+from test_llm import brute_lines, empty
+from test_near_copies import brute_components
 
 
 def test_stages(spark, small):
@@ -23,7 +24,7 @@ def test_stages(spark, small):
             assert {(r.doc_id, r.text) for r in left} == {(i, t) for i, _, _, t in brute_lines(given)}
             assert all(r.n_chars == len(r.text) for r in left)
         elif name == "simhash_near_dedup":
-            first = brute_links([(i, brute_print(t)) for i, t in given])
+            first = brute_components(given)  # five-word shingles, similarity of 0.8 or more
             assert {r.doc_id for r in left} == {i for i, j in first.items() if i == j}
         elif name == "decontamination":
             assert 0 < len(given) - len(left) < 0.2 * len(given)
