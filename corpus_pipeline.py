@@ -39,10 +39,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word Jaccard of 0.8), that with the smallest id; documents without an id stay."""
     found = near_copies.near_copies(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    rows = only(docs, *COLUMNS)
+    first = written(found.where("doc_id = component_id").groupBy("doc_id").count(), f"{shared_folder(spark)}/first")
+    once = rows.join(first.where("count = 1").select("doc_id"), "doc_id", "left_semi")
     # Repeated rows of one id are copies or ties of one document: the first by text stays.
-    one = only(docs, *COLUMNS).where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("x"))
-    return one.select("doc_id", "x.*").unionByName(only(docs, *COLUMNS).where("doc_id IS NULL"))
+    again = rows.join(first.where("count > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("x"))
+    return once.unionByName(again.select("doc_id", "x.*")).unionByName(rows.where("doc_id IS NULL"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
