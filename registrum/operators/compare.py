@@ -19,11 +19,6 @@ from registrum.session import built_once
 COMPARISON = "struct<field:string,v1:string,v2:string>"
 
 
-def first_documents(docs: DataFrame, order: str, max_docs: int | None) -> DataFrame:
-    """The first ``max_docs`` documents, counted before those without address go."""
-    return docs if max_docs is None else docs.where(F.col(order) < max_docs)
-
-
 def latest_by_url(docs: DataFrame, order: str) -> DataFrame:
     """One document per address, the last in document order; empty addresses are dropped."""
     payload = [c for c in docs.columns if c != "u"]

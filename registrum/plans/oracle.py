@@ -480,6 +480,11 @@ _add(
   CASE WHEN mode_medium <> 'cannot_rate' THEN CASE WHEN num % 3 = 0 THEN 'informal' ELSE 'formal' END END AS tenor_formality
  FROM given""",
 )
+FILED = """filed AS (
+ SELECT doc_id, path, row_number() OVER (PARTITION BY path ORDER BY doc_id) - 1 AS doc_idx, row_number() OVER (ORDER BY path, doc_id) - 1 AS doc_no
+ FROM (SELECT doc_id, concat_ws('/', lang, source) AS path FROM documents))"""
+_add("document_numbers", f"WITH {FILED} SELECT doc_id, path, doc_idx, doc_no FROM filed")
+_add("label_range", f"WITH {FILED} SELECT doc_id, path, doc_idx, doc_no FROM filed WHERE doc_no >= 25 AND doc_id % 5 <> 2 ORDER BY doc_no LIMIT 100")
 _add("resume_remaining", "SELECT doc_id, lang FROM documents WHERE doc_id % 17 = 0")
 _add(
     "context_windows",

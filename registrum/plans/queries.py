@@ -26,7 +26,7 @@ from registrum.operators import (
 )
 from registrum.plans import standins as S
 from registrum.schemas import FACETS, SECTIONS
-from registrum.sources import sessions, tables
+from registrum.sources import numbering, sessions, tables
 from registrum.sources.annotator import annotator_udf, rule_annotator
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,20 @@ def resume_remaining(spark, sf):
     return tables.remaining(S.table(spark, sf, "documents").select("doc_id", "lang"), done, "doc_id")
 
 
+@query
+def document_numbers(spark, sf):
+    """Numbers over all files, by file name and line."""
+    return numbering.numbered(S.as_files(spark, sf)).select("doc_id", "path", "doc_idx", "doc_no")
+
+
+@query
+def label_range(spark, sf):
+    """The next documents of a labelling run from a number on, without those that are done."""
+    docs = numbering.numbered(S.as_files(spark, sf))
+    todo = tables.remaining(docs, docs.where("doc_id % 5 = 2").select("doc_id"), "doc_id")
+    return numbering.document_range(todo, 25, 100).select("doc_id", "path", "doc_idx", "doc_no")
+
+
 # --- Context, segments, profiles ----------------------------------------------
 
 

@@ -25,7 +25,7 @@ from registrum.operators import (
 from registrum.schemas import ANNOTATED_DOCUMENT, FEATURE_META, RAW_DOCUMENT, SECTIONS, SIMPLIFIED_DOCUMENT
 from registrum.session import materialise
 from registrum.sources import parser as parsers
-from registrum.sources import sessions, tables
+from registrum.sources import numbering, sessions, snapshots, tables
 
 Call = Callable[..., Column]
 #: What names a document over all files of a stage: where it came from and its line there.
@@ -33,15 +33,13 @@ DOC_ID = "doc_id"
 SIMPLIFIED_COLUMNS = ["xml_simplified", "markdown_main", "markdown_comments"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _simplified(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Simplified documents with their name; line numbers alone repeat from file to file."""
+    return named(tables.read_documents(spark, path, SIMPLIFIED_DOCUMENT)).drop("path", "malformed")
 
 
-def _simplified(spark: SparkSession, path: str) -> DataFrame:
-    """Simplified documents with their name; line numbers alone repeat from file to file."""
-    docs = tables.read_documents(spark, path, SIMPLIFIED_DOCUMENT)
-    return docs.withColumn(DOC_ID, F.concat_ws("#", "path", "doc_idx")).drop("path", "malformed")
+def named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(DOC_ID, F.concat_ws("#", "path", "doc_idx"))
 
 
 def simplify(spark: SparkSession, base: str, output: str, name: str = tables.RAW_NAME) -> None:
@@ -56,41 +54,49 @@ def simplify(spark: SparkSession, base: str, output: str, name: str = tables.RAW
     done.select(folder.alias("folder"), text.alias("value")).write.mode("errorifexists").partitionBy("folder").text(output)
 
 
-def label(spark: SparkSession, input_path: str, output: str, annotator: Call, start: int = 0,
+def label(spark: SparkSession, input_path: str | list[str], output: str, annotator: Call, start: int = 0,
           max_docs: int | None = None) -> None:
-    """Annotate documents not yet in ``output`` and append them.
+    """Annotate documents not yet in ``output`` and add them as one change.
 
-    The output carries each document's name (file and line), so ``input_path`` may hold
-    any number of files, also ones added later; a run goes on with whatever is missing, so a stopped run loses nothing and repeats nothing. With
-    ``max_docs`` it takes the next so many documents after those done.
+    Documents are numbered over all files of ``input_path``, by file name and line. A run takes
+    those from number ``start`` on that the output lacks, the first ``max_docs`` of them if given. Each has a name (file
+    and line) in the output, so files may be added between runs, and a stopped run loses nothing and repeats nothing.
     """
-    docs = _simplified(spark, input_path)
-    if _exists(spark, output):
-        done = read_annotated(spark, output)
-        if max_docs is not None:
-            start = start or tables.resume_start(done)
-        docs = tables.remaining(docs, done, DOC_ID)
-    todo = tables.document_range(docs, start, max_docs)
-    tables.write_documents(labelling.annotate(todo, annotator), output, mode="append")
+    docs = tables.read_documents(spark, input_path, SIMPLIFIED_DOCUMENT)
+    if start or max_docs is not None:
+        docs = numbering.numbered(docs)
+    docs = named(docs).drop("path", "malformed")
+    if snapshots.exists(spark, output):
+        docs = tables.remaining(docs, read_annotated(spark, output), DOC_ID)
+    if start or max_docs is not None:
+        docs = numbering.document_range(docs, start, max_docs).drop(numbering.NUMBER)
+    snapshots.append(labelling.annotate(docs, annotator), output)
 
 
 def read_annotated(spark: SparkSession, path: str) -> DataFrame:
     """Output of :func:`label`, which names its documents."""
-    return spark.read.schema(f"{DOC_ID} string, doc_idx bigint, {ANNOTATED_DOCUMENT}").json(path)
+    return snapshots.read(spark, path, f"{DOC_ID} string, doc_idx bigint, {ANNOTATED_DOCUMENT}")
 
 
-def retry(spark: SparkSession, input_path: str, output: str, annotator: Call) -> None:
-    """Annotate failed documents of ``output`` again and swap the table."""
+def retry(spark: SparkSession, input_path: str | list[str], output: str, annotator: Call) -> None:
+    """Annotate failed documents of ``output`` again and put the table in its own place."""
+    ground, _ = snapshots.version(spark, output)
     merged = labelling.retry(_simplified(spark, input_path), read_annotated(spark, output), annotator, DOC_ID)
-    tables.replace_table(merged, output)
+    snapshots.replace(merged, output, ground)
 
 
 def compare_files(spark: SparkSession, first: str, second: str, max_docs: int | None = None, examples: int = 20,
                   seed: int | None = None) -> dict[str, DataFrame]:
-    """Agreement of two annotated tables; ``max_docs`` cuts each at a document number, by default nothing is cut."""
-    left, right = (
-        compare.first_documents(read_annotated(spark, p), "doc_idx", max_docs) for p in (first, second)
-    )
+    """Agreement of two annotated tables; of each the first ``max_docs`` documents by file and line, by default all."""
+
+    def side(path: str) -> DataFrame:
+        docs = read_annotated(spark, path)
+        if max_docs is None:
+            return docs
+        file = F.substring_index(DOC_ID, "#", 1)
+        return numbering.document_range(numbering.numbered(docs.withColumn("path", file)), 0, max_docs).drop("path", numbering.NUMBER)
+
+    left, right = side(first), side(second)
     pairs = compare.matched(left, right, "doc_idx")
     texts = compare.matched(left, right, "doc_idx", with_text=True)
     counts = compare.cells(compare.compared_lines(pairs))

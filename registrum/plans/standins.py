@@ -8,7 +8,7 @@ number, line position and text length, so an oracle can repeat it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registrum.functions import text as T
@@ -214,3 +214,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("t", text).select(
         "doc_id", "markdown_main", "llm_register_annotation", raw.alias("raw")
     )
+
+
+def as_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as lines of one file per language and source: (doc_id, path, doc_idx)."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("path"))
+    return docs.withColumn("doc_idx", (F.row_number().over(Window.partitionBy("path").orderBy("doc_id")) - 1).cast("long"))

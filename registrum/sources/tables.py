@@ -28,12 +28,17 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str | None = No
     reader = spark.read
     if name:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    rows = reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_row"),
-        "value",
-    )
+    return number_lines(split_lines(reader.text(path)), tables_whole)
+
+
+def split_lines(text: DataFrame) -> DataFrame:
+    """Lines of a text source, or stream, with the file and split that each comes from."""
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), "value")
+
+
+def number_lines(rows: DataFrame, tables_whole: bool = False) -> DataFrame:
+    """:func:`read_lines` from split lines in the order they were read."""
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     splits = rows.groupBy("path", "_split").agg(F.min("_row").alias("_base"), F.count(F.lit(1)).alias("_n"))
     file = F.regexp_replace("path", PART, "") if tables_whole else F.col("path")
     order = Window.partitionBy(file).orderBy("path", "_split").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,13 +79,6 @@ def read_documents(spark: SparkSession, path: str | list[str], schema: str, name
     return parse_documents(read_lines(spark, path, name), schema, extra)
 
 
-def document_range(docs: DataFrame, start: int = 0, max_docs: int | None = None, order: str = "doc_idx") -> DataFrame:
-    """Documents ``[start, start + max_docs)`` by number."""
-    at = F.col(order)
-    kept = docs.where(at >= start)
-    return kept if max_docs is None else kept.where(at < start + max_docs)
-
-
 def read_segments(spark: SparkSession, path: str | list[str], parsed: bool = False) -> DataFrame:
     """Segment files, or folders written by :func:`write_segments`: (path, doc_idx, segments).
 
@@ -144,11 +142,6 @@ def remaining(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key), key, "left_anti")
 
 
-def resume_start(done: DataFrame) -> int:
-    """Number of documents already written."""
-    return done.count()
-
-
 def one_to_one(inputs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
     """Counts both sides, and the keys only one side has. One shuffle of bare keys."""
 
@@ -172,28 +165,6 @@ def assert_one_to_one(inputs: DataFrame, outputs: DataFrame, key: str) -> None:
         raise AssertionError(f"not one to one: {row.asDict()}")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and swap.
-
-    A table cannot be overwritten while it is read, and ``df`` may read it. The swap is
-    two renames: a reader between them finds no table, and if the second fails the old
-    table is put back. Leftovers of a run that was cut off are replaced.
-    """
-    spark = df.sparkSession
-    write_documents(df, f"{path}.new", mode="overwrite")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, target = (hadoop.Path(p) for p in (f"{path}.new", f"{path}.old", path))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(old, True)  # of an earlier run; the table itself is there
-    if fs.exists(target) and not fs.rename(target, old):
-        raise OSError(f"cannot move {path}")
-    if not fs.rename(new, target):
-        fs.rename(old, target)
-        raise OSError(f"cannot move {path}.new")
-    fs.delete(old, True)
-
-
 def write_small_csv(df: DataFrame, path: str) -> None:
     """A result table with a row per feature or factor, as one file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -1,4 +1,4 @@
-"""Stages over a growing folder of files, exactly once per file.
+"""Stages over a growing folder of files, exactly once per document.
 
 The checkpoint remembers which files are done, which replaces counting output
 rows to resume. ``availableNow`` works off what is there and stops.
@@ -7,12 +7,15 @@ rows to resume. ``availableNow`` works off what is there and stops.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from registrum.operators import labelling, xmltext
+from registrum.plans import stages
 from registrum.schemas import RAW_DOCUMENT, SIMPLIFIED_DOCUMENT
+from registrum.sources import snapshots, tables
 
 
 def _source(spark: SparkSession, path: str, schema: str, files_per_batch: int) -> DataFrame:
@@ -36,16 +39,22 @@ def label_stream(spark: SparkSession, source: str, output: str, checkpoint: str,
                  files_per_batch: int = 10) -> StreamingQuery:
     """Annotate simplified documents as files arrive.
 
-    Each batch is one write named by its number, so a batch repeated after a
-    failure replaces itself.
+    The output is that of :func:`stages.label`: documents named by file and line, in a table that
+    changes as a whole. A batch leaves out what the table has, and is one change named by its
+    number, so neither a batch repeated after a failure nor a run of the stage beside the stream doubles a document.
     """
+    name = f"stream-{crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, number: int) -> None:
-        done = labelling.annotate(batch, annotator, path=None)
-        done.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output}/batch={number}")
+        docs = tables.parse_documents(tables.number_lines(batch), SIMPLIFIED_DOCUMENT)
+        docs = stages.named(docs).drop("path", "malformed")
+        if snapshots.exists(batch.sparkSession, output):
+            docs = tables.remaining(docs, stages.read_annotated(batch.sparkSession, output), stages.DOC_ID)
+        snapshots.append(labelling.annotate(docs, annotator), output, f"{name}-{number}")
 
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
     return (
-        _source(spark, source, SIMPLIFIED_DOCUMENT, files_per_batch)
+        tables.split_lines(lines)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
