@@ -7,18 +7,15 @@ are arithmetic over that small table, so scores are read once.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
-from zlib import crc32
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z95 = 1.96
 BOOTSTRAP = 2000
-BLOCK_ROWS = 50_000
-_DRAW_CHUNK = 100
+MASK = (1 << 32) - 1
 
 # Point colours and markers, in order of use.
 PALETTE = [
@@ -155,68 +152,61 @@ def dimension(scores: DataFrame, factor: str, normalise: bool, sort_by: str | No
     return means.join(register_order(means, sort_by), "label")
 
 
+def scattered(df: DataFrame, column: str) -> DataFrame:
+    """A fixed one-to-one scattering of 32-bit numbers, in 64-bit arithmetic that cannot overflow.
+
+    Step by step in columns of their own: each number is used twice, so one expression would double at every step.
+    """
+    at = F.col(column)
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+        df = df.withColumn(column, at.bitwiseXOR(F.shiftright(at, shift)))
+        df = df.withColumn(column, (at * F.lit(factor).cast("long")).bitwiseAND(F.lit(MASK).cast("long")))
+    return df.withColumn(column, at.bitwiseXOR(F.shiftright(at, 15)))
+
+
+def with_key_words(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with two 32-bit numbers of their key, ``_first`` and ``_second``."""
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+    return rows.withColumns({name: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for name, at in (("_first", 1), ("_second", 9))})
+
+
+def poisson_limits() -> list[int]:
+    """Where each further count begins: the distribution function of the Poisson law of mean 1, times 2 ** 32."""
+    out, term, total, k = [], math.exp(-1), 0.0, 0
+    while (limit := int((total := total + term) * (MASK + 1))) <= MASK and k < 12:
+        out.append(limit)
+        k += 1
+        term /= k
+    return out
+
+
+def resampled(rows: DataFrame, replicate: Column, weight: str, seed: int) -> DataFrame:
+    """Rows with key words, and how often each is in a resample: a Poisson count of mean 1 that key and replicate alone determine."""
+    counter = (replicate.cast("long") * 0x1F123BB5 + seed).bitwiseAND(F.lit(MASK).cast("long"))
+    out = scattered(rows.withColumn(weight, counter), weight)
+    out = scattered(out.withColumn(weight, F.col(weight).bitwiseXOR(F.col("_first"))), weight)
+    out = scattered(out.withColumn(weight, F.col(weight).bitwiseXOR(F.col("_second"))), weight)
+    limits = poisson_limits()
+    count = F.when(F.col(weight) < limits[0], 0)
+    for k, limit in enumerate(limits[1:], 1):
+        count = count.when(F.col(weight) < limit, k)
+    return out.withColumn(weight, count.otherwise(len(limits)))
+
+
 def bootstrap(values: DataFrame, by: list[str], value: str, key: list[str], n_boot: int = BOOTSTRAP, ci: float = 95,
-              seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Percentile interval of the mean per group.
+              seed: int = 0) -> DataFrame:
+    """Percentile interval of the mean per group, over ``n_boot`` Poisson resamples.
 
-    A resample of n rows is a multinomial split of n over blocks of the group
-    and a draw with replacement inside each block. Groups of any size are cut
-    into blocks by a hash of the row key, the splits are drawn once per group,
-    and a task sees one block.
+    Each row is in a resample as often as a count of mean 1 says that its key and the
+    resample's number determine, so the outcome is the same in any partitioning, and a resample is a
+    sum that is aggregated where the rows are: only sums per group and
+    resample are shuffled. Resamples without any row of a group have no mean there. Rows without a value are left out.
     """
-    blocks = F.ceil(F.col("n") / block_rows)
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    block = F.pmod(F.xxhash64(*key), F.greatest(blocks, F.lit(1))).cast("int")
-    placed = values.join(sizes, by).select(*by, block.alias("block"), F.col(value).cast("double").alias("value"))
-    counts = placed.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("rows"))
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(_DRAW_CHUNK)))
-    plans = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("block", "rows"))).alias("blocks"))
-    plans = plans.select(*by, "blocks", chunks.alias("begin"))
-    by_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*by).schema)
-
-    def split(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                pairs = [(b["block"], b["rows"]) for b in row["blocks"]]
-                rows = np.array([r for _, r in pairs], dtype=np.int64)
-                times = min(_DRAW_CHUNK, n_boot - row["begin"])
-                tag = crc32("|".join(str(row[c]) for c in by).encode())
-                rng = np.random.default_rng([seed, tag, int(row["begin"])])
-                draws = rng.multinomial(rows.sum(), rows / rows.sum(), size=times)
-                yield pd.DataFrame(
-                    {
-                        **{c: [row[c]] * len(pairs) for c in by},
-                        "block": [b for b, _ in pairs],
-                        "begin": row["begin"],
-                        "draws": list(draws.T.astype(np.int64)),
-                    }
-                )
-
-    draws = plans.repartition(*by, "begin").mapInPandas(split, f"{by_ddl}, block int, begin int, draws array<bigint>")
-
-    def resample(group: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        data = np.sort(group["value"].to_numpy())
-        tag = crc32("|".join(str(x) for x in group[[*by, "block"]].iloc[0]).encode())
-        out = []
-        for _, row in plan.sort_values("begin").iterrows():
-            rng = np.random.default_rng([seed, tag, int(row["begin"])])
-            sums = [data[rng.integers(0, len(data), m)].sum() for m in row["draws"]]
-            out.append(pd.DataFrame({"rep": row["begin"] + np.arange(len(sums)), "total": sums}))
-        result = pd.concat(out, ignore_index=True)
-        for c in by:
-            result[c] = group[c].iloc[0]
-        return result[[*by, "rep", "total"]]
-
-    totals = (
-        placed.groupBy(*by, "block")
-        .cogroup(draws.groupBy(*by, "block"))
-        .applyInPandas(resample, f"{by_ddl}, rep int, total double")
-    )
-    means = totals.groupBy(*by, "rep").agg(F.sum("total").alias("total")).join(sizes, by)
-    mean = F.col("total") / F.col("n")
-    tail = (100 - ci) / 200
-    return means.groupBy(*by).agg(
-        F.first("n").alias("n"),
-        F.percentile(mean, F.lit(tail)).alias("lo"),
-        F.percentile(mean, F.lit(1 - tail)).alias("hi"),
-    )
+    rows = values.where(F.col(value).isNotNull()).select(*by, *[c for c in key if c not in by], F.col(value).cast("double").alias("_value"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    drawn = with_key_words(rows, key).withColumn("_rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))))
+    drawn = resampled(drawn, F.col("_rep"), "_weight", seed)
+    sums = drawn.groupBy(*by, "_rep").agg(F.sum("_weight").alias("_n"), F.sum(F.col("_weight") * F.col("_value")).alias("_total"))
+    mean, tail = F.when(F.col("_n") > 0, F.col("_total") / F.col("_n")), (100 - ci) / 200
+    found = sums.groupBy(*by).agg(F.percentile(mean, F.lit(tail)).alias("lo"), F.percentile(mean, F.lit(1 - tail)).alias("hi"))
+    return sizes.join(found, by).select(*by, "n", "lo", "hi")

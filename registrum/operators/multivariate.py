@@ -267,7 +267,7 @@ def principal_axis_loadings(corr: np.ndarray, k: int, iterations: int = 200, tol
     return loadings
 
 
-def varimax(loadings: np.ndarray, iterations: int = 500, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+def varimax(loadings: np.ndarray, iterations: int = 1000, tolerance: float = 1e-15) -> tuple[np.ndarray, np.ndarray]:
     """Orthogonal rotation of unit-length rows; returns rotated loadings and the rotation."""
     length = np.sqrt(np.square(loadings).sum(axis=1, keepdims=True))
     length[length == 0] = 1.0

@@ -6,6 +6,8 @@ on arrays inside a row.
 
 from __future__ import annotations
 
+import math
+
 SPACE = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 LINES = """lines AS (
@@ -249,7 +251,7 @@ def _mattr(name: str, value: str) -> str:
 EMBEDDINGS = """e AS (SELECT vec_id, 'reg' || label AS label, 'lang' || (vec_id % 4) AS lang,
  unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
 NAME = "'e' || lpad(CAST(i AS VARCHAR), 2, '0')"
-WIDE8 = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i:02d}" for i in range(8))
+WIDE = ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i:02d}" for i in range(64))
 SCORES = """scores AS (SELECT vec_id, 'reg' || label AS label, 'lang' || (vec_id % 4) AS lang,
  embedding[1]::DOUBLE AS F1, embedding[2]::DOUBLE AS F2 FROM embeddings)"""
 ZMEANS = (
@@ -663,24 +665,24 @@ _add(
     "token_stats",
     f"""WITH {TOKENS} SELECT source, label, count(*) AS segments, min(n_tokens) AS min_tokens,
  CAST(floor(quantile_cont(CAST(n_tokens AS DOUBLE), 0.5)) AS BIGINT) AS median_tokens, max(n_tokens) AS max_tokens
- FROM kept WHERE n_tokens >= 20 GROUP BY source, label""",
+ FROM kept GROUP BY source, label""",
 )
 _add(
     "variance_filter",
     f"""WITH {EMBEDDINGS} SELECT {NAME} AS feature, round(stddev_samp(v), 6) AS std, stddev_samp(v) >= 1e-6 AS kept
- FROM e WHERE i < 8 GROUP BY i UNION ALL SELECT 'flat', 0.0::DOUBLE, false
+ FROM e GROUP BY i UNION ALL SELECT 'flat', 0.0::DOUBLE, false
  UNION ALL SELECT 'near', round(stddev_samp(v * 1e-8), 6), stddev_samp(v * 1e-8) >= 1e-6 FROM e WHERE i = 0""",
 )
 _add(
     "log_rates",
     "SELECT vec_id, "
-    + ", ".join(f"round(ln(1 + greatest(embedding[{i + 1}]::DOUBLE, 0)), 6) AS e{i:02d}" for i in range(8))
+    + ", ".join(f"round(ln(1 + greatest(embedding[{i + 1}]::DOUBLE, 0)), 6) AS e{i:02d}" for i in range(64))
     + " FROM embeddings",
 )
 _add(
     "zscore_columns",
-    f"WITH w AS (SELECT vec_id, {WIDE8} FROM embeddings) SELECT vec_id, "
-    + ", ".join(f"round((e{i:02d} - avg(e{i:02d}) OVER ()) / stddev_samp(e{i:02d}) OVER (), 6) AS e{i:02d}" for i in range(8))
+    f"WITH w AS (SELECT vec_id, {WIDE} FROM embeddings) SELECT vec_id, "
+    + ", ".join(f"round((e{i:02d} - avg(e{i:02d}) OVER ()) / stddev_samp(e{i:02d}) OVER (), 6) AS e{i:02d}" for i in range(64))
     + " FROM w",
 )
 _add(
@@ -689,10 +691,129 @@ _add(
  SELECT x.name AS a, y.name AS b, round(corr(x.v, y.v), 6) AS r FROM named x JOIN named y ON x.vec_id = y.vec_id AND x.name < y.name
  GROUP BY ALL""",
 )
+# --- Linear algebra as relations: matrices are (i, j, v), eliminations and powers are recursions.
+
+CORR = f"""{EMBEDDINGS}, corr AS MATERIALIZED (
+ SELECT x.i, y.i AS j, CASE WHEN x.i = y.i THEN 1.0 ELSE corr(x.v, y.v) END AS v FROM e x JOIN e y USING (vec_id) GROUP BY x.i, y.i),
+ size AS (SELECT count(DISTINCT vec_id) AS n, count(DISTINCT i)::BIGINT AS p FROM e)"""
+# Gauss-Jordan elimination: after the sweep on all pivots the matrix is the negative inverse, and the pivots multiply to the determinant.
+SWEEP = """sweep AS (SELECT 0::BIGINT AS k, i::BIGINT AS i, j::BIGINT AS j, v FROM corr UNION ALL
+ SELECT a.k + 1, a.i, a.j, CASE WHEN a.i = a.k AND a.j = a.k THEN -1 / p.v WHEN a.i = a.k OR a.j = a.k THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END
+ FROM sweep a JOIN sweep p ON p.i = a.k AND p.j = a.k JOIN sweep r ON r.i = a.i AND r.j = a.k JOIN sweep c ON c.i = a.k AND c.j = a.j
+ WHERE a.k < (SELECT p FROM size)),
+ inverse AS MATERIALIZED (SELECT i, j, -v AS v FROM sweep WHERE k = (SELECT p FROM size)),
+ logdet AS (SELECT sum(ln(v)) AS v FROM sweep WHERE i = j AND i = k),
+ smc AS (SELECT i, 1 - 1 / greatest(v, 1.0) AS v FROM inverse WHERE i = j)"""
+# The strongest pair left settles first; of it the column varying less goes.
+_add(
+    "vector_collinear",
+    f"""WITH RECURSIVE {CORR}, sd AS (SELECT i, stddev_samp(v) AS s FROM e GROUP BY i),
+ pairs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY abs(v) DESC, c.i DESC, c.j DESC) AS t, c.i AS a, c.j AS b, x.s < y.s AS first_goes
+  FROM corr c JOIN sd x ON x.i = c.i JOIN sd y ON y.i = c.j WHERE c.i < c.j AND abs(v) > 0.1),
+ state AS (SELECT 0::BIGINT AS t, []::BIGINT[] AS gone UNION ALL
+  SELECT p.t, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN first_goes THEN a ELSE b END) END
+  FROM state s JOIN pairs p ON p.t = s.t + 1),
+ last AS (SELECT gone FROM state ORDER BY t DESC LIMIT 1)
+ SELECT {NAME} AS feature, NOT list_contains(gone, i) AS kept FROM (SELECT DISTINCT i FROM e), last""",
+)
+_add("vector_smc", f"WITH RECURSIVE {CORR}, {SWEEP} SELECT {NAME} AS feature, round(v, 6) AS smc FROM smc")
+_add("vector_screened", f"WITH RECURSIVE {CORR}, {SWEEP} SELECT {NAME} AS feature, v >= median(v) OVER () AS kept FROM smc")
+_add(
+    "vector_adequacy",
+    f"""WITH RECURSIVE {CORR}, {SWEEP},
+ terms AS (SELECT c.i, sum(c.v * c.v) AS simple, sum(q.v * q.v / (x.v * y.v)) AS part FROM corr c JOIN inverse q USING (i, j)
+  JOIN inverse x ON x.i = c.i AND x.j = c.i JOIN inverse y ON y.i = c.j AND y.j = c.j WHERE c.i <> c.j GROUP BY c.i)
+ SELECT 'chi2' AS measure, round(-(n - 1 - (2 * p + 5) / 6.0::DOUBLE) * v, 4) AS value FROM size, logdet
+ UNION ALL SELECT 'df', p * (p - 1) / 2.0::DOUBLE FROM size
+ UNION ALL SELECT 'kmo', round(sum(simple) / (sum(simple) + sum(part)), 6) FROM terms
+ UNION ALL SELECT 'kmo:' || {NAME}, round(simple / (simple + part), 6) FROM terms""",
+)
+
+
+def _eigen(k: int, squarings: int = 14) -> str:
+    """Leading eigenvectors by squaring (a power of 2 ** squarings, scaled at each step) and deflation."""
+    parts, m = [], "corr"
+    for f in range(1, k + 1):
+        step = m
+        for s in range(squarings):
+            name = f"q{f}_{s}"
+            parts.append(
+                f"""{name} AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM (
+ SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {step} a JOIN {step} b ON a.j = b.i GROUP BY a.i, b.j))"""
+            )
+            step = name
+        # Every column of the power points along the eigenvector; the longest does so best.
+        parts.append(
+            f"""u{f} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {step}
+ WHERE j = (SELECT j FROM {step} GROUP BY j ORDER BY sum(v * v) DESC, j LIMIT 1))"""
+        )
+        parts.append(f"l{f} AS MATERIALIZED (SELECT sum(x.v * c.v * y.v) AS v FROM {m} c JOIN u{f} x ON x.i = c.i JOIN u{f} y ON y.i = c.j)")
+        parts.append(f"m{f} AS MATERIALIZED (SELECT c.i, c.j, c.v - l{f}.v * x.v * y.v AS v FROM {m} c JOIN u{f} x ON x.i = c.i JOIN u{f} y ON y.i = c.j, l{f})")
+        m = f"m{f}"
+    return ", ".join(parts)
+
+
+# Two factors: the angle of varimax has a closed form, and promax is a regression of two unknowns.
+SOLUTION = f"""{_eigen(2)},
+ raw AS (SELECT i, u1.v * sqrt(l1.v) AS a, u2.v * sqrt(l2.v) AS b FROM u1 JOIN u2 USING (i), l1, l2),
+ unit AS (SELECT i, h, a / h AS x, b / h AS y FROM (SELECT *, sqrt(a * a + b * b) AS h FROM raw)),
+ angle AS (SELECT atan2(2 * (sum(u * w) - sum(u) * sum(w) / count(*)), sum(u * u - w * w) - (sum(u) * sum(u) - sum(w) * sum(w)) / count(*)) / 4 AS t
+  FROM (SELECT x * x - y * y AS u, 2 * x * y AS w FROM unit)),
+ turned AS (SELECT i, h, x * cos(t) + y * sin(t) AS x, y * cos(t) - x * sin(t) AS y FROM unit, angle),
+ target AS (SELECT *, x * abs(x) * x * x AS p, y * abs(y) * y * y AS q FROM turned),
+ normal AS (SELECT sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x * p) AS xp, sum(y * p) AS yp, sum(x * q) AS xq, sum(y * q) AS yq FROM target),
+ map AS (SELECT (yy * xp - xy * yp) / d AS a, (yy * xq - xy * yq) / d AS b, (xx * yp - xy * xp) / d AS c, (xx * yq - xy * xq) / d AS e
+  FROM (SELECT *, xx * yy - xy * xy AS d FROM normal)),
+ scaled AS (SELECT a * s AS a, b * r AS b, c * s AS c, e * r AS e FROM (
+  SELECT *, sqrt((b * b + e * e) / power(a * e - b * c, 2)) AS s, sqrt((a * a + c * c) / power(a * e - b * c, 2)) AS r FROM map)),
+ phi0 AS (SELECT -(e * c + b * a) / power(a * e - b * c, 2) AS v FROM scaled),
+ pattern0 AS (SELECT i, h * (x * a + y * c) AS x, h * (x * b + y * e) AS y FROM turned, scaled),
+ signs AS (SELECT CASE WHEN sum(x) < 0 THEN -1 ELSE 1 END AS sx, CASE WHEN sum(y) < 0 THEN -1 ELSE 1 END AS sy FROM pattern0),
+ pattern AS MATERIALIZED (SELECT i, x * sx AS x, y * sy AS y FROM pattern0, signs),
+ phi AS (SELECT v * sx * sy AS v FROM phi0, signs)"""
+_add("vector_loadings", f"WITH {CORR}, {SOLUTION} SELECT {NAME} AS feature, round(x, 5) AS F1, round(y, 5) AS F2 FROM pattern")
+_add("vector_communalities", f"WITH {CORR}, {SOLUTION} SELECT {NAME} AS feature, round(x * x + y * y, 5) AS communality FROM pattern")
+_add(
+    "vector_variance",
+    f"""WITH {CORR}, {SOLUTION}, s AS (SELECT sum(x * x) AS a, sum(y * y) AS b, count(*) AS p FROM pattern)
+ SELECT 'F1' AS factor, round(a, 5) AS SS_loadings, round(a / p, 5) AS proportion_var, round(a / p, 5) AS cumulative_var FROM s
+ UNION ALL SELECT 'F2', round(b, 5), round(b / p, 5), round((a + b) / p, 5) FROM s""",
+)
+_add(
+    "vector_factor_correlations",
+    f"""WITH {CORR}, {SOLUTION} SELECT 'F1' AS factor, 1.0::DOUBLE AS F1, round(v, 5) AS F2 FROM phi
+ UNION ALL SELECT 'F2', round(v, 5), 1.0::DOUBLE FROM phi""",
+)
+_add(
+    "vector_scores",
+    f"""WITH RECURSIVE {CORR}, {SWEEP}, {SOLUTION},
+ structure AS (SELECT i, x + y * v AS x, x * v + y AS y FROM pattern, phi),
+ weights AS (SELECT q.i, sum(q.v * s.x) AS x, sum(q.v * s.y) AS y FROM inverse q JOIN structure s ON s.i = q.j GROUP BY q.i),
+ z AS (SELECT vec_id, i, (v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i) AS v FROM e)
+ SELECT vec_id, round(sum(z.v * x), 4) AS F1, round(sum(z.v * y), 4) AS F2 FROM z JOIN weights USING (i) GROUP BY vec_id""",
+)
+
+
+LIMITS = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)]
+_add(
+    "bootstrap_intervals",
+    f"""WITH {SCORES}, words AS (SELECT label, F1 AS v, ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT AS a, ('0x' || substr(md5(vec_id::VARCHAR), 9, 8))::BIGINT AS b FROM scores),
+ c0 AS (SELECT r, (r * {0x1F123BB5}) & 4294967295 AS x FROM (SELECT unnest(range(2000)) AS r)),
+ c1 AS (SELECT r, (xor(x, x >> 16) * {0x21F0AAAD}) & 4294967295 AS x FROM c0), c2 AS (SELECT r, (xor(x, x >> 15) * {0x735A2D97}) & 4294967295 AS x FROM c1),
+ c AS (SELECT r, xor(x, x >> 15) AS c FROM c2),
+ d0 AS (SELECT label, v, b, r, xor(a, c) AS x FROM words, c),
+ d1 AS (SELECT label, v, b, r, (xor(x, x >> 16) * {0x21F0AAAD}) & 4294967295 AS x FROM d0), d2 AS (SELECT label, v, b, r, (xor(x, x >> 15) * {0x735A2D97}) & 4294967295 AS x FROM d1),
+ d3 AS (SELECT label, v, r, xor(xor(x, x >> 15), b) AS x FROM d2),
+ d4 AS (SELECT label, v, r, (xor(x, x >> 16) * {0x21F0AAAD}) & 4294967295 AS x FROM d3), d5 AS (SELECT label, v, r, (xor(x, x >> 15) * {0x735A2D97}) & 4294967295 AS x FROM d4),
+ drawn AS (SELECT label, v, r, {' + '.join(f'(xor(x, x >> 15) >= {t})::INT' for t in LIMITS)} AS w FROM d5),
+ means AS (SELECT label, r, sum(w * v) / nullif(sum(w), 0) AS m FROM drawn GROUP BY label, r),
+ sizes AS (SELECT label, count(*) AS n FROM scores GROUP BY label)
+ SELECT label, any_value(n) AS n, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means JOIN sizes USING (label) GROUP BY label""",
+)
 _LOADINGS = (
     EMBEDDINGS
     + """, loadings AS (SELECT label AS feature, 'F' || (i + 1) AS factor, round(10 * avg(v), 6) AS loading
- FROM e WHERE i < 6 GROUP BY label, i)"""
+ FROM e GROUP BY label, i)"""
 )
 _add(
     "salient_poles",
@@ -704,7 +825,7 @@ _add(
     f"""WITH {_LOADINGS}, f AS (SELECT factor, count(*) FILTER (WHERE abs(loading) >= 0.2::DOUBLE) AS size FROM loadings GROUP BY factor),
  r AS (SELECT feature, count(*) FILTER (WHERE abs(loading) >= 0.2::DOUBLE) AS hits FROM loadings GROUP BY feature)
  SELECT (SELECT count(*) FROM f WHERE size >= 3) AS interpretable_factors, (SELECT min(size) FROM f) AS min_factor_size,
-  (SELECT string_agg(size, ',' ORDER BY factor) FROM f) AS feats_per_factor,
+  (SELECT string_agg(size, ',' ORDER BY CAST(substr(factor, 2) AS INT)) FROM f) AS feats_per_factor,
   (SELECT count(*) FROM r WHERE hits >= 1) AS salient_features, (SELECT count(*) FROM r WHERE hits >= 2) AS complex_features""",
 )
 _INTERVAL = ", ".join(

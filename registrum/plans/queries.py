@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -561,7 +562,7 @@ def tag_rates_wide(spark, sf):
 
 @query
 def token_stats(spark, sf):
-    measured = features.measure(_segments(spark, sf), SEGMENT_KEYS, min_tokens=20)
+    measured = features.measure(_segments(spark, sf), SEGMENT_KEYS)
     return features.token_stats(measured, ["source", "label"])
 
 
@@ -571,8 +572,8 @@ EMBEDDING_META = ["vec_id", "label", "lang"]
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide feature table of segments with at least fifty content words."""
-    return features.extract(S.parsed(_mapped(spark, sf), SEGMENT_KEYS), min_tokens=50)
+    """Wide feature table of all segments."""
+    return features.extract(S.parsed(_mapped(spark, sf), SEGMENT_KEYS))
 
 
 def _screened(spark: SparkSession, sf: str) -> multivariate.Screening:
@@ -581,7 +582,7 @@ def _screened(spark: SparkSession, sf: str) -> multivariate.Screening:
 
 @query
 def variance_filter(spark, sf):
-    wide = S.embedding_columns(spark, sf, 8).withColumn("flat", F.lit(1.0)).withColumn("near", F.col("e00") * 1e-8)
+    wide = S.embedding_columns(spark, sf).withColumn("flat", F.lit(1.0)).withColumn("near", F.col("e00") * 1e-8)
     columns = multivariate.feature_columns(wide, EMBEDDING_META)
     _, _, std = multivariate.deviations(wide, columns)
     dropped = set(multivariate.low_variance(columns, std))
@@ -591,13 +592,14 @@ def variance_filter(spark, sf):
 
 @query
 def log_rates(spark, sf):
-    logged = multivariate.log_rates(S.embedding_columns(spark, sf, 8), [f"e{i:02d}" for i in range(8)])
-    return logged.select("vec_id", *[_r(f"e{i:02d}").alias(f"e{i:02d}") for i in range(8)])
+    names = [f"e{i:02d}" for i in range(64)]
+    logged = multivariate.log_rates(S.embedding_columns(spark, sf), names)
+    return logged.select("vec_id", *[_r(c).alias(c) for c in names])
 
 
 @query
 def zscore_columns(spark, sf):
-    wide = S.embedding_columns(spark, sf, 8)
+    wide = S.embedding_columns(spark, sf)
     columns = multivariate.feature_columns(wide, EMBEDDING_META)
     n, mean, std = multivariate.deviations(wide, columns)
     scored = multivariate.zscores(wide, multivariate.Moments(columns, n, mean, std, None), EMBEDDING_META)
@@ -681,10 +683,88 @@ def compare_k(spark, sf):
     return multivariate.compare_k(spark, _screened(spark, sf).moments)
 
 
+# The same operators over the columns of the vectors, whose algebra SQL repeats.
+
+
+def _vectors(spark: SparkSession, sf: str) -> multivariate.Moments:
+    wide = S.embedding_columns(spark, sf)
+    return multivariate.moments(wide, multivariate.feature_columns(wide, EMBEDDING_META))
+
+
+@query
+def vector_collinear(spark, sf):
+    """Which columns stay when of pairs correlated beyond a tenth the one varying less goes."""
+    m = _vectors(spark, sf)
+    kept = set(multivariate.prune_collinear(m, 0.1))
+    return spark.createDataFrame([(c, c in kept) for c in m.columns], "feature string, kept boolean")
+
+
+@query
+def vector_smc(spark, sf):
+    m = _vectors(spark, sf)
+    rows = [(c, round(float(v), 6)) for c, v in zip(m.columns, multivariate.smc(m.corr))]
+    return spark.createDataFrame(rows, "feature string, smc double")
+
+
+@query
+def vector_screened(spark, sf):
+    """The columns that the screening keeps, at the median of their squared multiple correlations."""
+    wide = S.embedding_columns(spark, sf)
+    threshold = float(np.median(multivariate.smc(_vectors(spark, sf).corr)))
+    found = multivariate.screen(wide, EMBEDDING_META, smc_threshold=threshold, collinearity=1.0, log_transform=False)
+    rows = [(c, c in set(found.kept)) for c, _ in found.report]
+    return spark.createDataFrame(rows, "feature string, kept boolean")
+
+
+@query
+def vector_adequacy(spark, sf):
+    """Sphericity and sampling adequacy."""
+    m = _vectors(spark, sf)
+    test, (per, total) = multivariate.bartlett(spark, m), multivariate.kmo(m.corr)
+    rows = [("chi2", round(test["chi2"], 4)), ("df", float(test["df"])), ("kmo", round(total, 6))]
+    rows += [(f"kmo:{c}", round(float(v), 6)) for c, v in zip(m.columns, per)]
+    return spark.createDataFrame(rows, "measure string, value double")
+
+
+def _vector_solution(spark: SparkSession, sf: str) -> tuple[multivariate.Moments, multivariate.Solution]:
+    m = _vectors(spark, sf)
+    return m, multivariate.factor(m, 2)
+
+
+def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query
+def vector_loadings(spark, sf):
+    return _rounded(multivariate.loadings_table(spark, _vector_solution(spark, sf)[1]))
+
+
+@query
+def vector_communalities(spark, sf):
+    return _rounded(multivariate.communalities_table(spark, _vector_solution(spark, sf)[1]))
+
+
+@query
+def vector_variance(spark, sf):
+    return _rounded(multivariate.variance_table(spark, _vector_solution(spark, sf)[1]))
+
+
+@query
+def vector_factor_correlations(spark, sf):
+    return _rounded(multivariate.correlations_table(spark, _vector_solution(spark, sf)[1]))
+
+
+@query
+def vector_scores(spark, sf):
+    m, solution = _vector_solution(spark, sf)
+    return _rounded(multivariate.scores(S.embedding_columns(spark, sf), m, solution, EMBEDDING_META).select("vec_id", *solution.factors), 4)
+
+
 def _as_loadings(spark: SparkSession, sf: str) -> DataFrame:
     """Mean embedding per register as a loadings table: one row per register, one column per dimension."""
-    return S.embedding_columns(spark, sf, 6).groupBy(F.col("label").alias("feature")).agg(
-        *[F.round(10 * F.avg(f"e{i:02d}"), 6).alias(f"F{i + 1}") for i in range(6)]
+    return S.embedding_columns(spark, sf).groupBy(F.col("label").alias("feature")).agg(
+        *[F.round(10 * F.avg(f"e{i:02d}"), 6).alias(f"F{i + 1}") for i in range(64)]
     )
 
 
@@ -749,7 +829,8 @@ def dimension_comparison(spark, sf):
 
 @query
 def bootstrap_intervals(spark, sf):
-    return centroids.bootstrap(_scores(spark, sf), ["label"], "F1", ["vec_id"])
+    found = centroids.bootstrap(_scores(spark, sf), ["label"], "F1", ["vec_id"])
+    return found.select("label", "n", _r("lo").alias("lo"), _r("hi").alias("hi"))
 
 
 # --- Names, files, sessions --------------------------------------------------------

@@ -1,5 +1,8 @@
 """Screening, factor analysis, register means: algebra and brute force."""
 
+import math
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -176,13 +179,29 @@ def test_order_and_pairs(spark, scores):
 
 def test_bootstrap_matches_direct_resampling(spark, scores):
     df = spark.createDataFrame(scores)
-    whole = centroids.bootstrap(df, ["label"], "F1", ["id"], n_boot=1000).toPandas().set_index("label")
-    cut = centroids.bootstrap(df, ["label"], "F1", ["id"], n_boot=1000, block_rows=40).toPandas().set_index("label")
-    again = centroids.bootstrap(df.repartition(5), ["label"], "F1", ["id"], n_boot=1000, block_rows=40).toPandas().set_index("label")
+    found = centroids.bootstrap(df, ["label"], "F1", ["id"], n_boot=1000)
+    got = found.toPandas().set_index("label")
+    again = centroids.bootstrap(df.repartition(5), ["label"], "F1", ["id"], n_boot=1000).toPandas().set_index("label")
+    other = centroids.bootstrap(df, ["label"], "F1", ["id"], n_boot=1000, seed=1).toPandas().set_index("label")
     for label, group in scores.groupby("label")["F1"]:
         rng = np.random.default_rng(0)
         means = [rng.choice(group.to_numpy(), len(group)).mean() for _ in range(1000)]
-        for got in (whole, cut):
-            assert got.loc[label, "lo"] == pytest.approx(np.percentile(means, 2.5), abs=0.03)
-            assert got.loc[label, "hi"] == pytest.approx(np.percentile(means, 97.5), abs=0.03)
-        assert cut.loc[label, "lo"] == pytest.approx(again.loc[label, "lo"], abs=1e-12)
+        for table in (got, other):
+            assert table.loc[label, "lo"] == pytest.approx(np.percentile(means, 2.5), abs=0.03)
+            assert table.loc[label, "hi"] == pytest.approx(np.percentile(means, 97.5), abs=0.03)
+        assert got.loc[label, "lo"] == pytest.approx(again.loc[label, "lo"], abs=1e-12)
+        assert got.loc[label, "n"] == len(group)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Scores are summed up before the first exchange, and no Python runs.
+    assert "Python" not in plan and "Pandas" not in plan
+    for exchange in re.findall(r"Exchange[^\n]*\n[^\n]*", plan):
+        assert "partial_" in exchange or "Broadcast" in exchange or "ENSURE" in exchange
+
+
+def test_resample_weights_are_poisson(spark):
+    pairs = centroids.resampled(centroids.with_key_words(spark.range(500), ["id"]).join(spark.range(200).toDF("rep")), F.col("rep"), "w", 3)
+    counts = {r["w"]: r["count"] / 100_000 for r in pairs.groupBy("w").count().collect()}
+    for k in range(5):
+        assert counts[k] == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.006)
+    spread = pairs.groupBy("rep").agg(F.sum("w").alias("n")).agg(F.avg("n"), F.stddev("n")).first()
+    assert spread[0] == pytest.approx(500, abs=6) and spread[1] == pytest.approx(500**0.5, rel=0.2)
