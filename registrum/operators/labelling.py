@@ -263,16 +263,22 @@ def _prompts(calls: str) -> Column:
 def annotate(docs: DataFrame, annotator: Callable[[Column], Column], path: str | None = None) -> DataFrame:
     """Add the annotation pair to documents.
 
-    First answers are written to shared storage (``path``, or the cluster's
+    ``annotator`` is a column function from prompts to answers, or a queue with a journal
+    (:class:`registrum.sources.journal.Queue`), which keeps every single answer. First answers are written to shared storage (``path``, or the cluster's
     checkpoint folder) before the second round, so nothing is asked twice.
     """
+
+    def ask(df: DataFrame, calls: str, output: str, number: int) -> DataFrame:
+        queued = getattr(annotator, "answers", None)
+        return queued(df, calls, output, number) if queued else df.withColumn(output, annotator(_prompts(calls)))
+
     columns = docs.columns
     asked = docs.select(*columns, *[_numbered(s).alias(name) for s, name in _LINES.items()])
     asked = asked.withColumn("_calls", _first_calls())
-    answered = asked.withColumn("_answers", annotator(_prompts("_calls")))
+    answered = ask(asked, "_calls", "_answers", 1)
     first = materialise(answered, path and f"{path}/first").withColumn("_first", _decoded("_calls", "_answers"))
     again = first.withColumn("_recalls", _second_calls())
-    again = again.withColumn("_reanswers", annotator(_prompts("_recalls")))
+    again = ask(again, "_recalls", "_reanswers", 2)
     second = materialise(again, path and f"{path}/second").withColumn("_second", _decoded("_recalls", "_reanswers"))
     pair = F.struct(*[_labels(s).alias(s) for s in SECTIONS])
     kept = [c for c in columns if c != PAIR]
