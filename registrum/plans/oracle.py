@@ -435,7 +435,7 @@ _add("random_document", "SELECT doc_id, lang FROM documents ORDER BY md5('7|' ||
 _add(
     "line_annotation_join",
     f"""WITH {ANN1} SELECT doc_id, section, num, CASE WHEN (doc_id + num) % 6 = 0 AND num % 4 <> 0 THEN 'again'
- WHEN (doc_id + num) % 10 <> 0 THEN mode_medium END AS medium FROM a1 WHERE section = 'main'""",
+ WHEN (doc_id + num) % 10 <> 0 THEN mode_medium END AS medium FROM a1""",
 )
 _FAILED = "(doc_id % 10 = 3 OR (doc_id % 4 = 1 AND n > cut))"
 _add("failed_documents", f"WITH {LINES} SELECT DISTINCT doc_id FROM lines WHERE {_FAILED}")
@@ -498,7 +498,7 @@ _add(
  FROM framed WHERE NOT structural""",
 )
 _add("merge_runs", f"WITH {SEGMENTS} SELECT doc_id, segment_idx, label, text FROM segs")
-_add("section_segments", f"WITH {ANN2} SELECT doc_id, {LONG} AS label, text FROM a2 WHERE section = 'main'")
+_add("section_segments", f"WITH {ANN2} SELECT doc_id, section, {LONG} AS label, text FROM a2")
 _add("register_count_shares", f"WITH {COUNTS} SELECT lang, n_reg, freq, round(share, 6) AS share FROM shares")
 _add(
     "distinct_registers",

@@ -214,14 +214,19 @@ def random_document(spark, sf):
 def line_annotation_join(spark, sf):
     """Unordered, repeated, missing and keyless annotations; the last one of a line counts."""
     docs = S.annotated(spark, sf)
-    shuffled = F.expr(
-        "concat(reverse(filter(llm_register_annotation.main, a -> (doc_id + a.line) % 10 <> 0)), "
-        "transform(filter(llm_register_annotation.main, a -> (doc_id + a.line) % 6 = 0), a -> named_struct("
-        "'line', if(a.line % 4 = 0, null, a.line), 'mode_medium', 'again', 'mode_turn', a.mode_turn, "
-        "'field_activity', a.field_activity, 'tenor_formality', a.tenor_formality, 'is_structural', a.is_structural)))"
-    )
-    joined = lines.join_labels(T.parse_numbered(F.col("markdown_main")), shuffled, "main")
-    return docs.select("doc_id", F.inline(joined)).select(*PLACE, F.col("ann.mode_medium").alias("medium"))
+
+    def joined(section: str) -> DataFrame:
+        own = f"llm_register_annotation.{section}"
+        shuffled = F.expr(
+            f"concat(reverse(filter({own}, a -> (doc_id + a.line) % 10 <> 0)), "
+            f"transform(filter({own}, a -> (doc_id + a.line) % 6 = 0), a -> named_struct("
+            "'line', if(a.line % 4 = 0, null, a.line), 'mode_medium', 'again', 'mode_turn', a.mode_turn, "
+            "'field_activity', a.field_activity, 'tenor_formality', a.tenor_formality, 'is_structural', a.is_structural)))"
+        )
+        labelled = lines.join_labels(T.parse_numbered(F.col(f"markdown_{section}")), shuffled, section)
+        return docs.select("doc_id", F.inline(labelled)).select(*PLACE, F.col("ann.mode_medium").alias("medium"))
+
+    return joined("main").unionByName(joined("comments"))
 
 
 def _with_gaps(docs: DataFrame) -> DataFrame:
@@ -313,7 +318,8 @@ def merge_runs(spark, sf):
 @query
 def section_segments(spark, sf):
     docs = S.annotated(spark, sf, rater=2)
-    return docs.select("doc_id", F.inline(segments.section_registers("main")))
+    main, comments = (docs.select("doc_id", F.lit(s).alias("section"), F.inline(segments.section_registers(s))) for s in SECTIONS)
+    return main.unionByName(comments)
 
 
 def _register_counts(spark: SparkSession, sf: str) -> DataFrame:
