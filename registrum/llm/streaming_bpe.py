@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from registrum.llm.common import remembered, slices, texts_of
 
 #: Memory of the worker for words, in bytes; what a word takes besides its letters and ids; the longest that is remembered.
-MEMORY, ENTRY, MAX_WORD = 80 << 20, 180, 64
+MEMORY, ENTRY, MAX_WORD = 160 << 20, 170, 64
 #: Characters of a text that are split at once, and ids that are decoded at once.
 BLOCK, IDS = 1 << 18, 1 << 16
 WORD_END = "</w>"
@@ -122,7 +122,7 @@ class Bpe:
         # Remembered ids, as the bytes of 32-bit numbers: of pieces as written, of pre-tokens.
         self.known: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        self.bytes = 0
+        self.old_known, self.old_words, self.bytes = dict(self.known), dict(self.words), 0
         #: Bytes that each token spells, the space of a word end included.
         self.spelt = {i: bytes(self.byte_of[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END) for t, i in vocab.items()}
         self.spelt |= {i: t.encode() for t, i in self.added.items()}
@@ -198,8 +198,10 @@ class Bpe:
             if (ids := self.words.get(raw)) is not None:
                 yield ids
             elif len(raw) <= MAX_WORD:
-                self.bytes += ENTRY + 5 * len(raw)
-                self.words[raw] = ids = _ids(self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]]))
+                self.bytes += ENTRY + 3 * len(raw)
+                if (ids := self.old_words.get(raw)) is None:
+                    ids = _ids(self.merge([*[self.inner[b] for b in raw[:-1]], self.final[raw[-1]]]))
+                self.words[raw] = ids
                 yield ids
             else:
                 yield _ids(list(self.stream(raw[i : i + 4096] for i in range(0, len(raw), 4096))))
@@ -225,17 +227,19 @@ class Bpe:
 
     def _block(self, text: str) -> bytes:
         known = self.known
-        if self.bytes > MEMORY:
-            known.clear()
-            self.words.clear()
-            self.bytes = 0
+        if self.bytes > MEMORY // 2:  # what was not used since the last turn is forgotten
+            self.old_known, self.old_words, self.bytes = known, self.words, 0
+            known = self.known = {}
+            self.words = {}
         pieces = SPACE.split(text) if SEPARATORS.search(text) else text.split()
         found = [*map(known.get, pieces)]
         if None in found:
             for i, ids in enumerate(found):
                 if ids is None:
                     piece = pieces[i]
-                    found[i] = ids = self.word(piece)
+                    if (ids := self.old_known.get(piece)) is None:
+                        ids = self.word(piece)
+                    found[i] = ids
                     if len(piece) <= MAX_WORD:
                         known[piece] = ids
                         self.bytes += ENTRY + len(piece) + len(ids)
@@ -265,6 +269,14 @@ class Bpe:
 
         return feed, lambda: ""
 
+    def joined_rows(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """``joined`` for rows of a block or less each, all at once."""
+        self.joined()
+        tokens = self.tokens.take(pa.array(ids))
+        if tokens.null_count:
+            raise KeyError("unknown id")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ").to_pylist()
+
     def spelling(self) -> Decoder:
         """The text that ids spell: word ends become spaces, an unfinished character waits for its bytes."""
         state, spelt = codecs.getincrementaldecoder("utf-8")("replace"), self.spelt
@@ -312,7 +324,10 @@ def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
         for batch in slices(rows, "ids"):
             ids = batch.column("ids")
             ends, flat = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).tolist(), ids.flatten().to_numpy(zero_copy_only=False)
-            texts = pa.array(["".join(model.text(flat[a:b], mode)) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+            if mode == "pieces" and max(pc.list_value_length(ids).drop_null().to_pylist(), default=0) <= IDS:
+                texts = pa.array(model.joined_rows(flat, ends), pa.string())
+            else:
+                texts = pa.array(["".join(model.text(flat[a:b], mode)) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
