@@ -112,7 +112,11 @@ def _distinct_tags() -> Column:
 
 def vocabulary_tags(segments: DataFrame, by: list[str] = []) -> DataFrame:
     """Distinct (kind, tag) over all segments, excluded labels included."""
-    return segments.select(*by, F.explode(_distinct_tags()).alias("tag")).distinct().select(
+    return _split_tags(segments.select(*by, F.explode(_distinct_tags()).alias("tag")).distinct(), by)
+
+
+def _split_tags(tags: DataFrame, by: list[str] = []) -> DataFrame:
+    return tags.select(
         *by,
         F.substring_index("tag", "\t", 1).alias("kind"),
         F.regexp_replace("tag", "(?s)^[^\t]*\t", "").alias("tag"),
@@ -135,9 +139,9 @@ def vocabulary_record(tags: DataFrame, by: list[str]) -> DataFrame:
     return record.select(*by, "upos", "deprel", pairs.alias("feats"))
 
 
-def discover_vocabulary(segments: DataFrame) -> list[str]:
-    """Sorted tag keys as a list, because a wide table needs its columns named before it is planned."""
-    rows = vocabulary_tags(segments).limit(MAX_VOCABULARY + 1).collect()
+def collected_vocabulary(tags: DataFrame) -> list[str]:
+    """Sorted tag keys of distinct (kind, tag) as a list, because a wide table needs its columns named before it is planned."""
+    rows = tags.limit(MAX_VOCABULARY + 1).collect()
     if len(rows) > MAX_VOCABULARY:
         raise ValueError(f"more than {MAX_VOCABULARY} distinct tags")
     return sorted(f"{r['kind']}\t{r['tag']}" for r in rows)
@@ -252,24 +256,48 @@ def rates_long(measured: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def wide_features(measured: DataFrame, keys: list[str], vocabulary: list[str]) -> DataFrame:
-    """Wide form: metadata, then one column per feature in name order, zero where a tag is absent."""
-    ordered = sorted(vocabulary)
-    at = {key: i for i, key in enumerate(ordered)}
-    literal = F.array(*[F.lit(v) for v in ordered]).cast("array<string>") if ordered else _empty("string")
-    counted = measured.select(
+def recorded(segments: DataFrame, keys: list[str], exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
+    """A row per segment without its tokens: sizes, the tags it holds and, if it is ``kept``, sparse tag counts and structural means.
+
+    All that the vocabulary and the feature table need, so that parses are read and counted once.
+    """
+    full = F.filter("sentences", lambda s: F.size(s["tokens"]) > 0)
+    lengths = F.filter(F.transform(full, lambda s: F.size(_content(s["tokens"]))), lambda n: n > 0)
+    sized = segments.select(*keys, "segment_idx", "label", all_tokens(full).alias("tokens"), lengths.alias("sent_lengths"))
+    sized = sized.withColumn("n_tokens", total(F.col("sent_lengths"))).withColumn("n_sents", F.size("sent_lengths").cast("bigint"))
+    kept = (F.col("n_tokens") > 0) & (F.col("n_tokens") >= min_tokens)
+    if exclude_labels:
+        kept = kept & ~F.col("label").isin(exclude_labels)
+    sized = sized.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    means = F.struct(*[c.alias(n) for n, c in structural_means().items()])
+    return sized.select(
         *keys,
         "segment_idx",
         "label",
         "n_tokens",
         "n_sents",
-        align_counts(_segment_counts(), literal).alias("_counts"),
-        F.struct(*[c.alias(n) for n, c in structural_means().items()]).alias("_means"),
+        "kept",
+        distinct_tags(F.col("tokens")).alias("tags"),
+        F.when(F.col("kept"), _segment_counts()).alias("counts"),
+        F.when(F.col("kept"), means).alias("means"),
     )
+
+
+def recorded_tags(records: DataFrame) -> DataFrame:
+    """Distinct (kind, tag) over all segments, kept or not."""
+    return _split_tags(records.select(F.explode("tags").alias("tag")).distinct())
+
+
+def wide_features(records: DataFrame, keys: list[str], vocabulary: list[str]) -> DataFrame:
+    """Wide form of the kept ``records``: metadata, then one column per feature in name order, zero where a tag is absent."""
+    ordered = sorted(vocabulary)
+    at = {key: i for i, key in enumerate(ordered)}
+    literal = F.array(*[F.lit(v) for v in ordered]).cast("array<string>") if ordered else _empty("string")
+    counted = records.where("kept").withColumn("_counts", align_counts(F.col("counts"), literal))
     columns = {
         name: F.lit(PER) * F.col("_counts")[at[key]] / F.col("n_tokens") for name, key in columns_of(vocabulary).items()
     }
-    columns.update({n: F.col("_means")[n] for n in STRUCTURAL_FEATURES})
+    columns.update({n: F.col("means")[n] for n in STRUCTURAL_FEATURES})
     return counted.select(
         *keys, "segment_idx", "label", "n_tokens", "n_sents", *[columns[n].alias(n) for n in sorted(columns)]
     )
@@ -277,12 +305,17 @@ def wide_features(measured: DataFrame, keys: list[str], vocabulary: list[str]) -
 
 def extract(parsed: DataFrame, vocabulary: list[str] | None = None, exclude_labels: list[str] = [CANNOT_RATE],
             min_tokens: int = 0) -> DataFrame:
-    """Parsed documents (doc_id, source, segments) to the wide feature table."""
+    """Parsed documents (doc_id, source, segments) to the wide feature table.
+
+    Without a vocabulary the segments' records are written once, and both the vocabulary and
+    the table are read from them.
+    """
     keys = ["doc_id", "source"]
-    segments = segments_table(parsed, keys)
+    records = recorded(segments_table(parsed, keys), keys, exclude_labels, min_tokens)
     if vocabulary is None:
-        vocabulary = discover_vocabulary(segments)
-    wide = wide_features(measure(segments, keys, exclude_labels, min_tokens), keys, vocabulary)
+        records = materialise(records)
+        vocabulary = collected_vocabulary(recorded_tags(records))
+    wide = wide_features(records, keys, vocabulary)
     features = [c for c in wide.columns if c not in FEATURE_META]
     return wide.select(*FEATURE_META, *features)
 

@@ -208,15 +208,14 @@ def extract_features(spark: SparkSession, parsed_path: str, output: str, skip: l
     for group, files in sorted(groups.items()):
         own = tagged.where(F.col("merge_group") == group)
         keys = ["doc_id", "source"]
-        parsed_segments = features.segments_table(own, keys)
-        tags = materialise(features.vocabulary_tags(parsed_segments))
+        records = materialise(features.recorded(features.segments_table(own, keys), keys, exclude_labels, min_tokens))
+        tags = features.recorded_tags(records)
         record = features.vocabulary_record(tags, []).select(
             F.lit(group).alias("group"), F.array(*[F.lit(f) for f in files]).alias("source_files"), "upos", "deprel", "feats"
         )
         tables.write_documents(record.coalesce(1), f"{output}/{group}_vocabulary", mode="overwrite")
-        vocabulary = sorted(f"{r['kind']}\t{r['tag']}" for r in tags.collect())
-        wide = features.extract(own, vocabulary, exclude_labels, min_tokens)
-        wide.write.mode("overwrite").parquet(f"{output}/{group}_features")
+        wide = features.wide_features(records, keys, features.collected_vocabulary(tags))
+        wide.select(*FEATURE_META, *[c for c in wide.columns if c not in FEATURE_META]).write.mode("overwrite").parquet(f"{output}/{group}_features")
     return sorted(groups)
 
 

@@ -77,6 +77,30 @@ def test_no_shuffle_from_parse_to_features(spark, small, tmp_path):
     mapped = segments.map_segments(S.annotated(spark, small), ["doc_id", "source"])
     S.parsed(mapped, ["doc_id", "source"]).write.parquet(str(tmp_path / "p"))
     docs = spark.read.parquet(str(tmp_path / "p"))
-    vocabulary = features.discover_vocabulary(features.segments_table(docs, ["doc_id"]))
+    vocabulary = features.collected_vocabulary(features.vocabulary_tags(features.segments_table(docs, ["doc_id"])))
     plan = features.extract(docs, vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_parses_are_read_once(spark, tmp_path):
+    """Vocabulary and table come from one pass over the parses."""
+    log = str(tmp_path / "rows")
+
+    def counted(batches):
+        for batch in batches:
+            with open(log, "a") as f:
+                f.write("x" * len(batch))
+            yield batch
+
+    schema = f"doc_id string, source string, segments array<{PARSED_SEGMENT}>"
+    token = {"id": 1, "text": "dogs", "lemma": "dog", "upos": "NOUN", "feats": "Number=Plur", "head": 0, "deprel": "root"}
+    fields = ["id", "text", "lemma", "upos", "xpos", "feats", "head", "deprel", "start_char", "end_char"]
+    token = tuple(token.get(f) for f in fields)
+    rows = [(f"d{i}", "s", [("L", "t", ([("t", [token] * (1 + i % 3))],), None)]) for i in range(20)]
+    parsed = spark.createDataFrame(rows, schema)
+    ids = parsed.select("doc_id").mapInPandas(counted, "doc_id string")
+    table = features.extract(parsed.join(ids, "doc_id"))
+    assert table.count() == 20 and {"pos_noun", "dep_root", "morph_Number_Plur"} <= set(table.columns)
+    assert {r["pos_noun"] for r in table.collect()} == {1000.0}
+    with open(log) as f:
+        assert len(f.read()) == 20
