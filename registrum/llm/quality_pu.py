@@ -1,6 +1,6 @@
 """Quality from trusted positives and unlabelled web text: non-negative PU learning.
 
-Only texts labelled good and texts without any label are used to fit. With class prior
+Texts labelled good, and a sample of all texts whatever their label, are used to fit. With class prior
 ``p`` the risk of calling an unlabelled text bad is known without bad examples:
 ``p * E_pos[l(f)] + max(0, E_unl[l(-f)] - p * E_pos[l(-f)])``, where l is the sigmoid
 loss and f linear in standardised features. The inner difference estimates the risk on
@@ -12,7 +12,10 @@ are a sample of the web text). What is fitted on the driver is a sample of at mo
 ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` rows, drawn by a hash of the id; all counts are
 over all rows, and every text is scored in one pass without a shuffle.
 
-Defined cases: a null text counts as empty; empty texts get a score like others. Without
+The weight decay is the one of least risk in cross-validation over the same rows; rows held out by the caller have no part in it.
+
+Defined cases: a null text counts as empty; empty texts get a score like others. Very long texts are scored whole, in slices of
+few. Equal texts get equal scores. An empty table gives no rows. Without
 positives or unlabelled rows every score is the prior (0.5 without labels). Several
 labels of one id each count as a row. Columns besides those named are not read.
 """
@@ -27,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import texts_of
+from registrum.llm.common import slices, texts_of
 from registrum.llm.quality_rules import MEASURES, measures
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 40_000
 BUCKETS = 128
 SEED = 7
 STEPS, BATCH, RATE = 600, 2048, 0.02
-#: Weight decay, divided by the number of unlabelled rows; chosen of 1 to 20 by accuracy on held-out rows of the small tables.
-DECAY = 10.0
+#: Weight decays to choose from, divided by the number of unlabelled rows; parts of the rows that take turns in judging them, and steps of such a fit.
+DECAYS, FOLDS, TRIAL_STEPS = (1.0, 3.0, 10.0, 30.0), 2, 200
 
 
 def features(text: str) -> np.ndarray:
@@ -74,7 +77,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+def risk(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The non-negative unbiased risk."""
+    pos, unl = model.score(positive), model.score(unlabelled)
+    return float(model.prior * (1 - pos).mean() + max(0.0, unl.mean() - model.prior * pos.mean()))
+
+
+def chosen_decay(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The decay of least risk on rows that a fit has not seen. Only rows that the model may learn from take part."""
+    if min(len(positive), len(unlabelled)) < 2 * FOLDS:
+        return DECAYS[-1]
+    found = []
+    for decay in DECAYS:
+        total = 0.0
+        for fold in range(FOLDS):
+            (pos, pos_out), (unl, unl_out) = ((x[np.arange(len(x)) % FOLDS != fold], x[np.arange(len(x)) % FOLDS == fold]) for x in (positive, unlabelled))
+            total += risk(fit(pos, unl, prior, decay, TRIAL_STEPS), pos_out, unl_out)
+        found.append((total, -decay))
+    return -min(found)[1]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = DECAYS[-1], steps: int = STEPS) -> Model:
     """Minimise the non-negative unbiased risk by Adam over batches."""
     width = positive.shape[1] if len(positive) else len(features(""))
     if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
@@ -85,13 +108,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     rng = np.random.default_rng(SEED)
     w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         u, p = (x[rng.integers(0, len(x), min(BATCH, len(x)))] for x in (unl, pos))
         su, sp = sigmoid(u @ w), sigmoid(p @ w)  # the loss of calling it bad; 1 - s that of calling it good
         du, dp = (u * (su * (1 - su))[:, None]).mean(0), (p * (sp * (1 - sp))[:, None]).mean(0)
         bad = su.mean() - prior * sp.mean()
         gradient = -prior * dp + (du - prior * dp) if bad >= 0 else prior * dp - du
-        gradient[:-1] += DECAY / len(unl) * w[:-1]
+        gradient[:-1] += decay / len(unl) * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -100,7 +123,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 
 def featured(docs: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "text"):
             x = [features(t) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64()))], ["x"])
 
@@ -124,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # About MAX_POSITIVE ids, however many labels there are: small enough to broadcast.
     positive = _matrix(featured(texts.join(F.broadcast(chosen), "doc_id")))
     unlabelled = _matrix(featured(sampled(texts, MAX_UNLABELLED, SEED + 1)))
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, prior, chosen_decay(positive, unlabelled, prior))
 
 
 def _matrix(df: DataFrame) -> np.ndarray:
@@ -138,7 +161,7 @@ def scored(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     kept = frame.columns[:-1]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "_text"):
             x = np.array([features(t) for t in texts_of(batch.column("_text"))]).reshape(batch.num_rows, -1)
             s = model.score(x) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(s)], [*kept, "score"])
