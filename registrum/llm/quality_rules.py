@@ -7,7 +7,8 @@ finding what each rule contributes need no text: they are ``&`` on the ledger an
 sums over its distinct bit patterns.
 
 Defined cases: a null or empty text has no words, all measures are 0 and the rule
-on the number of words fails. Repeated rows and ids are judged row by row. Columns
+on the number of words fails. Very long texts are worked off one at a time. Ties do not
+arise, no rule compares documents. Repeated rows and ids are judged row by row. Columns
 other than ``doc_id`` and ``text`` are not read. An empty table gives an empty ledger.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registrum.llm.common import BLANKS, only, texts_of
+from registrum.llm.common import BLANKS, only, shared_folder, slices, texts_of, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -106,7 +107,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """One row per document with all measures; one pass over the text, no shuffle."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows, "text"):
             found = [measures(t) for t in texts_of(batch.column("text"))]
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *MEASURES])
@@ -124,6 +125,11 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measured(docs).withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger, written to the shared folder and read from there: policies and ablations never see a text."""
+    return written(ledger(docs, rules), f"{shared_folder(docs.sparkSession)}/ledger")
+
+
 def apply_policy(book: DataFrame, mask: int, column: str = "kept") -> DataFrame:
     """Add ``column``: none of the policy's rules failed."""
     return book.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(mask).cast("long")) == 0)

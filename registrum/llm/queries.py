@@ -15,12 +15,43 @@ BLOCK_END, FILE_END = 2, 50256
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(read(spark, sf_dir, "documents"))
+    book = quality_rules.stored(read(spark, sf_dir, "documents"))
     book = quality_rules.apply_policy(book, quality_rules.POLICIES["base"], "_base")
     book = quality_rules.apply_policy(book, quality_rules.POLICIES[quality_rules.PRODUCTION])
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule does in each policy, from the ledger alone."""
+    return quality_rules.ablations(quality_rules.stored(read(spark, sf_dir, "documents")))
+
+
+#: The ledger in SQL; the rules' own conditions are SQL over the measures.
+_LEDGER = f"""words AS (
+    SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
+    FROM (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words))
+), covered AS (
+    SELECT r, count(DISTINCT i + j) AS n FROM windows, (SELECT unnest(range(5)) AS j) WHERE windows.n > 1 GROUP BY r
+), measured AS (
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l)::BIGINT AS n_lines,
+           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+           len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::BIGINT AS n_echo_words,
+           length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS n_lower
+    FROM words LEFT JOIN covered USING (r)
+), ledger AS (
+    SELECT *, ({" + ".join(f"(CASE WHEN {x.fails} THEN {1 << x.bit} ELSE 0 END)" for x in quality_rules.RULES)})::BIGINT AS fail_bits FROM measured
+)"""
+_ABLATION_CELLS = ", ".join(
+    f"('{version}', '{x.name}', {mask}, {1 << x.bit})" for version, mask in quality_rules.POLICIES.items() for x in quality_rules.RULES if mask >> x.bit & 1
+)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_bucket(F.col("doc_id"), 3) == 1
@@ -121,9 +152,21 @@ def kmeans_sql(k: int, rounds: int, seed: int, d: int) -> str:
         FROM a JOIN c{rounds} USING (cluster)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash, op12_spelling_variants, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, quality_ablations, op2_language_id, op3_token_blocks, op4_simhash, op5_line_dedup, op6_streaming_bpe, op7_token_files, op8_quality_pu, op9_suffix_dedup, op10_decontaminate, op11_circulant_minhash, op12_spelling_variants, op13_centroid_clustering)}
 
 ORACLE: dict[str, str] = {
+    "op1_quality_rules": f"""
+        WITH {_LEDGER}
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {quality_rules.POLICIES["base"]} <> 0 AS base_failed,
+               fail_bits & {quality_rules.POLICIES[quality_rules.PRODUCTION]} = 0 AS kept, fail_bits
+        FROM ledger
+    """,
+    "quality_ablations": f"""
+        WITH {_LEDGER}, cells AS (SELECT * FROM (VALUES {_ABLATION_CELLS}) AS c(policy, rule, mask, bit))
+        SELECT policy, rule, count(*) FILTER (fail_bits & mask & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS alone,
+               count(*) FILTER (fail_bits & mask = 0) AS kept, count(*) FILTER (fail_bits & mask & ~bit = 0) AS kept_without
+        FROM ledger, cells GROUP BY policy, rule
+    """,
     "op5_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
