@@ -11,11 +11,11 @@ both sides.
 A document's windows first pass a Bloom filter made from the benchmark's and sized by it,
 so nearly none of them is shuffled; those that pass are hash-joined with the
 benchmark's windows. Each hit tells at which offset between item and document it lies.
-For one item, document and offset, all hits are gathered and their slots compared: each
+Nearby offsets (names may have other numbers of words) are one place. For one item, document and
+place, all hits are gathered and their slots compared, across its offsets too: each
 value of the item must correspond to one value of its type in the document and the
 other way round. A hit whose slots contradict the majority does not count. The document
-holds the item if consistent windows at nearby offsets (names may have other numbers of
-words) cover at least ``COVER`` of its template windows.
+holds the item if consistent windows of a place cover at least ``COVER`` of its template windows.
 An item shorter than the window is one window of its own length, looked for at every
 place of every document. An item none of whose windows has ``LITERALS`` words that are no
 placeholders is looked for as written: its windows hold the slots' values instead.
@@ -350,8 +350,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = hits.join(item, "h").where(F.size("slots") == F.size("item_slots"))
     pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), "item_at", "n", "slots", "item_slots").dropDuplicates(["doc_id", "item_id", "offset", "item_at", "slots", "item_slots"])
     pairs = written(pairs, f"{shared_folder(docs.sparkSession)}/pairs")  # read three times below
-    # One placement of an item in a document has at most as many windows as the item, so a placement is a small group.
-    place = ["doc_id", "item_id", "offset"]
+    # Names of other numbers of words move what follows them: offsets at most a window apart are one place, which is no longer than the item and a window.
+    ordered = Window.partitionBy("doc_id", "item_id").orderBy("offset")  # a row per offset of one item in one document
+    offsets = pairs.groupBy("doc_id", "item_id", "offset").agg(F.first("n").alias("n"))
+    new = F.coalesce((F.col("offset") - F.lag("offset").over(ordered) > WINDOW).cast("int"), F.lit(0))
+    offsets = offsets.withColumn("run", new).withColumn("run", F.sum("run").over(ordered))
+    begin = F.min("offset").over(Window.partitionBy("doc_id", "item_id", "run"))
+    near = F.struct("run", F.floor((F.col("offset") - begin) / (F.col("n") + WINDOW)).alias("part")).alias("near")
+    pairs = pairs.join(offsets.select("doc_id", "item_id", "offset", near), ["doc_id", "item_id", "offset"])
+    # A place of an item in a document has at most as many windows at each of its offsets as the item, so it is a small group.
+    place = ["doc_id", "item_id", "near"]
     slot = pairs.select(*place, "item_at", F.posexplode(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("is"))).alias("i", "v"))
     slot = slot.where("v.was <> ''").select(*place, (F.col("item_at") + F.col("i")).alias("p"), F.col("v.was").alias("was"), F.col("v.is").alias("is")).distinct()
     maps = slot.groupBy(*place, "was", "is").agg(F.count(F.lit(1)).alias("votes"))
@@ -361,13 +369,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = pairs.join(agreed, place, "left")
     fits = F.forall(F.arrays_zip(F.col("item_slots").alias("was"), F.col("slots").alias("is")), lambda v: (v["was"] == "") | F.coalesce(F.element_at(F.col("agreed"), v["was"]) == v["is"], F.lit(False)))
     changed = F.size(F.filter(F.map_entries(F.coalesce("agreed", F.create_map().cast("map<string,string>"))), lambda e: e["key"] != e["value"])).cast("long")
-    placed = judged.where(fits).groupBy(*place).agg(F.collect_set("item_at").alias("ats"), F.first("n").alias("n"), F.max(changed).alias("n_changed"))
-    # Names of other numbers of words move what follows them: offsets at most a window apart are one place. A row per offset of one item in one document.
-    ordered = Window.partitionBy("doc_id", "item_id").orderBy("offset")
-    placed = placed.withColumn("new", F.coalesce((F.col("offset") - F.lag("offset").over(ordered) > WINDOW).cast("int"), F.lit(0)))
-    placed = placed.withColumn("near", F.sum("new").over(ordered))
-    most = F.max_by("n_changed", F.struct(F.size("ats"), "offset"))
-    whole = placed.groupBy("doc_id", "item_id", "near").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows"), F.first("n").alias("n"), most.alias("n_changed"))
+    whole = judged.where(fits).groupBy(*place).agg(F.count_distinct("item_at").alias("n_windows"), F.first("n").alias("n"), F.max(changed).alias("n_changed"))
     whole = whole.withColumn("cover", F.col("n_windows") / F.col("n")).where(F.col("cover") >= COVER)
     top = F.max_by(F.struct("n_windows", "cover", "n_changed"), F.struct("n_windows", "near"))
     return whole.groupBy("doc_id", "item_id").agg(top.alias("x")).select("doc_id", "item_id", "x.*")

@@ -32,3 +32,23 @@ def test_names_of_other_lengths(spark):
     parts = [" ".join(f"{a}{b}" for b in "abcdefghijkl") for a in "vwxy"]
     item = " Paris ".join(parts)
     assert found(spark, [item], [item.replace("Paris", "New York"), parts[0] + " and nothing else"]).keys() == {(0, 0)}
+
+
+def test_slots_agree_across_offsets(spark):
+    """One name of the item is two names in the document, once shifted by a word: the fewer windows do not count."""
+    tail = " ".join(f"{a}{b}" for a in "vw" for b in "abcdefgh")
+    item = "yesterday Paris had many old open small rooms and quiet long dark halls while then Paris sold few cold wet grey flat stones by " + tail
+    same = item.replace("Paris", "Berlin")
+    torn = item.replace("yesterday Paris", "yesterday Berlin").replace("then Paris", "then so Rome")
+    got = found(spark, [item], [same, torn])
+    assert got[0, 0]["cover"] == 1.0 and got[0, 0].n_changed == 1
+    assert (1, 0) in got and got[1, 0].n_windows < got[0, 0].n_windows - 7
+
+
+def test_pipeline_leaves_texts_with_a_word_of_an_item(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "the"), (2, "Which two oceans meet at the southern cape?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["the cat sat on the mat", "He asked: Which two oceans meet at the southern cape? Nobody knew.", "the"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).collect()} == {0, 2}
