@@ -16,6 +16,8 @@ from registrum.llm.common import crc_bucket, only, read, shared_folder, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text is in no language if its best one knows a smaller share of its trigrams than this part of what that language knows of its own texts.
 LEAST_COVER = 0.2
+#: Words of the shortest benchmark item that documents are dropped for.
+LEAST_WORDS = 5
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -48,8 +50,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item, also with other numbers, names or units."""
-    hits = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Without the documents that hold a benchmark item of ``LEAST_WORDS`` words or more, also with other numbers, names or units.
+
+    Shorter items stand in ordinary texts too; op10 reports them, the pipeline drops nothing for them.
+    """
+    items = read(spark, sf_dir, "benchmark").where(F.size(F.split(F.trim("text"), r"\s+")) >= LEAST_WORDS)
+    hits = decontaminate.contaminated(docs, items).select("doc_id").distinct()
     return only(docs, *COLUMNS).join(hits, "doc_id", "left_anti")
 
 
@@ -68,7 +74,7 @@ STAGES = [
     ("bpe", tokenise),
 ]
 
-#: No stage's method (learned filters, MinHash bands, BPE) can be written in SQL; tests compare with brute force.
+#: No stage's method (learned filters, SimHash tables, BPE) can be written in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
