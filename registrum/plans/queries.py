@@ -28,7 +28,7 @@ from registrum.operators import (
 from registrum.plans import standins as S
 from registrum.schemas import FACETS, SECTIONS
 from registrum.sources import numbering, sessions, tables
-from registrum.sources.annotator import annotator_udf, rule_annotator
+from registrum.sources.annotator import annotator_udf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,7 +265,7 @@ def chunk_prompts(spark, sf):
 @query
 def annotate_sections(spark, sf):
     docs = S.annotated(spark, sf).drop("llm_register_annotation", "classification_failed")
-    rated = lines.explode_lines(labelling.annotate(docs, annotator_udf(rule_annotator)), ["doc_id"])
+    rated = lines.explode_lines(labelling.annotate(docs, annotator_udf(S.rule_annotator)), ["doc_id"])
     return rated.select(*PLACE, *[F.col("ann")[f].alias(f) for f in FACETS])
 
 

@@ -159,9 +159,7 @@ def parse(spark: SparkSession, input_path: str | list[str], output: str, factory
 
     Checks one row out per row in.
     """
-    docs = tables.read_segments(spark, input_path)
-    if files:
-        docs = tables.chosen_files(docs, files)
+    docs = tables.read_segments(spark, tables.chosen_paths(spark, input_path, files) if files else input_path)
     lang = N.parser_code(F.col("path"))
     unknown = docs.where(lang.isNull()).select("path").first()
     if unknown:

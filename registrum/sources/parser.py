@@ -81,22 +81,3 @@ def parse_segments(mapped: DataFrame, lang: Column, parser: Callable[[Column, Co
         ),
     )
     return with_parse.withColumn("segments", joined.cast(f"array<{PARSED_SEGMENT}>")).drop("_parses")
-
-
-def rule_parser(lang: str) -> Parser:
-    """Stand-in for tests: sentences end at full stops, words at blanks, each word hangs on the one before."""
-
-    def parse(text: str) -> list[dict]:
-        sentences = []
-        for raw in text.split("."):
-            words = raw.split()
-            if words:
-                tokens = [
-                    {"id": i + 1, "text": w, "lemma": w.lower(), "upos": "NOUN" if len(w) > 3 else "DET", "xpos": None,
-                     "feats": "", "head": i, "deprel": "root" if i == 0 else "dep", "start_char": None, "end_char": None}
-                    for i, w in enumerate(words)
-                ]
-                sentences.append({"text": raw.strip(), "tokens": tokens})
-        return sentences
-
-    return parse

@@ -50,6 +50,24 @@ def number_lines(rows: DataFrame, tables_whole: bool = False) -> DataFrame:
     )
 
 
+def chosen_paths(spark: SparkSession, path: str | list[str], files: list[str] | None = None, skip: list[str] = []) -> list[str]:
+    """The named files (or folders that Spark wrote under such a name) at or directly below ``path``, or all but the skipped ones.
+
+    Only names are listed, so what is not chosen is never read.
+    """
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    for given in [path] if isinstance(path, str) else path:
+        at = hadoop.Path(given)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        below = [] if fs.getFileStatus(at).isFile() else [x.getPath() for x in fs.listStatus(at)]
+        below = [x for x in below if not x.getName().startswith(("_", "."))]
+        whole = not below or any(x.getName().startswith("part-") for x in below)
+        for found in [at] if whole else below:
+            if found.getName() not in skip and (not files or found.getName() in files):
+                out.append(found.toString())
+    return sorted(out)
+
+
 def chosen_files(lines: DataFrame, files: list[str] | None = None, skip: list[str] = []) -> DataFrame:
     """Keep the named files, or all but the skipped ones."""
     name = F.substring_index("path", "/", -1)

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.operators import labelling
+from registrum.plans.standins import rule_annotator
 from registrum.sources import annotator as N
 from registrum.sources import journal
-from registrum.sources.annotator import rule_annotator
 
 SCHEMA = "doc_id string, u string, markdown_main string, markdown_comments string"
 

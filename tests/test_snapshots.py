@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.plans import stages
+from registrum.plans.standins import rule_annotator
 from registrum.sources import annotator, numbering, snapshots
-from registrum.sources.annotator import rule_annotator
 from registrum.streaming import ingest
 
 SCHEMA = "k int, v string"

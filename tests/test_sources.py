@@ -6,12 +6,31 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.plans import stages
+from registrum.plans.standins import rule_annotator
 from registrum.schemas import RAW_DOCUMENT, SIMPLIFIED_DOCUMENT
 from registrum.sources import annotator, sessions, tables
-from registrum.sources.parser import rule_parser
 from registrum.streaming import ingest
 
 
+def rule_parser(lang):
+    """Stand-in for a parser: sentences end at full stops, words at blanks, each word hangs on the one before."""
+
+    def parse(text):
+        sentences = []
+        for raw in text.split("."):
+            words = raw.split()
+            if words:
+                tokens = [
+                    {"id": i + 1, "text": w, "lemma": w.lower(), "upos": "NOUN" if len(w) > 3 else "DET", "xpos": None,
+                     "feats": "", "head": i, "deprel": "root" if i == 0 else "dep", "start_char": None, "end_char": None}
+                    for i, w in enumerate(words)
+                ]
+                sentences.append({"text": raw.strip(), "tokens": tokens})
+        return sentences
+
+    return parse
+
+
 def test_line_numbers_across_splits(spark, tmp_path):
     values = {f"f{i}.jsonl": [f'{{"n": {j}, "pad": "{"x" * (j % 50)}"}}' for j in range(400 + i)] for i in range(3)}
     values["f1.jsonl"][7] = ""
@@ -61,6 +80,22 @@ def test_segment_files(spark, tmp_path):
     assert lengths.count() == 5
 
 
+def test_only_chosen_files_are_read(spark, tmp_path):
+    for name in ("a.jsonl", "b.jsonl", "_c.jsonl"):
+        (tmp_path / name).write_text("[]")
+    (tmp_path / "d.jsonl").mkdir()
+    (tmp_path / "d.jsonl" / "part-0.txt").write_text("[]")
+    names = lambda paths: [p.rsplit("/", 1)[1] for p in paths]
+    root = str(tmp_path)
+    assert names(tables.chosen_paths(spark, root)) == ["a.jsonl", "b.jsonl", "d.jsonl"]
+    assert names(tables.chosen_paths(spark, root, ["a.jsonl", "d.jsonl"])) == ["a.jsonl", "d.jsonl"]
+    assert names(tables.chosen_paths(spark, root, skip=["a.jsonl"])) == ["b.jsonl", "d.jsonl"]
+    assert names(tables.chosen_paths(spark, [f"{root}/a.jsonl", f"{root}/d.jsonl"], ["d.jsonl"])) == ["d.jsonl"]
+    docs = tables.read_segments(spark, tables.chosen_paths(spark, root, ["d.jsonl", "a.jsonl"]))
+    assert sorted(names(r["path"] for r in docs.collect())) == ["a.jsonl", "d.jsonl"]
+    assert {f.rsplit("/", 1)[1] for f in docs.inputFiles()} == {"a.jsonl", "part-0.txt"}
+
+
 def test_sessions_round_trip(spark, tmp_path):
     labels = lambda m: (m, "monologic", "explaining", "formal")
     schema = (
@@ -117,7 +152,7 @@ def test_stages_end_to_end(spark, tmp_path):
     simplified = tables.read_documents(spark, at("simplified") + "/folder=eng_Latn", SIMPLIFIED_DOCUMENT)
     assert simplified.count() == 53
 
-    ask = annotator.annotator_udf(annotator.rule_annotator)
+    ask = annotator.annotator_udf(rule_annotator)
     stages.label(spark, at("simplified") + "/folder=eng_Latn", at("annotated"), ask, max_docs=20)
     assert stages.read_annotated(spark, at("annotated")).count() == 20
     stages.label(spark, at("simplified") + "/folder=eng_Latn", at("annotated"), ask, max_docs=5)
@@ -178,7 +213,7 @@ def test_streams(spark, tmp_path):
     def feed(n):
         (source / f"{n}.json").write_text("\n".join(json.dumps({"xml": xml(i), "u": str(i)}) for i in range(n * 5, n * 5 + 5)))
         ingest.simplify_stream(spark, str(source), at("out"), at("cp1")).awaitTermination(120)
-        ask = annotator.annotator_udf(annotator.rule_annotator)
+        ask = annotator.annotator_udf(rule_annotator)
         ingest.label_stream(spark, at("out"), at("labelled"), at("cp2"), ask).awaitTermination(120)
 
     feed(0)
@@ -195,7 +230,7 @@ def test_documents_of_several_files_keep_their_own_labels(spark, tmp_path):
             at.mkdir(parents=True, exist_ok=True)
             rows = [{"u": f"{folder}{part}{i}", "xml": "x", "xml_simplified": "x", "markdown_main": f"[1] text of {folder}{part}{i} stands here", "markdown_comments": ""} for i in range(3)]
             (at / f"part-{part}.txt").write_text("\n".join(json.dumps(r) for r in rows))
-    ask, out = annotator.annotator_udf(annotator.rule_annotator), str(tmp_path / "annotated")
+    ask, out = annotator.annotator_udf(rule_annotator), str(tmp_path / "annotated")
     stages.label(spark, str(tmp_path / "simp" / "folder=a"), out, ask)
     assert stages.read_annotated(spark, out).count() == 6
     for _ in range(2):
