@@ -13,7 +13,8 @@ block starts. Documents may therefore cross blocks and files, and be longer than
 
 Defined cases: an empty text is the end id alone, and so is a null one. Empty files give
 nothing. Ids after the last end id are a last document with ``closed`` false. A file that
-does not hold whole ids fails. Repeated texts are separate documents.
+does not hold whole ids fails, as does one of two gigabytes. Repeated texts are separate documents. An empty table
+gives no files and no rows. Columns besides ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from registrum.llm.byte_pieces import encoder
 from registrum.llm.common import only, slices, texts_of
 
-#: Bytes of a block; a multiple of every width.
-BLOCK = 1 << 21
+#: Bytes of a block, a multiple of every width, and documents of a file at most: files are read in parallel, and Spark refuses one of two gigabytes.
+BLOCK, RECORDS = 1 << 21, 200_000
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> None:
-    """One flat file per partition of ``docs``, in its order. Strings of special tokens in a text are ordinary text."""
+    """Flat files, one per ``RECORDS`` documents of a partition of ``docs``, in its order. Strings of special tokens in a text are ordinary text."""
     dtype = f"<u{width}"
     end = np.array([end_id], dtype).tobytes()
 
@@ -43,7 +44,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
             yield pa.RecordBatch.from_arrays([pa.array(encode.encode(texts_of(batch.column("text"))), pa.binary())], ["ids"])
 
     ids = only(docs, "text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
-    ids.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).text(folder)
+    ids.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", RECORDS).text(folder)
 
 
 def blocks(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: int = BLOCK) -> DataFrame:
