@@ -83,8 +83,10 @@ def batches(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in rows if b.num_rows)
 
 
-def slices(rows: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about ``size`` bytes of ``column`` (texts, or lists of four-byte numbers), in order; a longer row is a part of its own."""
+def slices(rows: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``size`` bytes of ``column`` (texts, or lists of four-byte numbers), in order; a longer row is a part of its own. Operators that remember things ``keep`` them."""
+    if not keep:
+        _kept.clear()  # what an earlier stage's operator remembered in this worker
     for batch in rows:
         values = batch.column(column)
         length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
@@ -92,3 +94,4 @@ def slices(rows: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) ->
         starts = np.flatnonzero(np.diff(np.cumsum(each) // size, prepend=-1)).tolist()
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

@@ -319,7 +319,7 @@ def document_hits(docs: DataFrame, marked: np.ndarray, kinds: list[tuple[int, bo
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = remembered("template words", Words)
-        for batch in slices(rows, "text"):
+        for batch in slices(rows, "text", keep=True):
             texts, ids = texts_of(batch.column("text")), batch.column("doc_id").to_pylist()
             made = looked.templates(texts)
             hit = set(made.split)

@@ -307,7 +307,7 @@ def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        for batch in slices(rows, "_text"):
+        for batch in slices(rows, "_text", keep=True):
             raw = [model.encode_bytes(t) for t in texts_of(batch.column("_text"))]
             ends = np.cumsum([0, *map(len, raw)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
@@ -321,7 +321,7 @@ def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
-        for batch in slices(rows, "ids"):
+        for batch in slices(rows, "ids", keep=True):
             ids = batch.column("ids")
             ends, flat = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).tolist(), ids.flatten().to_numpy(zero_copy_only=False)
             if mode == "pieces" and max(pc.list_value_length(ids).drop_null().to_pylist(), default=0) <= IDS:

@@ -68,7 +68,7 @@ def coded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, dtype=dtype), np.array([end_id], dtype).tobytes()
-        for batch in slices(rows, "text"):
+        for batch in slices(rows, "text", keep=True):
             ids = [x + end for x in encode.encode(texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

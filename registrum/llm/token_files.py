@@ -40,7 +40,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, True, dtype)
-        for batch in slices(rows, "text"):
+        for batch in slices(rows, "text", keep=True):
             yield pa.RecordBatch.from_arrays([pa.array(encode.encode(texts_of(batch.column("text"))), pa.binary())], ["ids"])
 
     ids = only(docs, "text").mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
