@@ -40,13 +40,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word Jaccard of 0.8), that with the smallest id; documents without an id stay."""
-    found = near_copies.near_copies(docs)
-    rows = only(docs, *COLUMNS)
-    first = written(found.where("doc_id = component_id").groupBy("doc_id").count(), f"{shared_folder(spark)}/first")
-    once = rows.join(first.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    folder, rows = shared_folder(spark), only(docs, *COLUMNS)
+    found = written(near_copies.near_copies(docs), f"{folder}/found")
+    # Written first, so that the size of what goes, less than what stays, is known before texts are moved for it.
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), f"{folder}/gone")
+    stay = rows.join(gone, "doc_id", "left_anti")
+    again = written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), f"{folder}/again")
+    if again.isEmpty():
+        return stay
     # Repeated rows of one id are copies or ties of one document: the first by text stays.
-    again = rows.join(first.where("count > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("x"))
-    return once.unionByName(again.select("doc_id", "x.*")).unionByName(rows.where("doc_id IS NULL"))
+    one = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.coalesce("text", F.lit(""))).alias("x"))
+    return stay.join(again, "doc_id", "left_anti").unionByName(one.select("doc_id", "x.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +59,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Shorter items stand in ordinary texts too; op10 reports them, the pipeline drops nothing for them.
     """
     items = read(spark, sf_dir, "benchmark").where(F.size(F.split(F.trim("text"), r"\s+")) >= LEAST_WORDS)
-    hits = decontaminate.contaminated(docs, items).select("doc_id").distinct()
+    # Written first, so that the size of the few that go is known before texts are moved for them.
+    hits = written(decontaminate.contaminated(docs, items).select("doc_id").distinct(), f"{shared_folder(spark)}/hits")
     return only(docs, *COLUMNS).join(hits, "doc_id", "left_anti")
 
 
