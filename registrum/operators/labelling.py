@@ -26,6 +26,12 @@ CONTEXT_LINES = 10
 OPENING_LINES = 5
 LINE_CHARS = 500
 
+# Headings and marks of a request.
+OPENING_TITLE = "[DOCUMENT OPENING — for context only, do not classify]"
+CONTEXT_TITLE = "[CONTEXT — do not classify]"
+TARGET_TITLE = "[CLASSIFY THESE LINES]"
+STRUCTURAL_MARK = "  {structural — do not classify}"
+
 _CALL = "struct<section:string,begin:int,end:int,prompt:string>"
 
 
@@ -57,17 +63,17 @@ def prompt_text(url: Column, section: str, lines: Column, first_lines: Column, b
         marked = F.transform(
             p["target"],
             lambda l: F.concat(
-                _shown(l), F.when(T.is_structural(l["text"]), "  {structural — do not classify}").otherwise("")
+                _shown(l), F.when(T.is_structural(l["text"]), STRUCTURAL_MARK).otherwise("")
             ),
         )
         return F.array_join(
             F.concat(
                 F.array(F.concat(F.lit("URL: "), F.coalesce(url, F.lit(""))), F.lit(f"Section: {section}")),
-                _block("[DOCUMENT OPENING — for context only, do not classify]", F.transform(elsewhere, _shown)),
-                _block("[CONTEXT — do not classify]", F.transform(p["before"], _shown)),
-                F.array(F.lit(""), F.lit("[CLASSIFY THESE LINES]")),
+                _block(OPENING_TITLE, F.transform(elsewhere, _shown)),
+                _block(CONTEXT_TITLE, F.transform(p["before"], _shown)),
+                F.array(F.lit(""), F.lit(TARGET_TITLE)),
                 marked,
-                _block("[CONTEXT — do not classify]", F.transform(p["after"], _shown)),
+                _block(CONTEXT_TITLE, F.transform(p["after"], _shown)),
             ),
             "\n",
         )
