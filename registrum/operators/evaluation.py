@@ -27,15 +27,18 @@ def facet_pairs(human: Column, llm: Column) -> Column:
     return F.array(*rows)
 
 
-def first_tasks(tasks: DataFrame, lang: str, order: list[str]) -> DataFrame:
-    """The first tasks of each language, up to its cap.
+def first_tasks(tasks: DataFrame, lang: str, order: list[str], caps: Column | None = None, largest: int | None = None) -> DataFrame:
+    """The first tasks of each language, up to its cap: ``caps``, by default those of the published evaluation.
 
-    The rank filter below the largest cap lets every map task drop all but its
+    With ``largest``, the largest of all caps, a rank filter lets every map task drop all but its
     own first rows before the shuffle; the language's own cap follows.
     """
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(*order))
-    ranked = tasks.withColumn("task_rank", rank).where(F.col("task_rank") <= TASK_CAP)
-    return ranked.where(F.col("task_rank") <= task_cap(F.col(lang))).drop("task_rank")
+    if caps is None:
+        caps, largest = task_cap(F.col(lang)), TASK_CAP
+    ranked = tasks.withColumn("task_rank", F.row_number().over(Window.partitionBy(lang).orderBy(*order)))
+    if largest is not None:
+        ranked = ranked.where(F.col("task_rank") <= largest)
+    return ranked.where(F.col("task_rank") <= caps).drop("task_rank")
 
 
 def confusion_cells(tasks: DataFrame, lang: str = "lang", human: str = "human_labels",

@@ -142,3 +142,14 @@ def test_partitioning_does_not_matter(spark, small):
     shapes = [evaluation.confusion_cells(d) for d in (rated.coalesce(1), rated.repartition(7))]
     a, b = ({tuple(r) for r in s.collect()} for s in shapes)
     assert a == b and sum(r[-1] for r in a) > 5000
+
+
+def test_caps_are_an_argument(spark):
+    tasks = spark.range(700).select((F.col("id") % 2).cast("string").alias("lang"), "id")
+
+    def counts(**caps):
+        return {r["lang"]: r["count"] for r in evaluation.first_tasks(tasks, "lang", ["id"], **caps).groupBy("lang").count().collect()}
+
+    assert counts() == {"0": 250, "1": 250}
+    assert counts(caps=F.when(F.col("lang") == "0", 300).otherwise(7)) == {"0": 300, "1": 7}
+    assert counts(caps=F.lit(20), largest=20) == {"0": 20, "1": 20}
