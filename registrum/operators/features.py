@@ -1,18 +1,23 @@
 """Linguistic features of dependency-parsed segments.
 
-A parsed segment is one record, so its features come out of that record alone:
-tags are counted by sorting them together with the vocabulary, type-token
-ratios by one sort. From parses to the wide feature table there is no shuffle;
+A parsed segment is one record, so its features come out of that record alone,
+for many segments at a time in Arrow batches: one sort for tag counts, one for
+type-token ratios. From parses to the wide feature table there is no shuffle;
 only discovering the vocabulary aggregates across documents, over distinct tags.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from registrum.functions import parses
 from registrum.functions.annotation import CANNOT_RATE
-from registrum.functions.arrays import align_counts, bind, moving_ttr, run_lengths, sum_per_value, total
+from registrum.functions.arrays import total
 from registrum.schemas import FEATURE_META, STRUCTURAL_FEATURES
 from registrum.session import built_once, materialise
 
@@ -58,32 +63,6 @@ def _morph_items(feats: Column) -> Column:
     return F.filter(F.split(feats, "[|]"), lambda kv: F.instr(kv, "=") > 0)
 
 
-def tag_counts(tokens: Column, missing_upos: str) -> Column:
-    """(tag key, count) of every part of speech, relation and morphological pair of a segment.
-
-    Tokens without a part of speech count as ``missing_upos``. Feature strings
-    repeat, so equal ones are counted before they are taken apart.
-    """
-    upos = F.transform(
-        tokens, lambda t: F.when(F.coalesce(t["upos"], F.lit("")) == "", missing_upos).otherwise(t["upos"])
-    )
-
-    def keyed(kind: str, values: Column) -> Column:
-        return F.transform(
-            run_lengths(values), lambda r: F.struct(_tag(kind, r["value"]).alias("value"), r["n"].alias("n"))
-        )
-
-    feats = F.flatten(
-        F.transform(
-            run_lengths(_present(tokens, "feats")),
-            lambda r: F.transform(
-                _morph_items(r["value"]), lambda kv: F.struct(_tag("feats", kv).alias("value"), r["n"].alias("n"))
-            ),
-        )
-    )
-    return sum_per_value(F.concat(keyed("upos", upos), keyed("deprel", _present(tokens, "deprel")), feats))
-
-
 def distinct_tags(tokens: Column) -> Column:
     """Every tag key that occurs in the tokens."""
 
@@ -100,11 +79,6 @@ def all_tokens(sentences: Column) -> Column:
     return F.flatten(F.transform(sentences, lambda s: s["tokens"]))
 
 
-@built_once
-def _segment_counts() -> Column:
-    return tag_counts(F.col("tokens"), "X")
-
-
 @built_once
 def _distinct_tags() -> Column:
     return distinct_tags(all_tokens(F.col("sentences")))
@@ -173,13 +147,6 @@ def _content(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: F.coalesce(t["upos"], F.lit("")) != "PUNCT")
 
 
-def _mean(values: Column) -> Column:
-    return bind(
-        values,
-        lambda v: F.when(F.size(v) > 0, total(v).cast("double") / F.size(v)).otherwise(F.lit(0.0)),
-    )
-
-
 def measure(segments: DataFrame, keys: list[str], exclude_labels: list[str] = [CANNOT_RATE],
             min_tokens: int = 0) -> DataFrame:
     """Segments with their tokens and token counts; segments without content words are dropped.
@@ -209,44 +176,14 @@ def measure(segments: DataFrame, keys: list[str], exclude_labels: list[str] = [C
     )
 
 
-def _lemma(token: Column) -> Column:
-    return F.when(F.coalesce(token["lemma"], F.lit("")) != "", token["lemma"]).otherwise(
-        F.coalesce(token["text"], F.lit(""))
-    )
-
-
-@built_once
-def structural_means() -> dict[str, Column]:
-    """Sentence length, dependency distance, word length and moving type-token ratios."""
-    tokens = F.col("tokens")
-    words = F.filter(
-        F.transform(_content(tokens), lambda t: F.coalesce(t["text"], F.lit(""))), lambda w: w != ""
-    )
-    lemmas = F.filter(F.transform(_content(tokens), _lemma), lambda w: w != "")
-    linked = F.filter(tokens, lambda t: (t["head"] > 0) & t["id"].isNotNull())
-    return {
-        "mean_sent_len": _mean(F.col("sent_lengths")),
-        "mean_dep_dist": _mean(F.transform(linked, lambda t: F.abs(t["head"] - t["id"]))),
-        "mean_word_len": _mean(F.transform(words, F.length)),
-        "mattr50_words": moving_ttr(F.transform(words, F.lower), WINDOW),
-        "mattr50_lemmas": moving_ttr(F.transform(lemmas, F.lower), WINDOW),
-    }
-
-
-def structural_table(measured: DataFrame, keys: list[str]) -> DataFrame:
-    return measured.select(
-        *keys,
-        "segment_idx",
-        "label",
-        "n_tokens",
-        "n_sents",
-        *[c.alias(name) for name, c in structural_means().items()],
-    )
+def structural_table(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Sentence length, dependency distance, word length and moving type-token ratios of the kept ``records``."""
+    return records.where("kept").select(*keys, "segment_idx", "label", "n_tokens", "n_sents", "means.*")
 
 
-def rates_long(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form: one row per segment and occurring tag with its rate per thousand content words."""
-    return measured.select(*keys, "segment_idx", "n_tokens", F.inline(_segment_counts())).select(
+def rates_long(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Long form of the kept ``records``: one row per segment and occurring tag with its rate per thousand content words."""
+    return records.where("kept").select(*keys, "segment_idx", "n_tokens", F.inline("counts")).select(
         *keys,
         "segment_idx",
         F.substring_index("value", "\t", 1).alias("kind"),
@@ -259,27 +196,33 @@ def rates_long(measured: DataFrame, keys: list[str]) -> DataFrame:
 def recorded(segments: DataFrame, keys: list[str], exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
     """A row per segment without its tokens: sizes, the tags it holds and, if it is ``kept``, sparse tag counts and structural means.
 
-    All that the vocabulary and the feature table need, so that parses are read and counted once.
+    All that the vocabulary and the feature tables need, so that parses are read and counted once.
     """
-    full = F.filter("sentences", lambda s: F.size(s["tokens"]) > 0)
-    lengths = F.filter(F.transform(full, lambda s: F.size(_content(s["tokens"]))), lambda n: n > 0)
-    sized = segments.select(*keys, "segment_idx", "label", all_tokens(full).alias("tokens"), lengths.alias("sent_lengths"))
-    sized = sized.withColumn("n_tokens", total(F.col("sent_lengths"))).withColumn("n_sents", F.size("sent_lengths").cast("bigint"))
+    segments = segments.select(*keys, "segment_idx", "label", "sentences")
+    carried = segments.columns[:-1]
+
+    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parses.parts(batch, "sentences"):
+                found = parses.records_of(part.column("sentences"), WINDOW)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found.values()], names=[*carried, *found])
+
+    found = StructType(segments.select(*carried).schema.fields + StructType.fromDDL(
+        "n_tokens bigint, n_sents bigint, tags array<string>, counts array<struct<value: string, n: int>>, "
+        f"means struct<{', '.join(f'{n}: double' for n in STRUCTURAL_FEATURES)}>"
+    ).fields)
     kept = (F.col("n_tokens") > 0) & (F.col("n_tokens") >= min_tokens)
     if exclude_labels:
         kept = kept & ~F.col("label").isin(exclude_labels)
-    sized = sized.withColumn("kept", F.coalesce(kept, F.lit(False)))
-    means = F.struct(*[c.alias(n) for n, c in structural_means().items()])
+    sized = segments.mapInArrow(record, found).withColumn("kept", F.coalesce(kept, F.lit(False)))
     return sized.select(
-        *keys,
-        "segment_idx",
-        "label",
+        *carried,
         "n_tokens",
         "n_sents",
         "kept",
-        distinct_tags(F.col("tokens")).alias("tags"),
-        F.when(F.col("kept"), _segment_counts()).alias("counts"),
-        F.when(F.col("kept"), means).alias("means"),
+        "tags",
+        F.when(F.col("kept"), F.col("counts")).alias("counts"),
+        F.when(F.col("kept"), F.col("means")).alias("means"),
     )
 
 
@@ -290,12 +233,10 @@ def recorded_tags(records: DataFrame) -> DataFrame:
 
 def wide_features(records: DataFrame, keys: list[str], vocabulary: list[str]) -> DataFrame:
     """Wide form of the kept ``records``: metadata, then one column per feature in name order, zero where a tag is absent."""
-    ordered = sorted(vocabulary)
-    at = {key: i for i, key in enumerate(ordered)}
-    literal = F.array(*[F.lit(v) for v in ordered]).cast("array<string>") if ordered else _empty("string")
-    counted = records.where("kept").withColumn("_counts", align_counts(F.col("counts"), literal))
+    counted = records.where("kept").withColumn("_counts", F.map_from_entries("counts"))
     columns = {
-        name: F.lit(PER) * F.col("_counts")[at[key]] / F.col("n_tokens") for name, key in columns_of(vocabulary).items()
+        name: F.lit(PER) * F.coalesce(F.col("_counts")[key], F.lit(0)) / F.col("n_tokens")
+        for name, key in columns_of(vocabulary).items()
     }
     columns.update({n: F.col("means")[n] for n in STRUCTURAL_FEATURES})
     return counted.select(

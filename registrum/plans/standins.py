@@ -10,11 +10,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from registrum.functions import text as T
+from registrum.functions.parses import counted_from, lowered, owners
 from registrum.session import spread
 from registrum.sources.annotator import Provider
 from registrum.schemas import ANNOTATIONS, PARSED_SEGMENT, SECTION_PAIR
@@ -129,40 +135,71 @@ def raw_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TOKEN = """named_struct('id', j + 1, 'text', w,
- 'lemma', CASE WHEN length(w) % 8 = 0 THEN NULL ELSE lower(w) END,
- 'upos', CASE WHEN w = '.' THEN 'PUNCT' ELSE CASE (length(w) + j % 2) % 8 WHEN 0 THEN 'NOUN' WHEN 1 THEN 'VERB'
-   WHEN 2 THEN 'DET' WHEN 3 THEN 'ADP' WHEN 4 THEN 'ADJ' WHEN 5 THEN 'NOUN' WHEN 6 THEN 'ADV' ELSE NULL END END,
- 'xpos', CAST(NULL AS STRING),
- 'feats', CASE WHEN w = '.' THEN NULL ELSE CASE length(w) % 4 WHEN 0 THEN 'Case=Nom|Number=Sing'
-   WHEN 1 THEN 'Mood=Ind|Number=Plur|Tense=Past' WHEN 2 THEN NULL ELSE 'Foreign|Case=Acc' END END,
- 'head', j,
- 'deprel', CASE WHEN j = 0 THEN 'root' WHEN w = '.' THEN 'punct' ELSE CASE (length(w) + j) % 5 WHEN 0 THEN 'nsubj'
-   WHEN 1 THEN 'obj' WHEN 2 THEN 'nmod:poss' WHEN 3 THEN '' ELSE 'advmod' END END,
- 'start_char', CAST(NULL AS INT), 'end_char', CAST(NULL AS INT))"""
-
-
-def parse_column(text: str) -> str:
-    """Stand-in parse of a text as SQL: sentences end at full stops, words at blanks."""
-    return (
-        "named_struct('sentences', transform("
-        f"filter(transform(split({text}, '[.]'), t -> trim(t)), t -> t <> ''), "
-        "t -> named_struct('text', t, 'tokens', transform("
-        f"filter(split(concat(t, ' .'), ' '), w -> w <> ''), (w, j) -> {_TOKEN}))))"
-    )
+# Documents that are parsed at a time.
+_PARSED_ROWS = 64
+_UPOS = pa.array(["NOUN", "VERB", "DET", "ADP", "ADJ", "NOUN", "ADV", None, "PUNCT"], pa.string())
+_FEATS = pa.array(["Case=Nom|Number=Sing", "Mood=Ind|Number=Plur|Tense=Past", None, "Foreign|Case=Acc"], pa.string())
+_DEPREL = pa.array(["nsubj", "obj", "nmod:poss", "", "advmod", "root", "punct"], pa.string())
+
+
+def _split(texts: pa.Array, mark: str) -> tuple[np.ndarray, pa.Array]:
+    """Parts between marks, blanks trimmed, without empty ones: the number of the text each is of, and the parts."""
+    cut = pc.split_pattern(texts, mark)
+    owner, flat = owners(cut), pc.utf8_trim(cut.flatten(), " ")
+    there = pc.not_equal(flat, "")
+    return owner[there.to_numpy(zero_copy_only=False)], flat.filter(there)
+
+
+def _tokens(sentences: pa.Array) -> pa.ListArray:
+    owner, words = _split(pc.binary_join_element_wise(sentences, " .", ""), " ")
+    per_sentence = np.bincount(owner, minlength=len(sentences))
+    at = np.arange(len(words)) - (np.cumsum(per_sentence) - per_sentence)[owner]
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+    stop = pc.equal(words, ".").to_numpy(zero_copy_only=False)
+    nothing = {c: pa.nulls(len(words), t) for c, t in (("xpos", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()))}
+    fields = {
+        "id": pa.array(at + 1, pa.int32()),
+        "text": words,
+        "lemma": pc.if_else(pa.array(length % 8 == 0), pa.scalar(None, words.type), lowered(words)),
+        "upos": _UPOS.take(pa.array(np.where(stop, 8, (length + at % 2) % 8))),
+        "xpos": nothing["xpos"],
+        "feats": _FEATS.take(pa.array(np.where(stop, 2, length % 4))),
+        "head": pa.array(at, pa.int32()),
+        "deprel": _DEPREL.take(pa.array(np.where(at == 0, 5, np.where(stop, 6, (length + at) % 5)))),
+        "start_char": nothing["start_char"],
+        "end_char": nothing["end_char"],
+    }
+    return pa.ListArray.from_arrays(counted_from(np.cumsum(per_sentence)), pa.StructArray.from_arrays(fields.values(), names=list(fields)))
+
+
+def parses_of(texts: pa.Array) -> pa.StructArray:
+    """Stand-in parses of texts: sentences end at full stops, words at blanks."""
+    owner, sentences = _split(texts, ".")
+    rows = pa.StructArray.from_arrays([sentences, _tokens(sentences)], names=["text", "tokens"])
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(counted_from(ends), rows)], names=["sentences"])
 
 
 def parsed(mapped: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with stand-in parses, in the parser stage's layout."""
-    return mapped.select(
-        *keys,
-        F.expr(
-            "transform(segments, s -> named_struct('label', s.label, 'text', s.text, "
-            f"'parse', {parse_column('s.text')}, '_source', CAST(NULL AS STRING)))"
-        )
-        .cast(f"array<{PARSED_SEGMENT}>")
-        .alias("segments"),
-    )
+    rows = mapped.select(*keys, "segments")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, _PARSED_ROWS):
+                part = batch.slice(start, _PARSED_ROWS)
+                found = part.column("segments")
+                label, text = (pc.struct_field(found.flatten(), f) for f in ("label", "text"))
+                ends = np.cumsum(np.bincount(owners(found), minlength=len(found)))
+                segments = pa.StructArray.from_arrays(
+                    [label, text, parses_of(text), pa.nulls(len(text), pa.string())], names=["label", "text", "parse", "_source"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.ListArray.from_arrays(counted_from(ends), segments)], names=part.schema.names
+                )
+
+    schema = StructType(rows.schema.fields[:-1] + StructType.fromDDL(f"segments array<{PARSED_SEGMENT}>").fields)
+    return rows.mapInArrow(parse, schema)
 
 
 def embedding_columns(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
