@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from html import escape
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,18 @@ _ROW = "struct<head:boolean,cells:array<string>>"
 _BLOCK = f"struct<kind:string,text:string,items:array<string>,rows:array<{_ROW}>>"
 _SHAPE = f"struct<xml:string,main:array<{_BLOCK}>,comments:array<{_BLOCK}>>"
 
+_ARROW_BLOCK = pa.struct(
+    [
+        ("kind", pa.string()),
+        ("text", pa.string()),
+        ("items", pa.list_(pa.string())),
+        ("rows", pa.list_(pa.struct([("head", pa.bool_()), ("cells", pa.list_(pa.string()))]))),
+    ]
+)
+_ARROW_SHAPE = pa.struct([("xml", pa.string()), ("main", pa.list_(_ARROW_BLOCK)), ("comments", pa.list_(_ARROW_BLOCK))])
+# Documents that are taken apart at a time, whatever the size of the batches they come in.
+_SHAPED_ROWS = 16
+
 _LINE_BREAKS = {ord(c): " " for c in "\n\r\t"}
 
 
@@ -171,9 +183,12 @@ def _shape(xml: str | None) -> dict:
     return out
 
 
-def _shape_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _shape_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Shapes of documents; only a few are Python objects at once."""
     for xml in batches:
-        yield pd.DataFrame([_shape(x) for x in xml], columns=["xml", "main", "comments"])
+        for start in range(0, len(xml), _SHAPED_ROWS):
+            yield pa.array([_shape(x) for x in xml.slice(start, _SHAPED_ROWS).to_pylist()], _ARROW_SHAPE)
+        pa.default_memory_pool().release_unused()
 
 
 def _line(block: Column) -> Column:
@@ -219,7 +234,7 @@ def simplify(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
     ``skipped`` marks rows without simplified XML or without main text.
     """
-    shape = F.pandas_udf(_shape_batches, _SHAPE).asNondeterministic()
+    shape = F.arrow_udf(_shape_batches, _SHAPE).asNondeterministic()
     shaped = docs.withColumn("_shape", shape(F.col(xml)))
     out = shaped.select(
         *docs.columns,

@@ -1,5 +1,6 @@
 """XML simplification and line rendering."""
 
+import pyarrow as pa
 import pytest
 
 from registrum.operators import xmltext
@@ -66,3 +67,11 @@ def test_what_stands_around_a_document():
         assert _shape(text)["main"], text
     assert _shape("<TEI><p>hello</p></TEI>")["main"] is None
     assert _shape("<doc")["xml"] is None
+
+
+def test_shapes_are_made_a_few_documents_at_a_time(spark):
+    """A batch of any size is taken apart in short slices, in order and whole."""
+    xml = ["<doc><main><p>a &amp; b</p></main></doc>", None, "<doc", "<doc><main><list><item>x</item></list></main></doc>"] * 250
+    cut = list(xmltext._shape_batches(iter([pa.array(xml)])))
+    assert max(map(len, cut)) <= 16
+    assert [s for c in cut for s in c.to_pylist()] == [xmltext._shape(x) for x in xml]
