@@ -65,7 +65,7 @@ def last_per_key(entries: Column, key: Key) -> Column:
         F.transform(entries, lambda e, i: F.struct(key(e).alias("k"), i.alias("pos"), e.alias("entry"))),
         lambda t: t["k"].isNotNull(),
     )
-    return map_runs(F.array_sort(tagged), lambda t: t["k"], lambda run: last(run)["entry"])
+    return map_runs(F.sort_array(tagged), lambda t: t["k"], lambda run: last(run)["entry"])
 
 
 def lookup(
@@ -121,8 +121,8 @@ def lookup(
                 ),
             )
 
-        merged = F.flatten(map_runs(F.array_sort(F.concat(right, left)), lambda r: r["k"], pair))
-        slow = F.transform(F.array_sort(merged), lambda r: combine(r["item"], r["entry"]))
+        merged = F.flatten(map_runs(F.sort_array(F.concat(right, left)), lambda r: r["k"], pair))
+        slow = F.transform(F.sort_array(merged), lambda r: combine(r["item"], r["entry"]))
         return F.when(aligned, F.zip_with(its, ents, combine)).otherwise(slow)
 
     empty = F.array().cast(f"array<{entry_type}>")
@@ -135,7 +135,7 @@ def lookup(
 def run_lengths(array: Column) -> Column:
     """Distinct values with their counts, in value order."""
     return map_runs(
-        F.array_sort(array),
+        F.sort_array(array),
         lambda x: x,
         lambda run: F.struct(F.get(run, F.lit(0)).alias("value"), F.size(run).alias("n")),
     )
@@ -144,7 +144,7 @@ def run_lengths(array: Column) -> Column:
 def sum_per_value(entries: Column) -> Column:
     """(value, n) entries with the counts of equal values added up, in value order."""
     return map_runs(
-        F.array_sort(entries),
+        F.sort_array(entries),
         lambda e: e["value"],
         lambda run: F.struct(
             F.get(run, F.lit(0))["value"].alias("value"), total(F.transform(run, lambda e: e["n"]), "int").alias("n")
@@ -164,7 +164,7 @@ def align_counts(counts: Column, vocabulary: Column) -> Column:
         F.transform(counts, lambda c: F.struct(c["value"].alias("v"), F.lit(1).alias("m"), c["n"].alias("n"))),
     )
     runs = map_runs(
-        F.array_sort(marked),
+        F.sort_array(marked),
         lambda t: t["v"],
         lambda run: F.when(F.get(run, F.lit(0))["m"] == 0, last(run)["n"]),
     )
@@ -195,7 +195,7 @@ def moving_ttr(tokens: Column, window: int) -> Column:
 
     def body(toks: Column) -> Column:
         size = F.size(toks)
-        order = F.array_sort(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("pos"))))
+        order = F.sort_array(F.transform(toks, lambda t, i: F.struct(t.alias("t"), i.alias("pos"))))
 
         def sum_of_types(sorted_tokens: Column) -> Column:
             per_token = F.transform(
