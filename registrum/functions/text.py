@@ -11,6 +11,7 @@ from registrum.schemas import LINE
 SPACE = r"(?U)[\s\x1c-\x1f]"
 SPACE_RUN = SPACE + "+"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+STRUCTURAL = r"(?U)^[\s\x1c-\x1f]*(?:# |TABLE: |CODE: )[\s\x1c-\x1f]*[^\s\x1c-\x1f]"
 NUMBERED = r"(?s)^\[([0-9]+)\](?U:[\s\x1c-\x1f])*(.*)$"
 
 
@@ -59,9 +60,8 @@ def number_lines(lines: Column) -> Column:
 
 
 def is_structural(text: Column) -> Column:
-    """Headings, tables and code blocks, recognised by their rendered prefix."""
-    bare = strip(text)
-    return bare.startswith("# ") | bare.startswith("TABLE: ") | bare.startswith("CODE: ")
+    """Headings, tables and code blocks, recognised by their rendered prefix with something behind it."""
+    return text.rlike(STRUCTURAL)
 
 
 def truncate(text: Column, limit: int, suffix: str = "...") -> Column:

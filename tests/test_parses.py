@@ -4,8 +4,10 @@ import math
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from registrum.functions import parses
+from registrum.functions import text as T
 from registrum.operators import features
 from registrum.plans import queries, standins
 from registrum.schemas import PARSED_SEGMENT
@@ -69,3 +71,15 @@ def test_tokens_are_not_interpreted(spark, small, name):
     """Words are cut, tagged and counted in Arrow batches; expressions over each token took most of the time."""
     plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "upos" not in plan.replace("upos:", "")
+
+
+def test_structural_lines_are_told_by_their_beginning(spark):
+    """As stripping the whole line and looking at its prefix, without a pass over the line."""
+    ends = ["", " ", "\n", " ", "\x1c", " x", "x", " x \n", "é"]
+    texts = [a + b + c for a in ["", " ", "\x1f　", "\n", "y "] for b in ["# ", "#", "TABLE: ", "TABLE:", "CODE: ", "# ", ""] for c in ends]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    bare = T.strip(F.col("t"))
+    stripped = bare.startswith("# ") | bare.startswith("TABLE: ") | bare.startswith("CODE: ")
+    found = df.select(T.is_structural(F.col("t")).alias("got"), stripped.alias("want"))
+    assert found.where("NOT got <=> want").count() == 0
+    assert "regexp_replace" not in df.select(T.is_structural(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
