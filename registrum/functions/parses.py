@@ -16,7 +16,11 @@ from registrum.schemas import STRUCTURAL_FEATURES
 
 # Tokens that are worked on at a time; a longer segment is a part of its own.
 PART_TOKENS = 1 << 16
+# Bytes of text that are parsed and counted at a time; a longer document is a part of its own.
+PART_BYTES = 1 << 18
 MISSING_UPOS = "X"
+# Elsewhere, lower case has the same length and does not depend on the characters around.
+NOT_LATIN = "[^\x00-\u012f\u0131-\u024f]"
 COUNTS = pa.list_(pa.struct([("value", pa.string()), ("n", pa.int32())]))
 MEANS = pa.struct([(n, pa.float64()) for n in STRUCTURAL_FEATURES])
 
@@ -32,18 +36,34 @@ def owners(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), lengths)
 
 
+def places(owner: np.ndarray, n: int) -> np.ndarray:
+    """0-based places within their lists, of the elements of ``n`` lists."""
+    size = np.bincount(owner, minlength=n)
+    return np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+
+
 def lowered(texts: pa.Array) -> pa.Array:
-    """Texts in lower case; Python sees those with letters beyond ASCII only."""
+    """Texts in lower case; Python sees those with characters beyond Latin only."""
     wide = pc.invert(pc.string_is_ascii(texts))
     lower = pc.ascii_lower(texts)
-    others = [t.lower() for t in texts.filter(wide).to_pylist()]
-    return pc.replace_with_mask(lower, wide, pa.array(others, lower.type)) if others else lower
+    if not (beyond := texts.filter(wide)):
+        return lower
+    other = pc.match_substring_regex(beyond, NOT_LATIN)
+    by_python = pa.array([t.lower() for t in beyond.filter(other).to_pylist()], lower.type)
+    return pc.replace_with_mask(lower, wide, pc.replace_with_mask(pc.utf8_lower(beyond), other, by_python))
 
 
 def _encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Values as numbers into the array of distinct ones; null counts as empty."""
-    encoded = pc.fill_null(values, "").dictionary_encode()
-    return encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), encoded.dictionary
+    """Values as numbers into an array of names, which holds the distinct ones; null counts as empty.
+
+    What comes dictionary-encoded keeps its names; among them some may be the same.
+    """
+    if not pa.types.is_dictionary(values.type):
+        values = values.dictionary_encode()
+    codes, names = values.indices, pc.fill_null(values.dictionary, "")
+    if codes.null_count:
+        codes, names = pc.fill_null(codes, len(names)), pa.concat_arrays([names, pa.array([""], names.type)])
+    return codes.to_numpy(zero_copy_only=False).astype(np.int64), names
 
 
 def _taken(of_value: pa.Array | np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -61,8 +81,7 @@ def _sums(owner: np.ndarray, n: int, values: np.ndarray | None = None) -> np.nda
 
 def moving_ttr(owner: np.ndarray, codes: np.ndarray, n: int, window: int) -> np.ndarray:
     """Moving-average type-token ratio per owner; as :func:`registrum.functions.arrays.moving_ttr`."""
-    size = _sums(owner, n)
-    pos = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+    size, pos = _sums(owner, n), places(owner, n)
     key = owner * (int(codes.max(initial=0)) + 1) + codes
     order = np.argsort(key, kind="stable")
     same = np.zeros(len(key), bool)
@@ -135,9 +154,9 @@ def records_of(sentences: pa.ListArray, window: int) -> dict[str, pa.Array]:
     text, text_names = _encoded(flat["text"])
     length = _taken(pc.utf8_length(text_names), text)
     word = content & (length > 0)
-    lemma, lemma_names = _encoded(
-        pc.if_else(pc.equal(pc.fill_null(flat["lemma"], ""), ""), pc.fill_null(flat["text"], ""), flat["lemma"])
-    )
+    lemma, lemma_names = _encoded(flat["lemma"])
+    lemma = np.where(_taken(pc.equal(lemma_names, ""), lemma), len(lemma_names) + text, lemma)
+    lemma_names = pa.concat_arrays([lemma_names, text_names])
     has_lemma = content & _taken(pc.not_equal(lemma_names, ""), lemma)
     lower_text, lower_lemma = (
         _taken(_encoded(lowered(names))[0], codes) for codes, names in ((text, text_names), (lemma, lemma_names))
@@ -169,3 +188,58 @@ def parts(batch: pa.RecordBatch, sentences: str) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.diff(np.cumsum(each) // PART_TOKENS, prepend=-1)).tolist()
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)
+
+
+def text_parts(batch: pa.RecordBatch, segments: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``PART_BYTES`` bytes of segments' texts, in order."""
+    column = batch.column(segments)
+    size = pc.fill_null(pc.binary_length(pc.struct_field(column.flatten(), "text")), 0).to_numpy(zero_copy_only=False)
+    each = _sums(owners(column), len(column), size)
+    starts = np.flatnonzero(np.diff(np.cumsum(each) // PART_BYTES, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
+def block_of(records: pa.RecordBatch) -> tuple[pa.Array, bytes]:
+    """The distinct tags of segments' records, and the records without them as one value; tags are numbers there."""
+    tags = pc.unique(records.column("tags").flatten())
+    at = records.schema.get_field_index("counts")
+    counts = records.column(at)
+    values, n = (pc.struct_field(counts.flatten(), f) for f in ("value", "n"))
+    counts = pa.ListArray.from_arrays(counts.offsets, pa.StructArray.from_arrays([values.dictionary_encode(), n], ["value", "n"]))
+    records = records.set_column(at, "counts", counts).drop_columns(["tags"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, records.schema) as out:
+        out.write_batch(records)
+    return tags, sink.getvalue().to_pybytes()
+
+
+def records_in(block: pa.Buffer) -> pa.RecordBatch:
+    with pa.ipc.open_stream(block) as stream:
+        return stream.read_next_batch()
+
+
+def kept_of(records: pa.RecordBatch, exclude_labels: list[str], min_tokens: int) -> pa.RecordBatch:
+    """Records with content words, as many as asked for, under other labels."""
+    n = pc.fill_null(records.column("n_tokens"), 0)
+    other = pc.invert(pc.is_in(records.column("label"), pa.array(exclude_labels, pa.string())))
+    return records.filter(pc.and_(pc.greater_equal(n, max(min_tokens, 1)), other))
+
+
+def rates_of(records: pa.RecordBatch, columns: dict[str, str], per: float) -> dict[str, np.ndarray]:
+    """For each column the rate of its tag, zero where it is absent."""
+    counts = records.column("counts")
+    found = counts.flatten()
+    value, names = _encoded(pc.struct_field(found, "value"))
+    owner, n = owners(counts), pc.struct_field(found, "n").to_numpy(zero_copy_only=False)
+    place = {tag: i for i, tag in enumerate(columns.values())}
+    at = np.array([place.get(tag, -1) for tag in names.to_pylist()], np.int64)[value]
+    dense = np.zeros((len(place), len(records)))
+    dense[at[at >= 0], owner[at >= 0]] = n[at >= 0]
+    rates = per * dense / records.column("n_tokens").to_numpy(zero_copy_only=False)
+    return dict(zip(columns, rates))
+
+
+def means_of(records: pa.RecordBatch) -> dict[str, pa.Array]:
+    means = records.column("means")
+    return {n: pc.struct_field(means, n) for n in STRUCTURAL_FEATURES}

@@ -8,12 +8,13 @@ only discovering the vocabulary aggregates across documents, over distinct tags.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from registrum.functions import parses
 from registrum.functions.annotation import CANNOT_RATE
@@ -27,6 +28,7 @@ WINDOW = 50
 PER = 1000.0
 # Tag kinds in one sortable key: kind, then the raw tag.
 KINDS = {"upos": "pos", "deprel": "dep", "feats": "morph"}
+PLACE = StructType([StructField("segment_idx", IntegerType()), StructField("label", StringType())])
 
 
 def segments_table(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -207,15 +209,52 @@ def recorded(segments: DataFrame, keys: list[str], exclude_labels: list[str] = [
                 found = parses.records_of(part.column("sentences"), WINDOW)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found.values()], names=[*carried, *found])
 
-    found = StructType(segments.select(*carried).schema.fields + StructType.fromDDL(
+    found = segments.mapInArrow(record, _record_schema(segments.select(*carried).schema))
+    return _kept_records(found, carried, exclude_labels, min_tokens)
+
+
+def recorded_texts(mapped: DataFrame, keys: list[str], parse: Callable[[pa.Array], pa.StructArray],
+                   exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
+    """:func:`recorded` of documents' segments (label, text) that ``parse`` takes apart in the same worker.
+
+    ``parse`` gives texts their parses in the parser stage's layout. Tokens are many times their texts; here they
+    neither travel between workers and Spark nor become rows.
+    """
+    rows = mapped.select(*keys, "segments")
+
+    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parses.text_parts(batch, "segments"):
+                yield _text_records(part, parse)
+
+    place = StructType(rows.schema.fields[:-1] + PLACE.fields)
+    return _kept_records(rows.mapInArrow(record, _record_schema(place)), [f.name for f in place], exclude_labels, min_tokens)
+
+
+def _text_records(part: pa.RecordBatch, parse: Callable[[pa.Array], pa.StructArray]) -> pa.RecordBatch:
+    """Keys, place, label and record of every segment of documents (keys, segments)."""
+    segments = part.column("segments")
+    owner = parses.owners(segments)
+    label, text = (pc.struct_field(segments.flatten(), f) for f in ("label", "text"))
+    found = parses.records_of(pc.struct_field(parse(text), "sentences"), WINDOW)
+    columns = {n: part.column(n).take(pa.array(owner)) for n in part.schema.names[:-1]}
+    columns["segment_idx"] = pa.array(parses.places(owner, len(segments)), pa.int32())
+    columns["label"] = pc.fill_null(label, "")
+    return pa.RecordBatch.from_pydict(columns | found)
+
+
+def _record_schema(carried: StructType) -> StructType:
+    return StructType(carried.fields + StructType.fromDDL(
         "n_tokens bigint, n_sents bigint, tags array<string>, counts array<struct<value: string, n: int>>, "
         f"means struct<{', '.join(f'{n}: double' for n in STRUCTURAL_FEATURES)}>"
     ).fields)
+
+
+def _kept_records(records: DataFrame, carried: list[str], exclude_labels: list[str], min_tokens: int) -> DataFrame:
     kept = (F.col("n_tokens") > 0) & (F.col("n_tokens") >= min_tokens)
     if exclude_labels:
         kept = kept & ~F.col("label").isin(exclude_labels)
-    sized = segments.mapInArrow(record, found).withColumn("kept", F.coalesce(kept, F.lit(False)))
-    return sized.select(
+    return records.withColumn("kept", F.coalesce(kept, F.lit(False))).select(
         *carried,
         "n_tokens",
         "n_sents",
@@ -261,6 +300,41 @@ def extract(parsed: DataFrame, vocabulary: list[str] | None = None, exclude_labe
     return wide.select(*FEATURE_META, *features)
 
 
+def extract_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray], vocabulary: list[str] | None = None,
+                  exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
+    """:func:`extract` of documents' segments that ``parse`` takes apart on the way.
+
+    Records are written as blocks of many segments, each with its distinct tags, and become the wide table's columns
+    in the workers, so that tags are no strings of single rows on the way there.
+    """
+    rows = mapped.select("doc_id", "source", "segments")
+
+    def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parses.text_parts(batch, "segments"):
+                records = _text_records(part, parse)
+                tags, block = parses.block_of(records)
+                yield pa.RecordBatch.from_arrays([pa.array([tags], pa.list_(pa.string())), pa.array([block], pa.binary())], ["tags", "block"])
+
+    blocks = rows.mapInArrow(record, "tags array<string>, block binary")
+    if vocabulary is None:
+        blocks = materialise(blocks)
+        vocabulary = collected_vocabulary(recorded_tags(blocks))
+    columns = columns_of(vocabulary)
+    features = sorted([*columns, *STRUCTURAL_FEATURES])
+    meta = StructType(rows.schema.fields[:-1] + PLACE.fields + StructType.fromDDL("n_tokens bigint, n_sents bigint").fields)
+    schema = StructType(meta.fields + [StructField(c, DoubleType()) for c in features])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block"):
+                kept = parses.kept_of(parses.records_in(block.as_buffer()), exclude_labels, min_tokens)
+                found = parses.rates_of(kept, columns, PER) | parses.means_of(kept)
+                yield pa.RecordBatch.from_pydict({n: kept.column(n) for n in meta.names} | {c: found[c] for c in features})
+
+    return blocks.select("block").mapInArrow(widen, schema).select(*FEATURE_META, *features)
+
+
 def token_stats(features: DataFrame, by: list[str] = []) -> DataFrame:
     """Smallest, median and largest content-word count, and the number of segments."""
     return features.groupBy(*by).agg(

@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +44,15 @@ def feature_columns(df: DataFrame, meta: list[str] = FEATURE_META) -> list[str]:
     return columns
 
 
+def _logged(column: str, columns: list[str]) -> Column:
+    if column in columns and column not in STRUCTURAL_FEATURES:
+        return F.log1p(F.greatest(F.col(column), F.lit(0.0)))
+    return F.col(column)
+
+
 def log_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """log1p of rate features, negative values as 0; structural features stay."""
-    return df.select(
-        *[
-            F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c)
-            if c in columns and c not in STRUCTURAL_FEATURES
-            else F.col(c)
-            for c in df.columns
-        ]
-    )
+    return df.select(*[_logged(c, columns).alias(c) for c in df.columns])
 
 
 @dataclass
@@ -70,25 +70,92 @@ class Moments:
         return Moments(columns, self.n, self.mean[at], self.std[at], self.corr[np.ix_(at, at)])
 
 
-def _assembled(df: DataFrame, columns: list[str], output: str) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol=output).transform(df.select(*columns)).select(output)
+def _numbers(df: DataFrame, columns: list[Column]) -> DataFrame:
+    return df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    x = np.empty((batch.num_rows, batch.num_columns))
+    for i, column in enumerate(batch.columns):
+        x[:, i] = column.to_numpy(zero_copy_only=False)
+    if np.isnan(x).any():
+        raise ValueError("features hold null or NaN")
+    return x
+
+
+def _deviations(df: DataFrame, columns: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and sample deviations: of each task's rows in Arrow batches, then merged column by column."""
+
+    p = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, m2 = 0, np.zeros(p), np.zeros(p)
+        for batch in batches:
+            if k := batch.num_rows:
+                x = _matrix(batch)
+                first = x[0].copy()  # sums of differences, so that a constant column has no deviation at all
+                x -= first
+                at = x.mean(axis=0)
+                x -= at
+                step = first + at - mean
+                m2 += np.square(x).sum(axis=0) + np.square(step) * (n * k / (n + k))
+                mean += step * (k / (n + k))
+                n += k
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(p), pa.int32()), pa.array(np.full(p, n)), pa.array(mean), pa.array(m2)],
+                ["i", "n", "mean", "m2"],
+            )
+
+    def merged(a: Column, b: Column) -> Column:
+        n, step = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"),
+            (a["mean"] + step * (b["n"] / n)).alias("mean"),
+            (a["m2"] + b["m2"] + step * step * (a["n"] * b["n"] / n)).alias("m2"),
+        )
+
+    parts = _numbers(df, columns).mapInArrow(run, "i int, n long, mean double, m2 double")
+    each = parts.groupBy("i").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "mean", "m2")).alias("x"))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")])
+    rows = each.select("i", F.aggregate("x", none, merged).alias("x")).select("i", "x.*").orderBy("i").collect()
+    if not rows:
+        raise ValueError("no rows to take means of")
+    n, m2 = int(rows[0]["n"]), np.array([r["m2"] for r in rows])
+    return n, np.array([r["mean"] for r in rows]), np.sqrt(m2 / max(n - 1, 1))
 
 
 def deviations(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and sample deviations in one pass."""
-    row = (
-        _assembled(df, columns, "v")
-        .select(Summarizer.metrics("count", "mean", "std").summary(F.col("v")).alias("s"))
-        .select("s.*")
-        .first()
-    )
-    return int(row["count"]), row["mean"].toArray(), row["std"].toArray()
+    return _deviations(df, [F.col(c) for c in columns])
+
+
+def correlations(df: DataFrame, columns: list[str], mean: np.ndarray) -> np.ndarray:
+    """Correlation matrix from the products of differences from the means: a row of it per task and column, then sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(mean), len(mean)))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch) - mean
+                total += x.T @ x
+        for i, row in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row], pa.list_(pa.float64()))], ["i", "row"])
+
+    parts = _numbers(df, [F.col(c) for c in columns]).mapInArrow(run, "i int, row array<double>")
+    rows = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).orderBy("i").collect()
+    products = np.array([r["row"].toArray() for r in rows])
+    length = np.sqrt(np.diag(products))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = products / np.outer(length, length)
+    corr = (corr + corr.T) / 2
+    np.fill_diagonal(corr, 1.0)
+    return corr
 
 
 def moments(df: DataFrame, columns: list[str]) -> Moments:
     n, mean, std = deviations(df, columns)
-    corr = Correlation.corr(_assembled(df, columns, "v"), "v").first()[0].toArray()
-    return Moments(list(columns), n, mean, std, corr)
+    return Moments(list(columns), n, mean, std, correlations(df, columns, mean))
 
 
 def low_variance(columns: list[str], std: np.ndarray, threshold: float = MIN_STD) -> list[str]:
@@ -131,16 +198,19 @@ def screen(features: DataFrame, meta: list[str] = FEATURE_META, smc_threshold: f
            collinearity: float = COLLINEAR, log_transform: bool = True, min_std: float = MIN_STD) -> Screening:
     """Variance filter, log1p, collinearity pruning, SMC filter.
 
-    Features are written once and read for the deviations on the raw scale,
+    Features are written once and read for the deviations on both scales,
     the correlation matrix of what varies, and the result.
     """
     columns = feature_columns(features, meta)
     features = materialise(features)
-    _, _, std = deviations(features, columns)
-    flat = set(low_variance(columns, std, min_std))
-    columns = [c for c in columns if c not in flat]
+    scales = [[F.col(c) for c in columns], [_logged(c, columns) for c in columns] if log_transform else []]
+    n, means, stds = _deviations(features, scales[0] + scales[1])
+    flat = set(low_variance(columns, stds[: len(columns)], min_std))
+    at = [i for i, c in enumerate(columns) if c not in flat]
+    mean, std = (x[len(scales[1]) :][at] for x in (means, stds))
+    columns = [columns[i] for i in at]
     data = log_rates(features, columns) if log_transform else features
-    m = moments(data, columns)
+    m = Moments(columns, n, mean, std, correlations(data, columns, mean))
     m = m.restrict(prune_collinear(m, collinearity))
     values = smc(m.corr)
     kept = [c for c, v in zip(m.columns, values) if v >= smc_threshold]

@@ -17,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from registrum.functions import text as T
-from registrum.functions.parses import counted_from, lowered, owners
+from registrum.functions.parses import counted_from, lowered, owners, places
 from registrum.session import spread
 from registrum.sources.annotator import Provider
 from registrum.schemas import ANNOTATIONS, PARSED_SEGMENT, SECTION_PAIR
@@ -151,25 +152,34 @@ def _split(texts: pa.Array, mark: str) -> tuple[np.ndarray, pa.Array]:
 
 
 def _tokens(sentences: pa.Array) -> pa.ListArray:
+    """Tokens of sentences; their strings are numbers into the distinct ones."""
     owner, words = _split(pc.binary_join_element_wise(sentences, " .", ""), " ")
-    per_sentence = np.bincount(owner, minlength=len(sentences))
-    at = np.arange(len(words)) - (np.cumsum(per_sentence) - per_sentence)[owner]
-    length = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-    stop = pc.equal(words, ".").to_numpy(zero_copy_only=False)
+    at = places(owner, len(sentences))
+    words = words.dictionary_encode()
+    names, word = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+    length_of = pc.utf8_length(names).to_numpy(zero_copy_only=False)
+    stop = pc.equal(names, ".").to_numpy(zero_copy_only=False)[word]
+    length = length_of[word]
+    lemmas = pc.if_else(pa.array(length_of % 8 == 0), pa.scalar(None, names.type), lowered(names))
+
+    def tags(numbers: np.ndarray, values: pa.Array) -> pa.Array:
+        return pa.DictionaryArray.from_arrays(pa.array(numbers, pa.int32()), values)
+
     nothing = {c: pa.nulls(len(words), t) for c, t in (("xpos", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()))}
     fields = {
         "id": pa.array(at + 1, pa.int32()),
         "text": words,
-        "lemma": pc.if_else(pa.array(length % 8 == 0), pa.scalar(None, words.type), lowered(words)),
-        "upos": _UPOS.take(pa.array(np.where(stop, 8, (length + at % 2) % 8))),
+        "lemma": pa.DictionaryArray.from_arrays(words.indices, lemmas),
+        "upos": tags(np.where(stop, 8, (length + at % 2) % 8), _UPOS),
         "xpos": nothing["xpos"],
-        "feats": _FEATS.take(pa.array(np.where(stop, 2, length % 4))),
+        "feats": tags(np.where(stop, 2, length % 4), _FEATS),
         "head": pa.array(at, pa.int32()),
-        "deprel": _DEPREL.take(pa.array(np.where(at == 0, 5, np.where(stop, 6, (length + at) % 5)))),
+        "deprel": tags(np.where(at == 0, 5, np.where(stop, 6, (length + at) % 5)), _DEPREL),
         "start_char": nothing["start_char"],
         "end_char": nothing["end_char"],
     }
-    return pa.ListArray.from_arrays(counted_from(np.cumsum(per_sentence)), pa.StructArray.from_arrays(fields.values(), names=list(fields)))
+    ends = np.cumsum(np.bincount(owner, minlength=len(sentences)))
+    return pa.ListArray.from_arrays(counted_from(ends), pa.StructArray.from_arrays(fields.values(), names=list(fields)))
 
 
 def parses_of(texts: pa.Array) -> pa.StructArray:
@@ -183,6 +193,8 @@ def parses_of(texts: pa.Array) -> pa.StructArray:
 def parsed(mapped: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with stand-in parses, in the parser stage's layout."""
     rows = mapped.select(*keys, "segments")
+    schema = StructType(rows.schema.fields[:-1] + StructType.fromDDL(f"segments array<{PARSED_SEGMENT}>").fields)
+    plain = to_arrow_type(schema["segments"].dataType.elementType["parse"].dataType)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,13 +204,12 @@ def parsed(mapped: DataFrame, keys: list[str]) -> DataFrame:
                 label, text = (pc.struct_field(found.flatten(), f) for f in ("label", "text"))
                 ends = np.cumsum(np.bincount(owners(found), minlength=len(found)))
                 segments = pa.StructArray.from_arrays(
-                    [label, text, parses_of(text), pa.nulls(len(text), pa.string())], names=["label", "text", "parse", "_source"]
+                    [label, text, parses_of(text).cast(plain), pa.nulls(len(text), pa.string())], names=["label", "text", "parse", "_source"]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.ListArray.from_arrays(counted_from(ends), segments)], names=part.schema.names
                 )
 
-    schema = StructType(rows.schema.fields[:-1] + StructType.fromDDL(f"segments array<{PARSED_SEGMENT}>").fields)
     return rows.mapInArrow(parse, schema)
 
 

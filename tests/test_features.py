@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from registrum.functions import parses
 from registrum.operators import features, segments
+from registrum.plans import queries
 from registrum.plans import standins as S
 from registrum.schemas import PARSED_SEGMENT
 
@@ -104,3 +106,44 @@ def test_parses_are_read_once(spark, tmp_path):
     assert {r["pos_noun"] for r in table.collect()} == {1000.0}
     with open(log) as f:
         assert len(f.read()) == 20
+
+
+def test_tokens_stay_in_their_worker(spark, small):
+    """Texts are parsed and counted in one pass, with the records that parses read from files give."""
+    assert queries.tag_rates_long(spark, small)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    keys = ["doc_id", "source"]
+    mapped = segments.map_segments(S.annotated(spark, small), keys)
+    apart = features.recorded(features.segments_table(S.parsed(mapped, keys), keys), keys)
+    found = features.recorded_texts(mapped, keys, S.parses_of)
+    assert found.schema.simpleString() == apart.schema.simpleString()
+    assert sorted(found.collect(), key=lambda r: r[:3]) == sorted(apart.collect(), key=lambda r: r[:3])
+
+
+def test_texts_of_any_length_and_none(spark, monkeypatch):
+    monkeypatch.setattr(parses, "PART_BYTES", 40)
+    rows = [
+        ("a", "s", [("A", "One two. Three"), (None, None), ("B", "")]),
+        ("b", "s", None),
+        ("c", "s", []),
+        ("d", "s", [("A", "Ünï cödé x " * 30), ("Cannot rate", "Word")]),
+        (None, None, [("A", ".")]),
+    ]
+    mapped = spark.createDataFrame(rows, "doc_id string, source string, segments array<struct<label:string,text:string>>")
+    keys = ["doc_id", "source"]
+    apart = features.recorded(features.segments_table(S.parsed(mapped.coalesce(1), keys), keys), keys).collect()
+    found = features.recorded_texts(mapped.coalesce(1), keys, S.parses_of).collect()
+    assert found == apart and len(found) == 6
+
+
+def test_wide_table_of_blocks(spark, small, tmp_path):
+    """The wide table made in the workers is the one made of records, with excluded and short segments left out."""
+    mapped = segments.map_segments(S.annotated(spark, small), ["doc_id", "source"])
+    S.parsed(mapped, ["doc_id", "source"]).write.parquet(str(tmp_path / "p"))
+    for least in (0, 12):
+        want = features.extract(spark.read.parquet(str(tmp_path / "p")), min_tokens=least)
+        got = features.extract_texts(mapped, S.parses_of, min_tokens=least)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(got.collect(), key=lambda r: r[:3]) == sorted(want.collect(), key=lambda r: r[:3])
+    chosen = ["upos\tNOUN", "upos\tnoun", "feats\tX=Y"]
+    want = features.extract(spark.read.parquet(str(tmp_path / "p")), chosen)
+    assert sorted(features.extract_texts(mapped, S.parses_of, chosen).collect(), key=lambda r: r[:3]) == sorted(want.collect(), key=lambda r: r[:3])

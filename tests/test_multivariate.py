@@ -35,6 +35,18 @@ def test_moments(m):
     assert np.allclose(m.corr, np.corrcoef(X, rowvar=False))
 
 
+def test_moments_of_parts_and_constants(spark):
+    """Columns are reduced in Arrow batches; parts of any size merge, constants have no deviation at all, gaps are refused."""
+    x = np.column_stack([X[:, :3] + 1e6, np.full(N, 0.1)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd"))).repartition(7)
+    m = M.moments(df, list("abcd"))
+    assert m.n == N and m.std[3] == 0.0 and m.mean[3] == 0.1
+    assert np.allclose(m.mean, x.mean(axis=0), rtol=1e-14) and np.allclose(m.std[:3], x[:, :3].std(axis=0, ddof=1), rtol=1e-9)
+    assert np.allclose(m.corr[:3, :3], np.corrcoef(X[:, :3].T), atol=1e-8) and np.isnan(m.corr[3, 0])
+    with pytest.raises(Exception, match="null or NaN"):
+        M.moments(df.withColumn("a", F.when(F.col("a") > 1e6, F.col("a"))), list("abcd"))
+
+
 def test_smc_is_regression_r2(m):
     for j, value in enumerate(M.smc(m.corr)):
         A = np.column_stack([np.ones(N), np.delete(X, j, 1)])
