@@ -102,11 +102,8 @@ def units(raw: bytes, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     least = np.concatenate([edge, np.where(valid, sliding(gram, SPAN, np.minimum), U(0)), edge])
     at = np.flatnonzero((sliding(least, SPAN, np.maximum) == gram) & (gram > 0))
     bucket = gram[at]
-    first, last = np.full(len(at), -1), np.full(len(at), -1)
-    for back in range(SPAN):
-        has = least[at - back + SPAN - 1] == bucket
-        first[has] = at[has] - back
-        last[has & (last < 0)] = at[has & (last < 0)] - back
+    has = np.lib.stride_tricks.sliding_window_view(least, SPAN)[at] == bucket[:, None]  # strings that start up to SPAN - 1 before
+    first, last = at - (SPAN - 1) + has.argmax(axis=1), at - has[:, ::-1].argmax(axis=1)
     shape = ((at - first) * 64 + (last - first)).astype(U)
     unit = mix(mix(string[first], string[last]), shape + U(1))
     return bucket, unit, first, last, string
@@ -139,11 +136,27 @@ class Chunk:
 
 def smallest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Each distinct key (most significant first) with its smallest document."""
-    order = np.lexsort([doc, *keys[::-1]])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     keys, doc = [k[order] for k in keys], doc[order]
     new = np.ones(len(doc), bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return [k[new] for k in keys], doc[new]
+    return [k[new] for k in keys], least_of(new, doc)
+
+
+def least_of(new: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest document of each group; ``new`` marks where groups begin."""
+    return np.minimum.reduceat(doc, np.flatnonzero(new)) if len(doc) else doc
+
+
+def above_least(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which (key, doc) have the key with a smaller document too."""
+    order = np.argsort(keys)
+    k, d = keys[order], doc[order]
+    out = np.zeros(len(k), bool)
+    if len(k):
+        new = np.append(True, k[1:] != k[:-1])
+        out[order] = d > least_of(new, d)[np.cumsum(new) - 1]
+    return out
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -259,15 +272,16 @@ def refine_units(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
     Where several chunks have the smallest document of a unit, each of them has strings to sort.
     """
     bucket, unit, doc = columns[0], columns[1], columns[2].view(np.int64)
-    order = np.lexsort([doc, unit, bucket])
+    order = np.lexsort([unit, bucket])
     b, u, d = bucket[order], unit[order], doc[order]
     new_bucket = np.append(True, b[1:] != b[:-1])
     new_unit = new_bucket | np.append(True, u[1:] != u[:-1])
-    heads = np.flatnonzero(new_unit)  # the smallest document of each unit
-    least = d[heads][np.cumsum(new_unit) - 1]
+    of_unit = least_of(new_unit, d)
+    least = of_unit[np.cumsum(new_unit) - 1]
+    heads = np.flatnonzero(new_unit)
     of_bucket = np.cumsum(new_bucket[heads]) - 1
     starts = np.flatnonzero(new_bucket[heads])
-    low, high = np.minimum.reduceat(d[heads], starts), np.maximum.reduceat(d[heads], starts)
+    low, high = np.minimum.reduceat(of_unit, starts), np.maximum.reduceat(of_unit, starts)
     resolved, probe = np.zeros(len(d), bool), np.zeros(len(d), bool)
     resolved[order] = d > least
     probe[order] = (d == least) & (low < high)[of_bucket][np.cumsum(new_unit) - 1]
@@ -277,12 +291,7 @@ def refine_units(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray
 def refine_strings(columns: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of (string, doc): strings that a smaller document of another chunk holds."""
     string, doc = columns[0], columns[1].view(np.int64)
-    order = np.lexsort([doc, string])
-    s, d = string[order], doc[order]
-    new = np.append(True, s[1:] != s[:-1])
-    resolved = np.zeros(len(d), bool)
-    resolved[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return [(resolved, string)]
+    return [(above_least(string, doc), string)]
 
 
 def send_units(row: dict) -> list[np.ndarray]:
@@ -295,11 +304,12 @@ def send_units(row: dict) -> list[np.ndarray]:
     return [bucket, unit, doc.view(U)]
 
 
-def probed(chunk: Chunk, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(position, identifier) of every string in the units to probe, step by step."""
-    for at, (_, unit, first, last, string) in chunk.steps():
-        hit = among(unit, probe)
-        yield at + (where := spread(first[hit], last[hit])), string[where]
+def probed(at: int, found: tuple[np.ndarray, ...], probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, identifier) of every string of a step that is in the units to probe."""
+    _, unit, first, last, string = found
+    hit = among(unit, probe)
+    where = spread(first[hit], last[hit])
+    return at + where, string[where]
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -317,19 +327,14 @@ def send_strings(row: dict) -> list[np.ndarray]:
     if not len(probe):
         return [np.zeros(0, U)] * 2
     chunk = Chunk(row["docs"], row["lengths"], row["raw"])
-    at, string = (np.concatenate(c) for c in zip(*probed(chunk, probe), strict=True))
+    at, string = (np.concatenate(c) for c in zip(*[probed(*step, probe) for step in chunk.steps()], strict=True))
     (string,), doc = smallest([string], chunk.owner(at))
     return [string, doc.view(U)]
 
 
 def repeats(keys: np.ndarray, doc: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
     """Which (key, doc) have a smaller document: in another chunk, or in this one."""
-    order = np.lexsort([doc, keys])
-    k, d = keys[order], doc[order]
-    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
-    out = np.zeros(len(k), bool)
-    out[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else False
-    return out | among(keys, elsewhere)
+    return above_least(keys, doc) | among(keys, elsewhere)
 
 
 def removed(row: dict) -> tuple[Chunk, np.ndarray]:
@@ -337,14 +342,19 @@ def removed(row: dict) -> tuple[Chunk, np.ndarray]:
     chunk = Chunk(row["docs"], row["lengths"], row["raw"])
     probe, resolved, strings = joined(row["probe"]), joined(row["resolved"]), joined(row["strings"])
     edge = np.zeros(len(chunk.raw) + 1, np.int32)
-    ranges = [(unit, first + at, last + at) for at, (_, unit, first, last, _) in chunk.steps()]
+    ranges, strung = [], []
+    for at, found in chunk.steps():  # once for both: identifiers are most of the work
+        _, unit, first, last, _ = found
+        ranges.append((unit, first + at, last + at))
+        if len(probe):
+            strung.append(probed(at, found, probe))
     if ranges:
         unit, first, last = (np.concatenate(c) for c in zip(*ranges, strict=True))
         hit = repeats(unit, chunk.owner(first), resolved)
         np.add.at(edge, first[hit], 1)
         np.add.at(edge, last[hit] + LENGTH, -1)
         if len(probe):
-            at, string = (np.concatenate(c) for c in zip(*probed(chunk, probe), strict=True))
+            at, string = (np.concatenate(c) for c in zip(*strung, strict=True))
             hit = repeats(string, chunk.owner(at), strings)
             np.add.at(edge, at[hit], 1)
             np.add.at(edge, at[hit] + LENGTH, -1)
