@@ -67,8 +67,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text that they decode to."""
     path = public_tokenizers.path(TOKENIZER)
-    coded = streaming_bpe.encoded(docs, path, F.col("doc_id"), F.col("lang"), F.col("source"))
-    return streaming_bpe.decoded(coded, path, "text").withColumn("n_tokens", F.size("ids").cast("long"))
+    found = streaming_bpe.transcoded(docs, path, F.col("doc_id"), F.col("lang"), F.col("source"), mode="text")
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

@@ -300,6 +300,24 @@ def bpe(path: str) -> Bpe:
     return remembered(("bpe", path), lambda: Bpe(path))
 
 
+def _encoded(model: Bpe, texts: pa.Array) -> pa.ListArray:
+    raw = [model.encode_bytes(t) for t in texts_of(texts)]
+    ends = np.cumsum([0, *map(len, raw)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
+
+def _decoded(model: Bpe, ids: pa.ListArray, mode: str) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
+    ends, flat = np.cumsum([0, *size]).tolist(), ids.flatten().to_numpy(zero_copy_only=False)
+    if mode == "pieces" and max(size, default=0) <= IDS:
+        return pa.array(model.joined_rows(flat, ends), pa.string())
+    return pa.array(["".join(model.text(flat[a:b], mode)) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
     """``keep`` and ``ids`` of every row's whole text."""
     frame = docs.select(*keep, F.col("text").alias("_text"))
@@ -308,12 +326,9 @@ def encoded(docs: DataFrame, path: str, *keep: Column) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in slices(rows, "_text", keep=True):
-            raw = [model.encode_bytes(t) for t in texts_of(batch.column("_text"))]
-            ends = np.cumsum([0, *map(len, raw)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], [*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _encoded(model, batch.column("_text"))], [*kept, "ids"])
 
-    return frame.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]], "ids array<int>"]))
+    return frame.mapInArrow(run, ", ".join([*[_types(frame, kept)] * bool(kept), "ids array<int>"]))
 
 
 def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
@@ -322,13 +337,20 @@ def decoded(coded: DataFrame, path: str, mode: str = "pieces") -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(path)
         for batch in slices(rows, "ids", keep=True):
-            ids = batch.column("ids")
-            ends, flat = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).tolist(), ids.flatten().to_numpy(zero_copy_only=False)
-            if mode == "pieces" and max(pc.list_value_length(ids).drop_null().to_pylist(), default=0) <= IDS:
-                texts = pa.array(model.joined_rows(flat, ends), pa.string())
-            else:
-                texts = pa.array(["".join(model.text(flat[a:b], mode)) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(model, batch.column("ids"), mode)], [*batch.schema.names, "decoded"])
+
+    return coded.mapInArrow(run, f"{_types(coded, coded.columns)}, decoded string")
+
+
+def transcoded(docs: DataFrame, path: str, *keep: Column, mode: str = "pieces") -> DataFrame:
+    """``decoded`` of ``encoded`` by one worker a task: a second one would hold a tokenizer and its words too, and take the ids through Spark."""
+    frame = docs.select(*keep, F.col("text").alias("_text"))
+    kept = frame.columns[:-1]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = bpe(path)
+        for batch in slices(rows, "_text", keep=True):
+            ids = _encoded(model, batch.column("_text"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids, _decoded(model, ids, mode)], [*kept, "ids", "decoded"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
-    return coded.mapInArrow(run, f"{types}, decoded string")
+    return frame.mapInArrow(run, ", ".join([*[_types(frame, kept)] * bool(kept), "ids array<int>", "decoded string"]))

@@ -1,6 +1,9 @@
 """The pipeline's stages against brute force, one after the other."""
 
 import corpus_pipeline
+import public_tokenizers
+from pyspark.sql import functions as F
+from registrum.llm import streaming_bpe
 from registrum.llm.common import COLUMNS_OF_DOCUMENTS as COLUMNS
 from registrum.llm.common import read
 from test_llm import brute_lines, empty
@@ -40,3 +43,18 @@ def test_stages_of_odd_rows(spark, small):
         out = stage(spark, docs, small)
         assert len(out.collect()) <= len(rows), name
         assert stage(spark, empty(docs), small).count() == 0
+
+
+def test_last_stage_takes_one_worker_a_task(spark):
+    """Ids and texts come from one pass, as from the two operators one after the other, whatever the texts are."""
+    texts = ["", None, "Hello, World's   end.\n", "İstanbul ÄÖ 你好 x́ \x1c tab\t", "a" * 3000, "word " * 70000]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.tokenise(spark, docs.coalesce(1), "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(corpus_pipeline.TOKENIZER)
+    coded = streaming_bpe.encoded(docs.coalesce(1), path, F.col("doc_id"), F.col("lang"), F.col("source"))
+    for mode in ("text", "pieces"):
+        want = streaming_bpe.decoded(coded, path, mode)
+        found = streaming_bpe.transcoded(docs.coalesce(1), path, F.col("doc_id"), F.col("lang"), F.col("source"), mode=mode)
+        assert found.schema == want.schema and found.collect() == want.collect()
+    assert [r["n_tokens"] for r in got.collect()] == [len(r["ids"]) for r in coded.collect()]
