@@ -9,6 +9,7 @@ only discovering the vocabulary aggregates across documents, over distinct tags.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -300,14 +301,17 @@ def extract(parsed: DataFrame, vocabulary: list[str] | None = None, exclude_labe
     return wide.select(*FEATURE_META, *features)
 
 
-def extract_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray], vocabulary: list[str] | None = None,
-                  exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
-    """:func:`extract` of documents' segments that ``parse`` takes apart on the way.
+@dataclass
+class Widened:
+    """A feature table that workers make of stored blocks: passes over it may read the blocks and widen them where they count."""
+
+    data: DataFrame
+    blocks: DataFrame
+    widen: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    Records are written as blocks of many segments, each with its distinct tags, and become the wide table's columns
-    in the workers, so that tags are no strings of single rows on the way there.
-    """
-    rows = mapped.select("doc_id", "source", "segments")
+
+def text_blocks(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray]) -> DataFrame:
+    """Records of documents' segments that ``parse`` takes apart on the way, as blocks of many segments, each with its distinct tags."""
 
     def record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,13 +320,14 @@ def extract_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray]
                 tags, block = parses.block_of(records)
                 yield pa.RecordBatch.from_arrays([pa.array([tags], pa.list_(pa.string())), pa.array([block], pa.binary())], ["tags", "block"])
 
-    blocks = rows.mapInArrow(record, "tags array<string>, block binary")
-    if vocabulary is None:
-        blocks = materialise(blocks)
-        vocabulary = collected_vocabulary(recorded_tags(blocks))
+    return mapped.select("doc_id", "source", "segments").mapInArrow(record, "tags array<string>, block binary")
+
+
+def _widened(mapped: DataFrame, blocks: DataFrame, vocabulary: list[str], exclude_labels: list[str], min_tokens: int) -> Widened:
     columns = columns_of(vocabulary)
     features = sorted([*columns, *STRUCTURAL_FEATURES])
-    meta = StructType(rows.schema.fields[:-1] + PLACE.fields + StructType.fromDDL("n_tokens bigint, n_sents bigint").fields)
+    place = mapped.select("doc_id", "source").schema.fields + PLACE.fields
+    meta = StructType(place + StructType.fromDDL("n_tokens bigint, n_sents bigint").fields)
     schema = StructType(meta.fields + [StructField(c, DoubleType()) for c in features])
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +337,27 @@ def extract_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray]
                 found = parses.rates_of(kept, columns, PER) | parses.means_of(kept)
                 yield pa.RecordBatch.from_pydict({n: kept.column(n) for n in meta.names} | {c: found[c] for c in features})
 
-    return blocks.select("block").mapInArrow(widen, schema).select(*FEATURE_META, *features)
+    blocks = blocks.select("block")
+    return Widened(blocks.mapInArrow(widen, schema).select(*FEATURE_META, *features), blocks, widen)
+
+
+def widened_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray], exclude_labels: list[str] = [CANNOT_RATE],
+                  min_tokens: int = 0) -> Widened:
+    """:func:`extract` of documents' segments that ``parse`` takes apart on the way.
+
+    Records are written as blocks of many segments and become the wide table's columns
+    in the workers, so that tags are no strings of single rows on the way there.
+    """
+    blocks = materialise(text_blocks(mapped, parse))
+    return _widened(mapped, blocks, collected_vocabulary(recorded_tags(blocks)), exclude_labels, min_tokens)
+
+
+def extract_texts(mapped: DataFrame, parse: Callable[[pa.Array], pa.StructArray], vocabulary: list[str] | None = None,
+                  exclude_labels: list[str] = [CANNOT_RATE], min_tokens: int = 0) -> DataFrame:
+    """The table of :func:`widened_texts`; with a vocabulary nothing is written."""
+    if vocabulary is None:
+        return widened_texts(mapped, parse, exclude_labels, min_tokens).data
+    return _widened(mapped, text_blocks(mapped, parse), vocabulary, exclude_labels, min_tokens).data
 
 
 def token_stats(features: DataFrame, by: list[str] = []) -> DataFrame:

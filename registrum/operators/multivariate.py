@@ -8,7 +8,7 @@ batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registrum.operators.features import Widened
 from registrum.schemas import FEATURE_META, STRUCTURAL_FEATURES
 from registrum.session import materialise
 
@@ -70,37 +71,63 @@ class Moments:
         return Moments(columns, self.n, self.mean[at], self.std[at], self.corr[np.ix_(at, at)])
 
 
-def _numbers(df: DataFrame, columns: list[Column]) -> DataFrame:
-    return df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+@dataclass
+class Numbers:
+    """Columns of numbers as matrices in the workers: the rows that are read, and what makes matrices of them."""
+
+    width: int
+    rows: DataFrame
+    matrices: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]
+
+    def reduced(self, run: Callable[[Iterator[np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        matrices = self.matrices
+        return self.rows.mapInArrow(lambda batches: run(x for x in matrices(batches) if len(x)), schema)
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    x = np.empty((batch.num_rows, batch.num_columns))
-    for i, column in enumerate(batch.columns):
+def _matrix(columns: list[pa.Array], n: int) -> np.ndarray:
+    x = np.empty((n, len(columns)))
+    for i, column in enumerate(columns):
         x[:, i] = column.to_numpy(zero_copy_only=False)
     if np.isnan(x).any():
         raise ValueError("features hold null or NaN")
     return x
 
 
-def _deviations(df: DataFrame, columns: list[Column]) -> tuple[int, np.ndarray, np.ndarray]:
+def _numbers(df: DataFrame, columns: list[Column]) -> Numbers:
+    rows = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    return Numbers(len(columns), rows, lambda batches: (_matrix(b.columns, b.num_rows) for b in batches))
+
+
+def _widened_numbers(table: Widened, plain: list[str], logged: list[str]) -> Numbers:
+    """The ``plain`` columns as they are, then the ``logged`` ones as :func:`log_rates` has them."""
+    widen = table.widen
+    rates = [len(plain) + i for i, c in enumerate(logged) if c not in STRUCTURAL_FEATURES]
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in widen(batches):
+            x = _matrix([batch.column(c) for c in [*plain, *logged]], batch.num_rows)
+            x[:, rates] = np.log1p(np.maximum(x[:, rates], 0.0))
+            yield x
+
+    return Numbers(len(plain) + len(logged), table.blocks, matrices)
+
+
+def _deviations(numbers: Numbers) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and sample deviations: of each task's rows in Arrow batches, then merged column by column."""
 
-    p = len(columns)
+    p = numbers.width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(matrices: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         n, mean, m2 = 0, np.zeros(p), np.zeros(p)
-        for batch in batches:
-            if k := batch.num_rows:
-                x = _matrix(batch)
-                first = x[0].copy()  # sums of differences, so that a constant column has no deviation at all
-                x -= first
-                at = x.mean(axis=0)
-                x -= at
-                step = first + at - mean
-                m2 += np.square(x).sum(axis=0) + np.square(step) * (n * k / (n + k))
-                mean += step * (k / (n + k))
-                n += k
+        for x in matrices:
+            k, first = len(x), x[0].copy()  # sums of differences, so that a constant column has no deviation at all
+            x -= first
+            at = x.mean(axis=0)
+            x -= at
+            step = first + at - mean
+            m2 += np.square(x).sum(axis=0) + np.square(step) * (n * k / (n + k))
+            mean += step * (k / (n + k))
+            n += k
         if n:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(p), pa.int32()), pa.array(np.full(p, n)), pa.array(mean), pa.array(m2)],
@@ -115,7 +142,7 @@ def _deviations(df: DataFrame, columns: list[Column]) -> tuple[int, np.ndarray,
             (a["m2"] + b["m2"] + step * step * (a["n"] * b["n"] / n)).alias("m2"),
         )
 
-    parts = _numbers(df, columns).mapInArrow(run, "i int, n long, mean double, m2 double")
+    parts = numbers.reduced(run, "i int, n long, mean double, m2 double")
     each = parts.groupBy("i").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), "mean", "m2")).alias("x"))
     none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mean", "m2")])
     rows = each.select("i", F.aggregate("x", none, merged).alias("x")).select("i", "x.*").orderBy("i").collect()
@@ -127,22 +154,21 @@ def _deviations(df: DataFrame, columns: list[Column]) -> tuple[int, np.ndarray,
 
 def deviations(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and sample deviations in one pass."""
-    return _deviations(df, [F.col(c) for c in columns])
+    return _deviations(_numbers(df, [F.col(c) for c in columns]))
 
 
-def correlations(df: DataFrame, columns: list[str], mean: np.ndarray) -> np.ndarray:
+def _correlations(numbers: Numbers, mean: np.ndarray) -> np.ndarray:
     """Correlation matrix from the products of differences from the means: a row of it per task and column, then sums."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(matrices: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(mean), len(mean)))
-        for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch) - mean
-                total += x.T @ x
+        for x in matrices:
+            x -= mean
+            total += x.T @ x
         for i, row in enumerate(total):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([row], pa.list_(pa.float64()))], ["i", "row"])
 
-    parts = _numbers(df, [F.col(c) for c in columns]).mapInArrow(run, "i int, row array<double>")
+    parts = numbers.reduced(run, "i int, row array<double>")
     rows = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).orderBy("i").collect()
     products = np.array([r["row"].toArray() for r in rows])
     length = np.sqrt(np.diag(products))
@@ -153,6 +179,11 @@ def correlations(df: DataFrame, columns: list[str], mean: np.ndarray) -> np.ndar
     return corr
 
 
+def correlations(df: DataFrame, columns: list[str], mean: np.ndarray) -> np.ndarray:
+    """Correlation matrix of columns with known means in one pass."""
+    return _correlations(_numbers(df, [F.col(c) for c in columns]), mean)
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
     n, mean, std = deviations(df, columns)
     return Moments(list(columns), n, mean, std, correlations(df, columns, mean))
@@ -194,28 +225,34 @@ class Screening:
     moments: Moments
 
 
-def screen(features: DataFrame, meta: list[str] = FEATURE_META, smc_threshold: float = MIN_SMC,
+def screen(features: DataFrame | Widened, meta: list[str] = FEATURE_META, smc_threshold: float = MIN_SMC,
            collinearity: float = COLLINEAR, log_transform: bool = True, min_std: float = MIN_STD) -> Screening:
     """Variance filter, log1p, collinearity pruning, SMC filter.
 
     Features are written once and read for the deviations on both scales,
-    the correlation matrix of what varies, and the result.
+    the correlation matrix of what varies, and the result. Of a table that workers
+    widen, its blocks are read instead, and its rows never become Spark's before the result.
     """
-    columns = feature_columns(features, meta)
-    features = materialise(features)
-    scales = [[F.col(c) for c in columns], [_logged(c, columns) for c in columns] if log_transform else []]
-    n, means, stds = _deviations(features, scales[0] + scales[1])
+    table = features.data if isinstance(features, Widened) else materialise(features)
+    columns = feature_columns(table, meta)
+
+    def numbers(plain: list[str], logged: list[str]) -> Numbers:
+        if isinstance(features, Widened):
+            return _widened_numbers(features, plain, logged)
+        return _numbers(table, [F.col(c) for c in plain] + [_logged(c, logged) for c in logged])
+
+    n, means, stds = _deviations(numbers(columns, columns if log_transform else []))
     flat = set(low_variance(columns, stds[: len(columns)], min_std))
     at = [i for i, c in enumerate(columns) if c not in flat]
-    mean, std = (x[len(scales[1]) :][at] for x in (means, stds))
+    mean, std = (x[len(columns) if log_transform else 0 :][at] for x in (means, stds))
     columns = [columns[i] for i in at]
-    data = log_rates(features, columns) if log_transform else features
-    m = Moments(columns, n, mean, std, correlations(data, columns, mean))
+    data = log_rates(table, columns) if log_transform else table
+    m = Moments(columns, n, mean, std, _correlations(numbers([], columns) if log_transform else numbers(columns, []), mean))
     m = m.restrict(prune_collinear(m, collinearity))
     values = smc(m.corr)
     kept = [c for c, v in zip(m.columns, values) if v >= smc_threshold]
     report = sorted(zip(m.columns, map(float, values)), key=lambda r: -r[1])
-    present = [c for c in meta if c in features.columns]
+    present = [c for c in meta if c in table.columns]
     return Screening(kept, report, data.select(*present, *kept), m.restrict(kept))
 
 

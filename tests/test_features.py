@@ -1,10 +1,11 @@
 """Segments, tag rates and structural means."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import parses
-from registrum.operators import features, segments
+from registrum.operators import features, multivariate, segments
 from registrum.plans import queries
 from registrum.plans import standins as S
 from registrum.schemas import PARSED_SEGMENT
@@ -147,3 +148,27 @@ def test_wide_table_of_blocks(spark, small, tmp_path):
     chosen = ["upos\tNOUN", "upos\tnoun", "feats\tX=Y"]
     want = features.extract(spark.read.parquet(str(tmp_path / "p")), chosen)
     assert sorted(features.extract_texts(mapped, S.parses_of, chosen).collect(), key=lambda r: r[:3]) == sorted(want.collect(), key=lambda r: r[:3])
+
+
+def test_screening_reads_blocks(spark, small, monkeypatch):
+    """Moments are taken where blocks are widened: the wide table is not written, and the results are those of the table."""
+    table = features.widened_texts(segments.map_segments(S.annotated(spark, small), ["doc_id", "source"]), S.parses_of)
+    want = multivariate.screen(table.data)
+
+    def refused(df, path=None):
+        raise AssertionError("the wide table is written")
+
+    monkeypatch.setattr(multivariate, "materialise", refused)
+    got = multivariate.screen(table)
+    assert got.kept == want.kept and got.moments.n == want.moments.n
+    assert [f for f, _ in got.report] == [f for f, _ in want.report]
+    for part in ("mean", "std", "corr"):
+        assert np.allclose(getattr(got.moments, part), getattr(want.moments, part), rtol=1e-12, atol=1e-12)
+    assert sorted(got.data.collect(), key=lambda r: r[:3]) == sorted(want.data.collect(), key=lambda r: r[:3])
+
+
+def test_rates_are_rounded_as_their_digits_say(spark):
+    values = [0.0, -0.0, 0.9765625, 15.625, 1000 / 3, 1e-7, 4.9999995, 0.0000005, 0.00000049999, 2.0000025, -2.0000025, -1e-9, 1e6, 1e17 / 3, 333333.3333335]
+    values += [1000 * n / t for t in (7, 64, 1024, 2048, 999) for n in range(0, 60, 7)] + [float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.where(~queries._r_plain("x").eqNullSafe(queries._r("x"))).count() == 0
