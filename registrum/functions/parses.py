@@ -17,7 +17,7 @@ from registrum.schemas import STRUCTURAL_FEATURES
 # Tokens that are worked on at a time; a longer segment is a part of its own.
 PART_TOKENS = 1 << 16
 # Bytes of text that are parsed and counted at a time; a longer document is a part of its own.
-PART_BYTES = 1 << 18
+PART_BYTES = 1 << 19
 MISSING_UPOS = "X"
 # Elsewhere, lower case has the same length and does not depend on the characters around.
 NOT_LATIN = "[^\x00-\u012f\u0131-\u024f]"
@@ -45,12 +45,23 @@ def places(owner: np.ndarray, n: int) -> np.ndarray:
 def lowered(texts: pa.Array) -> pa.Array:
     """Texts in lower case; Python sees those with characters beyond Latin only."""
     wide = pc.invert(pc.string_is_ascii(texts))
-    lower = pc.ascii_lower(texts)
-    if not (beyond := texts.filter(wide)):
-        return lower
-    other = pc.match_substring_regex(beyond, NOT_LATIN)
-    by_python = pa.array([t.lower() for t in beyond.filter(other).to_pylist()], lower.type)
-    return pc.replace_with_mask(lower, wide, pc.replace_with_mask(pc.utf8_lower(beyond), other, by_python))
+    beyond = texts.filter(wide)
+    if not len(beyond):
+        return pc.ascii_lower(texts)
+    lower = pc.utf8_lower(texts)
+    if _may_be_beyond_latin(beyond):
+        other = pc.match_substring_regex(beyond, NOT_LATIN)
+        by_python = pa.array([t.lower() for t in beyond.filter(other).to_pylist()], lower.type)
+        lower = pc.replace_with_mask(lower, pc.replace_with_mask(wide, wide, other), by_python)
+    return lower
+
+
+def _may_be_beyond_latin(texts: pa.Array) -> bool:
+    """Whether some byte begins a character beyond U+023F, or two spell U+0130, by one look at all bytes."""
+    offset = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], offset)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return bool((data >= 0xC9).any() or ((data[:-1] == 0xC4) & (data[1:] == 0xB0)).any())
 
 
 def _encoded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -79,94 +90,122 @@ def _sums(owner: np.ndarray, n: int, values: np.ndarray | None = None) -> np.nda
     return np.bincount(owner, values, minlength=n)
 
 
+def _sums_to(ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers, or of truth values, that lie list by list up to the lists' ends."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends], prepend=0)
+
+
 def moving_ttr(owner: np.ndarray, codes: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Moving-average type-token ratio per owner; as :func:`registrum.functions.arrays.moving_ttr`."""
-    size, pos = _sums(owner, n), places(owner, n)
-    key = owner * (int(codes.max(initial=0)) + 1) + codes
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(key), bool)
-    same[1:] = key[order[1:]] == key[order[:-1]]
-    previous = np.full(len(key), -1, np.int64)
-    previous[order[1:]] = np.where(same[1:], pos[order[:-1]], -1)
-    low = np.maximum(np.maximum(previous + 1, pos - (window - 1)), 0)
-    high = np.minimum(pos, size[owner] - window)
-    total = _sums(owner, n, np.maximum(high - low + 1, 0))
-    types = _sums(owner, n, previous < 0)
+    """Moving-average type-token ratio per owner, in whose order the tokens come; as :func:`registrum.functions.arrays.moving_ttr`."""
+    size = _sums(owner, n)
+    ends = np.cumsum(size)
+    number = np.arange(len(owner))
+    pos = number - np.repeat(ends - size, size)
+    # One sort of numbers made of code and place: how far back the same code stands, whoever's it is.
+    bits = max(len(owner), 1).bit_length()
+    key = np.sort((codes.astype(np.int64) << bits) | number)
+    order = key & ((1 << bits) - 1)
+    gap = np.full(len(key), len(key) + 1, np.int64)
+    gap[order[1:]] = np.where(key[1:] >> bits == key[:-1] >> bits, np.diff(order), len(key) + 1)
+    previous = np.maximum(pos - gap, -1)
+    low = np.maximum(previous + 1, pos - (window - 1))
+    high = np.minimum(pos, np.repeat(size - window, size))
+    total = _sums_to(ends, np.maximum(high - low + 1, 0))
+    types = _sums_to(ends, previous < 0)
     moving = total / float(window) / np.maximum(size - (window - 1), 1)
     return np.where(size < window, _ratio(types, size), moving)
 
 
-def _tag_lists(owner: np.ndarray, rank: np.ndarray, names: list[str], n: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def _counted(key: np.ndarray, width: int, n: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below ``n * width``, ascending, and how often each comes."""
+    if n * width <= 4 * PART_TOKENS:
+        dense = np.bincount(key, times, minlength=n * width).astype(np.int64)
+        found = np.flatnonzero(dense)
+        return found, dense[found]
+    found, at, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return found, counts if times is None else np.bincount(at, times, minlength=len(found)).astype(np.int64)
+
+
+def _tag_lists(owner: np.ndarray, rank: np.ndarray, times: np.ndarray, names: list[str], n: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Names of each owner with their numbers of occurrences: list ends, names and counts in name order."""
     width = max(len(names), 1)
-    key = owner * width + rank
-    if n * width <= 4 * PART_TOKENS:
-        dense = np.bincount(key, minlength=n * width)
-        key = np.flatnonzero(dense)
-        counts = dense[key]
-    else:
-        key, counts = np.unique(key, return_counts=True)
+    key, counts = _counted(owner * width + rank, width, n, times)
     ends = np.cumsum(_sums(key // width, n))
     return ends, pa.array(names, pa.string()).take(pa.array(key % width)), counts
 
 
+def _whole(numbers: pa.Array) -> np.ndarray:
+    """Whole numbers, null as 0."""
+    return (pc.fill_null(numbers, 0) if numbers.null_count else numbers).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
 def records_of(sentences: pa.ListArray, window: int) -> dict[str, pa.Array]:
     """Per segment: content words, sentences with any, distinct tags, tag counts and structural means."""
     n = len(sentences)
     tokens = pc.struct_field(sentences.flatten(), "tokens")
-    sentence = owners(tokens)
-    segment = owners(sentences)[sentence]
+    of_sentence = owners(sentences)
+    each = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    sentence_ends = np.cumsum(each, dtype=np.int64)
+    segment = np.repeat(of_sentence, each)
+    ends = np.cumsum(_sums(segment, n))
     flat = dict(zip([f.name for f in tokens.type.value_type], tokens.flatten().flatten()))
 
     upos, upos_names = _encoded(flat["upos"])
     content = _taken(pc.not_equal(upos_names, "PUNCT"), upos)
-    lengths = _sums(sentence[content], len(tokens))
-    of_sentence = owners(sentences)
-    n_tokens, n_sents = _sums(segment[content], n), _sums(of_sentence[lengths > 0], n)
+    lengths = _sums_to(sentence_ends, content)
+    n_tokens, n_sents = _sums_to(ends, content), _sums(of_sentence[lengths > 0], n)
 
+    # Tags follow from the segments' distinct values, which are few, and their numbers.
     deprel, deprel_names = _encoded(flat["deprel"])
     feats, feats_names = _encoded(flat["feats"])
-    items = [[kv for kv in f.split("|") if "=" in kv] for f in feats_names.to_pylist()]
-    tags_of = {
-        "upos": upos_names.to_pylist(),
-        "deprel": deprel_names.to_pylist(),
-        "feats": [kv for f in items for kv in f],
+    items = {
+        "upos": [[v] if v else [] for v in upos_names.to_pylist()],
+        "deprel": [[v] if v else [] for v in deprel_names.to_pylist()],
+        "feats": [[kv for kv in f.split("|") if "=" in kv] for f in feats_names.to_pylist()],
     }
-    names = sorted({f"{kind}\t{v}" for kind, values in tags_of.items() for v in values} | {f"upos\t{MISSING_UPOS}"})
+    names = sorted({f"{kind}\t{v}" for kind, values in items.items() for x in values for v in x} | {f"upos\t{MISSING_UPOS}"})
     at = {name: i for i, name in enumerate(names)}
-    ranks = {kind: np.array([at[f"{kind}\t{v}"] for v in values], np.int64) for kind, values in tags_of.items()}
-    size = np.array([len(f) for f in items], np.int64)
-    each = size[feats]
-    within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    feats_ranks = ranks["feats"][np.repeat((np.cumsum(size) - size)[feats], each) + within]
-    has_upos, has_deprel = _taken(pc.not_equal(upos_names, ""), upos), _taken(pc.not_equal(deprel_names, ""), deprel)
-    owner = np.concatenate([segment[has_upos], segment[has_deprel], np.repeat(segment, each)])
-    rank = np.concatenate([ranks["upos"][upos[has_upos]], ranks["deprel"][deprel[has_deprel]], feats_ranks])
-    tag_ends, tags, _ = _tag_lists(owner, rank, names, n)
-    without = segment[~has_upos]
-    missing = np.full(len(without), at[f"upos\t{MISSING_UPOS}"], np.int64)
-    count_ends, values, counts = _tag_lists(np.concatenate([owner, without]), np.concatenate([rank, missing]), names, n)
-
-    head, number = (pc.cast(flat[c], pa.int64()) for c in ("head", "id"))
-    linked = pc.fill_null(pc.and_(pc.greater(head, 0), pc.is_valid(number)), False).to_numpy(zero_copy_only=False)
-    at_head, at_token = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False)[linked] for x in (head, number))
-    distance = np.abs(at_head - at_token)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for kind, codes in (("upos", upos), ("deprel", deprel), ("feats", feats)):
+        width = max(len(items[kind]), 1)
+        key, times = _counted(segment * width + codes, width, n)
+        code = key % width
+        size = np.array([len(x) for x in items[kind]], np.int64)
+        ranks = np.array([at[f"{kind}\t{v}"] for x in items[kind] for v in x], np.int64)
+        many = size[code]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found.append((np.repeat(key // width, many), ranks[np.repeat((np.cumsum(size) - size)[code], many) + within], np.repeat(times, many)))
+    tag_ends, tags, _ = _tag_lists(*map(np.concatenate, zip(*found)), names, n)
+    without = _sums_to(ends, _taken(pc.equal(upos_names, ""), upos))
+    lacking = np.flatnonzero(without)
+    found.append((lacking, np.full(len(lacking), at[f"upos\t{MISSING_UPOS}"], np.int64), without[lacking]))
+    count_ends, values, counts = _tag_lists(*map(np.concatenate, zip(*found)), names, n)
+
+    head, number = _whole(flat["head"]), _whole(flat["id"])
+    linked = head > 0
+    if flat["id"].null_count:
+        linked &= flat["id"].is_valid().to_numpy(zero_copy_only=False)
     text, text_names = _encoded(flat["text"])
     length = _taken(pc.utf8_length(text_names), text)
     word = content & (length > 0)
     lemma, lemma_names = _encoded(flat["lemma"])
-    lemma = np.where(_taken(pc.equal(lemma_names, ""), lemma), len(lemma_names) + text, lemma)
-    lemma_names = pa.concat_arrays([lemma_names, text_names])
-    has_lemma = content & _taken(pc.not_equal(lemma_names, ""), lemma)
-    lower_text, lower_lemma = (
-        _taken(_encoded(lowered(names))[0], codes) for codes, names in ((text, text_names), (lemma, lemma_names))
-    )
+    no_lemma = pc.equal(lemma_names, "").to_numpy(zero_copy_only=False)
+    # Words and lemmas are numbered together, so a lemma that is the word itself has its number.
+    lower, _ = _encoded(lowered(pa.concat_arrays([text_names, lemma_names])))
+    lower_text, lower_lemma = lower[: len(text_names)][text], lower[len(text_names) :][lemma]
+    has_lemma = content
+    if no_lemma.any():
+        lower_lemma = np.where(no_lemma[lemma], lower_text, lower_lemma)
+        has_lemma = np.where(no_lemma[lemma], word, content)
+    words = moving_ttr(segment[word], lower_text[word], n, window)
+    same = np.array_equal(word, has_lemma) and np.array_equal(lower_text[word], lower_lemma[word])
+    n_linked, n_words = _sums_to(ends, linked), _sums_to(ends, word)
     means = [
         _ratio(n_tokens, n_sents),
-        _ratio(_sums(segment[linked], n, distance), _sums(segment[linked], n)),
-        _ratio(_sums(segment[word], n, length[word]), _sums(segment[word], n)),
-        moving_ttr(segment[word], lower_text[word], n, window),
-        moving_ttr(segment[has_lemma], lower_lemma[has_lemma], n, window),
+        _ratio(_sums_to(ends, np.where(linked, np.abs(head - number), 0)), n_linked),
+        _ratio(_sums_to(ends, np.where(word, length, 0)), n_words),
+        words,
+        words if same else moving_ttr(segment[has_lemma], lower_lemma[has_lemma], n, window),
     ]
     absent = pc.is_null(sentences).to_numpy(zero_copy_only=False)
     return {

@@ -12,7 +12,6 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 SPACE_RUN = SPACE + "+"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 STRUCTURAL = r"(?U)^[\s\x1c-\x1f]*(?:# |TABLE: |CODE: )[\s\x1c-\x1f]*[^\s\x1c-\x1f]"
-NUMBERED = r"(?s)^\[([0-9]+)\](?U:[\s\x1c-\x1f])*(.*)$"
 
 
 def strip(text: Column) -> Column:
@@ -39,15 +38,27 @@ def is_blank(text: Column) -> Column:
 
 
 def parse_numbered(markdown: Column) -> Column:
-    """``"[1] a\\n[2] b"`` to ``[(1, a), (2, b)]``; lines without a number are dropped."""
+    """``"[1] a\\n[2] b"`` to ``[(1, a), (2, b)]``; lines without a number are dropped.
+
+    Patterns are looked for in a line's number and, behind it, in the first character only.
+    """
+    lines = F.split(F.coalesce(markdown, F.lit("")), "\n")
     numbered = F.filter(
-        F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda raw: raw.rlike(r"^\[[0-9]+\]")
+        lines,
+        lambda raw: raw.startswith("[")
+        & raw.contains("]")
+        & F.substring_index(raw, "]", 1).rlike(r"^\[[0-9]+\z"),
     )
+
+    def behind(raw: Column) -> Column:
+        text = F.ltrim(F.substring(raw, F.length(F.substring_index(raw, "]", 1)) + 2, F.lit(2147483647)))
+        return F.when(F.substring(text, 1, 1).rlike(SPACE), F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+", "")).otherwise(text)
+
     return F.transform(
         numbered,
         lambda raw: F.struct(
-            F.regexp_extract(raw, NUMBERED, 1).try_cast("int").alias("num"),
-            F.regexp_extract(raw, NUMBERED, 2).alias("text"),
+            F.substring(F.substring_index(raw, "]", 1), 2, 2147483647).try_cast("int").alias("num"),
+            behind(raw).alias("text"),
         ),
     ).cast(f"array<{LINE}>")
 

@@ -146,8 +146,12 @@ _DEPREL = pa.array(["nsubj", "obj", "nmod:poss", "", "advmod", "root", "punct"],
 def _split(texts: pa.Array, mark: str) -> tuple[np.ndarray, pa.Array]:
     """Parts between marks, blanks trimmed, without empty ones: the number of the text each is of, and the parts."""
     cut = pc.split_pattern(texts, mark)
-    owner, flat = owners(cut), pc.utf8_trim(cut.flatten(), " ")
-    there = pc.not_equal(flat, "")
+    owner, flat = owners(cut), cut.flatten()
+    if mark != " ":
+        flat = pc.ascii_trim(flat, " ")
+    there = pc.greater(pc.binary_length(flat), 0)
+    if pc.all(there).as_py() is not False:
+        return owner, flat
     return owner[there.to_numpy(zero_copy_only=False)], flat.filter(there)
 
 
@@ -170,9 +174,9 @@ def _tokens(sentences: pa.Array) -> pa.ListArray:
         "id": pa.array(at + 1, pa.int32()),
         "text": words,
         "lemma": pa.DictionaryArray.from_arrays(words.indices, lemmas),
-        "upos": tags(np.where(stop, 8, (length + at % 2) % 8), _UPOS),
+        "upos": tags(np.where(stop, 8, (length + (at & 1)) & 7), _UPOS),
         "xpos": nothing["xpos"],
-        "feats": tags(np.where(stop, 2, length % 4), _FEATS),
+        "feats": tags(np.where(stop, 2, length & 3), _FEATS),
         "head": pa.array(at, pa.int32()),
         "deprel": tags(np.where(at == 0, 5, np.where(stop, 6, (length + at) % 5)), _DEPREL),
         "start_char": nothing["start_char"],

@@ -83,3 +83,29 @@ def test_structural_lines_are_told_by_their_beginning(spark):
     found = df.select(T.is_structural(F.col("t")).alias("got"), stripped.alias("want"))
     assert found.where("NOT got <=> want").count() == 0
     assert "regexp_replace" not in df.select(T.is_structural(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_are_counted_from_distinct_values(monkeypatch):
+    """What is added up by tag is a segment's distinct values, not its tokens, and lemmas that are the words are not sorted again."""
+    seen, sorted_ = [], []
+    lists, ttr = parses._tag_lists, parses.moving_ttr
+    monkeypatch.setattr(parses, "_tag_lists", lambda owner, *rest: seen.append(len(owner)) or lists(owner, *rest))
+    monkeypatch.setattr(parses, "moving_ttr", lambda *args: sorted_.append(1) or ttr(*args))
+    found = parses.records_of(standins.parses_of(pa.array(["ab cde " * 500, "ab. " * 300])).field("sentences"), 50)
+    assert found["n_tokens"].to_pylist() == [1000, 300]
+    assert max(seen) < 60 and len(sorted_) == 1
+
+
+def test_lower_case_of_any_script():
+    texts = ["ÄÖ", "abC", "", None, "İx", "ȺZ", "ΑΣ", "ß", "Ɏ", "“A”", "𐐀"]
+    assert parses.lowered(pa.array(texts)).to_pylist() == [t and t.lower() for t in texts]
+    assert parses.lowered(pa.array(texts).slice(1, 3)).to_pylist() == ["abc", "", None]
+
+
+def test_numbered_lines_without_patterns_over_the_line(spark):
+    lines = ["[1] a", "[2]\t b ", "[3]", "[4]  \x1c c", "[05] [6] d]", "[7", "7] e", "[] f", "[8x] g", "[99999999999] h", " [9] i", "[9] ", "[10]é"]
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "t string").select(T.parse_numbered(F.col("t")).alias("x"))
+    assert [[tuple(r) for r in x[0]] for x in df.collect()] == [
+        [(1, "a"), (2, "b "), (3, ""), (4, "c"), (5, "[6] d]"), (None, "h"), (9, ""), (10, "é")], []
+    ]
+    assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
