@@ -3,12 +3,13 @@
 The pattern of this tokenizer always starts a new pre-token at a single space, or line
 end, that stands between two characters that are no white space, and what lies on both
 sides is then encoded independently. Texts whose only white space is of that kind are cut there,
-all texts of a call at once, and dictionary-encoded: each distinct piece is looked up once,
-and what is not known goes through the library in strings of many: pieces meet at such cuts
+all texts of a call at once, and dictionary-encoded. Distinct pieces lose their marks, each distinct word is looked up once,
+and what is not known goes through the library in strings of many: words meet at such cuts
 again, and since the ids spell exactly the bytes of the text, the bytes of each id tell
-which ids belong to which piece. Ids of the texts are then taken by the pieces' numbers.
+which ids belong to which word. Ids of the texts are then taken by the pieces' numbers.
+Pieces, words and ids are Arrow arrays throughout; Python sees whole texts, the joined strings and the library's ids.
 Other texts go through the library in stretches that end at such cuts.
-Pieces are remembered up to a bound in bytes, the least used forgotten first; long ones never are.
+Words are remembered up to a bound in bytes, the least used forgotten first; long ones never are.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ import pyarrow.compute as pc
 
 from registrum.llm.common import remembered
 
-#: Memory of the worker for pieces, in bytes; what a piece takes besides its characters and ids; the longest that is remembered, in characters.
-MEMORY, ENTRY, MAX_LENGTH = 96 << 20, 180, 40
-#: New pieces that go through the library in one string, strings in one call, and characters of a stretch of other texts.
+#: Memory of the worker for words and their ids, in bytes; the longest that is remembered, in characters.
+MEMORY, MAX_LENGTH = 24 << 20, 40
+#: Words and their ids, of no words.
+NOTHING = pa.array([], pa.string()), pa.array([], pa.binary())
+#: New words that go through the library in one string, strings in one call, and characters of a stretch of other texts.
 JOINED, CALL, STRETCH = 64, 64, 1 << 15
 #: Marks that can end a piece after a word; none is part of a contraction or of a special token's string.
 MARKS = ".,;:!?)%&*$#"
@@ -56,10 +59,9 @@ class PieceEncoder:
         self.spelt = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.spelt[i] = len(token.encode()) if i in added else len(token)
-        #: Ids of pieces used since the last turn, and before it. A piece follows a space unless it begins with a line end or ``FIRST``.
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.bytes = 0
+        #: Words and their ids, used since the last turn, and before it. A word follows a space unless it begins with a line end or ``FIRST``.
+        self.known: tuple[pa.Array, pa.Array] = NOTHING
+        self.old: tuple[pa.Array, pa.Array] = NOTHING
 
     @staticmethod
     def quick(text: str) -> bool:
@@ -69,8 +71,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        if self.bytes > MEMORY // 2:
-            self.old, self.known, self.bytes = self.known, {}, 0
+        if sum(x.nbytes for x in self.known) > MEMORY // 2:
+            self.old, self.known = self.known, NOTHING
         out: list[bytes] = [b""] * len(texts)
         quick = [i for i, t in enumerate(texts) if self.quick(t)]
         for i, ids in zip(quick, self._by_pieces([texts[i] for i in quick]), strict=True):
@@ -84,57 +86,69 @@ class PieceEncoder:
             return []
         lists = pc.split_pattern(pa.array([FIRST + t.replace("\n", " \n") for t in texts], pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        found = list(map(self.known.get, pieces))
-        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
-        if new:
-            fresh = self._learnt(new)
-            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        each = pa.array(found, pa.binary()).take(coded.indices)
+        each = self._of_pieces(coded.dictionary).take(coded.indices)
         ends = np.frombuffer(each.buffers()[1], np.int32)[: len(each) + 1][lists.offsets.to_numpy()].tolist()
         raw = memoryview(each.buffers()[2])
         return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that were not used since the last turn."""
-        old = self.old.get
-        out = {p: ids for p in pieces if (ids := old(p)) is not None}
-        missing = [p for p in pieces if p not in out] if out else pieces
-        # First pieces have nothing before them, so they can't stand among others.
-        first = [p for p in missing if p[0] == FIRST]
-        out.update((p, ids.tobytes()) for p, ids in zip(first, self._ids([p[1:] for p in first]), strict=True))
-        others = [p for p in missing if p[0] != FIRST] if first else missing
-        # A letter or digit and a mark after it are never in one pre-token: many new pieces are a known word and known marks.
-        ended = [(p, core) for p in others if p[-1] in MARKS and (core := p.rstrip(MARKS)) and core[-1] < LATIN_END and core[-1].isalnum()]
-        cores = {core for _, core in ended}
-        whole = list(cores.union(others).difference(p for p, _ in ended))
-        found = list(map(self.known.get, whole))
-        new = [p for p, ids in zip(whole, found, strict=True) if ids is None]
-        out.update((p, ids) for p, ids in zip(whole, found, strict=True) if ids is not None)
-        out.update(zip(new, self._joined([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        tails = list({p[len(core) :] for p, core in ended})
-        tail = dict(zip(tails, (ids.tobytes() for ids in self._ids(tails)), strict=True))
-        out.update((p, out[core] + tail[p[len(core) :]]) for p, core in ended)
-        kept = {p: ids for p, ids in out.items() if len(p) <= MAX_LENGTH}
-        self.known.update(kept)
-        self.bytes += ENTRY * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+    def _of_pieces(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """Ids of distinct pieces. A letter or digit and a mark after it are never in one pre-token: many pieces are a word and marks, encoded apart."""
+        core = pc.ascii_rtrim(pieces, characters=MARKS)
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        apart = np.array([c.isalnum() and c < LATIN_END for c in last.dictionary.to_pylist()], bool)[last.indices.to_numpy()]
+        size = pc.binary_length(core).to_numpy()
+        apart &= size < pc.binary_length(pieces).to_numpy()
+        if not apart.any():
+            return self._of_words(pieces)
+        ended = np.flatnonzero(apart)
+        words = pc.if_else(pa.array(apart), core, pieces).dictionary_encode()
+        tails = pa.array([p[n:] for p, n in zip(pieces.take(ended).cast(pa.binary()).to_pylist(), size[ended].tolist(), strict=True)], pa.binary()).dictionary_encode()
+        spelt = pa.array([ids.tobytes() for ids in self._ids([t.decode() for t in tails.dictionary.to_pylist()])], pa.binary())
+        number = np.full(len(pieces), len(spelt))
+        number[ended] = tails.indices.to_numpy()
+        marks = pa.concat_arrays([spelt, pa.array([b""], pa.binary())]).take(pa.array(number))
+        return pc.binary_join_element_wise(self._of_words(words.dictionary).take(words.indices), marks, b"")
+
+    def _of_words(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of distinct words: those remembered, and the library's of all others."""
+        at = pc.index_in(words, value_set=pa.concat_arrays([self.known[0], self.old[0]]))
+        missing = at.is_null()
+        new = words.filter(missing)
+        ids = pa.concat_arrays([self.known[1], self.old[1], self._learnt(new)])
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[missing.to_numpy(zero_copy_only=False)] = len(ids) - len(new) + np.arange(len(new))
+        out = ids.take(pa.array(place))
+        kept = pa.array((place >= len(self.known[0])) & (pc.utf8_length(words).to_numpy() <= MAX_LENGTH))
+        more = words.filter(kept), out.filter(kept)
+        self.known = tuple(pa.concat_arrays(x) for x in zip(self.known, more, strict=True))
         return out
 
-    def _joined(self, forms: list[str]) -> Iterator[bytes]:
-        """Ids of each piece, the blank or line end before it included."""
-        size = pc.binary_length(pa.array(forms, pa.string())).to_numpy().astype(np.int64)
-        width = self.dtype.itemsize
-        for at in range(0, len(forms), JOINED * CALL):
-            strings = ["".join(forms[a : a + JOINED]) for a in range(at, min(at + JOINED * CALL, len(forms)), JOINED)]
-            ids = np.concatenate(list(self._ids(strings)))
-            ends, wanted = np.cumsum(self.spelt[ids]), np.cumsum(size[at : at + JOINED * CALL])
-            cuts = np.searchsorted(ends, wanted)
-            if ends[-1] != wanted[-1] or (ends[cuts] != wanted).any():
-                raise ValueError("ids do not spell the bytes of the text")
-            raw, a = ids.tobytes(), 0
-            for b in ((cuts + 1) * width).tolist():
-                yield raw[a:b]
-                a = b
+    def _learnt(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The library's ids of words that are not remembered."""
+        # First pieces have nothing before them, so they can't stand among others.
+        first = pc.starts_with(words, FIRST)
+        if not pc.any(first).as_py():
+            return self._joined(words)
+        alone = pa.array([ids.tobytes() for ids in self._ids([w[1:] for w in words.filter(first).to_pylist()])], pa.binary())
+        others = self._joined(words.filter(pc.invert(first)))
+        place, is_first = np.empty(len(words), np.int64), first.to_numpy(zero_copy_only=False)
+        place[is_first], place[~is_first] = np.arange(len(alone)), len(alone) + np.arange(len(others))
+        return pa.concat_arrays([alone, others]).take(pa.array(place))
+
+    def _joined(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of each word, the blank or line end before it included."""
+        if not len(words):
+            return NOTHING[1]
+        forms = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(" ", words, ""))
+        starts = pa.array(np.append(np.arange(0, len(forms), JOINED), len(forms)), pa.int32())
+        strings = pc.binary_join(pa.ListArray.from_arrays(starts, forms), "").to_pylist()
+        ids = np.concatenate(list(self._ids(strings)))
+        ends, wanted = np.cumsum(self.spelt[ids]), np.cumsum(pc.binary_length(forms).to_numpy(), dtype=np.int64)
+        cuts = np.searchsorted(ends, wanted)
+        if ends[-1] != wanted[-1] or (ends[cuts] != wanted).any():
+            raise ValueError("ids do not spell the bytes of the text")
+        offsets = np.concatenate([[0], (cuts + 1) * self.dtype.itemsize]).astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for i in range(0, len(texts), CALL):

@@ -37,6 +37,8 @@ from registrum.llm.common import only, slices, texts_of, written
 
 #: Ids in a block, unless one document alone has more.
 BLOCK = 1 << 18
+#: Bytes of text that are encoded together: what a word's look-up costs besides its own falls with them.
+SLICE = 1 << 23
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, lengths array<long>, start long, n_tokens long, control binary, data binary"
@@ -68,7 +70,7 @@ def coded(docs: DataFrame, tokenizer: str, end_id: int, dtype: str) -> DataFrame
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, dtype=dtype), np.array([end_id], dtype).tobytes()
-        for batch in slices(rows, "text", keep=True):
+        for batch in slices(rows, "text", SLICE, keep=True):
             ids = [x + end for x in encode.encode(texts_of(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 

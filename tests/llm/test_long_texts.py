@@ -54,3 +54,20 @@ def test_byte_bpe_in_stretches(seps, monkeypatch):
         for t, ids in zip(texts, got, strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
     assert byte_pieces.stretches(long) and "".join(byte_pieces.stretches(long)) == long
+
+
+def test_words_are_remembered_in_arrays(monkeypatch):
+    """60,000 words fit into 4 MB, with marks or without, and are not encoded again."""
+    monkeypatch.setattr(byte_pieces, "MEMORY", 4 << 20)
+    words = [f"w{i:x}" for i in range(60_000)]
+    texts = [" ".join(["first", *words[i : i + 6_000]]) for i in range(0, len(words), 6_000)]
+    coder, whole, seen = byte_pieces.PieceEncoder(BYTE, False, "<u4"), Tokenizer.from_file(BYTE), []
+    encode = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda t: seen.extend(t) or encode(t))
+    for t in texts:
+        coder.encode([t])
+    n, marked = len(seen), [t.replace(" ", "., ") for t in texts]
+    for t in marked:
+        (ids,) = coder.encode([t])
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert n and set(seen[n:]) == {".,"}
